@@ -43,6 +43,7 @@ BLOCKS = 256
 #: Shingles of the documents that meet in one block of a pivot, about.
 BLOCK_SHINGLES = 500_000
 LONGEST = 8
+SLOTS = 1 << 19
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -138,8 +139,9 @@ def _surviving(percent: int):
         n, l, size, last, ids = (t[x].to_numpy() for x in ("n", "l", "size", "last", "id"))
         group = np.concatenate(([0], np.cumsum((p[1:] != p[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         order = np.lexsort((ids, n, group))
-        tokens, pivots = t["tokens"].combine_chunks(), t["pivots"].combine_chunks()
-        off, flat, to = tokens.offsets.to_numpy(), tokens.values.to_numpy(), pivots.values.to_numpy()
+        tokens = t["tokens"].combine_chunks()
+        off, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+        flat, here = flat >> 1, (flat & 1).astype(bool)  # the lowest bit says whether the shingle's pivot is this one
         where = np.empty(len(ids), np.int64)
         where[order] = np.arange(len(ids))
         counts = np.diff(off)
@@ -171,10 +173,10 @@ def _surviving(percent: int):
             js = js[(100 + percent) * (hits + left) >= percent * (n_o[js] + n_o[i])]
             if not len(js):
                 continue
-            mine = dict(zip(flat[off[orig] : off[orig + 1]].tolist(), to[off[orig] : off[orig + 1]].tolist(), strict=True))
+            mine = dict(zip(flat[off[orig] : off[orig + 1]].tolist(), here[off[orig] : off[orig + 1]].tolist(), strict=True))
             for j in js.tolist():
                 other = order[j]
-                if mine[min(x for x in flat[off[other] : off[other + 1]].tolist() if x in mine)] == p[orig]:  # met at several pivots: counts at one
+                if mine[min(x for x in flat[off[other] : off[other + 1]].tolist() if x in mine)]:  # met at several pivots: counts at one
                     partners.setdefault(i, []).append(j)
         named = sorted({*partners, *(j for v in partners.values() for j in v)})
         if named:
@@ -232,7 +234,7 @@ def _verified(k: int, percent: int):
     return work
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, slots: int | None = None) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``.
 
     ``percent`` is the least Jaccard similarity in hundredths, ``k`` the words of a
@@ -260,14 +262,18 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     tokens = prefix.select("id", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("id").alias("p")).where("m > 1").select("token", "p")
     mine = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("token", "p"))).alias("x"))
-    mine = cut(mine.join(prefix.drop("prefix"), "id").select("id", "n", "l", "size", "last", F.col("x.token").alias("tokens"), F.col("x.p").alias("pivots")))
-    met = mine.withColumn("p", F.explode(F.array_distinct("pivots")))
-    weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("tokens")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
+    mine = cut(mine.join(prefix.drop("prefix"), "id"))
+    met = mine.withColumn("p", F.explode(F.array_distinct("x.p")))
+    weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("x")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
     met = met.join(weight, "p").withColumn("c", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     # a block holds the documents of chunks a <= b; where they differ, only pairs across them count
-    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "n", "l", "size", "last", "tokens", "pivots")
+    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "n", "l", "size", "last", F.expr("transform(x, y -> y.token & -2L | if(y.p = p, 1L, 0L))").alias("tokens"))
     near = met.repartition("p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _surviving(percent)), "p long, a int, b int, id long, partners array<long>")
-    near = cut(near).join(reps.select("id", "s1"), "id").join(source, "id")
+    near = cut(near)
+    # most texts meet nothing: what has no id in a slot of theirs isn't shuffled (SLOTS rows at most are broadcast)
+    slots = near.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")).distinct()
+    wanted = source.join(F.broadcast(slots), F.pmod(F.xxhash64("id"), F.lit(SLOTS)) == F.col("slot"), "left_semi")
+    near = near.join(reps.select("id", "s1"), "id").join(wanted, "id")
     links = near.repartition("p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _verified(k, percent), 2048), "a long, b long")
     comp = components(links).select(F.col("node").alias("rep"), "component")
     return (
