@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from microveil.llm import jaccard_join, packing
+from microveil.llm import jaccard_join, line_dedup, packing
 from microveil.llm.shared import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")), ["doc_id", "piece"], group_rows=16384)
 
@@ -14,6 +18,6 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.link(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
