@@ -74,3 +74,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def held_out(id_col: str, folds: int, fold: int):
+    """Whether crc32 of the id as text falls on the fold that is not learned from; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+    """Texts and labels to learn from: of either class up to ``per_class`` labelled ids that are not held out.
+
+    The ids are the first by a hash of the id, so the sample is the same in every run and
+    its size has a bound. An id with both labels counts as 1. Equal texts are taken once.
+    Ids that are null or have no document and labels that are null take no part.
+    """
+    seen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
+    chosen = None
+    for y in (0, 1):
+        part = seen.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").orderBy("_id", "_text").collect()
+    texts: dict[str, int] = {}
+    for r in rows:
+        texts.setdefault(r["_text"], r["_y"])
+    return list(texts), list(texts.values())
