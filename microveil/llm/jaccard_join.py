@@ -141,7 +141,8 @@ def _surviving(percent: int):
         order = np.lexsort((ids, n, group))
         tokens = t["tokens"].combine_chunks()
         off, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-        flat, here = flat >> 1, (flat & 1).astype(bool)  # the lowest bit says whether the shingle's pivot is this one
+        at_pivot, names = t["at"].combine_chunks(), t["pivots"].combine_chunks()
+        to = names.values.to_numpy()[np.repeat(names.offsets.to_numpy()[:-1], np.diff(off)) + at_pivot.values.to_numpy()[at_pivot.offsets[0].as_py() : at_pivot.offsets[-1].as_py()] - 1]
         where = np.empty(len(ids), np.int64)
         where[order] = np.arange(len(ids))
         counts = np.diff(off)
@@ -173,10 +174,10 @@ def _surviving(percent: int):
             js = js[(100 + percent) * (hits + left) >= percent * (n_o[js] + n_o[i])]
             if not len(js):
                 continue
-            mine = dict(zip(flat[off[orig] : off[orig + 1]].tolist(), here[off[orig] : off[orig + 1]].tolist(), strict=True))
+            mine = dict(zip(flat[off[orig] : off[orig + 1]].tolist(), to[off[orig] - off[0] : off[orig + 1] - off[0]].tolist(), strict=True))
             for j in js.tolist():
                 other = order[j]
-                if mine[min(x for x in flat[off[other] : off[other + 1]].tolist() if x in mine)]:  # met at several pivots: counts at one
+                if min(mine[x] for x in flat[off[other] : off[other + 1]].tolist() if x in mine) == p[orig]:  # met at several pivots: counts at the smallest
                     partners.setdefault(i, []).append(j)
         named = sorted({*partners, *(j for v in partners.values() for j in v)})
         if named:
@@ -263,11 +264,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     shared = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("id").alias("p")).where("m > 1").select("token", "p")
     mine = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("token", "p"))).alias("x"))
     mine = cut(mine.join(prefix.drop("prefix"), "id"))
-    met = mine.withColumn("p", F.explode(F.array_distinct("x.p")))
-    weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("x")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
+    mine = mine.withColumn("pivots", F.array_sort(F.array_distinct("x.p"))).withColumns({"tokens": F.col("x.token"), "at": F.expr("transform(x.p, y -> cast(array_position(pivots, y) as int))")})
+    met = mine.withColumn("p", F.explode("pivots"))
+    weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("tokens")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
     met = met.join(weight, "p").withColumn("c", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     # a block holds the documents of chunks a <= b; where they differ, only pairs across them count
-    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "n", "l", "size", "last", F.expr("transform(x, y -> y.token & -2L | if(y.p = p, 1L, 0L))").alias("tokens"))
+    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "n", "l", "size", "last", "tokens", "at", "pivots")
     near = met.repartition("p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _surviving(percent)), "p long, a int, b int, id long, partners array<long>")
     near = cut(near)
     # most texts meet nothing: what has no id in a slot of theirs isn't shuffled (SLOTS rows at most are broadcast)
