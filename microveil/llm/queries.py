@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from microveil.llm import jaccard_join, line_dedup, packing, toxicity
+from microveil.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from microveil.llm.shared import table
 
 
@@ -18,11 +18,16 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.link(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op8_spaced_seed_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, items).select("doc_id", "contaminated", "items")
+
+
 def op9_toxicity_crf(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.tag(docs, labels).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op9_toxicity_crf)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op8_spaced_seed_decontamination, op9_toxicity_crf)}
 
 ORACLES: dict[str, str] = {}
