@@ -183,9 +183,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_chains: int
     toxic = np.zeros(len(start), bool)
     for j in range(FEATURES - 1):  # suffixes describe but do not label
         name, at = np.unique(feats[j], return_inverse=True)
-        docs = np.unique(np.stack((at, owner))[:, keep[owner]], axis=1)
-        a = np.bincount(docs[0][y[docs[1]] == 1], minlength=len(name)).astype(float)
-        b = np.bincount(docs[0][y[docs[1]] == 0], minlength=len(name)).astype(float)
+        docs = np.unique((at * len(texts) + owner)[keep[owner]])  # one entry for each word and text
+        one = y[docs % len(texts)] == 1
+        a = np.bincount(docs[one] // len(texts), minlength=len(name)).astype(float)
+        b = np.bincount(docs[~one] // len(texts), minlength=len(name)).astype(float)
         share = (a + b) / total.sum()
         with np.errstate(divide="ignore", invalid="ignore"):
             g = 2 * (np.where(a > 0, a * np.log(a / (total[1] * share)), 0) + np.where(b > 0, b * np.log(b / (total[0] * share)), 0))
@@ -202,7 +203,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_chains: int
     tokens = np.concatenate([np.arange(head[c], head[c] + length[c]) for c in use])
     n = length[use]
     h = np.concatenate(([0], np.cumsum(n)))[:-1]
-    slot = (feats[:, tokens] >> np.uint64(64 - BITS)).astype(np.int64)
+    slot = [(f[tokens] >> np.uint64(64 - BITS)).astype(np.int32) for f in feats]
     gold = toxic[tokens].astype(float)
     inner = np.ones(len(tokens), bool)
     inner[h] = False
@@ -212,16 +213,16 @@ def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_chains: int
     m1, m2 = [np.zeros_like(w), 0.0, np.zeros((2, 2))], [np.zeros_like(w), 0.0, np.zeros((2, 2))]
     scale = 1.0 / max(1.0, gold.sum())
     for step in range(1, rounds + 1):
-        p, _, steps = marginals(w[slot].sum(0) + bias, h, n, trans)
+        p, _, steps = marginals(sum(w[x] for x in slot) + bias, h, n, trans)
         miss = (gold - p) * scale
-        grads = [np.bincount(slot.ravel(), np.tile(miss, FEATURES), minlength=len(w)) - 1e-5 * w, miss.sum(), (seen - steps) * scale - 1e-3 * trans]
+        grads = [sum(np.bincount(x, miss, minlength=len(w)) for x in slot) - 1e-5 * w, miss.sum(), (seen - steps) * scale - 1e-3 * trans]
         new = []
         for j, (value, g) in enumerate(zip((w, bias, trans), grads, strict=True)):
             m1[j], m2[j] = 0.8 * m1[j] + 0.2 * g, 0.95 * m2[j] + 0.05 * g * g
             new.append(value + 0.25 * (m1[j] / (1 - 0.8**step)) / (np.sqrt(m2[j] / (1 - 0.95**step)) + 1e-7))
         w, bias, trans = new
     model = {"w": w.astype(np.float32), "bias": float(bias), "trans": trans}
-    p = marginals(model["w"][(feats >> np.uint64(64 - BITS)).astype(np.int64)].sum(0) + bias, head, length, trans)[0]
+    p = marginals(sum(model["w"][(f >> np.uint64(64 - BITS)).astype(np.int32)] for f in feats) + bias, head, length, trans)[0]
     model["out"] = logistic(document_sums(p, first)[keep], y[keep])
     return model
 
@@ -260,7 +261,7 @@ def _score(batches, shared, threshold: float, with_spans: bool):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(scores)), pa.array(spans, kind), *(b.column(j) for j in range(1, b.num_columns))], names=[*names, *b.schema.names[1:]])
 
 
-def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 2500, threshold: float = 0.3, spans: bool = True) -> DataFrame:
+def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 1200, threshold: float = 0.3, spans: bool = True) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1), ``predicted`` and ``spans`` (character offsets of toxic words that adjoin).
 
     Learns from at most ``per_class`` labelled documents of either class, never from those
