@@ -6,8 +6,8 @@ sets' Jaccard similarity reaches the threshold. All comparisons are exact.
 How it stays linear-ish and whole:
 
 1. One pass over the texts gives each document its set size and a 128-bit
-   signature of its set, and each task a counting sketch of shingle hashes
-   (fixed size, one slot per hash prefix) whose sum orders shingles from rare to
+   signature of its set, and each task a counting sketch of the shingles
+   it meets again (fixed size, one slot per hash prefix) whose sum orders shingles from rare to
    common. Documents with equal sets collapse to their smallest id, by partial
    aggregation, so a hot group of copies is one document from then on.
 2. A second pass emits every representative's prefix in that order. The base
@@ -40,6 +40,7 @@ from microveil.llm.shared import components, cut, scan_groups
 
 SLOT_BITS = 20
 BLOCKS = 256
+SEEN_BITS = 25
 #: Shingles of the documents that meet in one block of a pivot, about.
 BLOCK_SHINGLES = 500_000
 LONGEST = 8
@@ -68,16 +69,20 @@ def _profile(k: int):
 
     def run(batches):
         slots = np.zeros(1 << SLOT_BITS, np.int64)
+        met = np.zeros(1 << SEEN_BITS, bool)
         for b in batches:
-            n, one, two, seen = [], [], [], []
+            n, one, two = [], [], []
             for _, s in sets_of(b.column(1), k):
                 x, y = signature(s)
                 n.append(len(s))
                 one.append(x)
                 two.append(y)
-                seen.append(s)
+                # what the task sees for the first time is rare as far as it knows, and would only blur the counts of the rest
+                place = (s & np.uint64((1 << SEEN_BITS) - 1)).astype(np.int64)
+                again = s[met[place]]
+                met[place] = True
+                np.add.at(slots, (again >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
             if n:
-                slots += np.bincount((np.concatenate(seen) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         rows = [(j, zlib.compress(part.tobytes(), 1)) for j, part in enumerate(slots.reshape(BLOCKS, -1)) if part.any()]
         if rows:
@@ -142,6 +147,7 @@ def _surviving(percent: int):
         tokens = t["tokens"].combine_chunks()
         off, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
         at_pivot, names = t["at"].combine_chunks(), t["pivots"].combine_chunks()
+        # a shingle is known by 32 bits of its key and by its pivot; a chance match of both only adds a candidate
         to = names.values.to_numpy()[np.repeat(names.offsets.to_numpy()[:-1], np.diff(off)) + at_pivot.values.to_numpy()[at_pivot.offsets[0].as_py() : at_pivot.offsets[-1].as_py()] - 1]
         where = np.empty(len(ids), np.int64)
         where[order] = np.arange(len(ids))
@@ -176,8 +182,8 @@ def _surviving(percent: int):
                 continue
             mine = dict(zip(flat[off[orig] : off[orig + 1]].tolist(), to[off[orig] - off[0] : off[orig + 1] - off[0]].tolist(), strict=True))
             for j in js.tolist():
-                other = order[j]
-                if min(mine[x] for x in flat[off[other] : off[other + 1]].tolist() if x in mine) == p[orig]:  # met at several pivots: counts at the smallest
+                x, y = off[order[j]], off[order[j] + 1]
+                if min((q for k, q in zip(flat[x:y].tolist(), to[x - off[0] : y - off[0]].tolist(), strict=True) if mine.get(k) == q), default=None) == p[orig]:  # met at several pivots: counts at the smallest
                     partners.setdefault(i, []).append(j)
         named = sorted({*partners, *(j for v in partners.values() for j in v)})
         if named:
@@ -264,7 +270,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     shared = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("id").alias("p")).where("m > 1").select("token", "p")
     mine = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("token", "p"))).alias("x"))
     mine = cut(mine.join(prefix.drop("prefix"), "id"))
-    mine = mine.withColumn("pivots", F.array_sort(F.array_distinct("x.p"))).withColumns({"tokens": F.col("x.token"), "at": F.expr("transform(x.p, y -> cast(array_position(pivots, y) as int))")})
+    mine = mine.withColumn("pivots", F.array_sort(F.array_distinct("x.p"))).withColumns({"tokens": F.expr("transform(x.token, y -> hash(y))"), "at": F.expr("transform(x.p, y -> cast(array_position(pivots, y) as int))")})
     met = mine.withColumn("p", F.explode("pivots"))
     weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("tokens")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
     met = met.join(weight, "p").withColumn("c", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
