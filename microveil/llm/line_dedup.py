@@ -57,13 +57,29 @@ def lines_of(column: pa.Array):
         yield first, last, code, starts, np.minimum(ends, n), text_first
 
 
+_codes: dict[int, np.ndarray] = {}
+
+
+def values(code: np.ndarray, seed: int) -> np.ndarray:
+    """A random 64-bit value for each code point: from a table for those below 65,536, computed for the others."""
+    if seed not in _codes:
+        _codes[seed] = T.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) + np.uint64(seed))
+    out = _codes[seed][code & 0xFFFF]
+    far = np.flatnonzero(code >> 16)
+    if len(far):
+        out[far] = T.mix(code[far].astype(np.uint64) + np.uint64(seed + 1))
+    return out
+
+
 class Prefix:
     """Hash of any span of a code point array in constant time; ``seed`` gives independent hashes."""
 
     def __init__(self, code: np.ndarray, seed: int = 0):
         p, self.inverse = T.powers(len(code) + 1)
         self.total = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(T.mix(code.astype(np.uint64) + np.uint64(seed + 1)) * p[:-1], out=self.total[1:])
+        product = values(code, seed)
+        product *= p[:-1]
+        np.cumsum(product, out=self.total[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return T.mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
@@ -71,8 +87,16 @@ class Prefix:
 
 def _posted(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
     """Which lines take part: long enough and not only white space."""
-    solid = np.concatenate(([0], np.cumsum((code > 32) & (code != 0xA0))))
-    return (ends - starts >= least) & (solid[ends] > solid[starts])
+    take = ends - starts >= least
+    if take.any():
+        # most lines begin or end with more than white space; the others are looked at whole
+        edge = lambda at: (code[at] > 32) & (code[at] != 0xA0)
+        at = np.flatnonzero(take)
+        at = at[~(edge(starts[at]) | edge(ends[at] - 1))]
+        for i in at.tolist():
+            part = code[starts[i] : ends[i]]
+            take[i] = ((part > 32) & (part != 0xA0)).any()
+    return take
 
 
 def _occurrences(batches, least: int):
@@ -109,7 +133,7 @@ def probes(tau: int) -> list[tuple[int, int, int, int]]:
 
 
 def _keys(batches, least: int, tau: int):
-    """(key, line hash, 1 if the key is a segment of the line itself) for every line once a task, as far as it remembers."""
+    """(key, line hash) for every line once a task, as far as it remembers; odd keys are segments of the line itself, even ones probes."""
     seen = np.zeros(0, np.uint64)
     for b in batches:
         for _, _, code, starts, ends, _ in lines_of(b.column(2)):
@@ -123,7 +147,7 @@ def _keys(batches, least: int, tau: int):
             if not len(take):
                 continue
             s, n = starts[take], ends[take] - starts[take]
-            keys, names, own = [], [], []
+            keys, names = [], []
             for delta, i, lo, hi in probes(tau):
                 length = n - delta
                 ok = length >= least
@@ -134,16 +158,17 @@ def _keys(batches, least: int, tau: int):
                     a = s + p + shift
                     fit = ok & (p + shift >= 0) & (p + shift + size <= n)
                     k = h(a[fit], (a + size)[fit])
-                    keys.append(T.mix(k + (length[fit] * (tau + 1) + i).astype(np.uint64)))
+                    k = T.mix(k + (length[fit] * (tau + 1) + i).astype(np.uint64))
+                    keys.append(k & ~np.uint64(1) | np.uint64(not delta and not shift))
                     names.append(name[fit])
-                    own.append(np.full(int(fit.sum()), not delta and not shift))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(names).astype(np.int64)), pa.array(np.concatenate(own))], names=["key", "h", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(names).astype(np.int64))], names=["key", "h"])
 
 
 def _meetings(t: pa.Table):
     """Keys that a segment and another line share, with the lines."""
-    key, h, own = (t[c].to_numpy() for c in ("key", "h", "own"))
+    key, h = t["key"].to_numpy(), t["h"].to_numpy()
+    key, own = key & ~1, (key & 1).astype(bool)
     order = np.lexsort((~own, h, key))
     key, h, own = key[order], h[order], own[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
@@ -297,25 +322,19 @@ def _near(t: pa.Table, tau: int):
         yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.int64())], names=["h"])
 
 
+BLANK = "".join(map(chr, range(33))) + "\xa0"
+
+
 def _rewritten(batches, least: int):
     for b in batches:
-        kept = b.column(1)
         text_out, lines, dropped = [], [], []
-        column = b.column(0)
-        for first, last, code, starts, ends, text_first in lines_of(column):
-            posted = _posted(code, starts, ends, least)
-            for i in range(last - first):
-                lo, hi = text_first[i], text_first[i + 1]
-                stay = ~posted[lo:hi]
-                mine = kept[first + i].as_py()
-                if mine:
-                    stay[mine] = True
-                lines.append(hi - lo)
-                dropped.append(int((~stay).sum()))
-                raw = column[first + i].as_py()
-                if dropped[-1] and raw is not None:
-                    raw = "\n".join(x for x, s in zip(raw.split("\n"), stay, strict=True) if s)
-                text_out.append(raw)
+        for raw, mine in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parts = (raw or "").split("\n")
+            kept = set(mine or ())
+            stay = [x for i, x in enumerate(parts) if i in kept or len(x) < least or not x.strip(BLANK)]
+            lines.append(len(parts))
+            dropped.append(len(parts) - len(stay))
+            text_out.append("\n".join(stay) if dropped[-1] else raw)
         rest = [b.column(j) for j in range(2, b.num_columns)]
         yield pa.RecordBatch.from_arrays([pa.array(text_out, pa.string()), pa.array(lines, pa.int32()), pa.array(dropped, pa.int32()), *rest], names=["_text", "n_lines", "n_dropped", *b.schema.names[2:]])
 
@@ -335,8 +354,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     found = source.mapInArrow(partial(_occurrences, least=least), "id long, rk long, line int, h long, h2 long")
     firsts = cut(found.groupBy("h", "h2").agg(F.min(F.struct("id", "rk", "line")).alias("f")).select("h", "f.id", "f.rk", "f.line"))
 
-    keys = source.mapInArrow(partial(_keys, least=least_near, tau=tau), "key long, h long, own boolean")
-    met = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda bs: scan_groups(bs, ["key"], _meetings, 65536), "key long, h long, own boolean"))
+    keys = source.mapInArrow(partial(_keys, least=least_near, tau=tau), "key long, h long")
+    # one of each pair of keys is odd: both halves go to one partition, and sorted they adjoin
+    met = cut(keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda bs: scan_groups(bs, ["key"], _meetings, 65536, lambda k: k >> 1), "key long, h long, own boolean"))
     bits = np.zeros((64, (1 << BLOOM_BITS) // 512), np.uint8)  # fixed size, whatever the corpus
     for r in met.select("h").mapInArrow(_bits, "block int, bits binary").repartition("block").mapInArrow(_either, "block int, bits binary").collect():
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)

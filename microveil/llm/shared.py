@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scan_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable, least: int = 8192) -> Iterator[pa.RecordBatch]:
+def scan_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable, least: int = 8192, of: Callable = lambda k: k) -> Iterator[pa.RecordBatch]:
     """Feed ``work`` with tables of whole groups from batches that are sorted by ``keys``.
 
     Small groups come together, at least ``least`` rows at a time; a group is never cut, so
-    the caller bounds its size beforehand.
+    the caller bounds its size beforehand. ``of`` maps a key column to what groups go by.
     """
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -45,10 +46,9 @@ def scan_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callab
         if rows < least:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
-        cols = [whole[k].to_pylist() for k in keys]
-        last, at = tuple(c[-1] for c in cols), whole.num_rows - 1
-        while at and tuple(c[at - 1] for c in cols) == last:
-            at -= 1
+        cols = [of(whole[k].to_numpy()) for k in keys]
+        other = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
+        at = int(other[-1]) + 1 if len(other) else 0
         if at:
             yield from work(whole.slice(0, at))
         held, rows = whole.slice(at).to_batches(), whole.num_rows - at
