@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from microveil.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
+from pyspark.sql import functions as F
+
+from microveil.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, permutation_index, quality_gam, secret_scan, toxicity, url_rules
 from microveil.llm.shared import table
 
 
@@ -18,6 +20,26 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.link(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark, sf_dir):
+    conflict = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", conflict), (-7, 1, "assistant", conflict)], "conv_id long, turn int, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
+    return chat_format.digest(chat_format.format_conversations(rows.unionByName(own)))
+
+
+def op6_quality_gam(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_gam.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_permutation_index(spark, sf_dir):
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op8_spaced_seed_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, items).select("doc_id", "contaminated", "items")
@@ -28,6 +50,11 @@ def op9_toxicity_crf(spark, sf_dir):
     return toxicity.tag(docs, labels).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op8_spaced_seed_decontamination, op9_toxicity_crf)}
+def op10_url_association_rules(spark, sf_dir):
+    rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op4_secret_scan, op5_chat_formatting, op6_quality_gam, op7_permutation_index, op8_spaced_seed_decontamination, op9_toxicity_crf, op10_url_association_rules)}
 
 ORACLES: dict[str, str] = {}
