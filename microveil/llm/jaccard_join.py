@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from microveil.llm import textscan as T
-from microveil.llm.shared import components, cut, scan_groups
+from microveil.llm.shared import components, cut, scan_groups, small_batches
 
 SLOT_BITS = 20
 BLOCKS = 256
@@ -252,6 +252,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     both = cut(source.mapInArrow(_profile(k), "id long, n long, s1 long, s2 long, block int, counts binary"))
     profile = both.where("block IS NULL").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("id", "s.*")

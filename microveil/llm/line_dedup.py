@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from microveil.llm import textscan as T
-from microveil.llm.shared import cut, scan_groups
+from microveil.llm.shared import cut, scan_groups, small_batches
 
 #: Lines that meet in one block of a key, about; and distinct lines that a task remembers so as not to post them again.
 BLOCK_LINES = 4096
@@ -349,6 +349,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     id comes before all others. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.drop("n_lines", "n_dropped")
     source = base.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col)).alias("rk"), F.col(text_col).cast("string").alias("text"))
     found = source.mapInArrow(partial(_occurrences, least=least), "id long, rk long, line int, h long, h2 long")

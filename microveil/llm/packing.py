@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from microveil.llm.shared import cut
+from microveil.llm.shared import cut, small_batches
 from microveil.llm.tokens import coder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     into pieces of ``size`` of which the first holds the remainder. A null text counts
     as empty and gives one piece. Repeated and null ids are kept row by row.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(partial(_cut_ids, size=size, end_id=end_id, files=files), PIECES)
 

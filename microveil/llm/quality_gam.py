@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from microveil.llm import textscan as T
-from microveil.llm.shared import held_out, training_texts
+from microveil.llm.shared import held_out, small_batches, training_texts
 from microveil.llm.toxicity import buffer_of
 
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
@@ -173,6 +173,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one class to learn from, all scores are 0. Every row is scored on its own, so repeated
     rows and ids and null ids are allowed.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop("held_out", "score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast(fit(*training_texts(docs, labels, label, folds, fold, per_class, id_col, text_col)))
     names = [f"_c{i}" for i in range(len(base.columns))]

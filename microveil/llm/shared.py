@@ -24,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: an Arrow batch of them has no more than so many rows, unless the session asks for fewer."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder."""
     shared_folder(df.sparkSession)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from microveil.llm import textscan as T
-from microveil.llm.shared import held_out, training_texts
+from microveil.llm.shared import held_out, small_batches, training_texts
 
 CHAIN = 64
 BITS = 18
@@ -271,6 +271,7 @@ def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.drop("held_out", "score", "predicted", "spans")
     model = spark.sparkContext.broadcast(fit(*training_texts(docs, labels, label, folds, fold, per_class, id_col, text_col)))
     names = [f"_c{i}" for i in range(len(base.columns))]
