@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,24 +37,38 @@ class Spec:
     soft: Sequence[str] = field(default_factory=tuple)  # attributes that oneoff lets differ; by default all keys but age
 
 
-def _greedy(p: pd.DataFrame, spec: Spec, stage: str, soft: list[str]) -> pd.DataFrame:
+def _greedy(parts, spec: Spec, stage: str, soft: list[str]):
+    """The greedy rule on whole groups; parts are sorted by group (``_group``), then side and sort order."""
     keys = list(spec.keys)
-    left = p[p["_side"] == 0].sort_values([*keys, "_id"], kind="stable").to_dict("records")
-    right = p[p["_side"] == 1].sort_values([*keys, *[f"_o{i}" for i in range(len(spec.right_order))], "_id"], kind="stable").to_dict("records")
-    pairs = []
-    for a in reversed(left):
-        for j, b in enumerate(right):
-            near = abs(a[spec.age] - b[spec.age]) <= 1
-            if stage == "fzyage":
-                ok = near and all(a[k] == b[k] for k in keys if k != spec.age)
-            else:
-                ok = near and sum(a[k] != b[k] for k in soft) <= 1
-            if ok:
-                pairs.append((a["_id"], b["_id"]))
-                del right[j]
-                break
-    out = pd.DataFrame({"_side": [0] * len(pairs) + [1] * len(pairs), "_id": [a for a, _ in pairs] + [b for _, b in pairs], "_pair": [f"{a}/{b}" for a, b in pairs] * 2})
-    return out.astype({"_side": "int32", "_pair": "object"})
+    hard = [k for k in keys if k != spec.age]
+
+    def pairs(group: list[dict]) -> list[tuple]:
+        left, right = [x for x in group if x["_side"] == 0], [x for x in group if x["_side"] == 1]
+        out = []
+        for a in reversed(left):
+            for j, b in enumerate(right):
+                if abs(a[spec.age] - b[spec.age]) <= 1 and (all(a[k] == b[k] for k in hard) if stage == "fzyage" else sum(a[k] != b[k] for k in soft) <= 1):
+                    out.append((a["_id"], b["_id"]))
+                    del right[j]
+                    break
+        return out
+
+    def made(found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame({"_side": [0] * len(found) + [1] * len(found), "_id": [a for a, _ in found] + [b for _, b in found], "_pair": [f"{a}/{b}" for a, b in found] * 2})
+        return out.astype({"_side": "int32", "_pair": "object"})
+
+    held: list[dict] = []
+    for p in parts:
+        found = []
+        for row in p.to_dict("records"):
+            if held and row["_group"] != held[-1]["_group"]:
+                found += pairs(held)
+                held = []
+            held.append(row)
+        if found:
+            yield made(found)
+    if held and (found := pairs(held)):
+        yield made(found)
 
 
 def linked(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
@@ -92,7 +107,9 @@ def linked(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
             group = Window.partitionBy(*by)
             rest = rows.where(free).withColumns({"_l": F.sum(1 - F.col("_side")).over(group), "_r": F.sum("_side").over(group)}).where("_l > 0 AND _r > 0")
             kind = rows.schema["_id"].dataType.simpleString()
-            found = rest.drop("_l", "_r").groupBy(*by).applyInPandas(lambda p, stage=stage, soft=soft: _greedy(p, spec, stage, soft), f"_side int, _id {kind}, _pair string").withColumnRenamed("_pair", "_new")
+            rest = rest.drop("_l", "_r").withColumn("_group", F.to_json(F.struct(*by)))
+            dealt = rest.repartition(*by).sortWithinPartitions("_group", "_side", *order)
+            found = dealt.mapInPandas(partial(_greedy, spec=spec, stage=stage, soft=soft), f"_side int, _id {kind}, _pair string").withColumnRenamed("_pair", "_new")
             rows = rows.join(found, ["_side", "_id"], "left")
             rows = rows.withColumns({"_flag": F.when(F.col("_new").isNotNull(), F.lit(flag)).otherwise(F.col("_flag")), "_pair": F.coalesce("_pair", F.concat(F.lit(f"{flag}/"), "_new"))}).drop("_new")
     return rows

@@ -4,7 +4,688 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from microveil.functions import bins, recode
+from microveil.operators import linkage, metrics, models, swap, tabulate
+from microveil.plans.views import PEOPLE_SQL, agebin_sql, left_right, people, table
+from microveil.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def with_people(sql: str) -> str:
+    return f"WITH {PEOPLE_SQL} {sql}"
+
+
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def doubles(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
+
+
+# linkage
+
+RANKED = """ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block, {key} ORDER BY sex DESC, age DESC, pid DESC) AS rk FROM {left})"""
+
+
+def _paired(left: str, right: str, key: str, order: str, desc: str) -> str:
+    on = " AND ".join(f"a.k{i} = b.k{i}" for i in range(len(key.split("|"))))
+    ks = ", ".join(f"{k} AS k{i}" for i, k in enumerate(key.split("|")))
+    part = ", ".join(key.split("|"))
+    return f"(SELECT a.block, a.pid AS left_id, b.pid AS right_id FROM (SELECT *, {ks}, row_number() OVER (PARTITION BY block, {part} ORDER BY {desc}) AS rk FROM {left}) a JOIN (SELECT *, {ks}, row_number() OVER (PARTITION BY block, {part} ORDER BY {order}) AS rk FROM {right}) b ON a.block = b.block AND a.rk = b.rk AND {on})"
+
+
+BIN = agebin_sql("age")
+E1 = _paired("l", "g", "sex|age", "sex, age, r, pid", "sex DESC, age DESC, pid DESC")
+E2 = _paired("(SELECT * FROM l WHERE pid NOT IN (SELECT left_id FROM m1)) l2", "(SELECT * FROM g WHERE pid NOT IN (SELECT right_id FROM m1)) g2", f"sex|{BIN}", "sex, age, r, pid", "sex DESC, age DESC, pid DESC")
+LINKED = with_people(f", m1 AS {E1}, m2 AS {E2}, m AS (SELECT *, 1 AS flag FROM m1 UNION ALL SELECT *, 3 AS flag FROM m2)")
+SPEC = linkage.Spec(["block"], ("sex", "age"), left_id="pid", right_id="pid", right_order=("r",))
+
+
+@query(LINKED + """ SELECT block, nullif(coalesce(nl, 0), 0)::BIGINT AS n_left, nullif(coalesce(ng, 0), 0)::BIGINT AS n_right,
+  CASE WHEN nl > 0 AND ng > 0 THEN coalesce(exact, 0) END::BIGINT AS exact, CASE WHEN nl > 0 AND ng > 0 THEN coalesce(binage, 0) END::BIGINT AS binage
+FROM (SELECT block, count(*) FILTER (side = 0) AS nl, count(*) FILTER (side = 1) AS ng FROM pp GROUP BY block)
+LEFT JOIN (SELECT block, count(*) FILTER (flag = 1) AS exact, count(*) FILTER (flag = 3) AS binage FROM m GROUP BY block) USING (block)""")
+def link_exact_binage(spark, d):
+    a, b = left_right(spark, d)
+    return linkage.block_stats(linkage.linked(a, b, SPEC), SPEC)
+
+
+@query(LINKED + " SELECT block, left_id, right_id, flag::BIGINT AS flag FROM m")
+def link_matches(spark, d):
+    a, b = left_right(spark, d)
+    return longs(linkage.matches(linkage.linked(a, b, SPEC), SPEC), "flag")
+
+
+PUT = LINKED.replace("FROM g)", "FROM g)")
+Q1 = _paired("l", "(SELECT * FROM q WHERE keep = 1) u", "sex|age", "sex, age, r, pid", "sex DESC, age DESC, pid DESC")
+Q2 = _paired("(SELECT * FROM l WHERE pid NOT IN (SELECT left_id FROM m1)) l2", "(SELECT * FROM q WHERE keep = 1 AND pid NOT IN (SELECT right_id FROM m1)) g2", f"sex|{BIN}", "sex, age, r, pid", "sex DESC, age DESC, pid DESC")
+PUTATIVE = with_people(f", m1 AS {Q1}, m2 AS {Q2}, m AS (SELECT *, 1 AS flag FROM m1 UNION ALL SELECT *, 3 AS flag FROM m2), put AS (SELECT m.*, q.pik AS found FROM m JOIN q ON q.pid = m.right_id)")
+
+
+@query(PUTATIVE + " SELECT block, left_id, right_id, flag::BIGINT AS flag, found AS pik FROM put")
+def link_putative(spark, d):
+    a, b = left_right(spark, d)
+    return longs(linkage.putative(a, b, ["block"], "r", left_id="pid", right_id="pid"), "flag")
+
+
+@query(PUTATIVE + " SELECT substr(block, 1, 5) AS county, count(*)::BIGINT AS put, count(*) FILTER (flag = 1)::BIGINT AS put_exact, count(DISTINCT block)::BIGINT AS blocks FROM put GROUP BY 1")
+def link_putative_stats(spark, d):
+    a, b = left_right(spark, d)
+    p = linkage.putative(a, b, ["block"], "r", left_id="pid", right_id="pid")
+    return p.groupBy(F.substring("block", 1, 5).alias("county")).agg(F.count("*").alias("put"), tabulate.counted(F.col("flag") == 1).alias("put_exact"), F.count_distinct("block").alias("blocks"))
+
+
+C_KEYS = "sex|{age}|pik|white|black|asian|hisp"
+C_ORDER = "sex, age, pik, white, black, asian, hisp, pid"
+C_DESC = ", ".join(f"{c} DESC" for c in C_ORDER.split(", "))
+TRUTH = "(SELECT pid, block, sex, age, pik, white, black, asian, hisp FROM q WHERE keep = 1)"
+ATTACHED = "(SELECT put.left_id AS pid, put.block, l.sex, l.age, put.found AS pik, l.white, l.black, l.asian, l.hisp FROM put JOIN l ON l.pid = put.left_id)"
+C1 = _paired("att", "tru", C_KEYS.format(age="age"), C_ORDER, C_DESC)
+C2 = _paired("(SELECT * FROM att WHERE pid NOT IN (SELECT left_id FROM c1)) x", "(SELECT * FROM tru WHERE pid NOT IN (SELECT right_id FROM c1)) y", C_KEYS.format(age=BIN), C_ORDER, C_DESC)
+
+
+@query(PUTATIVE + f", att AS {ATTACHED}, tru AS {TRUTH}, c1 AS {C1}, c2 AS {C2} SELECT block, left_id, right_id, 1::BIGINT AS flag FROM c1 UNION ALL SELECT block, left_id, right_id, 3::BIGINT FROM c2")
+def link_confirm(spark, d):
+    a, b = left_right(spark, d)
+    found = linkage.putative(a, b, ["block"], "r", left_id="pid", right_id="pid").select(F.col("left_id").alias("pid"), "pik")
+    attached = a.drop("pik").join(found, "pid")
+    return longs(linkage.confirm(attached, b.where("keep = 1"), ["block"], ("white", "black", "asian", "hisp"), "pid", "pid"), "flag")
+
+
+@query()
+def link_fuzzy(spark, d):
+    """Exact, one-year and one-off stages (order-dependent, so tested against brute force)."""
+    a, b = left_right(spark, d)
+    spec = linkage.Spec(["block"], ("sex", "age", "white", "black", "asian", "hisp"), left_id="pid", right_id="pid", stages=("exact", "fzyage", "oneoff"))
+    return linkage.block_stats(linkage.linked(a, b, spec), spec)
+
+
+@query(with_people("SELECT block, count(*) FILTER (side = 0)::BIGINT AS n_left, count(*) FILTER (side = 1)::BIGINT AS n_right FROM pp GROUP BY block HAVING n_left = 0 OR n_right = 0"))
+def one_sided_blocks(spark, d):
+    return people(spark, d).groupBy("block").agg(tabulate.counted(F.col("side") == 0).alias("n_left"), tabulate.counted(F.col("side") == 1).alias("n_right")).where("n_left = 0 OR n_right = 0")
+
+
+@query(with_people("SELECT pid, tract, side FROM pp WHERE age > 60 AND tract IN (SELECT tract FROM l WHERE age > 60) AND tract IN (SELECT tract FROM g WHERE age > 60)"))
+def common_tract_semi(spark, d):
+    a, b = (x.where("age > 60") for x in left_right(spark, d))
+    a, b = linkage.common_only(a, b, ["tract"])
+    return a.select("pid", "tract", "side").unionByName(b.select("pid", "tract", "side"))
+
+
+@query(with_people("SELECT pid, block, pik, keep::BIGINT AS keep FROM q"))
+def keep_first(spark, d):
+    return longs(linkage.keep_first(people(spark, d).where("side = 1"), ["block", "pik"], ["r", "pid"], "pik").select("pid", "block", "pik", "keep"), "keep")
+
+
+SIZE_R = "CASE WHEN {0} BETWEEN 1 AND 9 THEN '1-9' WHEN {0} BETWEEN 10 AND 49 THEN '10-49' WHEN {0} BETWEEN 50 AND 99 THEN '50-99' WHEN {0} BETWEEN 100 AND 249 THEN '100-249' WHEN {0} BETWEEN 250 AND 499 THEN '250-499' WHEN {0} BETWEEN 500 AND 999 THEN '500-999' WHEN {0} BETWEEN 1000 AND 1000000 THEN '1000+' END"
+
+
+@query(LINKED + f""", s AS (SELECT block, count(*) FILTER (side = 0) AS nl FROM pp GROUP BY block), t AS (SELECT s.block, nl, count(m.flag) FILTER (flag = 1) AS e, count(m.flag) AS b FROM s LEFT JOIN m USING (block) GROUP BY 1, 2)
+SELECT {SIZE_R.format('nl')} AS size_class, sum(nl)::BIGINT AS pop, sum(e)::BIGINT AS exact, sum(b)::BIGINT AS binage, round(sum(e)::DOUBLE / sum(nl), 6) AS exact_rate, round(sum(b)::DOUBLE / sum(nl), 6) AS binage_rate FROM t WHERE nl > 0 GROUP BY 1""")
+def agree_rates(spark, d):
+    a, b = left_right(spark, d)
+    stats = linkage.block_stats(linkage.linked(a, b, SPEC), SPEC).where("n_left IS NOT NULL").withColumn("size_class", bins.right_closed(F.col("n_left")))
+    return linkage.agreement_rates(stats, ["size_class"], "binage")
+
+
+# projections, bins, recodes
+
+
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, ({agebin_sql('CAST(l_quantity AS BIGINT) * 2')})::BIGINT AS age_group FROM lineitem")
+def agebin(spark, d):
+    return longs(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", bins.age_bin(F.col("l_quantity").cast("long") * 2).alias("age_group")), "l_linenumber", "age_group")
+
+
+@query("SELECT CASE WHEN n < 2 THEN 0 WHEN n < 5 THEN 2 WHEN n < 10 THEN 5 WHEN n < 20 THEN 10 ELSE 20 END::BIGINT AS low, count(*)::BIGINT AS customers FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1")
+def left_closed_bins(spark, d):
+    n = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+    return n.groupBy(bins.left_closed(F.col("n"), (0, 2, 5, 10, 20)).cast("long").alias("low")).agg(F.count("*").alias("customers"))
+
+
+@query("SELECT c_custkey, (c_custkey % 63 + 1)::BIGINT AS code, (c_custkey % 63 + 1)::BIGINT AS back, CASE WHEN c_custkey % 63 < 6 THEN c_custkey % 63 + 1 ELSE 7 END::BIGINT AS seven, CASE WHEN c_custkey % 63 < 6 THEN 1 WHEN c_custkey % 63 < 21 THEN 2 WHEN c_custkey % 63 < 41 THEN 3 WHEN c_custkey % 63 < 56 THEN 4 WHEN c_custkey % 63 < 62 THEN 5 ELSE 6 END::BIGINT AS races FROM customer")
+def race63_roundtrip(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 63 + 1).alias("code"))
+    flags = recode.race_flags(F.col("code"))
+    return longs(c.withColumns(flags).select("c_custkey", "code", recode.race_code([F.col(r) for r in recode.RACES]).alias("back"), recode.race_seven(F.col("code")).alias("seven"), recode.race_count(F.col("code")).alias("races")), "back", "seven", "races")
+
+
+@query(with_people("SELECT pid, block, state, county, tract, substr(block, 1, 12) AS blockgroup, substr(block, 12, 4) AS block4, substr(block, 6, 6) || substr(block, 12, 4) AS blockid FROM pp"))
+def geo_split(spark, d):
+    return recode.geo_parts(people(spark, d).select("pid", "block"), "block").select("pid", "block", "state", "county", "tract", "blockgroup", "block4", "blockid")
+
+
+@query("SELECT o_orderkey, (2010 - year(o_orderdate) - CASE WHEN month(o_orderdate) > 4 OR (month(o_orderdate) = 4 AND day(o_orderdate) > 1) THEN 1 ELSE 0 END)::BIGINT AS age FROM orders")
+def age_from_birth(spark, d):
+    raw = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("dob"))
+    return longs(raw.select("o_orderkey", recode.age_on(recode.birth_date(F.col("dob"))).alias("age")), "age")
+
+
+@query("SELECT p_partkey, round(p_retailprice, greatest(0, 3 - floor(log10(abs(p_retailprice)))::INT)) AS rounded, (p_size::BIGINT BETWEEN 1 AND 25) AS small FROM part")
+def sig_round(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_retailprice") >= 1000, F.round("p_retailprice", 0)).otherwise(bins.significant(F.col("p_retailprice"))).alias("rounded"), F.col("p_size").between(1, 25).alias("small"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE 'other' END AS seg, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 1000 THEN 'low' ELSE 'high' END AS level, upper(c_name) AS label FROM customer")
+def recode_expr(spark, d):
+    c = table(spark, d, "customer")
+    x = recode.recoded(c, {"label": "upper(c_name)"})
+    return x.select("c_custkey", recode.recode(F.col("c_mktsegment"), {"BUILDING": "B", "MACHINERY": "M"}, F.lit("other")).alias("seg"), recode.rule_value([("c_acctbal < 0", "debt"), ("c_acctbal < 1000", "low")], "high").alias("level"), "label")
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_returnflag IN ('A', 'R') AND l_quantity BETWEEN 5 AND 40) AS valid, CASE WHEN l_returnflag NOT IN ('A', 'R') THEN 'l_returnflag' WHEN NOT l_quantity BETWEEN 5 AND 40 THEN 'l_quantity' END AS reason FROM lineitem")
+def validate_ranges(spark, d):
+    return longs(recode.validated(table(spark, d, "lineitem"), {"l_returnflag": ["A", "R"], "l_quantity": ["5-40"]}).select("l_orderkey", "l_linenumber", "valid", "reason"), "l_linenumber")
+
+
+@query("SELECT s_suppkey, CASE WHEN abs(s_acctbal / 1000.0) >= 2.576 THEN '***' WHEN abs(s_acctbal / 1000.0) >= 1.96 THEN '**' WHEN abs(s_acctbal / 1000.0) >= 1.645 THEN '*' ELSE '' END AS stars FROM supplier")
+def significance_stars(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", bins.stars(F.col("s_acctbal"), F.lit(1000.0)).alias("stars"))
+
+
+# tabulation and windows
+
+
+@query(with_people(""", u AS (SELECT *, count(*) OVER (PARTITION BY block, sex, age, white, black, asian, hisp) AS a, count(*) OVER (PARTITION BY block, sex, age) AS b FROM pp)
+SELECT block, count(*)::BIGINT AS pop, sum(sex)::BIGINT AS sex, count(pik)::BIGINT AS haspik, count(age)::BIGINT AS hasage, count(sex)::BIGINT AS hassex, count(*) FILTER (pik IS NOT NULL AND age IS NOT NULL AND sex IS NOT NULL)::BIGINT AS hasall3,
+count(*) FILTER (a = 1)::BIGINT AS uniall, count(*) FILTER (b = 1)::BIGINT AS uniagesex, count(*) FILTER (age > 21)::BIGINT AS popgt21, count(*) FILTER (age <= 21)::BIGINT AS poplteq21 FROM u GROUP BY block"""))
+def block_tab(spark, d):
+    return tabulate.block_tabulation(people(spark, d), "block", ["white", "black", "asian", "hisp"])
+
+
+@query(with_people("SELECT county, " + ", ".join(f"nullif(count(*) FILTER (race = '{i:04b}'), 0)::BIGINT AS freq{i:04b}" for i in range(16)) + " FROM pp GROUP BY county"))
+def freq_pivot(spark, d):
+    return tabulate.frequency_pivot(people(spark, d), "county", ["white", "black", "asian", "hisp"])
+
+
+MODES = """, n AS (SELECT race, count(*) AS nn FROM pp GROUP BY race),
+bm AS (SELECT block, min(race) AS mode, max(c) AS mx, count(*) AS ties, max(CASE WHEN k = 1 THEN race END) AS nat FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY nn DESC, race) AS k FROM (SELECT *, rank() OVER (PARTITION BY block ORDER BY c DESC) AS rk FROM (SELECT block, race, count(*) AS c FROM pp GROUP BY 1, 2)) JOIN n USING (race) WHERE rk = 1) GROUP BY block),
+gm AS (SELECT tract, min(race) AS gmode, max(c) AS gmx, count(*) AS gties FROM (SELECT *, rank() OVER (PARTITION BY tract ORDER BY c DESC) AS rk FROM (SELECT tract, race, count(*) AS c FROM pp GROUP BY 1, 2)) WHERE rk = 1 GROUP BY tract),
+j AS (SELECT bm.*, gm.* FROM (SELECT DISTINCT block, tract FROM pp) x JOIN bm USING (block) JOIN gm USING (tract))"""
+
+
+@query(with_people(MODES + " SELECT block, mode, mx::BIGINT AS max_n, ties::BIGINT AS ties, nat AS national_mode FROM bm"))
+def modes_with_ties(spark, d):
+    return tabulate.modes(people(spark, d), ["block"], "race")
+
+
+FALL = """, f AS (SELECT *, CASE WHEN ties > 1 AND gties > 1 THEN NULL WHEN ties > 1 AND gties = 1 THEN gmode WHEN mx = 1 AND gmx = 1 THEN NULL WHEN mx = 1 AND gmx > 1 THEN gmode ELSE mode END AS code,
+CASE WHEN ties > 1 AND gties > 1 THEN NULL WHEN ties > 1 AND gties = 1 THEN 'blockgroup' WHEN mx = 1 AND gmx = 1 THEN NULL WHEN mx = 1 AND gmx > 1 THEN 'blockgroup' ELSE 'block' END AS kind FROM j)"""
+
+
+@query(with_people(MODES + FALL + " SELECT block, coalesce(code, nat) AS modal, CASE WHEN code IS NULL THEN 'national' ELSE kind END AS level FROM f"))
+def modal_fallback(spark, d):
+    return tabulate.modal_fallback(people(spark, d), "block", "tract", "race")
+
+
+@query(with_people(MODES + " SELECT block, CASE WHEN (mx = 1 AND gties = 1 AND gmx > 1) OR (ties > 1 AND gties = 1) THEN gmode WHEN ties = 1 THEN mode ELSE '1000' END AS guess FROM j"))
+def modal_guesser(spark, d):
+    return tabulate.modal_guess(people(spark, d), "block", "tract", "race", "1000")
+
+
+@query(with_people(""", c AS (SELECT block, race, count(*) AS n FROM pp GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY block ORDER BY n, race ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER (PARTITION BY block) AS tot FROM c)
+SELECT pid, pp.block, w.race AS guess FROM pp JOIN w ON pp.block = w.block AND r * tot >= (hi - n) * 1000003 AND r * tot < hi * 1000003"""))
+def prop_guesser(spark, d):
+    return tabulate.proportional_guess(people(spark, d), "block", "race", F.col("r") / 1000003, "pid")
+
+
+@query(with_people(MODES + FALL + f""", z AS (SELECT pp.*, coalesce(code, nat) AS modal, count(*) OVER (PARTITION BY pp.block, sex, age) AS a, count(*) OVER (PARTITION BY pp.block, sex, {BIN}) AS b, count(*) OVER (PARTITION BY pp.block, race) AS c FROM pp JOIN f ON f.block = pp.block)
+SELECT pid, block, CASE WHEN race = modal THEN 1 ELSE 0 END::BIGINT AS modalre, (age > 21)::BIGINT AS over21, (a = 1)::BIGINT AS sab_oneton, (b = 1)::BIGINT AS sabb_oneton, (c = 1)::BIGINT AS ber_oneton FROM z"""))
+def oneton_flags(spark, d):
+    p = people(spark, d)
+    x = tabulate.person_flags(p, "block", tabulate.modal_fallback(p, "block", "tract", "race"), "race", bins.age_bin(F.col("age")), "pid")
+    return longs(x, "modalre", "over21", "sab_oneton", "sabb_oneton", "ber_oneton")
+
+
+@query(with_people("SELECT state, county, tract, count(*)::BIGINT AS n, sum(sex)::BIGINT AS males, (CASE WHEN tract IS NOT NULL THEN 3 WHEN county IS NOT NULL THEN 2 WHEN state IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS depth FROM pp GROUP BY ROLLUP (state, county, tract)"))
+def rollup_spine(spark, d):
+    return longs(tabulate.spine_rollup(people(spark, d), ["state", "county", "tract"], {"n": F.count("*").cast("long"), "males": F.sum("sex").cast("long")}), "depth")
+
+
+@query(with_people("SELECT sex, hisp, count(*)::BIGINT AS n, grouping_id(sex, hisp)::BIGINT AS subset FROM pp GROUP BY CUBE (sex, hisp)"))
+def cube_class(spark, d):
+    return swap.evaluation(people(spark, d), ["sex", "hisp"])
+
+
+@query(with_people(", t AS (SELECT DISTINCT county FROM pp), a AS (SELECT unnest(range(0, 91)) AS age) SELECT county, a.age, coalesce(n, 0)::BIGINT AS n FROM t CROSS JOIN a LEFT JOIN (SELECT county, age, count(*) AS n FROM pp GROUP BY 1, 2) x USING (county, age)"))
+def reindex_domain(spark, d):
+    p = people(spark, d)
+    counts = p.groupBy("county", "age").agg(F.count("*").alias("n"))
+    return tabulate.reindexed(counts, [p.select("county").distinct(), spark.range(91).select(F.col("id").alias("age"))], ["n"])
+
+
+@query("SELECT l_suppkey, sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'N') AS n, sum(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1")
+def reshape_wide(spark, d):
+    x = table(spark, d, "lineitem").groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity"))
+    return x.select("l_suppkey", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, name, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME name VALUE value)")
+def melt_long(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return longs(x.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "name", "value"), "l_linenumber")
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ' + ' ORDER BY o_orderkey) AS sum FROM orders GROUP BY 1")
+def string_agg(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), " + ").alias("sum"))
+
+
+@query("SELECT * FROM (SELECT p_brand, n::BIGINT AS n, dense_rank() OVER (ORDER BY n DESC)::BIGINT AS place FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)) WHERE place <= 5")
+def topn_ties(spark, d):
+    n = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    # the counts that may appear are found first, so that no task ranks all groups
+    top = n.select("n").distinct().orderBy(F.desc("n")).limit(5).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"))).cast("long"))
+    return n.join(F.broadcast(top), "n").select("p_brand", "n", "place")
+
+
+LINE_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_extendedprice, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY {LINE_KEY} ROWS UNBOUNDED PRECEDING) AS running, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS demeaned,
+(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {LINE_KEY})) IS NULL AS last, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY {LINE_KEY}) AS before FROM lineitem""")
+def window_family(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_KEY.split(", "))
+    x = table(spark, d, "lineitem")
+    return longs(x.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.round(F.col("l_quantity") - F.avg("l_quantity").over(Window.partitionBy("l_orderkey")), 6).alias("demeaned"), F.lead("l_partkey").over(w).isNull().alias("last"), F.lag("l_quantity").over(w).alias("before")), "l_linenumber")
+
+
+@query(f"""WITH s AS (SELECT *, l_returnflag = 'R' AS sel FROM lineitem), t AS (SELECT *, CASE WHEN sel AND NOT coalesce(lag(sel) OVER (PARTITION BY l_suppkey ORDER BY {LINE_KEY}), false) THEN 1 ELSE 0 END AS st FROM s),
+u AS (SELECT *, sum(st) OVER (PARTITION BY l_suppkey ORDER BY {LINE_KEY} ROWS UNBOUNDED PRECEDING) AS rn FROM t) SELECT l_suppkey, rn::BIGINT AS run, count(*)::BIGINT AS n FROM u WHERE sel GROUP BY 1, 2""")
+def run_islands(spark, d):
+    x = table(spark, d, "lineitem").withColumn("sel", F.col("l_returnflag") == "R")
+    r = tabulate.runs(x, ["l_suppkey"], LINE_KEY.split(", "), "sel").where("run IS NOT NULL")
+    return r.groupBy("l_suppkey", "run").agg(F.max("place").cast("long").alias("n"))
+
+
+# set operations and status queries
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
+def anti_skip(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderkey % 5 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT c_nationkey::BIGINT AS k FROM customer INTERSECT SELECT s_nationkey::BIGINT FROM supplier")
+def intersect_ids(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("k")))
+
+
+@query("SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal, NULL::VARCHAR AS seg FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def append_missing(spark, d):
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("SELECT count(*)::BIGINT AS events, count(DISTINCT user_id)::BIGINT AS users, count(*) FILTER (value > 50)::BIGINT AS high, count(*) FILTER (event_type = 'click')::BIGINT AS clicks, (epoch(max(ts)) - epoch(min(ts)))::BIGINT AS span FROM events")
+def status_summary(spark, d):
+    e = table(spark, d, "events")
+    seconds = lambda f: f(F.unix_micros(F.col("ts").cast("timestamp")))
+    return e.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), tabulate.counted(F.col("value") > 50).alias("high"), tabulate.counted(F.col("event_type") == "click").alias("clicks"), F.round((seconds(F.max) - seconds(F.min)) / 1e6).cast("long").alias("span"))
+
+
+@query("SELECT user_id, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 3")
+def status_having(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def largest_first(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("SELECT d.doc_id, d.source, l.quality::BIGINT AS quality, l.doc_id IS NOT NULL AS merged FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def merge_indicator(spark, d):
+    lab = tabulate.assert_unique(table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"]).withColumn("_m", F.lit(True))
+    return longs(table(spark, d, "documents").select("doc_id", "source").join(lab, "doc_id", "left").select("doc_id", "source", "quality", F.coalesce("_m", F.lit(False)).alias("merged")), "quality")
+
+
+# metrics
+
+DIFF = """h AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), m AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+f AS (SELECT k, coalesce(h.n, 0) AS h, coalesce(m.n, 0) AS m FROM h FULL JOIN m USING (k)),
+e AS (SELECT *, m - h AS df, abs(m - h) AS ad, 100 * (CASE WHEN h = 0 AND m = 0 THEN 0.0::DOUBLE WHEN h = 0 THEN (m - h)::DOUBLE / ((h + m) / 2.0::DOUBLE) ELSE (m - h)::DOUBLE / h END) AS pd FROM f)"""
+
+
+def _pair(spark, d):
+    x = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "k")
+    part = lambda flag: x.where(F.col("l_returnflag") == flag).groupBy("k").agg(F.count("*").alias("n"))
+    return part("R"), part("A")
+
+
+@query(f"WITH {DIFF} SELECT k, h::BIGINT AS h, m::BIGINT AS m, df::BIGINT AS diff, ad::BIGINT AS abs_diff, round(pd, 6) AS perc_diff, round(abs(pd), 6) AS abs_perc_diff FROM e")
+def metric_diff(spark, d):
+    return doubles(metrics.differences(*_pair(spark, d), ["k"]), "perc_diff", "abs_perc_diff")
+
+
+def _stats_sql(by: str = "") -> str:
+    q = lambda x, p: f"round(quantile_cont({x}::DOUBLE, {p}), 6)"
+    cols = ["count(*)::DOUBLE AS n", "min(df)::DOUBLE AS min_diff", "round(avg(df), 6) AS mean_diff", f"{q('df', .5)} AS median_diff", "max(df)::DOUBLE AS max_diff", "round(avg(ad), 6) AS mae", f"{q('ad', .5)} AS median_abs", f"{q('ad', .9)} AS p90_abs", f"{q('ad', .95)} AS p95_abs", "max(ad)::DOUBLE AS max_abs", "round(sqrt(avg(df * df)), 6) AS rmse", "round(100 * sqrt(avg(df * df)) / nullif(avg(h), 0), 6) AS cv", "round(avg(h), 6) AS mean_h", "round(avg(m), 6) AS mean_m", "round(min(pd), 6) AS min_perc", "round(avg(pd), 6) AS mean_perc", f"{q('pd', .5)} AS median_perc", "round(max(pd), 6) AS max_perc", "round(avg(abs(pd)), 6) AS mape", f"{q('abs(pd)', .5)} AS median_abs_perc", f"{q('abs(pd)', .9)} AS p90_abs_perc", f"{q('abs(pd)', .95)} AS p95_abs_perc", "round(max(abs(pd)), 6) AS max_abs_perc", "count(*) FILTER (abs(pd) BETWEEN 2 AND 5)::BIGINT AS n_2_to_5", "count(*) FILTER (abs(pd) > 5)::BIGINT AS n_over_5", "count(*) FILTER (abs(pd) > 10)::BIGINT AS n_over_10", "count(*) FILTER (ad > 200)::BIGINT AS n_over_200"]
+    return f"SELECT {by + ', ' if by else ''}{', '.join(cols)} FROM e" + (" GROUP BY ALL" if by else "")
+
+
+@query(f"WITH {DIFF} {_stats_sql()}")
+def metric_summary(spark, d):
+    return metrics.summary(metrics.differences(*_pair(spark, d), ["k"]))
+
+
+@query(f"WITH {DIFF} {_stats_sql(chr(67) + 'ASE WHEN h < 150 THEN 0 WHEN h < 200 THEN 150 ELSE 200 END::BIGINT AS size_class')}")
+def metric_by_size(spark, d):
+    x = metrics.differences(*_pair(spark, d), ["k"]).withColumn("size_class", bins.left_closed(F.col("h"), (0, 150, 200)).cast("long"))
+    return metrics.summary(x, ["size_class"])
+
+
+def _cell_sql(name: str, keys: str, where: str = "true", size: str = "'all'") -> str:
+    return f"(WITH h AS (SELECT {keys}, count(*) AS n FROM l WHERE {where} GROUP BY ALL), m AS (SELECT {keys}, count(*) AS n FROM g WHERE {where} GROUP BY ALL), f AS (SELECT coalesce(h.n, 0) AS h, coalesce(m.n, 0) AS m FROM h FULL JOIN m USING ({keys})), e AS (SELECT *, m - h AS df, abs(m - h) AS ad, 100 * (CASE WHEN h = 0 AND m = 0 THEN 0.0::DOUBLE WHEN h = 0 THEN (m - h)::DOUBLE / ((h + m) / 2.0::DOUBLE) ELSE (m - h)::DOUBLE / h END) AS pd FROM f) SELECT '{name}' AS metric, * FROM ({_stats_sql(size + ' AS size_class')}))"
+
+
+SIZED = "CASE WHEN h < 250 THEN '0' WHEN h < 300 THEN '250' ELSE '300' END"
+
+
+@query(with_people(" UNION ALL ".join([_cell_sql("county population", "county", size=SIZED), _cell_sql("tract population", "tract"), _cell_sql("tract adults", "tract", "age >= 18"), _cell_sql("county by sex", "county, sex"), _cell_sql("county hispanic by race", "county, race", "hisp = 1")])))
+def metric_catalogue(spark, d):
+    p = people(spark, d)
+    cube = lambda side: p.where(F.col("side") == side).groupBy("county", "tract", "sex", "age", "hisp", "race").agg(F.count("*").alias("n"))
+    specs = [
+        {"name": "county population", "geo": ["county"], "size": lambda h: bins.left_closed(h, (0, 250, 300))}, {"name": "tract population", "geo": ["tract"]}, {"name": "tract adults", "geo": ["tract"], "where": "age >= 18"},
+        {"name": "county by sex", "geo": ["county"], "by": ["sex"]}, {"name": "county hispanic by race", "geo": ["county"], "by": ["race"], "where": "hisp = 1"},
+    ]
+    return metrics.metric_cells(cube(0), cube(1), specs)
+
+
+@query(with_people(", s AS (SELECT county, age, row_number() OVER (PARTITION BY county ORDER BY age) - 1 AS i, count(*) OVER (PARTITION BY county) AS n FROM pp), t AS (SELECT county, age, n FROM s WHERE i = n // 2) SELECT t.county, round(t.age + (t.n / 2.0 - (SELECT count(*) FROM pp x WHERE x.county = t.county AND x.age < t.age)) / (SELECT count(*) FROM pp x WHERE x.county = t.county AND x.age = t.age), 6)::DOUBLE AS median, t.n::BIGINT AS n FROM t"))
+def grouped_median(spark, d):
+    return metrics.grouped_median(people(spark, d), ["county"], "age")
+
+
+@query(with_people("SELECT tract, round(100.0::DOUBLE * count(*) FILTER (sex = 1) / nullif(count(*) FILTER (sex = 0), 0), 6) AS sex_ratio FROM pp GROUP BY 1"))
+def sex_ratio(spark, d):
+    return metrics.sex_ratio(people(spark, d), ["tract"])
+
+
+@query(with_people(", h AS (SELECT state, county, count(*) AS n FROM l GROUP BY 1, 2), m AS (SELECT state, county, count(*) AS n FROM g GROUP BY 1, 2), f AS (SELECT state, county, coalesce(h.n, 0) AS h, coalesce(m.n, 0) AS m FROM h FULL JOIN m USING (state, county)) SELECT state, round(sum(abs(h / th - m / tm)), 6) AS taes FROM f JOIN (SELECT state, sum(h)::DOUBLE AS th, sum(m)::DOUBLE AS tm FROM f GROUP BY 1) USING (state) GROUP BY 1"))
+def taes(spark, d):
+    p = people(spark, d)
+    part = lambda s: p.where(F.col("side") == s).groupBy("state", "county").agg(F.count("*").alias("n"))
+    return metrics.share_error(part(0), part(1), ["state", "county"], ["state"])
+
+
+@query(f"WITH {DIFF} SELECT count(*) FILTER (h >= 150 AND m < 150)::BIGINT AS fell, count(*) FILTER (h < 150 AND m >= 150)::BIGINT AS rose, count(*) FILTER (m < h)::BIGINT AS below, count(*) FILTER (m = h)::BIGINT AS same FROM e")
+def cross_threshold(spark, d):
+    return metrics.crossings(metrics.differences(*_pair(spark, d), ["k"]), 150)
+
+
+@query(with_people("SELECT block, count(*)::BIGINT AS n, (count(*) FILTER (age < 5) >= 5 AND count(*) FILTER (sex = 0 AND age BETWEEN 18 AND 44) = 0)::BIGINT AS children_no_women, (count(*) >= 5 AND count(DISTINCT sex) = 1)::BIGINT AS one_sex, (count(*) FILTER (age < 18) = count(*))::BIGINT AS all_under_18, (count(*) FILTER (age < 18) > 200 AND count(DISTINCT CASE WHEN age < 18 THEN age END) < 18)::BIGINT AS missing_year FROM pp GROUP BY block"))
+def implausible_units(spark, d):
+    return longs(metrics.implausible(people(spark, d), ["block"]), "children_no_women", "one_sex", "all_under_18", "missing_year")
+
+
+@query()
+def impl_median_gap(spark, d):
+    return metrics.median_gap(people(spark, d), ["tract"], gap=3)
+
+
+@query(with_people(", c AS (SELECT state, county, tract, block, count(*) AS n, grouping_id(state, county, tract, block) AS g FROM pp GROUP BY ROLLUP (state, county, tract, block)), d AS (SELECT CASE g WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 7 THEN 1 ELSE 0 END::BIGINT AS depth, count(*)::BIGINT AS units, count(*) FILTER (n < 15)::BIGINT AS suppressed FROM c GROUP BY 1) SELECT *, round_even(100.0::DOUBLE * suppressed / units, 1) AS percent FROM d"))
+def suppress_geo(spark, d):
+    return longs(metrics.suppressed_units(people(spark, d), ["state", "county", "tract", "block"]), "depth")
+
+
+@query(with_people(", c AS (SELECT tract, race, count(*) AS n FROM pp GROUP BY 1, 2) SELECT (count(DISTINCT tract) * count(DISTINCT race))::BIGINT AS cells, count(*) FILTER (n < 3)::BIGINT AS suppressed, round_even(100.0::DOUBLE * count(*) FILTER (n < 3) / (count(DISTINCT tract) * count(DISTINCT race)), 1) AS percent FROM c"))
+def suppress_cells(spark, d):
+    return metrics.suppressed_cells(people(spark, d), ["tract"], ["race"])
+
+
+@query(with_people(", c AS (SELECT tract, min(n) AS lo FROM (SELECT tract, race, count(*) AS n FROM pp GROUP BY 1, 2) GROUP BY 1), a AS (SELECT DISTINCT tract FROM pp WHERE age >= 18) SELECT count(*)::BIGINT AS tables, count(*) FILTER (lo < 15)::BIGINT AS suppressed, round_even(100.0::DOUBLE * count(*) FILTER (lo < 15) / count(*), 1) AS percent FROM a JOIN c USING (tract)"))
+def suppress_tables(spark, d):
+    return metrics.suppressed_tables(people(spark, d), ["tract"], ["race"], F.col("age") >= 18)
+
+
+# distances and variability
+
+HIST = """a AS (SELECT l_suppkey AS k, l_quantity::BIGINT AS age, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), b AS (SELECT l_suppkey AS k, l_quantity::BIGINT AS age, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), f AS (SELECT k, age, coalesce(a.n, 0) AS h, coalesce(b.n, 0) AS m FROM a FULL JOIN b USING (k, age))"""
+
+
+def _hists(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").cast("long").alias("age"), "l_returnflag")
+    return tuple(metrics.histogram(x.where(F.col("l_returnflag") == f), ["k", "age"]) for f in "RA")
+
+
+@query(f"WITH {HIST} SELECT k, sum(abs(h - m))::BIGINT AS l1 FROM f GROUP BY k")
+def hist_l1(spark, d):
+    return metrics.l1(*_hists(spark, d), ["k", "age"], ["k"])
+
+
+@query(f"WITH {HIST}, g AS (SELECT unnest(range(0, 111)) AS age), z AS (SELECT u.k, g.age, coalesce(h, 0) AS h, coalesce(m, 0) AS m FROM (SELECT DISTINCT k FROM f) u CROSS JOIN g LEFT JOIN f ON f.k = u.k AND f.age = g.age) SELECT k, sum(abs(p))::BIGINT AS emd FROM (SELECT k, sum(m - h) OVER (PARTITION BY k ORDER BY age) AS p FROM z) GROUP BY k")
+def hist_emd(spark, d):
+    return metrics.earth_mover(*_hists(spark, d), ["k"], "age")
+
+
+@query(f"WITH {HIST}, s AS (SELECT k, sum(h)::DOUBLE AS th, sum(m)::DOUBLE AS tm FROM f GROUP BY k), z AS (SELECT k, h / th AS p, m / tm AS q FROM f JOIN s USING (k) WHERE th > 0 AND tm > 0) SELECT k, round(sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)) / 2)), 6) AS js FROM z GROUP BY k")
+def hist_js(spark, d):
+    return metrics.jensen_shannon(*_hists(spark, d), ["k", "age"], ["k"])
+
+
+@query("WITH q AS (SELECT quantile_cont(c_acctbal, [0.25, 0.5, 0.75, 0.9]) AS p FROM customer WHERE c_acctbal > 0) SELECT c_custkey, CASE WHEN c_acctbal = 0 THEN 0 WHEN c_acctbal > 0 THEN 1 + (c_acctbal > p[1])::INT + (c_acctbal > p[2])::INT + (c_acctbal > p[3])::INT + (c_acctbal > p[4])::INT END::BIGINT AS class FROM customer, q")
+def solvar_bins(spark, d):
+    x = tabulate.percentile_classes(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+    return longs(x.select("c_custkey", "class"), "class")
+
+
+@query("WITH r AS (SELECT p_size::BIGINT AS v, 100.0::DOUBLE * row_number() OVER (ORDER BY p_size, p_partkey) / count(*) OVER () AS p FROM part), b AS (SELECT least(floor(p / 5) * 5, 95)::BIGINT AS bin, count(*)::BIGINT AS n, sum(v)::BIGINT AS value_sum, (count(*) * 3)::BIGINT AS pop_sum FROM r GROUP BY 1) SELECT *, round(100.0::DOUBLE * sum(value_sum) OVER (ORDER BY bin) / (2 * sum(pop_sum) OVER ()), 6) AS cum_percent FROM b")
+def solvar_qtile(spark, d):
+    x = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("v"), F.lit(3).cast("long").alias("pop"))
+    return longs(tabulate.quantile_table(x, "v", "pop", ["p_partkey"]), "value_sum")
+
+
+@query(with_people("SELECT tract, round(count(*) FILTER (age > 60)::DOUBLE / nullif(2 * count(*) FILTER (sex = 1), 0), 6) AS siv, CASE WHEN count(*) FILTER (age > 60) = 0 THEN '0' ELSE '>0' END AS label FROM pp GROUP BY 1"))
+def scaled_variability(spark, d):
+    x = people(spark, d).groupBy("tract").agg(tabulate.counted(F.col("age") > 60).alias("iv"), tabulate.counted(F.col("sex") == 1).alias("pop"))
+    return x.select("tract", F.round(F.try_divide(F.col("iv").cast("double"), F.col("pop") * 2), 6).alias("siv"), F.when(F.col("iv") == 0, "0").when(F.col("iv") > 0, ">0").otherwise("NA").alias("label"))
+
+
+# commercial quality, swap
+
+COM = "com AS (SELECT block, CASE WHEN pid % 11 = 0 THEN NULL ELSE pik END AS pik, CASE WHEN pid % 7 = 0 THEN NULL ELSE age END AS age, sex FROM l)"
+
+
+@query(with_people(f", {COM}, t AS (SELECT block, pik, age AS ta, sex AS ts FROM q WHERE keep = 1), r AS (SELECT block, count(*) AS n, count(pik) AS hb, count(*) FILTER (pik IS NOT NULL AND age IS NOT NULL) AS ha FROM com GROUP BY 1), j AS (SELECT com.block, count(*) AS bp, count(*) FILTER (age = ta AND sex = ts) AS bpas, count(*) FILTER (age IS NOT NULL AND {agebin_sql('age')} = {agebin_sql('ta')} AND sex = ts) AS bpabs FROM com JOIN t USING (block, pik) GROUP BY 1) SELECT block, coalesce(n, 0)::BIGINT AS rows, coalesce(hb, 0)::BIGINT AS has_bp, coalesce(ha, 0)::BIGINT AS has_bpas, coalesce(bp, 0)::BIGINT AS bp, coalesce(bpas, 0)::BIGINT AS bpas, coalesce(bpabs, 0)::BIGINT AS bpabs FROM r FULL JOIN j USING (block)"))
+def bpas_quality(spark, d):
+    a, b = left_right(spark, d)
+    com = a.select("block", F.when(F.col("pid") % 11 != 0, F.col("pik")).alias("pik"), F.when(F.col("pid") % 7 != 0, F.col("age")).alias("age"), "sex")
+    return metrics.commercial_quality(com, b.where("keep = 1"), "block", bins.age_bin)
+
+
+HOUSE = "hh AS (SELECT c_custkey AS hid, c_nationkey::BIGINT AS area, count(o_orderkey)::BIGINT AS size, (c_custkey * 7919) % 1000003 AS draw FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)"
+
+
+def _households(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_custkey").alias("hid"), F.col("c_nationkey").cast("long").alias("area")).agg(F.count("o_orderkey").alias("size")).withColumn("draw", (F.col("hid") * 7919) % 1000003)
+
+
+@query(f"WITH {HOUSE} SELECT hid, CASE WHEN draw / 1000003.0 > 0.5 AND draw / 1000003.0 <= 0.75 THEN size - 1 WHEN draw / 1000003.0 > 0.75 THEN size + 1 ELSE size END::BIGINT AS key FROM hh")
+def swap_noisy_key(spark, d):
+    return _households(spark, d).select("hid", swap.noisy_key(F.col("size"), F.col("draw") / 1000003, (0.5, 0.75)).alias("key"))
+
+
+@query(f"WITH {HOUSE}, a AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY hid) AS rn FROM hh), b AS (SELECT area, size, row_number() OVER (PARTITION BY area ORDER BY draw, hid) AS rn FROM hh) SELECT a.hid, a.area, b.size AS moved FROM a JOIN b USING (area, rn)")
+def shuffle_merge(spark, d):
+    return swap.shuffled(_households(spark, d), "size", ["area"], ["hid"], "draw", "moved").select("hid", "area", "moved")
+
+
+PAIRS = f"{HOUSE}, s AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY draw, hid) AS rn, lead(hid) OVER (PARTITION BY size ORDER BY draw, hid) AS nx FROM hh), pr AS (SELECT size, hid AS a, nx AS b FROM s WHERE rn % 2 = 1 AND nx IS NOT NULL)"
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pr")
+def pair_adjacent(spark, d):
+    return swap.adjacent_pairs(_households(spark, d), ["size"], ["draw", "hid"], "hid")
+
+
+@query(f"WITH {PAIRS}, e AS (SELECT a AS hid, b AS other FROM pr UNION ALL SELECT b, a FROM pr) SELECT hh.hid, coalesce(o.area, hh.area) AS area, hh.size, hh.draw, (e.other IS NOT NULL)::BIGINT AS swapped FROM hh LEFT JOIN e USING (hid) LEFT JOIN hh o ON o.hid = e.other")
+def swap_exchange(spark, d):
+    h = _households(spark, d)
+    return longs(swap.exchange(h, swap.adjacent_pairs(h, ["size"], ["draw", "hid"], "hid"), "hid", ["area"]), "swapped")
+
+
+@query(f"WITH {PAIRS}, e AS (SELECT a AS hid, b AS other FROM pr UNION ALL SELECT b, a FROM pr), sw AS (SELECT hh.hid, coalesce(o.area, hh.area) AS area FROM hh LEFT JOIN e USING (hid) LEFT JOIN hh o ON o.hid = e.other) SELECT o_orderkey, sw.hid, sw.area FROM orders JOIN sw ON o_custkey = hid")
+def swap_follow(spark, d):
+    h = _households(spark, d)
+    moved = swap.exchange(h, swap.adjacent_pairs(h, ["size"], ["draw", "hid"], "hid"), "hid", ["area"])
+    p = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("hid"), F.lit(None).cast("long").alias("area"))
+    return swap.follow(p, moved, "hid", ["area"])
+
+
+@query()
+def swap_runs(spark, d):
+    """Pairs inside runs of selected neighbours, by the hash-selected half of the households."""
+    h = swap.selected(_households(spark, d), 0.5, ["hid"])
+    return swap.runs_paired(h, ["size"], ["draw", "hid"], "selected", "hid")
+
+
+@query()
+def swap_pseudo_area(spark, d):
+    h = _households(spark, d).withColumns({"u": F.col("draw") / 1000003, "state": F.col("area").cast("int") % 5})
+    return swap.pseudo_area(h, "hid", ["area"], ["state"], ["hid"], "u", swap.SETTINGS["HI"]["shares"], "pseudo").select("hid", "area", "pseudo")
+
+
+# constraint models, parsing
+
+LP_CELLS = "cells AS (SELECT n_nationkey::BIGINT AS nk, lpad(n_nationkey::VARCHAR, 15, '0') AS geo, n_nationkey % 4 AS value, n_nationkey % 30 AS lo FROM nation)"
+
+
+def _cells(spark, d):
+    n = table(spark, d, "nation")
+    two = lambda: F.array(F.lit("N"), F.lit("Y"))
+    lo = (F.col("n_nationkey") % 30).cast("int")
+    return n.select(F.lpad(F.col("n_nationkey").cast("string"), 15, "0").alias("geo"), F.concat(F.lit("P12_"), F.col("n_nationkey").cast("string")).alias("cell"), (F.col("n_nationkey") % 4).alias("value"), F.array(F.lit(0), F.lit(1)).alias("sex"), F.sequence(lo, lo + 2).alias("age"), two().alias("white"), two().alias("black"))
+
+
+LP_VARS = f"{LP_CELLS}, v AS (SELECT geo, 'P12_' || nk AS cell, p.i AS person, s.i AS sex, lo + a.i AS age, w.f AS white, b.f AS black, 'C_' || geo || '_P12_' || nk || '_' || p.i || '_' || s.i || '_' || (lo + a.i) || '_' || w.f || '_' || b.f AS variable FROM cells, range(0, 3) p(i), range(0, 2) s(i), range(0, 3) a(i), (VALUES ('N'), ('Y')) w(f), (VALUES ('N'), ('Y')) b(f) WHERE p.i < value AND (w.f = 'Y' OR b.f = 'Y'))"
+ATTRS = ("sex", "age", "white", "black")
+
+
+@query(f"WITH {LP_VARS} SELECT geo, cell, person::BIGINT AS person, sex::BIGINT AS sex, age::BIGINT AS age, white, black, variable FROM v")
+def lp_variables(spark, d):
+    return longs(models.variables(_cells(spark, d), ATTRS, ("white", "black")), "person", "sex", "age")
+
+
+@query(f"WITH {LP_VARS} SELECT v.geo, '_C_P12_' || nk || '_' || v.geo || '_1: ' || string_agg(variable, ' + ' ORDER BY variable) || ' = ' || any_value(value) AS line, 1::BIGINT AS place FROM v JOIN cells USING (geo) GROUP BY v.geo, nk")
+def lp_constraints(spark, d):
+    c = _cells(spark, d)
+    v = models.variables(c, ATTRS, ("white", "black"))
+    return longs(models.constraints(c, models.terms(c, v, ATTRS)), "place")
+
+
+@query("WITH f AS (SELECT unnest(['N', 'Y']) AS x) SELECT a.x || b.x || c.x || d.x || e.x || g.x AS combo FROM f a, f b, f c, f d, f e, f g WHERE length(replace(a.x || b.x || c.x || d.x || e.x || g.x, 'N', '')) >= 2")
+def lp_two_plus_race(spark, d):
+    return spark.createDataFrame([("".join(c),) for c in models.two_or_more()], "combo string")
+
+
+@query(f"WITH {LP_VARS} SELECT '_C_P12_' || nk || '_' || v.geo || '_1' AS constraint, variable FROM v JOIN cells USING (geo)")
+def lp_parse(spark, d):
+    c = _cells(spark, d)
+    lines = models.constraints(c, models.terms(c, models.variables(c, ATTRS, ("white", "black")), ATTRS))
+    return models.parsed_lp(lines)[1]
+
+
+def _small_models(spark, d):
+    """A cell of one person of either age and sex, with a published number of males."""
+    n = table(spark, d, "nation").where("n_nationkey < 10")
+    geo = F.lpad(F.col("n_nationkey").cast("string"), 15, "0")
+    people_ = n.withColumns({"person": F.explode(F.array(F.lit(0), F.lit(1))), "sex": F.explode(F.array(F.lit(0), F.lit(1))), "age": F.explode(F.array(F.lit(20), F.lit(21)))})
+    v = people_.select(geo.alias("geo"), F.concat_ws("_", F.lit("C"), geo, F.lit("x"), F.lit("20"), F.col("person").cast("string"), F.col("sex").cast("string"), F.col("age").cast("string")).alias("variable"), "person", "sex", (F.col("n_nationkey") % 3).alias("males"))
+    one = v.select("geo", F.concat(F.lit("person"), F.col("person").cast("string")).alias("constraint"), "variable", F.lit("=").alias("sense"), F.lit(1.0).alias("rhs"))
+    males = v.where("sex = 1").select("geo", F.lit("males").alias("constraint"), "variable", F.lit("=").alias("sense"), F.col("males").cast("double").alias("rhs"))
+    return one.unionByName(males)
+
+
+@query("SELECT lpad(n_nationkey::VARCHAR, 15, '0') AS geo, 'OPTIMAL' AS status, 2::BIGINT AS people, (n_nationkey % 3)::BIGINT AS males FROM nation WHERE n_nationkey < 10")
+def model_solved(spark, d):
+    x = models.solved(_small_models(spark, d)).where("value = 1")
+    return x.groupBy("geo", "status").agg(F.count("*").alias("people"), tabulate.counted(F.split("variable", "_")[5] == "1").alias("males"))
+
+
+@query("SELECT lpad(n_nationkey::VARCHAR, 15, '0') AS geo, CASE WHEN n_nationkey % 3 = 1 THEN 8 ELSE 4 END::BIGINT AS solutions, 4.0::DOUBLE AS l1 FROM nation WHERE n_nationkey < 10")
+def model_variability(spark, d):
+    return models.variability(_small_models(spark, d)).select("geo", "solutions", "l1")
+
+
+@query("SELECT lpad((c_custkey % 1000)::VARCHAR, 11, '0') AS geoid_tract, rpad(lpad((c_custkey % 1000)::VARCHAR, 11, '0'), 15, '1') AS geoid_block, (c_custkey % 2)::VARCHAR AS sex, (c_custkey % 90)::BIGINT AS age, CASE WHEN c_custkey % 3 = 0 THEN 'Y' ELSE 'N' END AS white FROM customer WHERE c_custkey % 5 <> 0")
+def sol_to_microdata(spark, d):
+    x = table(spark, d, "customer")
+    tract = F.lpad((F.col("c_custkey") % 1000).cast("string"), 11, "0")
+    white = F.when(F.col("c_custkey") % 3 == 0, "Y").otherwise("N")
+    name = F.concat_ws("_", F.lit("C"), F.rpad(tract, 15, "1"), (F.col("c_custkey") % 2).cast("string"), F.lit("22"), F.lit("0"), (F.col("c_custkey") % 2).cast("string"), (F.col("c_custkey") % 90).cast("string"), white, *[F.lit("N")] * 6)
+    lines = x.select(F.concat(name, F.lit(" "), F.when(F.col("c_custkey") % 5 == 0, "-0.0").otherwise("0.99999")).alias("line"))
+    return longs(models.microdata(lines).select("geoid_tract", "geoid_block", "sex", "age", "white"), "age")
+
+
+@query("SELECT lpad(c_custkey::VARCHAR, 15, '0') AS block, (c_custkey % 7)::DOUBLE AS pop FROM customer")
+def lp_populations(spark, d):
+    x = table(spark, d, "customer")
+    lines = x.select(F.concat(F.lit("_C_P0010001_"), F.lpad(F.col("c_custkey").cast("string"), 15, "0"), F.lit("_1: C_x + C_y = "), (F.col("c_custkey") % 7).cast("string")).alias("line"), F.lit(2).alias("n"))
+    old = lines.withColumns({"line": F.regexp_replace("line", r"= \d+", "= 99"), "n": F.lit(1)})
+    return models.populations(lines.unionByName(old))
+
+
+@query("SELECT (p_partkey)::BIGINT AS rec, p_brand AS brand, p_size::BIGINT AS size, p_size % 2 = 0 AS even FROM part")
+def fixed_width_scan(spark, d):
+    line = F.concat(F.lpad(F.col("p_partkey").cast("string"), 10, " "), F.rpad("p_brand", 12, " "), F.lpad(F.col("p_size").cast("string"), 4, "0"))
+    x = readers.fixed_width(table(spark, d, "part").select(line.alias("value")), [("rec", 1, 10, "bigint"), ("brand", 11, 12, "string"), ("size", 23, 4, "bigint")])
+    return x.withColumn("even", F.col("size") % 2 == 0)
+
+
+@query("SELECT n_nationkey::BIGINT AS rec, n_name AS name, (n_regionkey)::BIGINT AS a, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE NULL END::BIGINT AS b FROM nation")
+def sf1_segments_join(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("rec"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("a"))
+    return readers.segments_joined(n.select("rec", "name"), [n.select("rec", "a"), n.where("rec % 2 = 0").select("rec", F.col("rec").alias("b"))], ["rec"])
+
+
+@query("SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN event_id END)::VARCHAR AS last_purchase FROM events GROUP BY 1")
+def log_last_match(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.concat("event_type", F.lit(" id "), F.col("event_id").cast("string")).alias("line"))
+    return readers.solver_log(e, ["user_id"], "event_id", patterns={"last_purchase": r"^purchase id (\d+)$"})
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.5::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer")
+def overlay_update(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return writers.overlay(c, c.where("c_custkey % 3 = 0").select("c_custkey", F.lit(0.5).alias("c_acctbal")), ["c_custkey"])
+
+
+@query("WITH o AS (SELECT c_custkey AS p, CASE WHEN c_custkey % 10 = 1 THEN 'm' || c_custkey ELSE 'd' || c_custkey END AS x FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT CASE WHEN c_custkey % 10 = 1 THEN c_custkey + 1000000 ELSE c_custkey END AS p, CASE WHEN c_custkey % 10 = 1 THEN 'm' || c_custkey WHEN c_custkey % 5 = 0 THEN 'e' || c_custkey ELSE 'd' || c_custkey END AS x FROM customer WHERE c_custkey % 6 <> 0), f AS (SELECT p, o.x AS a, n.x AS b FROM o FULL JOIN n USING (p)) SELECT p, CASE WHEN a IS NULL THEN CASE WHEN b IN (SELECT a FROM f WHERE b IS NULL) THEN 'renamed to' ELSE 'new' END WHEN b IS NULL THEN CASE WHEN a IN (SELECT b FROM f WHERE a IS NULL) THEN 'renamed from' ELSE 'deleted' END WHEN a = b THEN 'same' ELSE 'changed' END AS change FROM f")
+def snapshot_diff(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey")
+    text = lambda s: F.concat(F.lit(s), k.cast("string"))
+    old = c.where("c_custkey % 7 <> 0").select(k.alias("p"), F.when(k % 10 == 1, text("m")).otherwise(text("d")).alias("x"))
+    new = c.where("c_custkey % 6 <> 0").select(F.when(k % 10 == 1, k + 1000000).otherwise(k).alias("p"), F.when(k % 10 == 1, text("m")).when(k % 5 == 0, text("e")).otherwise(text("d")).alias("x"))
+    return writers.snapshot_difference(old, new, "p", "x")
+
+
+@query("SELECT md5(text) AS digest, count(*)::BIGINT AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark, d):
+    return table(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
+
+
+@query("SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def date_histogram(spark, d):
+    return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
