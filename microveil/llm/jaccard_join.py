@@ -43,7 +43,8 @@ BLOCKS = 256
 SEEN_BITS = 25
 #: Shingles of the documents that meet in one block of a pivot, about.
 BLOCK_SHINGLES = 500_000
-LONGEST = 8
+#: Bounds of l, as far as the sets are large enough.
+LEAST, LONGEST = 12, 16
 SLOTS = 1 << 19
 
 
@@ -106,6 +107,10 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _sql_needed(n: str, percent: int) -> str:
+    return f"(({percent} * {n} + 99) div 100)"
+
+
 def _prefixes(k: int, percent: int, ranks, base: float):
     names = ["id", "n", "l", "size", "last", "prefix"]
 
@@ -122,11 +127,11 @@ def _prefixes(k: int, percent: int, ranks, base: float):
                 key = np.sort((r.astype(np.uint64) << np.uint64(56)) | (s & np.uint64((1 << 56) - 1)))
                 need = _needed(n, percent)
                 short = n - need
-                most = min(LONGEST, need)
+                least, most = min(LEAST, need), min(LONGEST, need)
                 load = np.maximum(1.0, 2.0 ** ((key[: short + most] >> np.uint64(56)).astype(float) / 2) - base).cumsum()[short:]
                 # filtering touches every posting; verification costs the sets of those that match l times
                 cost = load + load / np.arange(1, most + 1) * (0.05 * n)
-                l = int(cost.argmin()) + 1
+                l = int(cost[least - 1 :].argmin()) + least
                 size = short + l
                 for col, v in zip(out, (ids[i], n, l, size, int(key[size - 1]), key[:size].astype(np.int64)), strict=True):
                     col.append(v)
@@ -272,7 +277,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     mine = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("token", "p"))).alias("x"))
     mine = cut(mine.join(prefix.drop("prefix"), "id"))
     mine = mine.withColumn("pivots", F.array_sort(F.array_distinct("x.p"))).withColumns({"tokens": F.expr("transform(x.token, y -> hash(y))"), "at": F.expr("transform(x.p, y -> cast(array_position(pivots, y) as int))")})
-    met = mine.withColumn("p", F.explode("pivots"))
+    # the matches of a pair that meets at its smallest common pivot p have pivots of p or more, and no partner asks for fewer than this
+    fewest = F.expr(f"least(l, {LEAST}, {_sql_needed(_sql_needed('n', percent), percent)})")
+    mine = mine.withColumn("few", fewest)
+    met = mine.withColumn("p", F.explode(F.expr("filter(pivots, p -> size(filter(x.p, y -> y >= p)) >= few)")))
     weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("tokens")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
     met = met.join(weight, "p").withColumn("c", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     # a block holds the documents of chunks a <= b; where they differ, only pairs across them count
