@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from microveil.functions import bins, recode
-from microveil.operators import linkage, metrics, models, swap, tabulate
+from microveil.operators import linkage, metrics, models, reports, swap, tabulate
 from microveil.plans.views import PEOPLE_SQL, agebin_sql, left_right, people, table
 from microveil.sources import readers, writers
 
@@ -689,3 +689,87 @@ def duplicate_groups(spark, d):
 @query("SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def date_histogram(spark, d):
     return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+# reports and listings
+
+CELLS = [(sx, lo, hi, rc) for sx in (0, 1) for lo, hi in ((0, 17), (18, 64), (65, 200)) for rc in ("white", "black", "asian")]
+
+
+@query(with_people("SELECT county, " + ", ".join(f"count(*) FILTER (sex = {sx} AND age BETWEEN {lo} AND {hi} AND {rc} = 1)::BIGINT AS s{sx}_a{lo}_{rc}" for sx, lo, hi, rc in CELLS) + " FROM pp GROUP BY county"))
+def indicator_columns(spark, d):
+    dims = {"sex": {f"s{x}": F.col("sex") == x for x in (0, 1)}, "age": {f"a{lo}": F.col("age").between(lo, hi) for lo, hi in ((0, 17), (18, 64), (65, 200))}, "race": {r: F.col(r) == 1 for r in ("white", "black", "asian")}}
+    return reports.indicator_sums(people(spark, d), ["county"], dims)
+
+
+def _linked(spark, d):
+    a, b = left_right(spark, d)
+    put = linkage.putative(a, b, ["block"], "r", left_id="pid", right_id="pid")
+    attached = a.drop("pik").join(put.select(F.col("left_id").alias("pid"), "pik"), "pid")
+    return a, put, linkage.confirm(attached, b.where("keep = 1"), ["block"], ("white", "black", "asian", "hisp"), "pid", "pid")
+
+
+@query(PUTATIVE + f", att AS {ATTACHED}, tru AS {TRUTH}, c1 AS {C1}, c2 AS {C2}, cf AS (SELECT left_id FROM c1 UNION ALL SELECT left_id FROM c2) SELECT county, count(*)::BIGINT AS pop, count(put.left_id)::BIGINT AS put, count(cf.left_id)::BIGINT AS conf, round(count(put.left_id)::DOUBLE / count(*), 6) AS put_rate, round(count(cf.left_id)::DOUBLE / count(*), 6) AS conf_rate, round(count(cf.left_id)::DOUBLE / nullif(count(put.left_id), 0), 6) AS precision FROM l LEFT JOIN put ON put.left_id = l.pid LEFT JOIN cf ON cf.left_id = l.pid GROUP BY county")
+def reid_rates(spark, d):
+    a, put, conf = _linked(spark, d)
+    return reports.match_rates(a, put, conf, ["county"], "pid")
+
+
+@query(with_people("SELECT sum(n)::BIGINT AS rows, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS repeated, round(100.0::DOUBLE * sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS percent FROM (SELECT block, sex, age, count(*) AS n FROM pp GROUP BY ALL)"))
+def duplicate_share(spark, d):
+    return reports.duplicate_share(people(spark, d), ["block", "sex", "age"], "repeated")
+
+
+@query(with_people("SELECT coalesce(state, 'Total') AS state, sum(sex)::BIGINT AS sex, sum(hisp)::BIGINT AS hisp FROM pp GROUP BY ROLLUP (state)"))
+def totals_row(spark, d):
+    return reports.with_totals(people(spark, d), "state", ["sex", "hisp"])
+
+
+@query("WITH x AS (SELECT DISTINCT unnest(string_split(replace(c_mktsegment || '/' || (c_custkey % 50), ' ', '/'), '/')) AS part FROM customer) SELECT part, format('P{:07d}', row_number() OVER (ORDER BY part)) AS code FROM x WHERE part <> ''")
+def pseudonym_codes(spark, d):
+    paths = table(spark, d, "customer").select(F.replace(F.concat("c_mktsegment", F.lit("/"), (F.col("c_custkey") % 50).cast("string")), F.lit(" "), F.lit("/")).alias("path"))
+    return reports.pseudonyms(paths, "path")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 3 <> 0")
+def silent_changes(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.lit("a").alias("x"), F.lit(1).alias("mtime"))
+    new = c.withColumns({"x": F.when(F.col("c_custkey") % 4 == 0, "b").otherwise("a"), "mtime": F.when(F.col("c_custkey") % 3 == 0, 2).otherwise(1)})
+    return reports.silent_changes(c, new, "c_custkey", "x", ["mtime"])
+
+
+@query("WITH r AS (SELECT p_partkey AS f, p_partkey * 700 AS a, p_size * 100 AS n FROM part), s AS (SELECT s_suppkey * 12345 AS place FROM supplier) SELECT f, place FROM r JOIN s ON place >= a AND place < a + n")
+def sector_lookup(spark, d):
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("f"), (F.col("p_partkey") * 700).alias("a"), (F.col("p_size") * 100).cast("long").alias("n"))
+    return reports.files_at(r, table(spark, d, "supplier").select((F.col("s_suppkey") * 12345).alias("place")), "a", "n", "place").select("f", "place")
+
+
+@query("WITH t AS (SELECT item_id, encode(text) AS b, i FROM benchmark, range(0, 40) r(i) WHERE i * 64 < octet_length(encode(text))) SELECT item_id, i::BIGINT AS n, md5(b[i * 64 + 1 : i * 64 + 64]) AS md5 FROM t")
+def sector_hashes(spark, d):
+    x = table(spark, d, "benchmark").select("item_id", F.encode("text", "utf-8").alias("b"))
+    return longs(reports.sector_digests(x, "item_id", "b", 64).select("item_id", "n", "md5"), "n")
+
+
+@query("SELECT event_type, count(*) FILTER (value < 25)::BIGINT AS low, count(*) FILTER (value >= 25 AND value < 75)::BIGINT AS middle, count(*) FILTER (value >= 75)::BIGINT AS high FROM events GROUP BY 1")
+def crosstab_counts(spark, d):
+    level = F.when(F.col("value") < 25, "low").when(F.col("value") < 75, "middle").otherwise("high")
+    wide = table(spark, d, "events").withColumn("level", level).groupBy("event_type").pivot("level", ["low", "middle", "high"]).agg(F.count(F.lit(1)))
+    return wide.na.fill(0)
+
+
+@query("SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, regexp_extract(url, '/([0-9]+)', 1) AS num FROM pages WHERE regexp_matches(url, '^https?://(www|m)[.]')")
+def regex_filter_parse(spark, d):
+    return table(spark, d, "pages").where(F.col("url").rlike(r"^https?://(www|m)[.]")).select("page_id", F.regexp_extract("url", r"/([a-z]{2})/", 1).alias("lang"), F.regexp_extract("url", r"/([0-9]+)", 1).alias("num"))
+
+
+@query(f"WITH {LP_VARS} SELECT substr(geo, 1, 15) AS block, '_C_P12_' || split_part(cell, '_', 2) || '_' || geo || '_1' AS constraint, count(*)::BIGINT AS n, '=' AS sense FROM v GROUP BY ALL")
+def lp_split_blocks(spark, d):
+    c = _cells(spark, d)
+    lines = models.constraints(c, models.terms(c, models.variables(c, ATTRS, ("white", "black")), ATTRS))
+    return models.split_blocks(models.parsed_lp(lines)[1], relax=False).groupBy("block", "constraint", "sense").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LP_VARS} SELECT geo, sex::BIGINT AS sex, age::BIGINT AS age, count(*)::BIGINT AS n FROM v WHERE person = 0 GROUP BY ALL")
+def hist_by_schema(spark, d):
+    v = models.variables(_cells(spark, d), ATTRS, ("white", "black")).where("person = 0")
+    return longs(metrics.histogram(v, ["geo", "sex", "age"]), "sex", "age")

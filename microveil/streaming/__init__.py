@@ -1,0 +1 @@
+"""Batch only: none of the engine's operators has a streaming form."""
