@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from microveil.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, permutation_index, quality_gam, secret_scan, toxicity, url_rules
+from microveil.llm import chat_format, decontaminate, jaccard_join, line_dedup, oracles, packing, permutation_index, quality_gam, secret_scan, toxicity, url_rules
 from microveil.llm.shared import table
 
 
@@ -57,4 +57,4 @@ def op10_url_association_rules(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op4_secret_scan, op5_chat_formatting, op6_quality_gam, op7_permutation_index, op8_spaced_seed_decontamination, op9_toxicity_crf, op10_url_association_rules)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
