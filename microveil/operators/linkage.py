@@ -2,10 +2,10 @@
 
 Equality stages need no search: inside a block and match key the greedy rule pairs the
 left rows, last first, with the right rows, first first. So a row is matched if its rank on
-its side is not above the other side's count, all by windows; both sides are dealt out by
-block once and every stage reuses that. Stages whose predicate isn't transitive (ages one
-year apart, one attribute off) run the greedy rule itself on the leftovers of blocks that
-have both sides.
+its side is not above the other side's count, all by windows; both sides are dealt out once,
+by block and all keys but age (so a large block is many parts), and every such stage reuses
+that. Stages whose predicate isn't transitive (ages one year apart, one attribute off) run
+the greedy rule itself on the leftovers of blocks that have both sides.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def linked(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
     blank = [F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(spec.right_order)]
     a = left.select(F.lit(0).alias("_side"), F.col(spec.left_id).alias("_id"), *block, *keys, *blank)
     b = right.select(F.lit(1).alias("_side"), F.col(spec.right_id).alias("_id"), *block, *keys, *extra)
-    rows = a.unionByName(b).repartition(*block).withColumns({"_flag": F.lit(None).cast("int"), "_pair": F.lit(None).cast("string")})
+    rows = a.unionByName(b).repartition(*block, *(k for k in keys if k != spec.age)).withColumns({"_flag": F.lit(None).cast("int"), "_pair": F.lit(None).cast("string")})
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
