@@ -172,15 +172,24 @@ def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_chains: int
     """The model, or None where no text of label 1 or none of label 0 is left."""
     if len(set(labels)) < 2:
         return None
-    data, off = buffer_of(texts)
-    start, end, first, feats, head, length = scanned(data, off)
+    n_tokens, firsts, parts, heads, lengths = 0, [np.zeros(1, np.int64)], [], [], []
+    for i in range(0, len(texts), 100):  # powers and sums are as long as the bytes scanned at once
+        _, _, some, hashes, begin, size = scanned(*buffer_of(texts[i : i + 100]))
+        firsts.append(some[1:] + n_tokens)
+        heads.append(begin + n_tokens)
+        lengths.append(size)
+        parts.append(hashes)
+        n_tokens += hashes.shape[1]
+    first, head, length = np.concatenate(firsts), np.concatenate(heads), np.concatenate(lengths)
+    feats = [np.concatenate([p[j] for p in parts]) for j in range(FEATURES)]
+    del parts
     keep = distinct_texts(feats[0], first)
     y = np.array(labels)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     total = np.array([(keep & (y == c)).sum() for c in (0, 1)], float)
     if not total.all():
         return None
-    toxic = np.zeros(len(start), bool)
+    toxic = np.zeros(n_tokens, bool)
     for j in range(FEATURES - 1):  # suffixes describe but do not label
         name, at = np.unique(feats[j], return_inverse=True)
         docs = np.unique((at * len(texts) + owner)[keep[owner]])  # one entry for each word and text
