@@ -138,6 +138,20 @@ def common_only(left: DataFrame, right: DataFrame, area: Sequence[str]) -> tuple
     return left.join(b, list(area), "left_semi"), right.join(a, list(area), "left_semi")
 
 
+def audit(left: DataFrame, right: DataFrame, spec: Spec, area: Sequence[str] = (), usable: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matches and block statistics of one linkage run.
+
+    With ``area``, areas that one side lacks vanish, blocks of one side inside shared areas
+    stay. ``usable`` is a condition on right rows; an area without usable right rows then has
+    no statistics either.
+    """
+    right = right.where(usable) if usable else right
+    if area:
+        left, right = common_only(left, right, area)
+    rows = linked(left, right, spec)
+    return matches(rows, spec), block_stats(rows, spec)
+
+
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str], present: str) -> DataFrame:
     """Adds ``keep``: 1 for the first row of each group, 0 for others and where ``present`` is null."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -93,3 +93,27 @@ def test_models(spark):
     assert models.solved(infeasible).first()["status"] == "INFEASIBLE"
     binned = spark.createDataFrame([("C_000000000000001_F_23_0_F_23_Y_N_N_N_N_N_N",)], "line string").select(models.start_age_binned()).first()[0]
     assert binned.startswith("C_000000000000001_F_22_0")
+
+
+def test_model_text_round_trip(spark):
+    cells = spark.createDataFrame([("000000000000001", "P1", 2, [0, 1], [20, 21], ["N", "Y"]), ("000000000000001", "P2", 0, [1], [20], ["Y"])], "geo string, cell string, value int, sex array<int>, age array<int>, white array<string>")
+    names = ("sex", "age", "white")
+    vs = models.variables(cells, names, ("white",))
+    assert vs.count() == 2 * 2 * 2
+    found = models.terms(cells, vs, names)
+    lines = models.constraints(cells, found)
+    text = models.lp_text(lines, vs)
+    order = [r["line"] for r in text.orderBy("geo", "section", "place").collect()]
+    assert (order[0], order[2], order[-1]) == ("Minimize", "Subject To", "End")
+    rhs, again = models.parsed_lp(text)
+    assert {(r["constraint"][3:5], r["sense"], r["rhs"]) for r in rhs.collect()} == {("P1", "=", 2.0), ("P2", "=", 0.0)}
+    assert again.count() == found.distinct().count()
+    full = models.expanded(spark.createDataFrame([(None,)], "sex array<int>"), {"sex": (0, 1)})
+    assert full.first()["sex"] == [0, 1]
+
+
+def test_pseudo_area_permutes(spark):
+    h = spark.createDataFrame([(i, i % 2, 0, i / 10, f"t{i}") for i in range(10)], "hid long, county long, state long, u double, tract string")
+    out = swap.pseudo_area(h, "tract", ["county"], ["state"], ["hid"], "u", (0.3, 0.4), "pseudo").collect()
+    assert all(r["pseudo"] == r["tract"] for r in out if r["u"] < 0.3)
+    assert {int(r["pseudo"][1:]) % 2 == r["county"] for r in out if 0.3 <= r["u"] < 0.7} == {True}

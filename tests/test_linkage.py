@@ -71,3 +71,13 @@ def test_nulls_empty_and_one_sided(spark):
     assert stats["y"] == {"block": "y", "n_left": 1, "n_right": None, "exact": None, "binage": None}
     empty = spark.createDataFrame([], SCHEMA)
     assert linkage.matches(linkage.linked(empty, empty, spec), spec).count() == 0
+
+
+def test_audit_drops_areas_of_one_side(spark):
+    schema = "id long, area string, block string, sex long, age long, ok long"
+    left = spark.createDataFrame([(1, "a", "a1", 1, 30, 1), (2, "a", "a2", 1, 30, 1), (3, "b", "b1", 1, 30, 1)], schema)
+    right = spark.createDataFrame([(1, "a", "a1", 1, 30, 1), (2, "b", "b1", 1, 30, 0)], schema)
+    spec = linkage.Spec(["block"], ("sex", "age"))
+    found, stats = linkage.audit(left, right, spec, ["area"], "ok = 1")
+    assert [(r["left_id"], r["right_id"], r["flag"]) for r in found.collect()] == [(1, 1, 1)]
+    assert {r["block"]: (r["n_left"], r["n_right"], r["exact"]) for r in stats.collect()} == {"a1": (1, 1, 1), "a2": (1, None, None)}
