@@ -14,7 +14,8 @@ How it stays linear-ish and whole:
    prefix must share one shingle with every partner; a prefix longer by l - 1
    must share l of them. l is chosen per document where the estimated candidate
    cost (sum of sketched frequencies) falls. A pair needs the smaller l of both.
-   Shingles are posted by size class (powers of two), as sets that differ much in size can't link.
+   In close joins (0.85 or more) shingles are posted by size class (powers of two), as sets
+   that differ much in size can't link.
 3. Shingles in one prefix only are gone after a partial aggregation; each other
    shingle gets a pivot, the smallest document that has it. Documents meet at
    pivots carrying their prefixes, so a pair's matches are counted in one place
@@ -44,8 +45,10 @@ BLOCKS = 256
 SEEN_BITS = 25
 #: Shingles of the documents that meet in one block of a pivot, about.
 BLOCK_SHINGLES = 500_000
-#: l is at least this, or the size of the set over LEAST_PART if that is more, and at most MORE above that; never more than partners share.
-LEAST, LEAST_PART, MORE = 12, 32, 4
+#: From this similarity (in hundredths) on prefixes are short: a longer l and posting by size class then cost little and save meetings.
+CLOSE = 85
+#: For close and for other joins: l is at least this, or the size of the set over the second if that is more, and at most the third above that; never more than partners share.
+CLOSE_L, OTHER_L = (12, 32, 4), (6, 1 << 30, 2)
 SLOTS = 1 << 19
 
 
@@ -115,6 +118,8 @@ def _sql_needed(n: str, percent: int) -> str:
 def _prefixes(k: int, percent: int, ranks, base: float):
     names = ["id", "n", "l", "size", "last", "prefix"]
 
+    least_l, part, more = CLOSE_L if percent >= CLOSE else OTHER_L
+
     def run(batches):
         rank = ranks.value
         for b in batches:
@@ -128,15 +133,15 @@ def _prefixes(k: int, percent: int, ranks, base: float):
                 key = np.sort((r.astype(np.uint64) << np.uint64(56)) | (s & np.uint64((1 << 56) - 1)))
                 need = _needed(n, percent)
                 short = n - need
-                least = min(max(LEAST, n // LEAST_PART), need)
-                most = min(max(LEAST, n // LEAST_PART) + MORE, need)
+                least = min(max(least_l, n // part), need)
+                most = min(max(least_l, n // part) + more, need)
                 load = np.maximum(1.0, 2.0 ** ((key[: short + most] >> np.uint64(56)).astype(float) / 2) - base).cumsum()[short:]
                 # filtering touches every posting; verification costs the sets of those that match l times
                 cost = load + load / np.arange(1, most + 1) * (0.05 * n)
                 l = int(cost[least - 1 :].argmin()) + least
                 size = short + l
                 # partners are about as large, so a shingle is posted by size class: the set's own, and those of smaller partners
-                posted = [T.mix(key[:size] + np.uint64(c * 0x9E3779B97F4A7C15 & T.MASK)) for c in range(need.bit_length(), n.bit_length() + 1)]
+                posted = [T.mix(key[:size] + np.uint64(c * 0x9E3779B97F4A7C15 & T.MASK)) for c in (range(need.bit_length(), n.bit_length() + 1) if percent >= CLOSE else (0,))]
                 for col, v in zip(out, (ids[i], n, l, size, int(key[size - 1]), np.concatenate(posted).astype(np.int64)), strict=True):
                     col.append(v)
             if out[0]:
@@ -283,7 +288,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     mine = mine.withColumn("pivots", F.array_sort(F.array_distinct("x.p"))).withColumns({"tokens": F.expr("transform(x.token, y -> hash(y))"), "at": F.expr("transform(x.p, y -> cast(array_position(pivots, y) as int))")})
     # the matches of a pair that meets at its smallest common pivot p have pivots of p or more, and no partner asks for fewer than this
     smallest = _sql_needed("n", percent)
-    fewest = F.expr(f"least(l, greatest({LEAST}, {smallest} div {LEAST_PART}), {_sql_needed(smallest, percent)})")
+    least_l, part, _ = CLOSE_L if percent >= CLOSE else OTHER_L
+    fewest = F.expr(f"least(l, greatest({least_l}, {smallest} div {part}), {_sql_needed(smallest, percent)})")
     mine = mine.withColumn("few", fewest)
     met = mine.withColumn("p", F.explode(F.expr("filter(pivots, p -> size(filter(x.p, y -> y >= p)) >= few)")))
     weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("tokens")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
