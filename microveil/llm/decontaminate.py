@@ -5,7 +5,8 @@ gaps may differ. Seeds of benchmark items and of documents are joined on all mas
 Each hit puts an item and a document on one alignment; around it their words are
 compared, and the document is contaminated where some window of ``window`` aligned words
 has ``least`` equal ones. So any word of a passage may have been replaced as long as
-enough of a window is left.
+enough of a window is left: no choice of replaced words that the rule allows escapes all
+masks, at any length of item from ``SPAN`` words on (``escapes`` counts what would).
 
 Words are runs of letters and digits in lower case. Hits refer to texts by two hashes,
 not to ids, so copies share their hits and no array of words is copied per position.
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from microveil.llm.shared import cut
 
-#: Starts of the word pairs that a mask keeps; the gaps between them are ignored.
-MASKS = ((0, 3, 6), (0, 2, 5), (0, 4, 6))
-SPAN = 8
+#: Starts of the word pairs that a mask keeps; the gaps between them are ignored. Three replaced
+#: words leave four in a row of 16; items of 6, 7 and 11 words need the gap as well.
+MASKS = ((0, 2), (0, 3))
+#: Words of the shortest item that takes part, and of the shortest mask.
+SPAN = 4
 #: Seeds of a benchmark that are broadcast at most; beyond it the join is shuffled.
 SMALL = 200_000
 SLOTS = 1 << 19
@@ -30,8 +33,25 @@ def word_hashes(text: str) -> str:
     return f"transform(array_remove(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), ''), w -> xxhash64(w))"
 
 
+def escapes(n: int) -> int:
+    """The least number of replaced words among n that leaves no mask a place; a mask at the last words is tried as each word is added."""
+    kept = [{x + d for x in m for d in (0, 1)} for m in MASKS]
+    back = max(map(max, kept)) + 1
+    # fewest replaced words by the last words, 1 for an equal one
+    best = {(0,) * back: 0}
+    for _ in range(n):
+        new: dict[tuple[int, ...], int] = {}
+        for last, cost in best.items():
+            for x in (0, 1):
+                now = (*last[1:], x)
+                if not any(all(now[back - 1 - max(k) + y] for y in k) for k in kept):
+                    new[now] = min(new.get(now, n), cost + 1 - x)
+        best = new
+    return min(best.values())
+
+
 def seeds(words: str) -> str:
-    """All seeds with their places, mask by mask.
+    """All seeds with their places, mask by mask; a mask has a place wherever its own words fit.
 
     Inner functions of one-element arrays bind a value once; the optimizer would copy a
     projected expression into every use.
@@ -39,7 +59,7 @@ def seeds(words: str) -> str:
     parts = []
     for m, mask in enumerate(MASKS):
         kept = ", ".join(f"p[i + {x}]" if x else "p[i]" for x in mask)
-        parts.append(f"transform(sequence(0, size(p) - {SPAN - 1}), i -> struct(i as at, xxhash64({kept}, {m}) as seed))")
+        parts.append(f"transform(if(size(p) > {mask[-1]}, sequence(0, size(p) - {mask[-1] + 1}), array()), i -> struct(i as at, xxhash64({kept}, {m}) as seed))")
     pairs = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))"
     return f"flatten(transform(filter(array({words}), w -> size(w) >= {SPAN}), w -> flatten(transform(array({pairs}), p -> concat({', '.join(parts)})))))"
 
@@ -53,11 +73,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` with ``contaminated`` and ``items`` (sorted ids of the benchmark items found; empty if none).
 
     An item of fewer words than ``window`` needs ``least / window`` of all its words, rounded
-    up, to be aligned and equal; items of fewer than 8 words are too short to tell from
-    chance and take no part, as do null texts. Null or empty documents are clean. Repeated
+    up, to be aligned and equal; items of fewer than 4 words are too short to tell from
+    chance and take no part, as do null texts. Settings of ``window`` and ``least`` that allow
+    more replaced words than the masks bear are refused. Null or empty documents are clean. Repeated
     rows get equal results. Columns named contaminated or items are replaced; an empty
     benchmark finds nothing.
     """
+    lost = [n for n in range(SPAN, window + 1) if escapes(n) <= n - -(-n * least // window)]
+    if lost:
+        raise ValueError(f"{least} equal words of {window} are too few for the masks, at lengths {lost}")
     base = docs.drop("contaminated", "items")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = base.withColumns({"_k1": F.xxhash64(text), "_k2": F.hash(text, F.lit(7))})

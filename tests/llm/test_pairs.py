@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -244,6 +245,33 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_every_allowed_replacement_is_found(spark):
+    items, rows, want = [], [], {}
+    for n in (*range(4, 17), 20):
+        w = [f"i{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(w)))
+        size = min(n, 16)
+        free = size - -(-size * 13 // 16)
+        # every choice of replaced words in one window, then one too many, amid other words and alone
+        for k in (free, free + 1):
+            for places in itertools.combinations(range(size), k):
+                if k > free and sum(places) % 5 and n > 8:
+                    continue
+                text = [f"r{j}" if j in places or j >= size else x for j, x in enumerate(w)]
+                for around in ("some {} other", "{}"):
+                    want[len(rows)] = [n] if k == free else []
+                    rows.append((len(rows), around.format(" ".join(text))))
+        # the document ends inside the item
+        for cut in range(free + 1):
+            want[len(rows)] = [n]
+            rows.append((len(rows), " ".join(w[cut : size - free + cut])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+    with pytest.raises(ValueError, match="too few"):
+        decontaminate.contaminated(docs, docs, item_col="doc_id", least=9)
+
+
 def test_shuffled_seeds(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SMALL", 0)
     text = "the quick brown fox jumps over the lazy dog again and again until dawn breaks"
