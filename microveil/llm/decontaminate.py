@@ -6,7 +6,8 @@ Each hit puts an item and a document on one alignment; around it their words are
 compared, and the document is contaminated where some window of ``window`` aligned words
 has ``least`` equal ones. So any word of a passage may have been replaced as long as
 enough of a window is left: no choice of replaced words that the rule allows escapes all
-masks, at any length of item from ``SPAN`` words on (``escapes`` counts what would).
+masks, at any length of item from ``SPAN`` words on (``escapes`` counts what would). Shorter
+items bear no replaced word and have one seed, of all their words.
 
 Words are runs of letters and digits in lower case. Hits refer to texts by two hashes,
 not to ids, so copies share their hits and no array of words is copied per position.
@@ -14,7 +15,9 @@ not to ids, so copies share their hits and no array of words is copied per posit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from microveil.llm.shared import cut
@@ -22,7 +25,7 @@ from microveil.llm.shared import cut
 #: Starts of the word pairs that a mask keeps; the gaps between them are ignored. Three replaced
 #: words leave four in a row of 16; items of 6, 7 and 11 words need the gap as well.
 MASKS = ((0, 2), (0, 3))
-#: Words of the shortest item that takes part, and of the shortest mask.
+#: Words of the shortest mask; shorter items are looked up whole.
 SPAN = 4
 #: Seeds of a benchmark that are broadcast at most; beyond it the join is shuffled.
 SMALL = 200_000
@@ -50,9 +53,11 @@ def escapes(n: int) -> int:
     return min(best.values())
 
 
-def seeds(words: str) -> str:
+def seeds(words: str, short: Sequence[int], whole: bool) -> str:
     """All seeds with their places, mask by mask; a mask has a place wherever its own words fit.
 
+    Words in a row count as a seed too for each number in ``short``, with ``whole`` only if they are all there are.
+
     Inner functions of one-element arrays bind a value once; the optimizer would copy a
     projected expression into every use.
     """
@@ -60,21 +65,24 @@ def seeds(words: str) -> str:
     for m, mask in enumerate(MASKS):
         kept = ", ".join(f"p[i + {x}]" if x else "p[i]" for x in mask)
         parts.append(f"transform(if(size(p) > {mask[-1]}, sequence(0, size(p) - {mask[-1] + 1}), array()), i -> struct(i as at, xxhash64({kept}, {m}) as seed))")
+    for n in short:
+        row = ", ".join(f"w[i + {x}]" for x in range(n))
+        parts.append(f"transform(if(size(w) {'=' if whole else '>='} {n}, sequence(0, size(w) - {n}), array()), i -> struct(i as at, xxhash64({row}, -{n}) as seed))")
     pairs = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))"
-    return f"flatten(transform(filter(array({words}), w -> size(w) >= {SPAN}), w -> flatten(transform(array({pairs}), p -> concat({', '.join(parts)})))))"
+    return f"flatten(transform(filter(array({words}), w -> size(w) >= {min([SPAN, *short])}), w -> flatten(transform(array({pairs}), p -> concat({', '.join(parts)})))))"
 
 
-def _seeded(df: DataFrame, keys: list[str], words: str) -> DataFrame:
+def _seeded(df: DataFrame, keys: list[Column | str], words: str, short: Sequence[int], whole: bool = False) -> DataFrame:
     """Rows of (keys..., at, seed)."""
-    return df.select(*keys, F.expr(f"inline({seeds(words)})"))
+    return df.select(*keys, F.expr(f"inline({seeds(words, short, whole)})"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 16, least: int = 13) -> DataFrame:
     """``docs`` with ``contaminated`` and ``items`` (sorted ids of the benchmark items found; empty if none).
 
     An item of fewer words than ``window`` needs ``least / window`` of all its words, rounded
-    up, to be aligned and equal; items of fewer than 4 words are too short to tell from
-    chance and take no part, as do null texts. Settings of ``window`` and ``least`` that allow
+    up, to be aligned and equal; items of up to 3 words need all. Items without words take no
+    part, as do null texts. Settings of ``window`` and ``least`` that allow
     more replaced words than the masks bear are refused. Null or empty documents are clean. Repeated
     rows get equal results. Columns named contaminated or items are replaced; an empty
     benchmark finds nothing.
@@ -86,13 +94,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = base.withColumns({"_k1": F.xxhash64(text), "_k2": F.hash(text, F.lit(7))})
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).distinct()
-    items = cut(items.select(F.xxhash64("item", "t").alias("ik"), "item", F.expr(word_hashes("t")).alias("w"))).where(f"size(w) >= {SPAN}")
-    targets = cut(_seeded(items, ["ik"], "w").withColumnRenamed("at", "item_at"))
+    items = cut(items.select(F.xxhash64("item", "t").alias("ik"), "item", F.expr(word_hashes("t")).alias("w"))).where("size(w) > 0")
+    short = sorted(r["n"] for r in items.where(f"size(w) < {SPAN}").select(F.size("w").alias("n")).distinct().collect())
+    targets = cut(_seeded(items, ["ik", (F.size("w") < SPAN).alias("whole")], "w", short, whole=True).withColumnRenamed("at", "item_at"))
     small = targets.count() <= SMALL
-    probe = _seeded(keyed, ["_k1", "_k2"], word_hashes(f"coalesce(cast(`{text_col}` as string), '')"))
+    probe = _seeded(keyed, ["_k1", "_k2"], word_hashes(f"coalesce(cast(`{text_col}` as string), '')"), short)
     hits = probe.join(F.broadcast(targets) if small else targets, "seed")
-    lines = hits.select("_k1", "_k2", "ik", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    found = cut(lines)
+    # one place of a whole item is enough, and a short one may have as many as a text has words
+    shift = F.col("at") - F.col("item_at")
+    lines = hits.groupBy("_k1", "_k2", "ik", F.when(~F.col("whole"), shift).alias("line")).agg(F.min(shift).alias("shift"))
+    found = cut(lines.drop("line"))
 
     # aligned stretches are cut out of the texts that have hits; SLOTS rows at most are broadcast to find those
     slot = F.pmod(F.col("_k1"), F.lit(SLOTS))
@@ -105,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     known = items.select("ik", "item", "w")
     both = cuts.join(F.broadcast(known) if small else known, "ik")
     same = "zip_with(slice(w, skip + 1, size(w)), dw, (a, b) -> if(a = b, 1, 0))"
-    full = f"exists(transform(array({same}), same -> exists(sequence(0, greatest(0, size(same) - {window})), s -> aggregate(slice(same, s + 1, {window}), 0, (a, b) -> a + coalesce(b, 0)) >= ceil(least(size(w), {window}) * {least} / {window}))), x -> x)"
+    full = f"exists(transform(array({same}), same -> exists(sequence(0, greatest(0, size(same) - {window})), s -> aggregate(slice(same, s + 1, {window}), 0, (a, b) -> a + coalesce(b, 0)) >= if(size(w) < {SPAN}, size(w), ceil(least(size(w), {window}) * {least} / {window})))), x -> x)"
     bad = both.where(F.expr(full)).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     kind = bad.schema["items"].dataType.simpleString()
     return keyed.join(bad, ["_k1", "_k2"], "left").select(*base.columns, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.expr(f"cast(array() as {kind})")).alias("items"))

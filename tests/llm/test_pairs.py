@@ -272,6 +272,14 @@ def test_every_allowed_replacement_is_found(spark):
         decontaminate.contaminated(docs, docs, item_col="doc_id", least=9)
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Yes!"), (2, "42 km"), (3, "in the end"), (4, "What is it called?"), (5, "?"), (6, None), (7, "a long item whose first words are yes and 42")]
+    texts = ["yes", "no", "oh yes, yes, yes", "it is 42 km away", "42 miles, 5 km", "In the end: 42 KM", "what is it called", "what was it called", "in the", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == dict(enumerate([[1], [], [1], [2], [], [2, 3], [4], [], [], [], []]))
+
+
 def test_shuffled_seeds(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SMALL", 0)
     text = "the quick brown fox jumps over the lazy dog again and again until dawn breaks"
