@@ -44,18 +44,35 @@ def adjacent_pairs(df: DataFrame, key: Sequence[str], order: Sequence[str], id_c
     return x.where("_n % 2 = 1 AND b IS NOT NULL").select(*key, F.col(id_col).alias("a"), "b")
 
 
-def runs_paired(df: DataFrame, key: Sequence[str], order: Sequence[str], chosen: str, id_col: str) -> DataFrame:
-    """Pairs inside runs of chosen neighbours; an odd run borrows the unchosen row after it, else the one before, else leaves its last out."""
+def runs_paired(df: DataFrame, key: Sequence[str], order: Sequence[str], chosen: str, id_col: str, before: bool = False, tract: str | None = None) -> DataFrame:
+    """Pairs inside runs of chosen neighbours; an odd run borrows the unchosen row after it, with ``before`` else the one before, else leaves its last out.
+
+    With ``before`` and ``tract``, the row before goes first where it alone is in the tract of the run's end that it
+    touches. Runs choose in order: a free row between two goes to the run before it if that wants it.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
+    free = lambda f: ~F.coalesce(f(chosen).over(w), F.lit(True))
+    same = lambda f: F.col(tract).eqNullSafe(f(tract).over(w)) if tract else F.lit(True)
     start = (F.col(chosen) & ~F.coalesce(F.lag(chosen).over(w), F.lit(False))).cast("int")
-    x = df.withColumns({"_at": F.row_number().over(w), "_start": start, "_prev": F.lag(id_col).over(w), "_prev_free": ~F.coalesce(F.lag(chosen).over(w), F.lit(True)), "_next": F.lead(id_col).over(w), "_next_free": ~F.coalesce(F.lead(chosen).over(w), F.lit(True))})
+    x = df.withColumns({"_at": F.row_number().over(w), "_start": start, "_prev": F.lag(id_col).over(w), "_prev_free": free(F.lag) if before else F.lit(False), "_prev_same": same(F.lag), "_next": F.lead(id_col).over(w), "_next_free": free(F.lead), "_next_same": same(F.lead)})
     x = x.withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col(chosen))
     run = Window.partitionBy(*key, "_run").orderBy("_at")
-    x = x.withColumns({"_p": F.row_number().over(run), "_n": F.count(F.lit(1)).over(Window.partitionBy(*key, "_run")), "_b": F.lead(id_col).over(run)})
-    inside = x.where("_p % 2 = 1 AND _b IS NOT NULL").select(*key, F.col(id_col).alias("a"), F.col("_b").alias("b"))
-    last = x.where("_n % 2 = 1 AND _p = _n").select(*key, F.col(id_col).alias("a"), F.when(F.col("_next_free"), F.col("_next")).alias("b")).where("b IS NOT NULL")
-    # a free row between two odd runs goes to the run before it
-    return inside.unionByName(last)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    line = Window.partitionBy(*key).orderBy("_at")
+    # shared: one row lies between the run and the one before it
+    x = x.withColumns({"_p": F.row_number().over(run), "_n": F.count(F.lit(1)).over(whole), "_b": F.lead(id_col).over(run), "_shared": F.coalesce(F.col("_at") - F.lag("_at").over(line) == 2, F.lit(False))})
+    x = x.withColumns({c: f(c).over(whole) for c, f in {"_shared": F.first, "_prev_free": F.first, "_prev_same": F.first, "_next_free": F.last, "_next_same": F.last}.items()})
+    # 1 for a run that takes the row after it, null where it does so only if the run before it does
+    fit = F.col("_prev_free") & F.col("_prev_same") & ~F.col("_next_same")
+    x = x.withColumn("_takes", F.when((F.col("_n") % 2 == 0) | ~F.col("_next_free"), 0).when(~fit, 1).when(~F.col("_shared"), 0))
+    x = x.withColumn("_takes", F.last("_takes", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    left = (F.col("_n") % 2 == 1) & (F.col("_takes") == 0) & F.col("_prev_free")
+    taken = F.first(F.col("_shared") & (F.coalesce(F.col("_last"), F.lit(0)) == 1)).over(whole)
+    x = x.withColumn("_last", F.lag("_takes").over(line)).withColumn("_left", left & ~taken)
+    first = F.col("_left") & (F.col("_p") == 1)
+    other = F.when(F.col("_p") < F.col("_n"), F.col("_b")).when(F.col("_takes") == 1, F.col("_next"))
+    pair = F.when(first, F.col(id_col)).when(F.col("_p") % 2 == F.when(F.col("_left"), 0).otherwise(1), other)
+    return x.select(*key, F.when(first, F.col("_prev")).otherwise(F.col(id_col)).alias("a"), pair.alias("b")).where("b IS NOT NULL")
 
 
 def exchange(households: DataFrame, pairs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

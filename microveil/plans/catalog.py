@@ -557,7 +557,7 @@ def swap_follow(spark, d):
 def swap_runs(spark, d):
     """Pairs inside runs of selected neighbours, by the hash-selected half of the households."""
     h = swap.selected(_households(spark, d), 0.5, ["hid"])
-    return swap.runs_paired(h, ["size"], ["draw", "hid"], "selected", "hid")
+    return swap.runs_paired(h, ["size"], ["draw", "hid"], "selected", "hid", before=True)
 
 
 @query()

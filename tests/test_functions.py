@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,44 @@ def test_runs_paired(spark):
     assert {(r["a"], r["b"]) for r in swap.runs_paired(x, ["key"], ["hid"], "sel", "hid").collect()} == {(1, 2), (3, 4)}
 
 
+def test_runs_paired_on_both_sides(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.random() < (0.3, 0.5, 0.7)[k % 3], rng.randint(0, 2)) for k in range(200) for i in range(rng.randint(1, 14))]
+    x = spark.createDataFrame([(100 * k + i, k, sel, t) for k, i, sel, t in rows], "hid long, key long, sel boolean, tract long")
+
+    def sequential(line, tract):
+        used, out, i = set(), [], 0
+        while i < len(line):
+            if not line[i][1]:
+                i += 1
+                continue
+            j = i
+            while j + 1 < len(line) and line[j + 1][1]:
+                j += 1
+            run = list(range(i, j + 1))
+            if len(run) % 2:
+                back, on = i > 0 and i - 1 not in used, j + 1 < len(line)
+                fits = lambda a, b: not tract or line[a][2] == line[b][2]
+                if on and not (back and fits(i, i - 1) and not fits(j, j + 1)):
+                    run.append(j + 1)
+                elif back:
+                    run.insert(0, i - 1)
+                else:
+                    run.pop()
+            used.update(run)
+            out += [(line[p][0], line[q][0]) for p, q in zip(run[::2], run[1::2])]
+            i = j + 1
+        return out
+
+    for tract in (None, "tract"):
+        want = [p for k in range(200) for p in sequential([(100 * k + i, sel, t) for kk, i, sel, t in rows if kk == k], tract)]
+        got = [(r["a"], r["b"]) for r in swap.runs_paired(x, ["key"], ["hid"], "sel", "hid", before=True, tract=tract).collect()]
+        assert sorted(got) == sorted(want)
+        assert len({h for p in got for h in p}) == 2 * len(got)
+    end = spark.createDataFrame([(5, "k", False), (6, "k", True)], "hid long, key string, sel boolean")
+    assert [(r["a"], r["b"]) for r in swap.runs_paired(end, ["key"], ["hid"], "sel", "hid", before=True).collect()] == [(5, 6)]
+
+
 def test_models(spark):
     assert len(models.two_or_more()) == 57
     text = spark.createDataFrame([("_C_P0010001_000000000000001_1: a + b = 3", 1), ("_C_P0010001_000000000000001_2: a = 4", 2), ("other", 3)], "line string, n int")
