@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-Candidates are found over whole texts, with their character offsets. The forest sees a
+Candidates are found over whole texts, with their character offsets, at any length; the
+value of an assignment ends at white space or a quote. The forest sees a
 candidate's length, its changes between character classes, its entropy, how much of it
 dictionary words cover, whether it looks like a path, and the words around it. It learns
 from labelled findings; without a table of them, from findings made by rule (known key
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Alternatives, tried in this order at each place: known key formats, assignments, long runs.
-KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]*[:=][ \t]*[\"']?[^\s\"']{6,200}"
-LONG = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,400}(?![A-Za-z0-9+/_=-])"
+KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43,}"
+ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]*[:=][ \t]*[\"']?[^\s\"']{6,}+"
+LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 CANDIDATE = f"{KEY}|{ASSIGNED}|{LONG}"
 #: Ordinary words in identifiers, placeholders and paths.
 DICTIONARY = "example test sample demo dummy password passwd secret token changeme change your here none null true false user name admin root file path image data index page home lib usr bin var local src main version license public private key http https www com org net html json value default string config setting service server client request response message".split()

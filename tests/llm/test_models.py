@@ -202,6 +202,19 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    hexes = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(20_000))
+    jwt = f"eyJ{hexes[:97]}.{hexes[97:337]}.{hexes[337:384]}"
+    sendgrid = f"SG.{hexes[:22]}.{hexes[22:65]}"
+    texts = [f"token={jwt}", f"secret: {hexes[:512]}", f"run {hexes[:500]}, end", f"use {sendgrid} here", f"host.{hexes[:40]}", f"run {hexes} end", f"password={hexes}", f"short {hexes[:19]} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["candidate"], r["kind"]) for r in secret_scan.scan(docs).collect()}
+    assert got == {
+        (0, 0, texts[0], "assignment"), (1, 0, texts[1], "assignment"), (2, 4, hexes[:500], "long"), (3, 4, sendgrid, "key"),
+        (4, 5, hexes[:40], "long"), (5, 4, hexes, "long"), (6, 0, texts[6], "assignment"),
+    }
+
+
 # URLs
 
 
