@@ -169,10 +169,13 @@ def variability(model: DataFrame, by: str = "geo", limit: int = 200_000) -> Data
     """Per small model the largest L1 and earth mover's distance between the histograms of two feasible solutions.
 
     Histograms count by all fields of a variable's name but the person number; the mover's distance runs over age.
+    Distances are null on TIMEOUT, as solutions that were not found may lie farther apart.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         status, found = _search(p, limit)
+        if status == "TIMEOUT":
+            return pd.DataFrame({by: [p[by].iloc[0]], "status": [status], "solutions": [len(found)], "l1": [None], "emd": [None]})
         shapes, moved = set(), set()
         for s in found:
             fields = [n.split("_") for n, v in s.items() if v]

@@ -134,6 +134,16 @@ def test_models(spark):
     assert binned.startswith("C_000000000000001_F_22_0")
 
 
+def test_variability_without_all_solutions(spark):
+    names = [f"C_000000000000001_P_{i}_0_20_{age}" for i in range(2) for age in (20, 40)]
+    model = spark.createDataFrame([("g", "c", n, "=", 1.0) for n in names], "geo string, constraint string, variable string, sense string, rhs double")
+    row = models.variability(model).first()
+    assert row["status"] != "TIMEOUT" and row["solutions"] == 4 and row["l1"] == 2
+    for limit in (1, 4, 6):
+        row = models.variability(model, limit=limit).first()
+        assert (row["status"], row["l1"], row["emd"]) == ("TIMEOUT", None, None)
+
+
 def test_model_text_round_trip(spark):
     cells = spark.createDataFrame([("000000000000001", "P1", 2, [0, 1], [20, 21], ["N", "Y"]), ("000000000000001", "P2", 0, [1], [20], ["Y"])], "geo string, cell string, value int, sex array<int>, age array<int>, white array<string>")
     names = ("sex", "age", "white")
