@@ -1,17 +1,24 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by the pivots nearest to it, in order. It is posted in the
-inverted files of its first few pivots; a query probes the files of more of its own. In
-a file, posted vectors are ranked by footrule distance (how far the query's pivots stand
-from their places in the posted order), the closest part is scored exactly by inner
-product in double precision, and the best of all files are merged.
+A vector is represented by the order in which it sees the pivots. It is posted in the
+inverted files of its nearest pivots; a query probes the files of more of its own. In a
+file the posted permutations are ranked by footrule distance to the query's (the sum over
+pivots of how far their places differ), and only vectors within the query's footrule limit
+are scored, exactly, by inner product in double precision. The limit is the distance
+within which about ``keep * sqrt(n)`` of all n vectors lie, read off a sample of
+permutations, so it is the same in all files of a query.
+
+What a query costs grows more slowly than the table: pivots are about sqrt(n), files about
+as long, probed files about n ** 0.25, scored vectors about sqrt(n).
 
 Equal vectors are indexed once, with their smallest ids: no more than k of them, and the
-query itself, can be among the k nearest. A file with many vectors is dealt out in chunks.
+query itself, can be among the k nearest. A file with many vectors or many queries is
+dealt out in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -21,104 +28,149 @@ from pyspark.sql import functions as F
 
 from microveil.llm.shared import cut, scan_groups
 
-CHUNK = 8192
+#: Vectors and queries of a file that meet in one block.
+CHUNK, ASKS = 8192, 16384
 
 
-def _ordered(batches, pivots, prefix: int):
-    """Adds to each vector its nearest pivots by cosine, nearest first (ties: lower number)."""
-    p = pivots.value
-    for b in batches:
-        flat = b.column(b.schema.get_field_index("v"))
-        if not len(flat):
-            continue
-        x = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
-        near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int16()))], names=[*b.schema.names, "near"])
+def places(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each vector the place of every pivot in its order by cosine, nearest first (ties: lower number)."""
+    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
+    out = np.empty(order.shape, np.uint8)
+    np.put_along_axis(out, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.uint8), order.shape), 1)
+    return out
+
+
+def footrule(columns: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Footrule distances of one permutation to many; ``columns`` has a row per pivot."""
+    own = own[:, None]
+    return np.add.reduce(np.maximum(columns, own) - np.minimum(columns, own), axis=0, dtype=np.uint16)
 
 
-def _file(t: pa.Table, m: int, k: int, share: float, floor: int):
-    """Best k posted vectors of each query of each file."""
-    key = list(zip(t["p"].to_pylist(), t["c"].to_pylist(), strict=True))
+def rows_of(column) -> np.ndarray:
+    """A list column whose lists are equally long, as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten()).reshape(len(flat), -1)
+
+
+def _ordered(batches, given, files: int, ranked: int, width: int, sample: float | None):
+    """Adds the nearest file pivots, the permutation of the ranking pivots, and for queries the footrule limit."""
+    p, seen = given.value
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = rows_of(b.column(0)).astype(np.float64)
+        near = np.argsort(-(x @ p[:files].T), axis=1, kind="stable")[:, :width].astype(np.int32)
+        own = places(x, p[:ranked])
+        limit = np.zeros(len(x), np.int32)
+        if sample is not None:
+            at = min(len(seen) - 1, math.ceil(sample * len(seen)))
+            columns = np.ascontiguousarray(seen.T)
+            limit = np.array([np.partition(footrule(columns, o), at)[at] for o in own], np.int32)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int32())), pa.array([o.tobytes() for o in own], pa.binary()), pa.array(limit)], names=[*b.schema.names, "near", "places", "bound"])
+
+
+def _file(t: pa.Table, k: int):
+    """For each query of each block, its best k + 1 vectors (and those that tie) within the footrule limit."""
+    key = np.stack([t[c].to_numpy() for c in ("p", "c", "o")])
     asks = np.asarray(t["asks"].to_numpy(zero_copy_only=False), bool)
-    x = np.asarray(t["v"].combine_chunks().flatten(), np.float64).reshape(len(asks), -1)
-    near = np.asarray(t["near"].combine_chunks().flatten(), np.int64).reshape(len(asks), -1)
-    length = near.shape[1]
-    edge = [i for i in range(len(key)) if not i or key[i] != key[i - 1]] + [len(key)]
-    ids, q_out, ids_out, s_out = t["ids"], [], [], []
-    for lo, hi in zip(edge, edge[1:], strict=False):
+    x = rows_of(t["v"]).astype(np.float64)
+    own = np.frombuffer(b"".join(t["places"].to_pylist()), np.uint8).reshape(len(asks), -1)
+    bound, ids = t["bound"].to_numpy(), t["ids"].combine_chunks()
+    least = pa.compute.list_element(ids, 0).to_numpy()
+    head = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
+    q_out, rows_out, s_out = [], [], []
+    for lo, hi in zip(head, [*head[1:], len(asks)], strict=True):
         q, d = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(~asks[lo:hi])
         if not len(q) or not len(d):
             continue
-        place = np.full((m, len(d)), length, np.int16)
-        place[near[d], np.arange(len(d))[:, None]] = np.arange(length)
-        score = x[q] @ x[d].T
-        keep = max(floor, int(np.ceil(share * len(d))))
-        for i, row in enumerate(q):
-            s = score[i]
-            some = np.arange(len(d))
-            if keep < len(d):
-                apart = np.abs(place[near[row]] - np.arange(length, dtype=np.int16)[:, None]).sum(0, dtype=np.int32)
-                some = np.argpartition(apart, keep - 1)[:keep]
-            if k + 1 < len(some):
-                some = some[np.argpartition(-s[some], k)[: k + 1]]
-            q_out.append(ids[int(row)].as_py()[0])
-            ids_out.append(d[some])
-            s_out.append(s[some])
+        columns, there = np.ascontiguousarray(own[d].T), x[d]
+        for row in q:
+            apart = footrule(columns, own[row])
+            # a file gives k + 1 vectors at least, so a query finds k wherever there are as many
+            far = max(int(bound[row]), int(np.partition(apart, k)[k]) if len(d) > k + 1 else 1 << 30)
+            some = np.flatnonzero(apart <= far)
+            near = there[some]
+            if len(some) > k + 1:
+                rough = near @ x[row]
+                edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+                close = rough >= edge - 1e-9 * max(1.0, abs(edge))
+                some, near = some[close], near[close]
+            score = np.cumsum(near * x[row], axis=1)[:, -1]  # added in the order of components, whatever the block
+            best = np.lexsort((least[d[some]], -score))[: k + 1]
+            q_out.append(least[row])
+            rows_out.append(d[some[best]])
+            s_out.append(score[best])
     if q_out:
-        at = np.cumsum([0, *map(len, ids_out)])
-        named = ids.combine_chunks().take(pa.array(np.concatenate(ids_out)))
-        yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), named), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(s_out)))], names=["q", "ids", "scores"])
+        at = pa.array(np.cumsum([0, *map(len, rows_out)]), pa.int32())
+        named = ids.take(pa.array(np.concatenate(rows_out)))
+        yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.int64()), pa.ListArray.from_arrays(at, named), pa.ListArray.from_arrays(at, pa.array(np.concatenate(s_out)))], names=["q", "ids", "scores"])
 
 
 def _merged(t: pa.Table, k: int):
-    rows = []
-    best: dict[int, float] = {}
-    q, ids, scores = t["q"].to_pylist(), t["ids"].to_pylist(), t["scores"].to_pylist()
-    for i in range(len(q)):
-        for names, s in zip(ids[i], scores[i], strict=True):
-            for n in names:
-                best.setdefault(n, s)
-        if i + 1 == len(q) or q[i + 1] != q[i]:
-            best.pop(q[i], None)
-            top = sorted(best.items(), key=lambda z: (-z[1], z[0]))[:k]
-            rows += [(q[i], r, n, s) for r, (n, s) in enumerate(top, 1)]
-            best = {}
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
-
-
-def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, pivots: int = 128, prefix: int = 32, post: int = 4, probe: int = 32, share: float = 0.6, floor: int = 256) -> DataFrame:
+    """The k best of all files of each query; whole queries, sorted by q."""
+    ids, scores = t["ids"].combine_chunks(), t["scores"].combine_chunks()
+    names = ids.flatten()
+    each = pa.compute.list_value_length(names).to_numpy()
+    found = names.flatten().to_numpy()
+    q = np.repeat(np.repeat(t["q"].to_numpy(), pa.compute.list_value_length(ids).to_numpy()), each)
+    s = np.repeat(scores.flatten().to_numpy(), each)
+    order = np.lexsort((found, -s, q))
+    q, found, s = q[order], found[order], s[order]
+    # a vector found in several files has one score, so its copies adjoin
+    keep = found != q
+    keep[1:] &= (q[1:] != q[:-1]) | (found[1:] != found[:-1])
+    q, found, s = q[keep], found[keep], s[keep]
+    if not len(q):
+        return
+    head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q)))) + 1
+    top = rank <= k
+    yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(rank[top].astype(np.int32)), pa.array(found[top]), pa.array(s[top])], names=["query_id", "rank", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, post: int = 6, keep: float = 12.0, floor: int = 512, ranked: int = 128, most_pivots: int = 16384, sample: int = 32768) -> DataFrame:
     """The k nearest found for each row that the condition ``queries`` on the id picks: query_id, rank, vec_id, score.
 
     Nearest is the largest inner product; ties go to the smaller id. Vectors that are null,
     all zero, or hold null, NaN or infinite components, vectors of a dimension other than the
     most common one, and rows with a null id take no part. Of rows that repeat an id the smallest
-    vector counts. ``pivots`` vectors (fewer for a small table: one in 32) are a sample by
-    hash; every vector is posted. With few pivots all files are probed.
+    vector counts. Every vector is posted in ``post`` files. What is fitted is a sample by hash of
+    distinct vectors: sqrt(n) pivots (``most_pivots`` at most), of which the first ``ranked`` (256 at
+    most) make the permutations, and 2 * sqrt(n) permutations (2,048 to ``sample``) for the
+    footrule limits. ``floor`` is the least number of vectors within a limit.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    element = next((f.dataType.elementType.simpleString() for f in vectors.schema if f.name == vector_col and f.dataType.typeName() == "array"), "double")
+    kind = "float" if element == "float" else "double"
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     v = v.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     size = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v = v.where(F.size("v") == size["n"]).groupBy("id").agg(F.min("v").alias("v"))
-    twin = Window.partitionBy("h1", "h2").orderBy("id")
     v = v.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
-    some = v.withColumn("r", F.row_number().over(twin)).where(F.col("r") <= k + 1)
-    index = cut(some.groupBy("h1", "h2").agg(F.min("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")).select("h1", "v", "ids"))
+    # the k + 1 smallest ids of equal vectors; tasks drop the others before the shuffle
+    some = v.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("r") <= k + 1)
+    index = cut(some.groupBy("h1", "h2", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", "ids", "h1"))
     n = index.count()
-    m = max(1, min(pivots, n // 32))
-    p = np.array([r["v"] for r in index.orderBy("h1", "ids").limit(m).collect()])
-    given = spark.sparkContext.broadcast(p / np.linalg.norm(p, axis=1)[:, None])
-    prefix, post, probe = min(prefix, m), min(post, m), min(probe, m)
-    order = partial(_ordered, pivots=given, prefix=prefix)
-    posted = index.drop("h1").mapInArrow(order, "v array<double>, ids array<long>, near array<short>")
-    posted = posted.select("v", "ids", "near", F.explode(F.slice("near", 1, post)).alias("p"), F.lit(False).alias("asks"))
-    files = posted.groupBy("p").count().select("p", F.ceil(F.col("count") / CHUNK).cast("int").alias("g"))
-    files = F.broadcast(files)  # one row per pivot
-    asked = v.where(queries(F.col("id"))).select("v", F.array("id").alias("ids")).mapInArrow(order, "v array<double>, ids array<long>, near array<short>")
-    asked = asked.select("v", "ids", "near", F.explode(F.slice("near", 1, probe)).alias("p"), F.lit(True).alias("asks"))
-    dealt = posted.join(files, "p").withColumn("c", F.pmod(F.xxhash64("ids"), "g").cast("int")).unionByName(asked.join(files, "p").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))).drop("g")
-    found = dealt.repartition("p", "c").sortWithinPartitions("p", "c").mapInArrow(lambda bs: scan_groups(bs, ["p", "c"], partial(_file, m=m, k=k, share=share, floor=floor), 1024), "q long, ids array<array<long>>, scores array<double>")
+    files = min(most_pivots, max(1, math.isqrt(n)))
+    ranked = min(ranked, 256, n)
+    seen = min(n, sample, max(2048, 2 * math.isqrt(n)))
+    p = np.array([r["v"] for r in index.select("h1", "ids", "v").orderBy("h1", "ids").limit(max(files, ranked, seen)).collect()])
+    unit = p[: max(files, ranked)]
+    unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+    given = spark.sparkContext.broadcast((unit, places(p[:seen], unit[:ranked])))
+    post, probe = min(post, files), min(files, max(k + 1, math.ceil(1.6 * n**0.25)))
+    share = min(1.0, max(floor, keep * math.sqrt(n)) / n)
+    fields = f"v array<{kind}>, ids array<long>, near array<int>, places binary, bound int"
+    posted = index.select("v", "ids").mapInArrow(partial(_ordered, given=given, files=files, ranked=ranked, width=post, sample=None), fields)
+    posted = posted.select("v", "ids", "places", "bound", F.explode("near").alias("p"))
+    asked = v.where(queries(F.col("id"))).select("v", F.array("id").alias("ids")).mapInArrow(partial(_ordered, given=given, files=files, ranked=ranked, width=probe, sample=share), fields)
+    asked = asked.select("v", "ids", "places", "bound", F.explode("near").alias("p"))
+    blocks = lambda rows, most, name: rows.groupBy("p").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = F.broadcast(cut(blocks(posted, CHUNK, "g").join(blocks(asked, ASKS, "a"), "p")))  # a row for each pivot, most_pivots at most
+    own, every = lambda g: F.pmod(F.xxhash64("ids"), g).cast("int"), lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    dealt = posted.join(sizes, "p").withColumn("c", own("g")).withColumn("o", every("a")).withColumn("asks", F.lit(False))
+    dealt = dealt.unionByName(asked.join(sizes, "p").withColumn("c", every("g")).withColumn("o", own("a")).withColumn("asks", F.lit(True))).drop("g", "a")
+    found = dealt.repartition("p", "c", "o").sortWithinPartitions("p", "c", "o").mapInArrow(lambda bs: scan_groups(bs, ["p", "c", "o"], partial(_file, k=k), 1024), "q long, ids array<array<long>>, scores array<double>")
     return found.repartition("q").sortWithinPartitions("q").mapInArrow(lambda bs: scan_groups(bs, ["q"], partial(_merged, k=k), 2048), "query_id long, rank int, vec_id long, score double")

@@ -307,6 +307,32 @@ def test_neighbours_exact_when_small(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == want
 
 
+def test_neighbour_ties_and_hot_files(spark, monkeypatch):
+    """Binary vectors tie by the thousand; blocks of few vectors and queries give what one block gives."""
+    monkeypatch.setattr(permutation_index, "CHUNK", 40)
+    monkeypatch.setattr(permutation_index, "ASKS", 3)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2, size=(400, 10)).astype(float)
+    x[:, 0] = 1
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = permutation_index.search(df, lambda i: i % 20 == 0, floor=400).orderBy("query_id", "rank").collect()
+    want = [(q, r, int(i), float(x[q] @ x[i])) for q in range(0, 400, 20) for r, i in enumerate([i for i in np.lexsort((np.arange(400), -(x @ x[q]))) if i != q][:20], 1)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_fewer_are_scored_than_there_are(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 8))
+    unit = x[:128] / np.linalg.norm(x[:128], axis=1)[:, None]
+    own = permutation_index.places(x, unit)
+    assert (np.sort(own, axis=1) == np.arange(128)).all()
+    apart = permutation_index.footrule(np.ascontiguousarray(own.T), own[7])
+    assert apart.tolist() == [int(np.abs(o.astype(int) - own[7].astype(int)).sum()) for o in own]
+    near = np.argsort(apart)[:200]  # the closest tenth by footrule holds nearly all of the nearest by cosine
+    cosine = (x @ x[7]) / np.linalg.norm(x, axis=1)
+    assert len(set(np.argsort(-cosine)[:20]) & set(near)) >= 18
+
+
 def test_neighbours_recall_and_copies(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16))
