@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from microveil.llm.shared import cut
+from microveil.llm.shared import cut, numbered
 
 #: Starts of the word pairs that a mask keeps; the gaps between them are ignored. Three replaced
 #: words leave four in a row of 16; items of 6, 7 and 11 words need the gap as well.
@@ -90,7 +90,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lost = [n for n in range(SPAN, window + 1) if escapes(n) <= n - -(-n * least // window)]
     if lost:
         raise ValueError(f"{least} equal words of {window} are too few for the masks, at lengths {lost}")
-    base = docs.drop("contaminated", "items")
+    kept = docs.drop("contaminated", "items")
+    # columns go by number inside, so that none of the caller's can clash
+    base, id_col, text_col = numbered(kept, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = base.withColumns({"_k1": F.xxhash64(text), "_k2": F.hash(text, F.lit(7))})
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).distinct()
@@ -119,4 +121,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     full = f"exists(transform(array({same}), same -> exists(sequence(0, greatest(0, size(same) - {window})), s -> aggregate(slice(same, s + 1, {window}), 0, (a, b) -> a + coalesce(b, 0)) >= if(size(w) < {SPAN}, size(w), ceil(least(size(w), {window}) * {least} / {window})))), x -> x)"
     bad = both.where(F.expr(full)).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     kind = bad.schema["items"].dataType.simpleString()
-    return keyed.join(bad, ["_k1", "_k2"], "left").select(*base.columns, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.expr(f"cast(array() as {kind})")).alias("items"))
+    old = [F.col(c).alias(n) for c, n in zip(base.columns, kept.columns, strict=True)]
+    return keyed.join(bad, ["_k1", "_k2"], "left").select(*old, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.expr(f"cast(array() as {kind})")).alias("items"))

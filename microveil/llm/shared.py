@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,14 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names, which all executors share; a temporary folder only where it is unset."""
+    """What spark.checkpoint.dir names, which the driver and all executors share.
+
+    Where it is unset, a local session (one machine, as in tests) gets a temporary folder; on a
+    cluster that is an error, as executors could not read each other's folders.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return named or context.getCheckpointDir()
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple:
+    """The frame with columns c0, c1, ..., and what ``columns`` are called in it."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), *[names[df.columns.index(c)] for c in columns]
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts are long: an Arrow batch of them has no more than so many rows, unless the session asks for fewer."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -93,20 +106,41 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: of either class up to ``per_class`` labelled ids that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _y, _text) to learn from: of either class up to ``per_class`` labelled ids that are not held out, all their rows.
 
     The ids are the first by a hash of the id, so the sample is the same in every run and
-    its size has a bound. An id with both labels counts as 1. Equal texts are taken once.
-    Ids that are null or have no document and labels that are null take no part.
+    its size has a bound. An id with both labels counts as 1. Ids that are null or have no
+    document and labels that are null take no part.
     """
     seen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     chosen = None
     for y in (0, 1):
         part = seen.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").orderBy("_id", "_text").collect()
-    texts: dict[str, int] = {}
-    for r in rows:
-        texts.setdefault(r["_text"], r["_y"])
-    return list(texts), list(texts.values())
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+
+
+def training_texts(rows: DataFrame, most_bytes: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of ``training_rows``, one text an id, equal texts once, of ``most_bytes`` in UTF-8 altogether.
+
+    Sizes are looked at first: of either class in turn, ids follow by hash as long as the
+    whole text still fits. So what comes to the driver has a bound, and no text is cut.
+    """
+    spark = rows.sparkSession
+    sizes = rows.select("_id", "_y", F.struct(F.xxhash64("_text").alias("h"), F.octet_length("_text").alias("n")).alias("t"))
+    known = sizes.groupBy("_id").agg(F.max("_y").alias("y"), F.min("t").alias("t")).select("_id", "y", "t.h", "t.n", F.xxhash64("_id").alias("o")).collect()
+    turn = {0: [], 1: []}
+    for r in sorted(known, key=lambda r: (r["o"], r["_id"])):
+        turn[r["y"]].append(r)
+    taken, texts, used = [], set(), 0
+    for r in (r for pair in itertools.zip_longest(*turn.values()) for r in pair if r is not None):
+        if r["h"] not in texts and used + r["n"] <= most_bytes:
+            used += r["n"]
+            texts.add(r["h"])
+            taken.append((r["_id"], r["h"]))
+    if not taken:
+        return [], []
+    wanted = spark.createDataFrame(taken, "_id long, _h long")
+    found = rows.withColumn("_h", F.xxhash64("_text")).join(F.broadcast(wanted), ["_id", "_h"]).groupBy("_id").agg(F.max("_y").alias("y"), F.min("_text").alias("t")).orderBy("_id").collect()
+    return [r["t"] for r in found], [r["y"] for r in found]
