@@ -48,8 +48,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Turns go by number (null first), then role, then text; repeated rows are repeated turns.
     Null roles and texts are empty. Rows with a null conversation form one conversation.
-    ``loss_spans`` are start and length, in characters of ``formatted``, of the bodies of
-    ``learn_role``. Other columns are ignored; an empty table gives an empty result.
+    ``loss_spans`` are start and length, in characters of ``formatted``, and byte and bytes, the
+    same in UTF-8, of the bodies of ``learn_role``. Other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
@@ -58,22 +58,34 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     # the parser gives back the turn and nothing else, and what it parsed is all there is
     same = (parse(plain) == F.array(F.struct("role", "text"))) & (F.regexp_replace(plain, TURN, "") == "")
     rows = rows.withColumn("plain", same).withColumn("piece", F.when(F.col("plain"), plain).otherwise(safe))
-    body = F.when(F.col("plain"), F.col("text")).otherwise(escape(F.col("text")))
+    rows = rows.withColumn("body", F.when(F.col("plain"), F.col("text")).otherwise(escape(F.col("text"))))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.sum(F.length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("piece")
-    rows = rows.withColumns({"body_length": F.length(body).cast("long"), "start": before, "at": F.row_number().over(order)})
-    rows = rows.withColumn("start", F.col("start") + F.length("piece") - F.length(F.lit(CLOSE)) - F.col("body_length"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "piece", "start", "body_length"))).alias("t"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = {"at": F.row_number().over(order)}
+    for name, size in (("start", F.length), ("byte", F.octet_length)):
+        places[name] = F.sum(size("piece").cast("long")).over(whole) - size(F.lit(CLOSE)) - size("body")
+        places[f"{name}_length"] = size("body").cast("long")
+    rows = rows.withColumns(places)
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "piece", "start", "start_length", "byte", "byte_length"))).alias("t"))
     out = grouped.select("conv_id", "t", F.array_join(F.col("t.piece"), "").alias("formatted"))
     out = out.withColumn("turns", parse(F.col("formatted")))
     source = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     checked = F.when(F.col("turns") == source, F.col("formatted")).otherwise(F.raise_error(F.lit("a formatted conversation does not parse to its source")))
     mine = F.filter("t", lambda x: x["role"] == learn_role)
-    return out.select("conv_id", checked.alias("formatted"), F.transform(mine, lambda x: F.struct(x["start"].alias("start"), x["body_length"].alias("length"))).alias("loss_spans"), "turns")
+    span = lambda x: F.struct(x["start"].alias("start"), x["start_length"].alias("length"), x["byte"].alias("byte"), x["byte_length"].alias("bytes"))
+    return out.select("conv_id", checked.alias("formatted"), F.transform(mine, span).alias("loss_spans"), "turns")
 
 
-def digest(formatted: DataFrame, learn_role: str = "assistant") -> DataFrame:
-    """Counts and digests read back from the formatted text."""
+def masked(formatted: Column, spans: Column) -> Column:
+    """The text of each span of ``formatted``, unescaped where the level in front of the span says so."""
+    # a one-element array binds the bytes once; spans are cut out of them by byte, as finding a character takes a scan
+    cut = lambda b, at, n: F.decode(F.substring(b, at, n), "UTF-8")
+    read = lambda b, s: F.when(cut(b, (s["byte"] - 2).cast("int"), F.lit(1)) == "1", unescape(cut(b, (s["byte"] + 1).cast("int"), s["bytes"].cast("int")))).otherwise(cut(b, (s["byte"] + 1).cast("int"), s["bytes"].cast("int")))
+    return F.flatten(F.transform(F.array(F.encode(formatted, "UTF-8")), lambda b: F.transform(spans, lambda s: read(b, s))))
+
+
+def digest(formatted: DataFrame) -> DataFrame:
+    """Counts and digests read back from the formatted text: of its parsed turns, and of what its loss spans cover."""
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learn_role), lambda t: t["text"]), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("loss_spans")), "")
     return formatted.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -26,7 +26,8 @@ def op4_secret_scan(spark, sf_dir):
 
 def op5_chat_formatting(spark, sf_dir):
     conflict = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", conflict), (-7, 1, "assistant", conflict)], "conv_id long, turn int, role string, text string")
+    roles = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
+    own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), roles, F.lit(conflict).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(own)))
 
