@@ -7,7 +7,7 @@ residual vector, as shares of the capacities, has the largest weighted dot produ
 with the piece's vector (rule "dot") or the smallest weighted norm once it is
 placed (rule "norm"). A piece that fits nowhere opens a sequence.
 
-Pieces are dealt to groups of about ``group_rows`` by a hash of id and piece; each
+Pieces are dealt to groups of about ``group_rows`` by their row, whatever their ids; each
 group is packed on its own in bounded memory, at the cost of at most about one
 part-filled sequence a group.
 """
@@ -18,12 +18,11 @@ import zlib
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from microveil.llm.shared import cut, small_batches
+from microveil.llm.shared import cut, numbered, scan_groups, small_batches
 from microveil.llm.tokens import coder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -107,22 +106,38 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
     return seq, offset, made
 
 
+def _packed(t: pa.Table, length: str, capacity: tuple, weights: tuple, rule: str):
+    """Packs each whole group of a table that is sorted by group."""
+    g = t["g"].to_numpy()
+    if t[length].null_count:
+        raise ValueError("a piece without a length")
+    size = t[length].to_numpy()
+    if len(size) and size.min() < 0:
+        raise ValueError("a piece of negative length")
+    head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    seq, offset = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
+    for lo, hi in zip(head, [*head[1:], len(g)], strict=True):
+        seq[lo:hi], offset[lo:hi], _ = best_fit(size[lo:hi].astype(np.int64), capacity, weights, rule)
+        seq[lo:hi] += g[lo] << 32
+    out = t.drop_columns(["g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
+    yield from out.to_batches()
+
+
 def pack(items: DataFrame, keys: list[str], length_col: str = "length", max_tokens: int = 1024, max_docs: int = 1024, max_cost: int | None = None, weights: tuple = (1.0, 0.01, 0.01), rule: str = "norm", group_rows: int = 4096) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset`` (place in it, gapless from 0).
 
-    ``items`` is cut (checkpointed) first, as it is counted and then packed. ``keys``
-    only deal rows out. A null or negative length is an error; an empty table gives an
-    empty result. Columns called sequence_id or offset are replaced.
+    ``items`` is cut (checkpointed) first, as it is counted and then packed; rows are dealt to
+    groups by their number in that copy, so null, repeated or common ids don't gather. ``keys``
+    order equally long pieces of a group. A null or negative length is an error; an empty
+    table gives an empty result. Columns called sequence_id or offset are replaced.
     """
-    items = cut(items.drop("sequence_id", "offset"))
-    groups = max(1, -(-items.count() // group_rows))
+    kept = items.drop("sequence_id", "offset")
+    base, length, *order = numbered(kept, length_col, *keys)
+    base = cut(base)
+    groups = max(1, -(-base.count() // group_rows))
     capacity = (float(max_tokens), float(max_docs), float(max_cost if max_cost is not None else max_tokens**2))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        g = int(p.pop("_g").iloc[0])
-        p = p.sort_values(keys, kind="stable")
-        seq, offset, _ = best_fit(p[length_col].to_numpy(np.int64), capacity, weights, rule)
-        return p.assign(sequence_id=seq + (g << 32), offset=offset)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return items.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(groups))).groupBy("_g").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    dealt = base.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
+    work = partial(_packed, length=length, capacity=capacity, weights=weights, rule=rule)
+    out = dealt.repartition("g").sortWithinPartitions("g", *order).mapInArrow(lambda bs: scan_groups(bs, ["g"], work, 1024), f"{fields}, sequence_id long, offset long")
+    return out.toDF(*kept.columns, "sequence_id", "offset")
