@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from microveil.llm import textscan as T
-from microveil.llm.shared import held_out, small_batches, training_texts
-from microveil.llm.toxicity import buffer_of
+from microveil.llm.shared import held_out, small_batches, training_rows
 
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
 
@@ -110,12 +109,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 120, pair_rounds: int = 30, rate: float = 0.15) -> dict | None:
-    """The model, or None where a class is missing."""
-    if len(set(labels)) < 2:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30, rate: float = 0.15) -> dict | None:
+    """The model of features x (a row per text) and labels y, or None where a class is missing."""
+    if len(set(y.tolist())) < 2:
         return None
-    x = np.concatenate([features(*buffer_of(texts[i : i + 200])) for i in range(0, len(texts), 200)])
-    y = np.array(labels, float)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     bins = [np.searchsorted(e, c, side="right") for e, c in zip(edges, x.T, strict=True)]
     tables = [np.zeros(len(e) + 1) for e in edges]
@@ -155,6 +152,13 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
     return sigmoid(f)
 
 
+def _described(batches):
+    """Features of each text."""
+    for b in batches:
+        for first, last, data, off in T.chunks(b.column(2)):
+            yield pa.RecordBatch.from_arrays([b.column(j).slice(first, last - first) for j in (0, 1)] + [pa.array(list(features(data, off)), pa.list_(pa.float64()))], names=["_id", "_y", "x"])
+
+
 def _score(batches, shared):
     model = shared.value
     for b in batches:
@@ -175,7 +179,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     small_batches(docs.sparkSession)
     base = docs.drop("held_out", "score", "predicted")
-    model = docs.sparkSession.sparkContext.broadcast(fit(*training_texts(docs, labels, label, folds, fold, per_class, id_col, text_col)))
+    learn = training_rows(docs, labels, label, folds, fold, per_class, id_col, text_col).select("_id", "_y", "_text").mapInArrow(_described, "_id long, _y int, x array<double>")
+    # numbers only come to the driver: one row of features an id, equal ones once
+    rows = learn.groupBy("_id").agg(F.max("_y").alias("y"), F.min("x").alias("x")).groupBy("x").agg(F.max("y").alias("y"), F.min("_id").alias("i")).orderBy("i").collect()
+    model = docs.sparkSession.sparkContext.broadcast(fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)))
     names = [f"_c{i}" for i in range(len(base.columns))]
     rows = base.toDF(*names).select(F.coalesce(F.col(names[base.columns.index(text_col)]).cast("string"), F.lit("")).alias("_t"), *names)
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, base.schema, strict=True))

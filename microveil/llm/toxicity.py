@@ -8,9 +8,11 @@ features, a bias and the transitions) are then fitted to all labelled tokens of
 sample's sentences by gradient ascent on the conditional likelihood; last, two sums of
 the marginals are calibrated to document labels by logistic regression.
 
-Scoring: chains are sentences (a longer one is cut after ``CHAIN`` tokens). Forward and
-backward messages of two states are one ratio each, so all chains of about a length run
-together. Every word of every text is scored; cost is linear in bytes.
+Scoring: chains are sentences, of any length. Forward and backward messages of two states
+are one ratio each, and a step is a 2 x 2 matrix; chains are worked on in pieces of
+``CHAIN`` tokens, all pieces of about a length together, after products of the matrices have
+carried the messages from piece to piece. Every word of every text is scored; cost is
+linear in bytes.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from microveil.llm import textscan as T
-from microveil.llm.shared import held_out, small_batches, training_texts
+from microveil.llm.shared import held_out, small_batches, training_rows, training_texts
 
+#: Tokens that are stepped through at once; results do not depend on it.
 CHAIN = 64
 BITS = 18
 FEATURES = 6
@@ -59,7 +62,7 @@ def token_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 
 
 def chains(data: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and length of every chain: sentences within texts, cut after CHAIN tokens."""
+    """First token and length of every chain: sentences within texts."""
     n = len(start)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -69,11 +72,51 @@ def chains(data: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.n
     begins[1:] = stops[start[1:]] > stops[start[:-1]]
     begins[first[:-1][first[:-1] < n]] = True
     head = np.flatnonzero(begins)
-    place = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
-    head = np.flatnonzero(place % CHAIN == 0)
     return head, np.diff(np.append(head, n))
 
 
+def pieces(head: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Chains in pieces of up to CHAIN tokens: first token, length, number in the chain, whether it is the chain's last."""
+    count = -(-length // CHAIN)
+    chain = np.repeat(np.arange(len(head)), count)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+    return head[chain] + number * CHAIN, np.minimum(CHAIN, length[chain] - number * CHAIN), number, number == count[chain] - 1
+
+
+def carried(e: np.ndarray, head: np.ndarray, length: np.ndarray, number: np.ndarray, last: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the forward odds at the end of the piece before it, and the backward message at its own end."""
+    came, after = np.ones(len(head)), np.ones(len(head))
+    long = np.flatnonzero(~last | (number > 0))
+    if not len(long):
+        return came, after
+    ahead = np.broadcast_to(np.eye(2), (len(long), 2, 2)).copy()  # of all tokens of a piece but a chain's first
+    back = ahead.copy()
+    for j in range(CHAIN):
+        at = np.flatnonzero(length[long] > j)
+        x = e[head[long[at]] + j]
+        one, zero = np.full_like(x, t[1, 0]), np.full_like(x, t[0, 0])
+        step = np.stack((np.stack((x * t[1, 1], x * t[0, 1]), -1), np.stack((one, zero), -1)), -2)
+        use = at[(number[long[at]] > 0) | (j > 0)]
+        ahead[use] = step[np.isin(at, use)] @ ahead[use]
+        ahead[use] /= ahead[use].max((1, 2), keepdims=True)
+        step = np.stack((np.stack((x * t[1, 1], one), -1), np.stack((x * t[0, 1], zero), -1)), -2)
+        back[at] = back[at] @ step
+        back[at] /= back[at].max((1, 2), keepdims=True)
+    through = lambda m, r: (m[:, 0, 0] * r + m[:, 0, 1]) / (m[:, 1, 0] * r + m[:, 1, 1])
+    place = np.full(len(head), -1)
+    place[long] = np.arange(len(long))
+    order = np.argsort(number[long], kind="stable")
+    edge = np.searchsorted(number[long][order], np.arange(number.max() + 2))
+    for k in range(number.max()):
+        now = long[order[edge[k] : edge[k + 1]]]
+        now = now[~last[now]]
+        came[now + 1] = through(ahead[place[now]], e[head[now]] if k == 0 else came[now])
+    for k in range(number.max(), 0, -1):
+        now = long[order[edge[k] : edge[k + 1]]]
+        after[now - 1] = through(back[place[now]], after[now])
+    return came, after
+
+
 def marginals(score: np.ndarray, head: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Probability of state 1 of every token; also the summed log partition function and the expected transitions.
 
@@ -83,36 +126,38 @@ def marginals(score: np.ndarray, head: np.ndarray, length: np.ndarray, trans: np
     t = np.exp(trans)
     log_z, steps = 0.0, np.zeros((2, 2))
     e = np.exp(np.clip(score, -30, 30))
+    begin, size, number, last = pieces(head, length)
+    came, after = carried(e, begin, size, number, last, t)
     edge = 1
     while edge <= 2 * CHAIN:
-        mine = np.flatnonzero((length <= edge) & (length > edge // 2))
+        mine = np.flatnonzero((size <= edge) & (size > edge // 2))
         edge *= 2
         if not len(mine):
             continue
-        n, most = length[mine], int(length[mine].max())
-        at = head[mine] + np.arange(most)[:, None]
+        n, most, first, r = size[mine], int(size[mine].max()), number[mine] == 0, came[mine]
+        at = begin[mine] + np.arange(most)[:, None]
         real = np.arange(most)[:, None] < n
         em = np.where(real, e[np.minimum(at, len(e) - 1)], 0.0)
         ahead = np.empty((most, len(mine)))  # forward odds
-        back = np.ones((most + 1, len(mine)))
-        ahead[0] = em[0]
-        log_z += np.log1p(em[0]).sum()
+        back = np.empty((most, len(mine)))
+        zero, one_ = np.where(first, 1.0, t[0, 0] + t[1, 0] * r), np.where(first, 1.0, t[0, 1] + t[1, 1] * r)
+        ahead[0] = em[0] * one_ / zero
+        log_z += np.log((zero + em[0] * one_) / np.where(first, 1.0, 1 + r)).sum()
         for j in range(1, most):
             r = ahead[j - 1]
             zero, one_ = t[0, 0] + t[1, 0] * r, t[0, 1] + t[1, 1] * r
             ahead[j] = em[j] * one_ / zero
             log_z += (np.log((zero + em[j] * one_) / (1 + r)) * real[j]).sum()
-        back[most - 1] = 1.0
+        back[most - 1] = after[mine]
         for j in range(most - 2, -1, -1):
             b = em[j + 1] * back[j + 1]
-            back[j] = np.where(real[j + 1], (t[1, 0] + t[1, 1] * b) / (t[0, 0] + t[0, 1] * b), 1.0)
-        odds = ahead * back[:most]
+            back[j] = np.where(real[j + 1], (t[1, 0] + t[1, 1] * b) / (t[0, 0] + t[0, 1] * b), after[mine])
+        odds = ahead * back
         out[at[real]] = (odds / (1 + odds))[real]
-        if most > 1:
-            b = em[1:] * back[1:most]
-            r = ahead[:-1]
-            w = np.stack((np.broadcast_to(t[0, 0], b.shape), t[0, 1] * b, t[1, 0] * r, t[1, 1] * r * b))
-            steps += ((w / w.sum(0)) * real[1:]).sum((1, 2)).reshape(2, 2)
+        b, r = em * back, np.concatenate((came[mine][None], ahead[:-1]))
+        w = np.stack((np.broadcast_to(t[0, 0], b.shape), t[0, 1] * b, t[1, 0] * r, t[1, 1] * r * b))
+        real[0] &= ~first  # a chain's first token has no step
+        steps += ((w / w.sum(0)) * real).sum((1, 2)).reshape(2, 2)
     return out, log_z, steps
 
 
@@ -168,8 +213,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_chains: int = 20_000) -> dict | None:
-    """The model, or None where no text of label 1 or none of label 0 is left."""
+def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_tokens: int = 300_000) -> dict | None:
+    """The model, or None where no text of label 1 or none of label 0 is left.
+
+    Of sentences without a toxic word, a sample of ``clean_tokens`` words from clean texts and
+    half as many from toxic ones is learned from.
+    """
     if len(set(labels)) < 2:
         return None
     n_tokens, firsts, parts, heads, lengths = 0, [np.zeros(1, np.int64)], [], [], []
@@ -206,7 +255,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_chains: int
     rest = np.flatnonzero(~hot & keep[owner[head]] & (y[owner[head]] == 0))
     near = np.flatnonzero(~hot & keep[owner[head]] & (y[owner[head]] == 1))
     rng = np.random.default_rng(0)
-    use = np.concatenate((np.flatnonzero(hot & keep[owner[head]]), rng.permutation(rest)[:clean_chains], rng.permutation(near)[: clean_chains // 2]))
+    some = lambda c, most: (c := rng.permutation(c))[np.cumsum(length[c]) <= most]
+    use = np.concatenate((np.flatnonzero(hot & keep[owner[head]]), some(rest, clean_tokens), some(near, clean_tokens // 2)))
     if not hot.any():
         return None
     tokens = np.concatenate([np.arange(head[c], head[c] + length[c]) for c in use])
@@ -270,10 +320,11 @@ def _score(batches, shared, threshold: float, with_spans: bool):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(scores)), pa.array(spans, kind), *(b.column(j) for j in range(1, b.num_columns))], names=[*names, *b.schema.names[1:]])
 
 
-def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 1200, threshold: float = 0.3, spans: bool = True) -> DataFrame:
+def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 1200, most_bytes: int = 12_000_000, clean_tokens: int = 300_000, threshold: float = 0.3, spans: bool = True) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1), ``predicted`` and ``spans`` (character offsets of toxic words that adjoin).
 
-    Learns from at most ``per_class`` labelled documents of either class, never from those
+    Learns from at most ``per_class`` labelled documents of either class and ``most_bytes`` of
+    text, of which sentences without toxic words give up to ``clean_tokens`` (see ``fit``), never from those
     held out. Null and empty texts have no words and get the score of a text without a toxic
     word; with no text of one class to learn from, all scores are 0. Every row is scored on
     its own, so repeated rows and ids and null ids are allowed. Columns of the new names
@@ -282,7 +333,7 @@ def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.drop("held_out", "score", "predicted", "spans")
-    model = spark.sparkContext.broadcast(fit(*training_texts(docs, labels, label, folds, fold, per_class, id_col, text_col)))
+    model = spark.sparkContext.broadcast(fit(*training_texts(training_rows(docs, labels, label, folds, fold, per_class, id_col, text_col), most_bytes), clean_tokens=clean_tokens))
     names = [f"_c{i}" for i in range(len(base.columns))]
     rows = base.toDF(*names).select(F.coalesce(F.col(names[base.columns.index(text_col)]).cast("string"), F.lit("")).alias("_t"), *names)
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, base.schema, strict=True))
