@@ -15,33 +15,32 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from microveil.llm.shared import cut
+from microveil.llm.shared import cut, numbered
 
 #: Words of host names that label a URL as to be blocked where no stated rule fits; a documented, replaceable seed.
 SEED_TERMS = ("adult", "ads", "bets", "casino", "malware", "phishing", "pills", "porn", "spam", "warez")
 
 
-def parsed(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds host (A-Z in lower case) and path. A null URL or one without ``://`` has both empty."""
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(coalesce(cast(`{url_col}` as string), ''), instr(coalesce(cast(`{url_col}` as string), ''), '://') + 3)")).otherwise(F.lit(""))
-    out = df.withColumn("_rest", rest).withColumn("_host", F.regexp_extract("_rest", r"^[^/?#]*", 0))
-    out = out.withColumn("path", F.regexp_extract(F.expr("substring(_rest, length(_host) + 1)"), r"^[^?#]*", 0))
-    return out.withColumn("host", F.translate("_host", string.ascii_uppercase, string.ascii_lowercase)).drop("_rest", "_host")
+def parsed(urls: DataFrame) -> DataFrame:
+    """Adds host (A-Z in lower case) and path to rows of ``url``. One without ``://`` has both empty."""
+    rest = "if(instr(url, '://') > 0, substring(url, instr(url, '://') + 3), '')"
+    cut_host = F.regexp_extract(F.expr(rest), r"^[^/?#]*", 0)
+    out = urls.withColumns({"host": F.translate(cut_host, string.ascii_uppercase, string.ascii_lowercase), "path": F.regexp_extract(F.expr(rest), r"^[^/?#]*([^?#]*)", 1)})
+    return out
 
 
-def tokens(df: DataFrame, url_col: str = "url") -> DataFrame:
+def tokens(urls: DataFrame) -> DataFrame:
     """Adds ``tokens``: the host's labels and their words, the top-level domain, the first path part, the extension and query keys."""
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
     words = F.flatten(F.transform(labels, lambda x: F.when(F.instr(x, "-") > 0, F.filter(F.split(x, "-"), lambda y: y != "")).otherwise(F.array().cast("array<string>"))))
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    query = F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"\?([^#]*)", 1)
+    query = F.regexp_extract("url", r"\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^[^=]*", 0)), lambda x: x != "")
     named = lambda prefix, xs: F.transform(xs, lambda x: F.concat(F.lit(prefix), x))
     first = F.when(F.size(parts) > 1, F.array(F.element_at(parts, 1))).otherwise(F.array().cast("array<string>"))
     extension = F.filter(F.array(F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1)), lambda x: x != "")
     top = F.when(F.size(labels) > 0, F.array(F.element_at(labels, -1))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("tokens", F.array_distinct(F.concat(named("host:", labels), named("word:", words), named("top:", top), named("path:", first), named("ext:", extension), named("key:", keys))))
+    return urls.withColumn("tokens", F.array_distinct(F.concat(named("host:", labels), named("word:", words), named("top:", top), named("path:", first), named("ext:", extension), named("key:", keys))))
 
 
 def stated(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -50,9 +49,9 @@ def stated(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     ``rules`` are (verdict, "host/path prefix"). Of rules of equal length the one with the
     longer host wins, then the smaller one.
     """
-    spark = urls.sparkSession
-    rows = [(r.split("/", 1)[0].lower(), "/" + r.split("/", 1)[1] if "/" in r else "", r, v) for v, r in rules]
-    known = spark.createDataFrame(rows, "r_host string, r_path string, rule string, rule_verdict string")
+    split = [(r.split("/", 1)[0].lower(), "/" + r.split("/", 1)[1] if "/" in r else "", r, v) for v, r in rules]
+    row = lambda r: F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("r_host", "r_path", "rule", "rule_verdict"), strict=True)])
+    known = urls.sparkSession.range(1).select(F.inline(F.array(*map(row, split)))) if split else urls.sparkSession.range(0).selectExpr("'' AS r_host", "'' AS r_path", "'' AS rule", "'' AS rule_verdict")
     places = urls.select("host", "path").distinct().where("host <> ''")
     labels = F.split("host", r"\.")
     ends = places.withColumn("r_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
@@ -62,12 +61,15 @@ def stated(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
-    """Rules (tokens, n) that at least two labelled URLs support and whose tokens say "block"; labelled has tokens and label (block or allow)."""
-    baskets = labelled.where("size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    total = baskets.count()
-    if not total:
+    """Rules (tokens, n) that at least two labelled URLs support and whose tokens say "block"; labelled has tokens and label (block or allow).
+
+    ``support`` is a share of the URLs labelled block, so that a rare kind of them isn't lost among many allowed ones.
+    """
+    baskets = labelled.where("size(tokens) > 0").select("label", F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    total, bad = baskets.agg(F.count("*"), F.count(F.when(F.col("label") == "block", 1))).first()
+    if bad < 2:  # no rule can have two
         return labelled.select("tokens", F.size("tokens").alias("n")).limit(0)
-    model = FPGrowth(itemsCol="items", minSupport=max(support, 2 / total), minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support * bad, 2) / total), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0] == "label:block").select(F.array_sort("antecedent").alias("tokens"))
     rules = cut(rules.withColumn("n", F.size("tokens")))
     less = rules.select(F.col("tokens").alias("t2"), F.col("n").alias("n2"))
@@ -77,28 +79,33 @@ def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
     return rules.join(covered, "tokens", "left_anti")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", labelled: DataFrame | None = None, seed_terms: tuple = SEED_TERMS, support: float = 0.001, confidence: float = 0.9) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", labelled: DataFrame | None = None, seed_terms: tuple = SEED_TERMS, support: float = 0.01, confidence: float = 0.9) -> DataFrame:
     """``pages`` with host, path, rule (null if none fits), verdict (allow or block) and mined (the tokens of a mined rule, else null).
 
-    Labelled URLs may be given as (url, label); without them URLs that a stated rule fits
-    carry its verdict, others are block where a word of the host is a seed term, else allow.
-    URLs without a host are allowed. Repeated rows are judged alike; extra columns stay, of
-    clashing names the new ones. Empty pages give an empty result.
+    Each distinct URL is judged once. Labelled URLs may be given as (url, label); without them URLs
+    that a stated rule fits carry its verdict, others are block where a word of the host is a seed
+    term, else allow. Mined rules leave out token sets that fewer than ``support`` of the URLs labelled
+    block have, and those found in fewer than two. URLs without a host are allowed. Repeated rows are judged
+    alike; extra columns stay, of clashing names the new ones. Empty pages give an empty result.
     """
-    base = pages.drop("host", "path", "rule", "verdict", "mined")
-    whole = tokens(parsed(base, url_col), url_col).withColumn("_t", F.xxhash64(F.array_sort("tokens")))
-    ruled = whole.join(stated(whole, rules), ["host", "path"], "left")
+    kept = pages.drop("host", "path", "rule", "verdict", "mined")
+    base, col = numbered(kept, url_col)
+    base = base.withColumn("url", F.coalesce(F.col(col).cast("string"), F.lit("")))
+    urls = cut(tokens(parsed(base.select("url").distinct())))
+    ruled = cut(urls.join(stated(urls, rules), ["host", "path"], "left"))
     if labelled is None:
         seeded = F.arrays_overlap("tokens", F.array(*[F.lit(f"{kind}:{x}") for x in seed_terms for kind in ("word", "host")]))
         learn = ruled.where("host <> ''").select("tokens", F.coalesce("rule_verdict", F.when(seeded, "block").otherwise("allow")).alias("label"))
     else:
-        learn = tokens(parsed(labelled.select(F.col("url").alias(url_col), "label"), url_col), url_col).select("tokens", "label")
+        given = labelled.select(F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.col("label").cast("string").alias("label"))
+        learn = tokens(parsed(given)).where("label IS NOT NULL").select("tokens", "label")
     found = mine(learn, support, confidence)
     # inverted index: a rule is looked up by its rarest token only
-    bags = whole.groupBy("_t").agg(F.min("tokens").alias("tokens")).select("_t", "tokens", F.explode("tokens").alias("k"))
+    bags = urls.select("url", "tokens", F.explode("tokens").alias("k"))
     common = bags.groupBy("k").count()
     keyed = found.select(F.col("tokens").alias("mined"), F.explode("tokens").alias("k")).join(common, "k").groupBy("mined").agg(F.min_by("k", F.struct("count", "k")).alias("k"))
-    hits = bags.join(keyed, "k").where("size(array_except(mined, tokens)) = 0").groupBy("_t").agg(F.min("mined").alias("mined"))
-    out = ruled.join(hits, "_t", "left")
+    hits = bags.join(keyed, "k").where("size(array_except(mined, tokens)) = 0").groupBy("url").agg(F.min("mined").alias("mined"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
-    return out.select(*base.columns, "host", "path", "rule", verdict.alias("verdict"), "mined")
+    judged = ruled.join(hits, "url", "left").select("url", "host", "path", "rule", verdict.alias("verdict"), "mined")
+    old = [F.col(c).alias(n) for c, n in zip(base.columns, kept.columns, strict=False)]
+    return base.join(judged, "url", "left").select(*old, "host", "path", "rule", "verdict", "mined")

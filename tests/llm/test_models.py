@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from microveil.llm import chat_format, packing, quality_gam, secret_scan, tokens, toxicity, url_rules
+from microveil.llm.shared import training_rows, training_texts
 
 
 # packing
@@ -74,6 +76,53 @@ def test_every_capacity_holds(rule):
         packing.best_fit(np.array([300]), (200.0, 5.0, 1e9), (1.0, 0.0, 0.0), rule)
 
 
+def plain_best_fit(lengths, capacity, weights, rule):
+    """The rule written out piece by piece over all open sequences."""
+    bins, out = [], [None] * len(lengths)
+    for at in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        x = int(lengths[at])
+        need = (x, 1, x * x)
+        best = None
+        for b, left in enumerate(bins):
+            if all(n <= r for n, r in zip(need, left, strict=True)):
+                share = [(r / c, n / c, (r - n) / c) for r, n, c in zip(left, need, capacity, strict=True)]
+                score = -sum(w * n * r for w, (r, n, _) in zip(weights, share, strict=True)) if rule == "dot" else sum((w * d) ** 2 for w, (_, _, d) in zip(weights, share, strict=True))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, b)
+        if best is None:
+            bins.append(list(capacity))
+            best = (0, len(bins) - 1)
+        out[at] = (best[1], capacity[0] - bins[best[1]][0])
+        bins[best[1]] = [r - n for r, n in zip(bins[best[1]], need, strict=True)]
+    return out, len(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(200.0, 200.0, 40000.0), (200.0, 4.0, 9000.0)])
+def test_placement_against_a_plain_best_fit(rule, capacity):
+    for seed in range(4):
+        n = np.random.default_rng(seed).integers(1, 90, 150)
+        seq, offset, made = packing.best_fit(n, capacity, (1.0, 0.3, 0.2), rule)
+        want, count = plain_best_fit(n, capacity, (1.0, 0.3, 0.2), rule)
+        assert made == count and list(zip(seq.tolist(), offset.tolist(), strict=True)) == [(a, int(b)) for a, b in want]
+
+
+def test_packing_deals_by_row(spark):
+    """Large ids beside null ones stay what they are, null ids spread, and a second limit binds."""
+    big = (1 << 53) + 1
+    items = spark.createDataFrame([(None if i % 2 else big + i, 0, 10, "x") for i in range(2000)], "doc_id long, piece int, length long, g string").repartition(3)
+    out = packing.pack(items, ["doc_id", "piece"], group_rows=100, max_docs=5).toPandas()
+    ids = [r["doc_id"] for r in packing.pack(items, ["doc_id", "piece"], group_rows=100).where("doc_id IS NOT NULL").select("doc_id").collect()]
+    assert sorted(ids) == [big + i for i in range(0, 2000, 2)]
+    assert out.groupby("sequence_id").size().max() == 5 and (out.sequence_id.to_numpy() >> 32).max() == 19 and (out.g == "x").all()
+    groups = out[out.doc_id.isna()].groupby(out.sequence_id.to_numpy()[out.doc_id.isna()] >> 32).size()
+    assert len(groups) == 20 and groups.max() < 120
+    cost = packing.pack(items, ["doc_id"], group_rows=500, max_cost=250).toPandas()
+    assert cost.groupby("sequence_id").size().max() == 2
+    with pytest.raises(Exception, match="without a length"):
+        packing.pack(items.withColumn("length", F.lit(None).cast("long")), ["doc_id"]).count()
+
+
 def test_best_fit_prefers_the_tightest():
     seq, _, made = packing.best_fit(np.array([60, 70, 30, 40]), (100.0, 10.0, 1e9), (1.0, 0.0, 0.0), "norm")
     assert made == 2 and seq[0] == seq[3] and seq[1] == seq[2]
@@ -148,7 +197,9 @@ def test_toxic_spans(spark):
     assert toxicity.tag(docs.limit(0), labels).count() == 0
 
 
-def test_marginals_against_enumeration():
+@pytest.mark.parametrize("chain", [64, 3, 1])
+def test_marginals_against_enumeration(monkeypatch, chain):
+    monkeypatch.setattr(toxicity, "CHAIN", chain)
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 9):
         score, trans = rng.normal(size=n), rng.normal(size=(2, 2))
@@ -157,13 +208,75 @@ def test_marginals_against_enumeration():
             weight[tags] = np.exp(sum(s for s, t in zip(score, tags, strict=True) if t) + sum(trans[a, b] for a, b in itertools.pairwise(tags)))
         z = sum(weight.values())
         want = [sum(w for t, w in weight.items() if t[i]) / z for i in range(n)]
-        got, _, steps = toxicity.marginals(score, np.array([0]), np.array([n]), trans)
-        assert np.allclose(got, want)
+        got, log_z, steps = toxicity.marginals(score, np.array([0]), np.array([n]), trans)
+        assert np.allclose(got, want) and log_z == pytest.approx(_log_z(score, trans))
         assert steps.sum() == pytest.approx(n - 1)
         pairs = sum(w for t, w in weight.items() for a, b in itertools.pairwise(t) if a and b) / z
         assert steps[1, 1] == pytest.approx(pairs)
 
 
+def _log_z(score, trans):
+    """As the chain's messages are scaled: without what the steps out of either state weigh alone."""
+    a = np.array([0.0, score[0]])
+    for x in score[1:]:
+        a = np.logaddexp(a[0] + trans[0], a[1] + trans[1]) + np.array([0.0, x])
+    return np.logaddexp(*a)
+
+
+def test_long_sentences_keep_their_context(monkeypatch):
+    rng = np.random.default_rng(5)
+    length = np.array([1, 200, 64, 65, 5000, 3])
+    head = np.concatenate(([0], np.cumsum(length)[:-1]))
+    score, trans = rng.normal(size=length.sum()), rng.normal(size=(2, 2))
+    monkeypatch.setattr(toxicity, "CHAIN", 10_000)
+    whole = toxicity.marginals(score, head, length, trans)
+    monkeypatch.setattr(toxicity, "CHAIN", 64)
+    cut = toxicity.marginals(score, head, length, trans)
+    assert np.allclose(whole[0], cut[0]) and whole[1] == pytest.approx(cut[1]) and np.allclose(whole[2], cut[2])
+
+
+def test_document_scores_against_a_plain_version(spark):
+    """Scores of the job are those of the same model applied text by text, with sums over single tokens."""
+    docs, labels = labelled(spark, "toxic", 120)
+    model = toxicity.fit(*training_texts(training_rows(docs, labels, "toxic", 4, 2, 1200), 12_000_000))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in toxicity.tag(docs.where("doc_id is null or doc_id <> 10002"), labels).collect())
+    want = []
+    for i, text in ((r["doc_id"], r["text"]) for r in docs.where("doc_id is null or doc_id <> 10002").collect()):
+        start, _, first, feats, head, length = toxicity.scanned(*toxicity.buffer_of([text or ""]))
+        s = sum((model["w"][(f >> np.uint64(64 - toxicity.BITS)).astype(int)] for f in feats), np.full(len(start), model["bias"]))
+        m = np.concatenate([toxicity.marginals(s[h : h + n], np.array([0]), np.array([n]), model["trans"])[0] for h, n in zip(head, length, strict=True)] or [np.zeros(0)])
+        top = max([float(np.clip(np.log(p / (1 - p)), -12, 12)) for p in m], default=-12.0)
+        x = top * model["out"][0] + np.log1p(sum(p for p in m if p >= 0.5)) * model["out"][1] + model["out"][2]
+        want.append((i if i is not None else -1, 1 / (1 + np.exp(-x))))
+    want.sort()
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
+
+
+def test_training_sample_is_bounded(spark):
+    docs, labels = labelled(spark, "toxic", 120)
+    rows = training_rows(docs, labels, "toxic", 4, 2, 30)
+    texts, y = training_texts(rows, 4_000)
+    assert 0 < sum(len(t.encode()) for t in texts) <= 4_000 and set(y) == {0, 1} and len(set(texts)) == len(texts)
+    assert training_texts(rows, 0) == ([], [])
+
+
+def test_quality_scores_against_sums_of_tables(spark):
+    docs, labels = labelled(spark, "quality", 120)
+    out = {r["doc_id"]: r["score"] for r in quality_gam.score(docs.where("doc_id < 120"), labels).collect()}
+    rows = training_rows(docs.where("doc_id < 120"), labels, "quality", 5, 0, 2500).orderBy("_id").collect()
+    one = lambda t: quality_gam.features(*toxicity.buffer_of([t]))[0]
+    seen = {}
+    for r in rows:
+        seen.setdefault(tuple(one(r["_text"])), r["_y"])
+    model = quality_gam.fit(np.array(list(seen)), np.array(list(seen.values()), float))
+    for r in docs.where("doc_id < 120").collect():
+        x = one(r["text"])
+        f = model["bias"] + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(x, model["edges"], model["tables"], strict=True))
+        for (i, j), t in model["pairs"].items():
+            f += t[sum(x[i] >= e for e in model["coarse"][i])][sum(x[j] >= e for e in model["coarse"][j])]
+        assert out[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-9)
+
+
 def test_quality(spark):
     docs, labels = labelled(spark, "quality")
     out = quality_gam.score(docs, labels).toPandas()
@@ -232,6 +345,39 @@ def test_urls(spark):
     assert url_rules.judge(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("urls", [["http://casino.com/a"], ["http://a.com/"], [None], ["x"], ["http://casino.com/a", "http://casino.com/a"]])
+def test_few_urls(spark, urls):
+    pages = spark.createDataFrame([(i, u, "t", "r", 1) for i, u in enumerate(urls)], "page_id long, url string, tokens string, _rest string, rule_verdict int")
+    got = url_rules.judge(pages, []).collect()
+    assert len(got) == len(urls) and all((r["tokens"], r["_rest"], r["rule_verdict"], r["verdict"], r["rule"]) == ("t", "r", 1, "allow", None) for r in got)
+
+
+def test_urls_against_a_plain_version(spark):
+    rng = random.Random(3)
+    rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "b.example.com/"), ("block", "org")]
+    urls = [f"http://{rng.choice(['a.', 'b.', 'casino-', 'x.casino.', ''])}{rng.choice(['Example', 'other', 'spam'])}.{rng.choice(['com', 'net', 'org', 'fr'])}{rng.choice(['/en/', '/de/', '/', ''])}{rng.randint(1, 9)}{rng.choice(['?a=1', '#x', ''])}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_rules.judge(pages, rules).collect()}
+    label = {}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.lower()
+        fits = [(len(r), r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1] if "/" in r else "")]
+        rule = max(fits)[1:] if fits else (None, None)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule[0])
+        if rule[0]:
+            assert got[i]["verdict"] == rule[1]
+        words = {w for x in host.split(".") for w in (x, *x.split("-"))}
+        label[i] = rule[1] or ("block" if words & set(url_rules.SEED_TERMS) else "allow")
+    # what the mined rules say of other URLs follows their tokens, and most seeded ones are found
+    mined = [i for i in got if got[i]["rule"] is None]
+    assert all((got[i]["verdict"] == "block") == (got[i]["mined"] is not None) for i in mined)
+    seeded = [i for i in mined if label[i] == "block"]
+    assert seeded and np.mean([got[i]["verdict"] == "block" for i in seeded]) > 0.9
+
+
 def test_mined_rules_are_confident_and_minimal(spark):
     rows = [(["a", "b"], "block")] * 9 + [(["a"], "allow")] * 3 + [(["b", "c"], "block")] * 4 + [(["d"], "block")] * 1
     found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.1, 0.9)
