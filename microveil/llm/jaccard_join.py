@@ -17,14 +17,19 @@ How it stays linear-ish and whole:
    In close joins (0.85 or more) shingles are posted by size class (powers of two), as sets
    that differ much in size can't link.
 3. Shingles in one prefix only are gone after a partial aggregation; each other
-   shingle gets a pivot, the smallest document that has it. Documents meet at
-   pivots carrying their prefixes, so a pair's matches are counted in one place
-   and no row per pair and shingle is made. A pivot with much weight is dealt
-   out in blocks.
-4. Pairs that pass the match count, the length filter and the bound that
+   shingle gets a pivot, the smallest document that has it.
+4. A document that shares much of its prefix with one pivot is compared with that
+   document first. If they link, it takes the pivot's label: documents of one label
+   are connected already and need not meet. So a large group of near copies costs one
+   comparison each, not all its pairs.
+5. Documents of different labels meet at their pivots carrying their prefixes, so a
+   pair's matches are counted in one place and no row per pair and shingle is made. A
+   pivot with much weight is dealt out in blocks: those with its own label meet only the
+   others, the others each other as well.
+6. Pairs that pass the match count, the length filter and the bound that
    unmatched prefix shingles put on the overlap are verified on whole texts;
    pairs already connected inside their block are skipped.
-5. Components of the links, then of the copies.
+7. Components of the links, then of the copies.
 """
 
 from __future__ import annotations
@@ -45,10 +50,14 @@ BLOCKS = 256
 SEEN_BITS = 25
 #: Shingles of the documents that meet in one block of a pivot, about.
 BLOCK_SHINGLES = 500_000
-#: From this similarity (in hundredths) on prefixes are short: a longer l and posting by size class then cost little and save meetings.
+#: Documents that are compared with their pivot at once.
+STAR = 256
+#: Chunks of documents with the pivot's label are numbered from here.
+MAIN = 1 << 20
+#: From this similarity (in hundredths) on prefixes are short: posting by size class then costs little and saves meetings.
 CLOSE = 85
-#: For close and for other joins: l is at least this, or the size of the set over the second if that is more, and at most the third above that; never more than partners share.
-CLOSE_L, OTHER_L = (12, 32, 4), (6, 1 << 30, 2)
+#: For close and for other joins: l is at least this, or the size of the set over the second if that is more; never more than partners share.
+CLOSE_L, OTHER_L = (12, 32), (6, 1 << 30)
 SLOTS = 1 << 19
 
 
@@ -118,7 +127,7 @@ def _sql_needed(n: str, percent: int) -> str:
 def _prefixes(k: int, percent: int, ranks, base: float):
     names = ["id", "n", "l", "size", "last", "prefix"]
 
-    least_l, part, more = CLOSE_L if percent >= CLOSE else OTHER_L
+    least_l, part = CLOSE_L if percent >= CLOSE else OTHER_L
 
     def run(batches):
         rank = ranks.value
@@ -134,10 +143,9 @@ def _prefixes(k: int, percent: int, ranks, base: float):
                 need = _needed(n, percent)
                 short = n - need
                 least = min(max(least_l, n // part), need)
-                most = min(max(least_l, n // part) + more, need)
-                load = np.maximum(1.0, 2.0 ** ((key[: short + most] >> np.uint64(56)).astype(float) / 2) - base).cumsum()[short:]
-                # filtering touches every posting; verification costs the sets of those that match l times
-                cost = load + load / np.arange(1, most + 1) * (0.05 * n)
+                load = np.maximum(1.0, 2.0 ** ((key >> np.uint64(56)).astype(float) / 2) - base).cumsum()[short:]
+                # every posting is shuffled and looked at; of those that match l times the whole sets are read
+                cost = 2 * load + load / np.arange(1, need + 1) * (0.05 * n)
                 l = int(cost[least - 1 :].argmin()) + least
                 size = short + l
                 # partners are about as large, so a shingle is posted by size class: the set's own, and those of smaller partners
@@ -150,61 +158,91 @@ def _prefixes(k: int, percent: int, ranks, base: float):
     return run
 
 
+def _starred(k: int, percent: int):
+    """Links of documents with the pivot of their group; whole groups."""
+
+    def work(t: pa.Table):
+        p, c, ids, want, own = (t[x].to_numpy(zero_copy_only=False) for x in ("p", "c", "id", "s1", "own"))
+        head = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (c[1:] != c[:-1]))))
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(head, [*head[1:], len(p)], strict=True):
+            sets = {}
+            for i, s in sets_of(t["text"].slice(lo, hi - lo).combine_chunks(), k):
+                if signature(s)[0] == want[lo + i]:  # of repeated ids, the row that the set is from
+                    sets[int(ids[lo + i]), bool(own[lo + i])] = s
+            middle = sets.get((int(p[lo]), True))
+            if middle is None:
+                continue
+            for (x, is_pivot), s in sets.items():
+                if not is_pivot:
+                    both = len(np.intersect1d(middle, s, assume_unique=True))
+                    if 100 * both >= percent * (len(middle) + len(s) - both):
+                        found.append((x, int(p[lo])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return work
+
+
 def _surviving(percent: int):
-    """Per document of a block: the smaller documents it may link with."""
+    """Per document of a block: the documents of other labels before it that it may link with."""
 
     def work(t: pa.Table):
         p, a, b, c = (t[x].to_numpy() for x in ("p", "a", "b", "c"))
-        n, l, size, last, ids = (t[x].to_numpy() for x in ("n", "l", "size", "last", "id"))
+        n, l, size, last, ids, label = (t[x].to_numpy() for x in ("n", "l", "size", "last", "id", "label"))
         group = np.concatenate(([0], np.cumsum((p[1:] != p[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        order = np.lexsort((ids, n, group))
-        tokens = t["tokens"].combine_chunks()
-        off, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-        at_pivot, names = t["at"].combine_chunks(), t["pivots"].combine_chunks()
+        order = np.lexsort((ids, n, label, group))
+        tokens, at_pivot, names = (t[x].combine_chunks() for x in ("tokens", "at", "pivots"))
+        off = tokens.offsets.to_numpy()
+        counts = np.diff(off)
+        flat = tokens.values.to_numpy()[off[0] : off[-1]]
         # a shingle is known by 32 bits of its key and by its pivot; a chance match of both only adds a candidate
-        to = names.values.to_numpy()[np.repeat(names.offsets.to_numpy()[:-1], np.diff(off)) + at_pivot.values.to_numpy()[at_pivot.offsets[0].as_py() : at_pivot.offsets[-1].as_py()] - 1]
+        to = names.values.to_numpy()[np.repeat(names.offsets.to_numpy()[:-1], counts) + at_pivot.values.to_numpy()[at_pivot.offsets[0].as_py() : at_pivot.offsets[-1].as_py()] - 1]
         where = np.empty(len(ids), np.int64)
         where[order] = np.arange(len(ids))
-        counts = np.diff(off)
-        event_row = where[np.repeat(np.arange(len(ids)), counts)]
-        event = np.arange(off[0], off[-1])
-        flat_t = flat[event]
-        event_group = np.repeat(group, counts)
-        run = np.lexsort((event_row, flat_t, event_group))
-        same = np.concatenate(([False], (flat_t[run][1:] == flat_t[run][:-1]) & (event_group[run][1:] == event_group[run][:-1])))
-        begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(run))))
-        rows = event_row[run]
+        event_row, event_group = np.repeat(where, counts), np.repeat(group, counts)
+        run = np.lexsort((event_row, to, flat, event_group))
+        rows, to_run = event_row[run], to[run]
+        fresh = np.concatenate(([True], (flat[run][1:] != flat[run][:-1]) | (to_run[1:] != to_run[:-1]) | (event_group[run][1:] != event_group[run][:-1]))) if len(run) else np.zeros(0, bool)
+        label_o = label[order]
+        other = fresh.copy()
+        other[1:] |= label_o[rows[1:]] != label_o[rows[:-1]]
+        # of each event, where the shingle begins and where those of its own label begin
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+        mine = np.maximum.accumulate(np.where(other, np.arange(len(run)), 0))
         place = np.empty(len(run), np.int64)
         place[run] = np.arange(len(run))
-        starts = np.concatenate(([0], np.cumsum(counts)))
-        n_o, l_o, size_o, last_o, c_o, ids_o, g_o = n[order], l[order], size[order], last[order], c[order], ids[order], group[order]
+        starts = off - off[0]
+        n_o, l_o, size_o, last_o, c_o, ids_o = n[order], l[order], size[order], last[order], c[order], ids[order]
         cross = (a != b)[order]
-        partners: dict[int, list[int]] = {}
+        partners: dict[int, np.ndarray] = {}
+        named = np.zeros(len(ids), bool)
         for i, orig in enumerate(order):
             at = place[starts[orig] : starts[orig + 1]]
-            pieces = [rows[begin[x] : x] for x in at if begin[x] < x]
-            if not pieces:
+            long = mine[at] - begin[at]
+            total = int(long.sum())
+            if not total:
                 continue
-            js, hits = np.unique(np.concatenate(pieces), return_counts=True)
-            ok = (100 * n_o[js] >= percent * n_o[i]) & (hits >= np.minimum(l_o[js], l_o[i]))
+            spot = np.repeat(begin[at] - np.cumsum(long) + long, long) + np.arange(total)
+            js, which, hits = np.unique(rows[spot], return_inverse=True, return_counts=True)
+            low = np.full(len(js), np.iinfo(np.int64).max)
+            np.minimum.at(low, which, np.repeat(to_run[at], long))
+            small, large = np.minimum(n_o[js], n_o[i]), np.maximum(n_o[js], n_o[i])
+            left = np.where(last_o[js] <= last_o[i], n_o[js] - size_o[js], n_o[i] - size_o[i])
+            ok = (100 * small >= percent * large) & (hits >= np.minimum(l_o[js], l_o[i])) & ((100 + percent) * (hits + left) >= percent * (small + large))
+            ok &= low == p[orig]  # met at several pivots: counts at the smallest
             if cross[i]:
                 ok &= c_o[js] != c_o[i]
-            js, hits = js[ok], hits[ok]
-            left = np.where(last_o[js] <= last_o[i], n_o[js] - size_o[js], n_o[i] - size_o[i])
-            js = js[(100 + percent) * (hits + left) >= percent * (n_o[js] + n_o[i])]
-            if not len(js):
-                continue
-            mine = dict(zip(flat[off[orig] : off[orig + 1]].tolist(), to[off[orig] - off[0] : off[orig + 1] - off[0]].tolist(), strict=True))
-            for j in js.tolist():
-                x, y = off[order[j]], off[order[j] + 1]
-                if min((q for k, q in zip(flat[x:y].tolist(), to[x - off[0] : y - off[0]].tolist(), strict=True) if mine.get(k) == q), default=None) == p[orig]:  # met at several pivots: counts at the smallest
-                    partners.setdefault(i, []).append(j)
-        named = sorted({*partners, *(j for v in partners.values() for j in v)})
-        if named:
-            src = order[named]
+            if ok.any():
+                partners[i] = ids_o[js[ok]]
+                named[js[ok]] = named[i] = True
+        rows_out = np.flatnonzero(named)
+        if len(rows_out):
+            src = order[rows_out]
+            none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(p[src]), pa.array(a[src]), pa.array(b[src]), pa.array(ids_o[named]), pa.array([ids_o[partners.get(i, [])].tolist() for i in named], pa.list_(pa.int64()))],
-                names=["p", "a", "b", "id", "partners"],
+                [pa.array(p[src]), pa.array(a[src]), pa.array(b[src]), pa.array(ids_o[rows_out]), pa.array(label_o[rows_out]), pa.array([partners.get(i, none) for i in rows_out.tolist()], pa.list_(pa.int64()))],
+                names=["p", "a", "b", "id", "label", "partners"],
             )
 
     return work
@@ -214,21 +252,23 @@ def _verified(k: int, percent: int):
     def work(t: pa.Table):
         found: list[tuple[int, int]] = []
         keys = list(zip(*(t[x].to_pylist() for x in ("p", "a", "b")), strict=True))
-        ids, want, text, partners = t["id"].to_pylist(), t["s1"].to_pylist(), t["text"], t["partners"].to_pylist()
+        ids, want, text, partners, labels = t["id"].to_pylist(), t["s1"].to_pylist(), t["text"], t["partners"].to_pylist(), t["label"].to_pylist()
         edge = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
         for lo, hi in zip(edge, edge[1:], strict=False):
-            sets, need = {}, {}
+            sets, need, label = {}, {}, {}
             for i, s in sets_of(text.slice(lo, hi - lo).combine_chunks(), k):
                 if ids[lo + i] not in sets and signature(s)[0] == want[lo + i]:  # of repeated ids, the row that the set is from
                     sets[ids[lo + i]] = s
                     need[ids[lo + i]] = partners[lo + i]
+                    label[ids[lo + i]] = labels[lo + i]
             names = sorted(sets)
             local = {x: j for j, x in enumerate(names)}
             vocabulary, codes = np.unique(np.concatenate([sets[x] for x in names]) if names else np.zeros(0, np.uint64), return_inverse=True)
             size = np.array([len(sets[x]) for x in names])
             at = np.concatenate(([0], np.cumsum(size)))
             mark = np.zeros(len(vocabulary), np.int64)
-            root = list(range(len(names)))
+            first: dict[int, int] = {}
+            root = [first.setdefault(label[x], j) for j, x in enumerate(names)]  # what one label has is connected
 
             def top(x: int, root=root) -> int:
                 while root[x] != x:
@@ -288,21 +328,40 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     mine = mine.withColumn("pivots", F.array_sort(F.array_distinct("x.p"))).withColumns({"tokens": F.expr("transform(x.token, y -> hash(y))"), "at": F.expr("transform(x.p, y -> cast(array_position(pivots, y) as int))")})
     # the matches of a pair that meets at its smallest common pivot p have pivots of p or more, and no partner asks for fewer than this
     smallest = _sql_needed("n", percent)
-    least_l, part, _ = CLOSE_L if percent >= CLOSE else OTHER_L
+    least_l, part = CLOSE_L if percent >= CLOSE else OTHER_L
     fewest = F.expr(f"least(l, greatest({least_l}, {smallest} div {part}), {_sql_needed(smallest, percent)})")
     mine = mine.withColumn("few", fewest)
+
+    def texts(rows: DataFrame) -> DataFrame:
+        # most texts meet nothing: what has no id in a slot of theirs isn't shuffled (SLOTS rows at most are broadcast)
+        slots = rows.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")).distinct()
+        wanted = source.join(F.broadcast(slots), F.pmod(F.xxhash64("id"), F.lit(SLOTS)) == F.col("slot"), "left_semi")
+        return rows.join(wanted, "id")
+
+    most = F.array_max(F.expr("transform(pivots, p -> struct(size(filter(x.p, y -> y = p)) as c, -p as m))"))
+    near = mine.select("id", "s1", "few", most.alias("m")).where("m.c >= few AND -m.m <> id").select(F.expr("-m.m").alias("p"), "id", "s1")
+    near = cut(near)
+    spread = near.groupBy("p").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("g"))
+    around = near.join(spread, "p").select("p", F.pmod(F.xxhash64("id"), "g").cast("int").alias("c"), "id", "s1", F.lit(False).alias("own"))
+    middle = spread.select("p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("c"), F.col("p").alias("id")).join(reps.select("id", "s1"), "id").select("p", "c", "id", "s1", F.lit(True).alias("own"))
+    stars = texts(around.unionByName(middle)).repartition("p", "c").sortWithinPartitions("p", "c")
+    stars = cut(stars.mapInArrow(lambda bs: scan_groups(bs, ["p", "c"], _starred(k, percent), 512), "a long, b long"))
+
+    mine = mine.join(stars.select(F.col("a").alias("id"), F.col("b").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     met = mine.withColumn("p", F.explode(F.expr("filter(pivots, p -> size(filter(x.p, y -> y >= p)) >= few)")))
-    weight = met.groupBy("p").agg(F.count("*").alias("m"), F.sum(F.col("n") + F.size("tokens")).alias("w")).where("m > 1").select("p", F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int").alias("g"))
-    met = met.join(weight, "p").withColumn("c", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    own, load = F.col("label") == F.col("p"), F.col("n") + F.size("tokens")
+    blocks = lambda w: F.ceil(F.sum(w) / F.lit(BLOCK_SHINGLES)).cast("int")
+    weight = met.groupBy("p").agg(F.min("label").alias("x"), F.max("label").alias("y"), blocks(load).alias("g"), blocks(F.when(own, load).otherwise(0)).alias("gm"), blocks(F.when(own, 0).otherwise(load)).alias("go")).where("x <> y").drop("x", "y")
+    met = met.join(weight, "p").withColumn("h", F.xxhash64("id"))
+    chunk = F.when(F.col("g") == 1, 0).when(own, F.lit(MAIN) + F.pmod("h", "gm")).otherwise(F.pmod("h", "go")).cast("int")
+    theirs = F.when(F.col("g") == 1, F.array(F.lit(0))).when(own, F.expr("sequence(0, go - 1)")).otherwise(F.expr(f"concat(sequence(0, go - 1), transform(if(gm > 0, sequence(0, gm - 1), array()), i -> {MAIN} + i))"))
+    met = met.withColumn("c", chunk).withColumn("o", F.explode(theirs))
     # a block holds the documents of chunks a <= b; where they differ, only pairs across them count
-    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "n", "l", "size", "last", "tokens", "at", "pivots")
-    near = met.repartition("p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _surviving(percent)), "p long, a int, b int, id long, partners array<long>")
-    near = cut(near)
-    # most texts meet nothing: what has no id in a slot of theirs isn't shuffled (SLOTS rows at most are broadcast)
-    slots = near.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")).distinct()
-    wanted = source.join(F.broadcast(slots), F.pmod(F.xxhash64("id"), F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    near = near.join(reps.select("id", "s1"), "id").join(wanted, "id")
-    links = near.repartition("p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _verified(k, percent), 2048), "a long, b long")
+    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "label", "n", "l", "size", "last", "tokens", "at", "pivots")
+    pairs = met.repartition("p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _surviving(percent)), "p long, a int, b int, id long, label long, partners array<long>")
+    pairs = cut(pairs)
+    checked = texts(pairs.join(reps.select("id", "s1"), "id")).repartition("p", "a", "b").sortWithinPartitions("p", "a", "b")
+    links = stars.unionByName(checked.mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _verified(k, percent), 2048), "a long, b long"))
     comp = components(links).select(F.col("node").alias("rep"), "component")
     return (
         profile.join(copies, ["n", "s1", "s2"], "left")
