@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-A line goes when an earlier line of the corpus equals it or is within ``tau`` edits
-(insert, delete or change a character) of it. Lines are ordered by doc_id, then by
+A line goes when an earlier line of the corpus equals it or is within a few edits
+(insert, delete or change a character) of it: one edit for every ``share`` characters of the
+shorter line, ``tau`` at most. Lines are ordered by doc_id, then by
 the document's hash, then by place, so the first occurrence of every text stays.
 
 1. Exact: lines meet by 128-bit hash; the first occurrence is a partial aggregate.
@@ -10,10 +11,13 @@ the document's hash, then by place, so the first occurrence of every text stays.
    segment narrow down. Each line posts its segments under (length, segment number,
    hash) and probes the lengths from its own down to tau less with the few substrings
    that can match. Hashes of all substrings come from one prefix sum.
-3. Lines that meet under some key are verified on their texts by banded
-   bit-parallel edit distance, many pairs at a time. A key under which very many
-   lines meet is dealt out in blocks; each line looks for one earlier neighbour only.
-4. Each document keeps the lines that are first and have no earlier neighbour.
+3. A key under which very many lines meet (a segment that a whole family of lines has) is
+   refined: with that segment cut out, what is left of two neighbours is within tau
+   edits too, so its own segments make longer keys. What is still large is dealt out in blocks.
+4. Lines that meet under some key are verified on their texts by banded
+   bit-parallel edit distance, many pairs at a time; each line looks for one earlier
+   neighbour only.
+5. Each document keeps the lines that are first and have no earlier neighbour.
 
 Texts are read again in each step and never collected; only ids and hashes move, then
 the texts of lines that met, then the documents to be rewritten.
@@ -33,6 +37,8 @@ from microveil.llm.shared import cut, scan_groups, small_batches
 
 #: Lines that meet in one block of a key, about; and distinct lines that a task remembers so as not to post them again.
 BLOCK_LINES = 4096
+#: Postings of one key that a task looks at together.
+MOST = 1 << 20
 REMEMBER = 1 << 20
 BLOOM_BITS = 23
 
@@ -132,12 +138,36 @@ def probes(tau: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _keys(batches, least: int, tau: int):
+def tight(lengths: np.ndarray, tau: int, share: int) -> np.ndarray:
+    """Edits that a line of each length bears."""
+    return np.minimum(tau, lengths // share)
+
+
+def postings(h: Prefix, s: np.ndarray, n: np.ndarray, tau: int, share: int, deltas: np.ndarray | None = None):
+    """(rows, keys, own, difference, segment starts, segment lengths) for spans at s of length n: their segments, and the places where those of shorter lines may be.
+
+    With ``deltas`` each span looks for lines shorter by just so much, and those of 0 post their segments.
+    """
+    for delta, i, lo, hi in probes(tau):
+        length = n - delta
+        ok = length >= share if deltas is None else (deltas == delta) & (length >= 0)
+        if not ok.any():
+            continue
+        p, size = segments(np.maximum(length, 0), tau, i)
+        for shift in range(lo, hi + 1):
+            a = s + p + shift
+            fit = np.flatnonzero(ok & (p + shift >= 0) & (p + shift + size <= n))
+            k = h(a[fit], (a + size)[fit])
+            k = T.mix(k + (length[fit] * (tau + 1) + i).astype(np.uint64))
+            yield fit, k & ~np.uint64(1), not delta and not shift, delta, a[fit], size[fit]
+
+
+def _keys(batches, tau: int, share: int):
     """(key, line hash) for every line once a task, as far as it remembers; odd keys are segments of the line itself, even ones probes."""
     seen = np.zeros(0, np.uint64)
     for b in batches:
         for _, _, code, starts, ends, _ in lines_of(b.column(2)):
-            take = np.flatnonzero(_posted(code, starts, ends, least))
+            take = np.flatnonzero(_posted(code, starts, ends, share))
             h = Prefix(code)
             name, at = np.unique(h(starts[take], ends[take]), return_index=True)
             new = ~np.isin(name, seen, assume_unique=True)
@@ -146,27 +176,43 @@ def _keys(batches, least: int, tau: int):
                 seen = np.union1d(seen, name)
             if not len(take):
                 continue
-            s, n = starts[take], ends[take] - starts[take]
             keys, names = [], []
-            for delta, i, lo, hi in probes(tau):
-                length = n - delta
-                ok = length >= least
-                if not ok.any():
-                    continue
-                p, size = segments(length, tau, i)
-                for shift in range(lo, hi + 1):
-                    a = s + p + shift
-                    fit = ok & (p + shift >= 0) & (p + shift + size <= n)
-                    k = h(a[fit], (a + size)[fit])
-                    k = T.mix(k + (length[fit] * (tau + 1) + i).astype(np.uint64))
-                    keys.append(k & ~np.uint64(1) | np.uint64(not delta and not shift))
-                    names.append(name[fit])
+            for fit, k, own, *_ in postings(h, starts[take], ends[take] - starts[take], tau, share):
+                keys.append(k | np.uint64(own))
+                names.append(name[fit])
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(names).astype(np.int64))], names=["key", "h"])
 
 
-def _meetings(t: pa.Table):
-    """Keys that a segment and another line share, with the lines."""
+def _refined(batches, tau: int, share: int):
+    """(longer key, line hash) of lines that meet under a common key: segments of what is left without the one they share."""
+    for b in batches:
+        key, name = (b.column(j).to_numpy().astype(np.uint64) for j in (0, 1))
+        texts = b.column(2).to_pylist()
+        size = np.array([len(x) for x in texts])
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.cumsum(size) - size
+        rest, row, delta_of = [], [], []
+        for fit, k, own, delta, a, n in postings(Prefix(flat), begin, size, tau, share):
+            hit = np.flatnonzero(k == key[fit])
+            for i, x, m in zip(fit[hit].tolist(), a[hit].tolist(), n[hit].tolist(), strict=True):
+                rest.append(np.concatenate((flat[begin[i] : x], flat[x + m : begin[i] + size[i]])))
+                row.append(i)
+                delta_of.append(delta if delta or own else -1)
+        if not rest:
+            continue
+        row, delta_of = np.array(row), np.array(delta_of)
+        code, n = np.concatenate(rest), np.array([len(x) for x in rest])
+        keys, names = [], []
+        for fit, k, own, *_ in postings(Prefix(code), np.cumsum(n) - n, n, tau, share, np.maximum(delta_of, 0)):
+            posts = own & (delta_of[fit] == 0)  # a line posts the rest of its own segment only
+            keys.append(T.mix(k ^ key[row[fit]]) & ~np.uint64(1) | posts.astype(np.uint64))
+            names.append(name[row[fit]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(names).astype(np.int64))], names=["key", "h"])
+
+
+def _meetings(t: pa.Table, part: bool):
+    """Keys that a segment and another line share, with the lines; all lines of a key that comes in parts."""
     key, h = t["key"].to_numpy(), t["h"].to_numpy()
     key, own = key & ~1, (key & 1).astype(bool)
     order = np.lexsort((~own, h, key))
@@ -175,7 +221,7 @@ def _meetings(t: pa.Table):
     key, h, own = key[fresh], h[fresh], own[fresh]  # one row for a line under a key; its own segment wins
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((head, [len(key)])))
-    keep = np.repeat((size > 1) & (np.add.reduceat(own.astype(np.int64), head) > 0), size)
+    keep = np.repeat(part | ((size > 1) & (np.add.reduceat(own.astype(np.int64), head) > 0)), size)
     if keep.any():
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h[keep]), pa.array(own[keep])], names=["key", "h", "own"])
 
@@ -271,7 +317,7 @@ def within(flat: np.ndarray, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: n
     return out
 
 
-def _near(t: pa.Table, tau: int):
+def _near(t: pa.Table, tau: int, share: int):
     """Lines with an earlier line within tau edits among those that met."""
     key, ga, gb, c, own = (t[x].to_numpy() for x in ("key", "a", "b", "c", "own"))
     h, rank = t["h"].to_numpy(), np.array(list(zip(*(t[x].to_pylist() for x in ("id", "rk", "line")), strict=True)), dtype=[("i", "i8"), ("k", "i8"), ("l", "i8")])
@@ -297,7 +343,10 @@ def _near(t: pa.Table, tau: int):
             x, y = x[once], y[once]
             if len(tried) < 1 << 18:
                 tried.update(zip(h[x].tolist(), h[y].tolist(), strict=True))
-            near.update(h[x[within(flat, at[x], size[x], at[y], size[y], tau)]].tolist())
+            bound = tight(np.minimum(size[x], size[y]), tau, share)
+            for most in range(1, tau + 1):
+                u, v = x[bound == most], y[bound == most]
+                near.update(h[u[within(flat, at[u], size[u], at[v], size[v], most)]].tolist())
 
     for lo, hi in zip(head, [*head[1:], len(h)], strict=True):
         idx = np.arange(lo, hi)
@@ -307,7 +356,7 @@ def _near(t: pa.Table, tau: int):
             if h[x] in near:
                 continue
             y = idx[:i]
-            y = y[(own[y] | own[x]) & (np.abs(size[y] - size[x]) <= tau) & (h[y] != h[x])]
+            y = y[(own[y] | own[x]) & (np.abs(size[y] - size[x]) <= tight(np.minimum(size[y], size[x]), tau, share)) & (h[y] != h[x])]
             if ga[x] != gb[x]:
                 y = y[c[y] != c[x]]
             if len(y):
@@ -319,7 +368,10 @@ def _near(t: pa.Table, tau: int):
     if todo:
         verify()
     if near:
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.int64())], names=["h"])
+        # a line is known by 128 bits from here on, the second half from the text that was compared
+        rows = np.flatnonzero(np.isin(h, sorted(near)))
+        second = Prefix(flat, 1 << 40)(at[rows], at[rows] + size[rows])
+        yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(second.astype(np.int64))], names=["h", "h2"])
 
 
 BLANK = "".join(map(chr, range(33))) + "\xa0"
@@ -339,12 +391,13 @@ def _rewritten(batches, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(text_out, pa.string()), pa.array(lines, pa.int32()), pa.array(dropped, pa.int32()), *rest], names=["_text", "n_lines", "n_dropped", *b.schema.names[2:]])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, least: int = 10, least_near: int = 24) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, share: int = 8, least: int = 1) -> DataFrame:
     """``docs`` with the text rewritten, and ``n_lines`` and ``n_dropped`` (columns of these names are replaced).
 
-    Lines are what ``\\n`` separates. Lines of fewer than ``least`` characters or of white
-    space only always stay; only lines of ``least_near`` characters or more can go for
-    a line that isn't equal. A null text stays null; an empty text has one empty line.
+    Lines are what ``\\n`` separates. Lines of white space only always stay, as do lines of fewer
+    than ``least`` characters. A line that equals no earlier one goes for one within as many edits
+    as there are ``share`` characters in the shorter of the two, ``tau`` at most (so lines of
+    fewer than 8 characters only for equal ones). A null text stays null; an empty text has one empty line.
     Rows that repeat an id and a text count as one document and are treated alike; a null
     id comes before all others. An empty table gives an empty result.
     """
@@ -353,22 +406,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     base = docs.drop("n_lines", "n_dropped")
     source = base.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col)).alias("rk"), F.col(text_col).cast("string").alias("text"))
     found = source.mapInArrow(partial(_occurrences, least=least), "id long, rk long, line int, h long, h2 long")
-    firsts = cut(found.groupBy("h", "h2").agg(F.min(F.struct("id", "rk", "line")).alias("f")).select("h", "f.id", "f.rk", "f.line"))
+    firsts = cut(found.groupBy("h", "h2").agg(F.min(F.struct("id", "rk", "line")).alias("f")).select("h", "h2", "f.id", "f.rk", "f.line"))
+
+    def meetings(keys: DataFrame) -> DataFrame:
+        # one of each pair of keys is odd: both halves go to one partition, and sorted they adjoin
+        halves = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+        return cut(halves.mapInArrow(lambda bs: scan_groups(bs, ["key"], _meetings, 65536, lambda k: k >> 1, MOST), "key long, h long, own boolean"))
 
-    keys = source.mapInArrow(partial(_keys, least=least_near, tau=tau), "key long, h long")
-    # one of each pair of keys is odd: both halves go to one partition, and sorted they adjoin
-    met = cut(keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda bs: scan_groups(bs, ["key"], _meetings, 65536, lambda k: k >> 1), "key long, h long, own boolean"))
+    met = meetings(source.mapInArrow(partial(_keys, tau=tau, share=share), "key long, h long"))
     bits = np.zeros((64, (1 << BLOOM_BITS) // 512), np.uint8)  # fixed size, whatever the corpus
     for r in met.select("h").mapInArrow(_bits, "block int, bits binary").repartition("block").mapInArrow(_either, "block int, bits binary").collect():
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     bloom = spark.sparkContext.broadcast(bits.reshape(-1))
-    texts = source.mapInArrow(partial(_texts, least=least_near, bloom=bloom), "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
-    split = met.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_LINES)).cast("int").alias("g"))
+    texts = source.mapInArrow(partial(_texts, least=share, bloom=bloom), "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
+    sized = lambda rows: rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_LINES)).cast("int").alias("g"))
+    common = cut(sized(met).where("g > 1").select("key"))
+    if not common.isEmpty():
+        texts = cut(texts)
+        again = met.join(common, "key").select("key", "h").join(texts, "h").select("key", "h", "text").mapInArrow(partial(_refined, tau=tau, share=share), "key long, h long")
+        met = met.join(common, "key", "left_anti").unionByName(meetings(again))
     place = firsts.groupBy("h").agg(F.min(F.struct("id", "rk", "line")).alias("f")).select("h", "f.*")
-    dealt = met.join(split, "key").withColumn("c", F.pmod(F.xxhash64("h"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = met.join(sized(met), "key").withColumn("c", F.pmod(F.xxhash64("h"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("key", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "h", "own").join(place.join(texts, "h"), "h")
-    near = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["key", "a", "b"], partial(_near, tau=tau), 4096), "h long").distinct()
-    kept = firsts.join(near, "h", "left_anti").groupBy("id", "rk").agg(F.collect_list("line").alias("kept"))
+    near = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["key", "a", "b"], partial(_near, tau=tau, share=share), 4096), "h long, h2 long").distinct()
+    kept = firsts.join(near, ["h", "h2"], "left_anti").groupBy("id", "rk").agg(F.collect_list("line").alias("kept"))
 
     shape = base.schema
     names = [f"_c{i}" for i in range(len(shape))]

@@ -49,14 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scan_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable, least: int = 8192, of: Callable = lambda k: k) -> Iterator[pa.RecordBatch]:
+def scan_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable, least: int = 8192, of: Callable = lambda k: k, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Feed ``work`` with tables of whole groups from batches that are sorted by ``keys``.
 
-    Small groups come together, at least ``least`` rows at a time; a group is never cut, so
-    the caller bounds its size beforehand. ``of`` maps a key column to what groups go by.
+    Small groups come together, at least ``least`` rows at a time. A group is never cut, so
+    the caller bounds its size beforehand, or sets ``most``: then ``work`` gets a second
+    argument, and a group of more rows comes in parts, each on its own with True. ``of`` maps
+    a key column to what groups go by.
     """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, part = 0, None
+    call = (lambda t, cut_up=False: work(t, cut_up)) if most else (lambda t, cut_up=False: work(t))
+    columns = lambda t: [of(t[k].to_numpy()) for k in keys]
+
+    def led(whole: pa.Table):
+        """Hands on what continues the group that is being cut; the rest."""
+        other = np.flatnonzero(np.any([c != p for c, p in zip(columns(whole), part, strict=True)], axis=0))
+        at = int(other[0]) if len(other) else whole.num_rows
+        return whole.slice(0, at), whole.slice(at)
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -65,14 +76,32 @@ def scan_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callab
         if rows < least:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
-        cols = [of(whole[k].to_numpy()) for k in keys]
+        if part is not None:
+            lead, whole = led(whole)
+            if lead.num_rows:
+                yield from call(lead, True)
+            if not whole.num_rows:
+                held, rows = [], 0
+                continue
+            part = None
+        cols = columns(whole)
         other = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
         at = int(other[-1]) + 1 if len(other) else 0
         if at:
-            yield from work(whole.slice(0, at))
+            yield from call(whole.slice(0, at))
         held, rows = whole.slice(at).to_batches(), whole.num_rows - at
+        if most and rows >= most:
+            part = [c[-1] for c in cols]
+            yield from call(whole.slice(at), True)
+            held, rows = [], 0
     if rows:
-        yield from work(pa.Table.from_batches(held).combine_chunks())
+        whole = pa.Table.from_batches(held).combine_chunks()
+        if part is not None:
+            lead, whole = led(whole)
+            if lead.num_rows:
+                yield from call(lead, True)
+        if whole.num_rows:
+            yield from call(whole)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from microveil.llm import decontaminate, jaccard_join, line_dedup, permutation_index, textscan
-from microveil.llm.shared import components
+from microveil.llm.shared import components, scan_groups
 
 DOCS = "doc_id long, text string, n_shingles string"
 
@@ -79,7 +79,7 @@ def test_banded_distance(a, b, tau):
     assert bool(got[0]) == (distance(a, b) <= tau)
 
 
-def brute_lines(rows, tau, least, least_near):
+def brute_lines(rows, tau=2, share=8, least=1):
     seen, out = [], {}
     for i, text in sorted(rows):
         kept = []
@@ -89,7 +89,8 @@ def brute_lines(rows, tau, least, least_near):
                 continue
             if line in seen:
                 continue
-            near = len(line) >= least_near and any(len(y) >= least_near and abs(len(y) - len(line)) <= tau and distance(line, y) <= tau for y in seen)
+            bound = lambda y: min(tau, min(len(y), len(line)) // share)
+            near = any(abs(len(y) - len(line)) <= bound(y) and distance(line, y) <= bound(y) for y in seen)
             seen.append(line)
             if not near:
                 kept.append(line)
@@ -97,17 +98,22 @@ def brute_lines(rows, tau, least, least_near):
     return out
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "most"), [(4096, 1 << 20), (4, 1 << 20), (3, 8)])
+def test_lines_against_brute_force(spark, monkeypatch, block, most):
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
+    monkeypatch.setattr(line_dedup, "MOST", most)
     rng = random.Random(5)
-    base = [" ".join(words(rng, rng.randint(4, 9), 30)) for _ in range(25)]
+    base = [" ".join(words(rng, rng.randint(1, 9), 30)) for _ in range(25)]
+    # a family whose lines share long segments, some of them near one another
+    base += [f"Copyright (c) {rng.randint(1980, 2020)} {rng.choice(['Ann', 'Bob', 'Cleo'])} {rng.choice(['Smith', 'Jones'])}, all rights reserved" for _ in range(40)]
     rows = []
     for i in range(60):
-        lines = [rng.choice(["", "short", edited(rng, rng.choice(base), rng.randint(0, 4)), rng.choice(base), " ".join(words(rng, 6))]) for _ in range(rng.randint(0, 6))]
+        lines = [rng.choice(["", "short", "}", "}}", edited(rng, rng.choice(base), rng.randint(0, 4)), rng.choice(base), " ".join(words(rng, 6))]) for _ in range(rng.randint(0, 6))]
         rows.append((i, "\n".join(lines)))
     rows += [(100, None), (101, ""), (102, "é" * 40), (103, "é" * 39 + "e")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_lines string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
-    assert got == brute_lines(rows, 2, 10, 24)
+    assert got == brute_lines(rows)
 
 
 def test_lines_edges(spark):
@@ -117,6 +123,32 @@ def test_lines_edges(spark):
     assert got == [(False, "", 1), (False, "", 1), (True, "", 0), (True, "a line that is repeated here", 0)]
 
 
+def test_groups_in_parts():
+    """Groups come whole up to ``most`` rows, larger ones in parts that are told apart."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    keys = sorted(rng.choice([1, 2, 2, 2, 2, 2, 2, 3, 4, 5]) for _ in range(300))
+    batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + 7]}) for i in range(0, 300, 7)]
+    seen = []
+
+    def work(t, part):
+        seen.append((t["k"].to_pylist(), part))
+        return []
+
+    list(scan_groups(iter(batches), ["k"], work, least=10, most=40))
+    assert [k for x, _ in seen for k in x] == keys
+    whole = [k for x, part in seen if not part for k in set(x)]
+    assert len(whole) == len(set(whole)) and all(len(set(x)) == 1 for x, part in seen if part) and any(part for _, part in seen)
+    assert not set(whole) & {x[0] for x, part in seen if part}
+
+
+def test_long_line(spark):
+    text = "é long word " * 40_000
+    docs = spark.createDataFrame([(1, text), (2, text[:-1] + "!"), (3, "é\n" + text)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup(docs).collect()} == {1: (1, 0), 2: (1, 1), 3: (2, 1)}
+
+
 def test_probes_find_all_alignments():
     rng = random.Random(1)
     for tau in (1, 2, 3):
@@ -177,6 +209,29 @@ def test_links_against_brute_force(spark, monkeypatch, k, percent, block):
     assert got == brute_links(rows, k, percent)
 
 
+@pytest.mark.parametrize("star", [256, 5])
+def test_families_of_near_copies(spark, monkeypatch, star):
+    """Groups whose documents all link, groups with strangers amid them, and chains; in blocks and whole."""
+    monkeypatch.setattr(jaccard_join, "STAR", star)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 600)
+    rng = random.Random(star)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{j}" for j in range(24)]
+        rows += [(len(rows) + i, " ".join([*base, f"user{i}"])) for i in range(60)]
+        rows += [(len(rows) + i, " ".join([*base[: 24 - i], *words(rng, i)])) for i in range(1, 9)]
+        chain = [f"c{family}w{j}" for j in range(60)]
+        for _ in range(12):
+            chain[rng.randrange(60)] = f"n{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(chain)))
+    ids = rng.sample(range(10_000), len(rows))
+    rows = [(i, t) for i, (_, t) in zip(ids, rows, strict=True)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], DOCS)
+    for k, percent in ((3, 80), (3, 90)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(docs, k=k, percent=percent).collect()}
+        assert got == brute_links(rows, k, percent)
+
+
 def test_links_edges(spark):
     assert jaccard_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(None, "a b c"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f")], "doc_id long, text string")
