@@ -44,12 +44,12 @@ def left_closed(x: Column, edges: Sequence[float], labels: Sequence | None = Non
 
 
 def significant(x: Column, digits: int = 4) -> Column:
-    """x rounded to so many significant digits; a ladder of literal scales, as round() takes no column for its scale."""
+    """x rounded to so many significant digits, 0 below 1e-8; a ladder of literal scales, as round() takes no column for its scale."""
     a = F.abs(x)
-    out = F.when(a >= 10 ** (digits - 1), F.round(x, 0))
-    for scale in range(1, 13):
+    out = F.when(a >= 10.0 ** (digits + 8), F.round(x, -9))
+    for scale in range(-8, 12):
         out = out.when(a >= 10.0 ** (digits - 1 - scale), F.round(x, scale))
-    return out.otherwise(F.round(x, 12))
+    return out.when(a.isNotNull(), F.lit(0.0))
 
 
 def percent_half_even(part: Column, whole: Column) -> Column:
@@ -61,6 +61,42 @@ def thousands(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
+def with_unit(x: Column, digits: int = 1) -> Column:
+    """A number with a letter for thousands, millions, billions or trillions, such as 1.5K; smaller ones as they are."""
+    a = F.abs(x.cast("double"))
+    out = None
+    for power, letter in ((12, "T"), (9, "G"), (6, "M"), (3, "K")):
+        cell = F.concat(F.format_string(f"%.{digits}f", x.cast("double") / 10.0**power), F.lit(letter))
+        out = F.when(a >= 10.0**power, cell) if out is None else out.when(a >= 10.0**power, cell)
+    return out.otherwise(F.format_string("%.0f", x.cast("double")))
+
+
+# Group quarters type codes by their first digit.
+GQ_MAJOR = ("Correctional", "Juvenile", "Nursing", "OtherInst", "College", "Military", "OtherNoninst")
+
+
+def gq_institution(code: Column) -> Column:
+    """INST for group quarters types 100 to 498, NONINST for 499 to 998, null for others (households have 0)."""
+    return left_closed(F.when(code >= 100, code), (100, 499), ("INST", "NONINST"), 999)
+
+
+def gq_major(code: Column) -> Column:
+    """One of seven major types of group quarters by the hundreds of the code, null outside 100 to 998."""
+    return left_closed(F.when(code >= 100, code), (100, 200, 300, 400, 500, 600, 700), GQ_MAJOR, 999)
+
+
+def ordinal(label: Column, order: Sequence[str]) -> Column:
+    """Place of a label in a given order, for sorting; labels that are not in it come last."""
+    found = F.array_position(F.array(*map(F.lit, order)), label)
+    return F.when(found > 0, found.cast("int")).otherwise(F.lit(len(order) + 1))
+
+
+def relabelled(label: Column, names: dict[str, str]) -> Column:
+    """Labels exchanged by a small table; others stay."""
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.element_at(F.create_map(*pairs), label), label) if pairs else label
+
+
 def stars(estimate: Column, error: Column) -> Column:
     """Significance stars by the normal quantiles of 10, 5 and 1 percent."""
     t = F.abs(F.try_divide(estimate.cast("double"), error.cast("double")))

@@ -116,3 +116,23 @@ def validated(df: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
         checks.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)))
     reason = F.coalesce(*checks)
     return df.withColumns({"valid": reason.isNull(), "reason": reason})
+
+
+def prefixed(df, prefix: str, keep: tuple = ()):
+    """The frame with all columns but ``keep`` renamed with a prefix, so that two frames can be joined without clashes."""
+    return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def distinct_names(names: list[str]) -> list[str]:
+    """Column names with repeated ones numbered x, x.1, x.2, in order; a number that is taken is passed over."""
+    taken, out = set(names), []
+    count: dict[str, int] = {}
+    for n in names:
+        new = n
+        while n in count and (new in taken or new == n):
+            new = f"{n}.{count[n]}"
+            count[n] += 1
+        count.setdefault(n, 1)
+        taken.add(new)
+        out.append(new)
+    return out

@@ -18,19 +18,52 @@ def differences(h: DataFrame, m: DataFrame, keys: Sequence[str], name: str = "n"
     return both.withColumns({"diff": F.col("m") - F.col("h"), "perc_diff": p}).withColumns({"abs_diff": F.abs("diff"), "abs_perc_diff": F.abs("perc_diff")})
 
 
+def percentiles(d: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Per group the exact percentiles ``wanted`` (name: column, share), linear between neighbours.
+
+    Works on counts by value: values are counted with partial aggregation, and a prefix sum
+    over a group's distinct values says where a rank lies, so rows are never gathered.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_x")
+    counts = d.select(*by, each).select(*by, "_x.*").where("_v IS NOT NULL").groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_f"))
+    w = Window.partitionBy(*by, "_c")
+    x = counts.withColumns({"_n": F.sum("_f").over(w), "_upto": F.sum("_f").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))})
+
+    def at(column: str, place: Column) -> Column:
+        return F.max(F.when((F.col("_c") == column) & (F.col("_upto") - F.col("_f") <= place) & (F.col("_upto") > place), F.col("_v")))
+
+    out = {}
+    for name, (column, share) in wanted.items():
+        place = (F.col("_n") - 1) * F.lit(float(share))
+        low, high, part = at(column, F.floor(place)), at(column, F.ceil(place)), F.max(F.when(F.col("_c") == column, place - F.floor(place)))
+        out[name] = low + (high - low) * part
+    return x.groupBy(*by).agg(*[c.alias(n) for n, c in out.items()])
+
+
 def summary(d: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """27 statistics of differences; all 0 for an empty input without groups. Exact percentiles, linear between neighbours."""
-    stats: dict[str, Column] = {"n": F.count(F.lit(1)), "min_diff": F.min("diff"), "mean_diff": F.avg("diff"), "median_diff": F.percentile("diff", 0.5), "max_diff": F.max("diff")}
-    stats |= {"mae": F.avg("abs_diff"), "median_abs": F.percentile("abs_diff", 0.5), "p90_abs": F.percentile("abs_diff", 0.9), "p95_abs": F.percentile("abs_diff", 0.95), "max_abs": F.max("abs_diff"), "rmse": F.sqrt(F.avg(F.col("diff") * F.col("diff")))}
-    stats |= {"cv": F.try_divide(F.lit(100.0) * F.sqrt(F.avg(F.col("diff") * F.col("diff"))), F.avg("h")), "mean_h": F.avg("h"), "mean_m": F.avg("m")}
-    stats |= {"min_perc": F.min("perc_diff"), "mean_perc": F.avg("perc_diff"), "median_perc": F.percentile("perc_diff", 0.5), "max_perc": F.max("perc_diff"), "mape": F.avg("abs_perc_diff"), "median_abs_perc": F.percentile("abs_perc_diff", 0.5), "p90_abs_perc": F.percentile("abs_perc_diff", 0.9), "p95_abs_perc": F.percentile("abs_perc_diff", 0.95), "max_abs_perc": F.max("abs_perc_diff")}
-    counts = {"n_2_to_5": counted(F.col("abs_perc_diff").between(2, 5)), "n_over_5": counted(F.col("abs_perc_diff") > 5), "n_over_10": counted(F.col("abs_perc_diff") > 10), "n_over_200": counted(F.col("abs_diff") > 200)}
-    out = d.groupBy(*by).agg(*[F.round(F.coalesce(c.cast("double"), F.lit(0.0)) if k != "cv" else c, 6).alias(k) for k, c in stats.items()], *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()])
-    return out
+    """The 27 statistics of differences: those of the difference, of its size, of the percent difference and of its size, RMSE, CV and counts.
+
+    Without groups, an empty input gives 0 throughout. CV is null where the mean of h is 0.
+    Exact percentiles, linear between neighbours. ``*_nas`` count differences without a percentage.
+    """
+    square = F.avg(F.col("diff") * F.col("diff"))
+    plain: dict[str, Column] = {"min_diff": F.min("diff"), "mean_diff": F.avg("diff"), "max_diff": F.max("diff"), "mae": F.avg("abs_diff"), "min_perc": F.min("perc_diff"), "mean_perc": F.avg("perc_diff"), "max_perc": F.max("perc_diff"), "mape": F.avg("abs_perc_diff"), "max_abs_perc": F.max("abs_perc_diff"), "rmse": F.sqrt(square), "mean_h": F.avg("h")}
+    cv = F.when(F.count(F.lit(1)) == 0, 0.0).otherwise(F.try_divide(F.lit(100.0) * F.sqrt(square), F.avg("h")))
+    counts = {"n": F.count(F.lit(1)).cast("long"), "perc_nas": counted(F.col("perc_diff").isNull()), "abs_perc_nas": counted(F.col("abs_perc_diff").isNull()), "n_2_to_5": counted(F.col("abs_perc_diff").between(2, 5)), "n_over_5": counted(F.col("abs_perc_diff") > 5), "n_over_10": counted(F.col("abs_perc_diff") > 10), "n_over_200": counted(F.col("abs_diff") > 200)}
+    ranks = {"median_diff": ("diff", 0.5), "median_abs": ("abs_diff", 0.5), "p90_abs": ("abs_diff", 0.9), "p95_abs": ("abs_diff", 0.95), "median_perc": ("perc_diff", 0.5), "median_abs_perc": ("abs_perc_diff", 0.5), "p90_abs_perc": ("abs_perc_diff", 0.9), "p95_abs_perc": ("abs_perc_diff", 0.95)}
+    one = d.groupBy(*by).agg(*[c.alias(k) for k, c in plain.items()], F.round(cv, 6).alias("cv"), *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()])
+    two = percentiles(d, by, ranks).toDF(*[f"_{c}" for c in by], *ranks)
+    same = F.lit(True)
+    for c in by:
+        same = same & one[c].eqNullSafe(two[f"_{c}"])
+    both = one.join(two, same, "left") if by else one.crossJoin(two)  # a row each without groups
+    number = lambda c: F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6).alias(c)
+    return both.select(*by, *map(number, plain), *map(number, ranks), "cv", *counts)
 
 
 def metric_cells(h: DataFrame, m: DataFrame, specs: Sequence[dict], name: str = "n") -> DataFrame:
-    """One row of statistics per (geography, size class, characteristic) of a list of specs, in one pass over two cubes.
+    """One row of statistics per (geography, size class, characteristic) of a list of specs, one after the other; ``catalogue`` does many in one aggregate.
 
     ``h`` and ``m`` are pre-aggregated counts. A spec has ``name``, ``geo`` (columns), ``by``
     (columns kept apart from the geography), ``where`` (SQL, optional) and ``size`` (a
@@ -47,6 +80,29 @@ def metric_cells(h: DataFrame, m: DataFrame, specs: Sequence[dict], name: str =
     return out
 
 
+def catalogue(people: DataFrame, side: str, keys: Sequence[str], geographies: dict[str, Column], characteristics: dict[str, Column], sizes: dict) -> DataFrame:
+    """Statistics of every (geography, size class, characteristic), from one cube of counts of both files.
+
+    ``side`` is 0 for the true file and 1 for the other; ``keys`` are the columns that all
+    expressions use. A characteristic is a label where it applies to a person, else null; the one
+    named "total" labels everyone. A geography in ``sizes`` gives classes too: a function from the true
+    total of the unit to a label. All cells come from one explode of the cube and one aggregate.
+    """
+    cube = people.groupBy(*keys).agg(counted(F.col(side) == 0).alias("h"), counted(F.col(side) == 1).alias("m"))
+    units = F.explode(F.array(*[F.struct(F.lit(n).alias("geography"), c.cast("string").alias("unit")) for n, c in geographies.items()])).alias("_u")
+    labels = F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat_ws(" ", F.lit(n), c)) for n, c in characteristics.items()]))
+    x = cube.select(units, labels.alias("_l"), "h", "m").select("_u.*", F.explode("_l").alias("characteristic"), "h", "m")
+    cells = x.groupBy("geography", "unit", "characteristic").agg(F.sum("h").cast("long").alias("h"), F.sum("m").cast("long").alias("m"))
+    everyone = F.max(F.when(F.col("characteristic").startswith("total"), F.col("h"))).over(Window.partitionBy("geography", "unit"))
+    cells = cells.withColumn("_all", everyone)
+    of_class = F.lit(None).cast("string")
+    for n, f in sizes.items():
+        of_class = F.when(F.col("geography") == n, f(F.col("_all")).cast("string")).otherwise(of_class)
+    p = signed_percent_difference(F.col("h"), F.col("m")) * 100
+    d = cells.withColumns({"diff": F.col("m") - F.col("h"), "perc_diff": p, "size_class": F.explode(F.array_compact(F.array(F.lit("all"), of_class)))})
+    return summary(d.withColumns({"abs_diff": F.abs("diff"), "abs_perc_diff": F.abs("perc_diff")}), ["geography", "size_class", "characteristic"])
+
+
 def grouped_median(df: DataFrame, by: Sequence[str], age: str) -> DataFrame:
     """Per group the median of ages grouped in years: upper median m, then m + (n / 2 - below) / equal.
 
@@ -68,14 +124,44 @@ def share_error(h: DataFrame, m: DataFrame, keys: Sequence[str], within: Sequenc
     """Sum over units of |h / H - m / M| in each outer area."""
     d = differences(h, m, keys, name)
     sums = d.groupBy(*within).agg(F.sum("h").alias("_h"), F.sum("m").alias("_m"))
-    joined = d.join(F.broadcast(sums), list(within)) if within else d.crossJoin(F.broadcast(sums))
+    joined = d.join(sums, list(within)) if within else d.crossJoin(F.broadcast(sums))  # a single row
     gap = F.abs(F.coalesce(F.try_divide(F.col("h").cast("double"), F.col("_h")), F.lit(0.0)) - F.coalesce(F.try_divide(F.col("m").cast("double"), F.col("_m")), F.lit(0.0)))
     return joined.groupBy(*within).agg(F.round(F.sum(gap), 6).alias("taes"))
 
 
-def crossings(d: DataFrame, threshold: int) -> DataFrame:
-    """How many units are at or over the threshold in one file only, and how many lose count."""
-    return d.agg(counted((F.col("h") >= threshold) & (F.col("m") < threshold)).alias("fell"), counted((F.col("h") < threshold) & (F.col("m") >= threshold)).alias("rose"), counted(F.col("m") < F.col("h")).alias("below"), counted(F.col("m") == F.col("h")).alias("same"))
+def crossings(d: DataFrame, threshold: int, by: Sequence[str] = ()) -> DataFrame:
+    """How many units are over the threshold in one file and under it in the other; one at the threshold has not crossed."""
+    h, m = F.col("h"), F.col("m")
+    return d.groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias("units"), counted((h > threshold) & (m < threshold)).alias("fell"), counted((h < threshold) & (m > threshold)).alias("rose"))
+
+
+def fewer(d: DataFrame, size=None) -> DataFrame:
+    """Units that lose count, overall ("all") and by size class of h: units, how many lose, and the median percent difference of those (null if none)."""
+    classes = F.array(F.lit("all")) if size is None else F.array_compact(F.array(F.lit("all"), size(F.col("h")).cast("string")))
+    x = d.withColumn("size_class", F.explode(classes)).withColumn("_lost", F.when(F.col("m") < F.col("h"), F.col("perc_diff")))
+    counts = x.groupBy("size_class").agg(F.count(F.lit(1)).cast("long").alias("units"), counted(F.col("m") < F.col("h")).alias("below"))
+    median = percentiles(x, ["size_class"], {"median_perc": ("_lost", 0.5)})
+    return counts.join(median, "size_class", "left").withColumn("median_perc", F.round("median_perc", 6))
+
+
+def unequal(d: DataFrame) -> DataFrame:
+    """Units whose counts differ between the files; totals that were held fixed should give 0."""
+    return d.agg(F.count(F.lit(1)).cast("long").alias("units"), counted(F.col("h") != F.col("m")).alias("unequal"))
+
+
+def children_without_women(people: DataFrame, unit: Sequence[str], slices: dict[str, Column], sex: str = "sex", age: str = "age", least: int = 5) -> DataFrame:
+    """Per slice of the people: units with ``least`` or more children under 5, and those of them without women of 18 to 44 in the slice."""
+    kids, women = F.col(age) < 5, (F.col(sex) == 0) & F.col(age).between(18, 44)
+    per = people.groupBy(*unit).agg(*[counted(c & x).alias(f"{k}_{n}") for n, c in slices.items() for k, x in (("k", kids), ("w", women))])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("slice"), F.col(f"k_{n}").alias("kids"), F.col(f"w_{n}").alias("women")) for n in slices])).alias("s")
+    x = per.select(rows).select("s.*").where(F.col("kids") >= least)
+    return x.groupBy("slice").agg(F.count(F.lit(1)).cast("long").alias("units"), counted(F.col("women") == 0).alias("inconsistent"))
+
+
+def all_under_18(people: DataFrame, unit: Sequence[str], group_quarters: Column, age: str = "age") -> DataFrame:
+    """Populated units without people in group quarters, and those of them where everyone is under 18."""
+    per = people.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), counted(F.col(age) < 18).alias("young"), counted(group_quarters).alias("gq")).where("gq = 0")
+    return per.agg(F.count(F.lit(1)).cast("long").alias("units"), counted(F.col("young") == F.col("n")).alias("inconsistent"))
 
 
 def implausible(people: DataFrame, unit: Sequence[str], sex: str = "sex", age: str = "age") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def expanded(cells: DataFrame, full: dict = FULL) -> DataFrame:
     return cells.withColumns({k: F.coalesce(k, F.array(*[F.lit(v) for v in r])) for k, r in full.items()})
 
 
+# The published tables that constraints may come from; those of two or more races are built from combinations.
+TWO_PLUS_TABLES = ("P12G", "PCT12G", "PCT12O")
+TABLES = ("P1", "P6", "P7", "P8", "P9", "P10", "P11", "P12", *[f"P12{x}" for x in "ABCDEFHI"], "P14", "PCT12", *[f"PCT12{x}" for x in "ABCDEFHIJKLMN"], *TWO_PLUS_TABLES)
+
+
+def allowed(cells: DataFrame, table: str = "table", tables: Sequence[str] = TABLES, full: dict = FULL) -> DataFrame:
+    """Cells of the listed tables with a value, every missing attribute given its full range."""
+    return expanded(cells.where(F.col(table).isin(*tables) & F.col("value").isNotNull()), full)
+
+
 def two_or_more() -> list[tuple[str, ...]]:
     """All 57 combinations of six Y/N flags with two or more Y."""
     return [c for c in product("NY", repeat=6) if c.count("Y") >= 2]
@@ -62,6 +73,22 @@ def terms(cells: DataFrame, vs: DataFrame, attributes: Sequence[str], by_geo: bo
     return allowed.join(vs.select(*({"geo"} if by_geo else set()), *attributes, "variable"), on).select("geo", "constraint", "variable")
 
 
+def two_plus_terms(cells: DataFrame, vs: DataFrame, attributes: Sequence[str], races: Sequence[str] = FLAGS[:6], by_geo: bool = True) -> DataFrame:
+    """Constraint x variable for cells of people of two or more races: any combination with two or more of the flags, whatever the cell says of them."""
+    combos = F.array(*[F.struct(*[F.lit(v).alias(r) for v, r in zip(c, races, strict=True)]) for c in product("NY", repeat=len(races)) if c.count("Y") >= 2])
+    others = [a for a in attributes if a not in races]
+    x = tuples(cells, others).withColumn("_c", F.explode(combos)).select("geo", F.col("cell").alias("constraint"), *others, "_c.*")
+    on = (["geo"] if by_geo else []) + list(attributes)
+    return x.join(vs.select(*({"geo"} if by_geo else set()), *attributes, "variable"), on).select("geo", "constraint", "variable")
+
+
+def in_file_order(block_lines: DataFrame, tract_lines: DataFrame, tract: str = "tract") -> DataFrame:
+    """Constraint lines of each tract's file: those of its blocks, block by block, then its own; ``place`` counts from 1."""
+    both = block_lines.select(tract, F.lit(0).alias("level"), "geo", "place", "line").unionByName(tract_lines.select(tract, F.lit(1).alias("level"), "geo", "place", "line"))
+    w = Window.partitionBy(tract).orderBy("level", "geo", "place", "line")
+    return both.select(tract, F.row_number().over(w).alias("place"), "line")
+
+
 def constraints(cells: DataFrame, found: DataFrame) -> DataFrame:
     """Text of each constraint: ordered names joined by plus signs, equal to the value; cells without terms are left out."""
     sums = found.groupBy("geo", "constraint").agg(F.array_join(F.sort_array(F.collect_set("variable")), " + ").alias("sum"))
@@ -114,6 +141,12 @@ def microdata(solution: DataFrame) -> DataFrame:
     return rows.select(F.substring(F.col("f")[1], 1, 11).alias("geoid_tract"), F.col("f")[1].alias("geoid_block"), F.col("f")[5].alias("sex"), F.col("f")[6].cast("int").alias("age"), *[F.col("f")[7 + i].alias(n) for i, n in enumerate(FLAGS)])
 
 
+def solution_people(solution: DataFrame) -> DataFrame:
+    """Number of chosen people in solution lines; lines that name no person or have no number count as none."""
+    value = F.get(F.split(F.trim("line"), r"\s+"), F.lit(1)).try_cast("double")
+    return solution.agg(F.coalesce(F.sum(F.when(F.col("line").startswith("C_") & (F.round(value) == 1), 1)), F.lit(0)).cast("long").alias("people"))
+
+
 def _search(rows: pd.DataFrame, limit: int) -> tuple[str, list[dict[str, int]]]:
     """Feasible 0/1 vectors by depth-first search with bounds, and whether all were seen."""
     names = sorted(rows["variable"].unique())
@@ -142,7 +175,7 @@ def _search(rows: pd.DataFrame, limit: int) -> tuple[str, list[dict[str, int]]]:
             have[j] += v
         for j in member[i]:
             _, rhs, sense = cons[j]
-            if have[j] > rhs or (sense == "=" and have[j] + left[j] < rhs) or (sense == ">=" and have[j] + left[j] < rhs):
+            if (sense != ">=" and have[j] > rhs) or (sense != "<=" and have[j] + left[j] < rhs):
                 ok = False
         if ok and i + 1 == len(names):
             found.append(dict(zip(names, trail, strict=True)))
@@ -165,41 +198,52 @@ def solved(model: DataFrame, by: str = "geo", limit: int = 200_000) -> DataFrame
     return model.select(by, "constraint", "variable", "sense", "rhs").groupBy(by).applyInPandas(run, f"{by} string, variable string, value int, status string")
 
 
-def variability(model: DataFrame, by: str = "geo", limit: int = 200_000) -> DataFrame:
+def conflicts(model: DataFrame, by: str = "geo", limit: int = 200_000) -> DataFrame:
+    """For each small model without a solution an irreducible set of constraints that no choice satisfies: by, constraint.
+
+    Constraints are left out one after the other, in order of their names, as long as the rest has
+    no solution. Models with a solution, or that take more than ``limit`` steps, give no rows.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        kept = sorted(p["constraint"].unique()) if _search(p, limit)[0] == "INFEASIBLE" else []
+        for c in list(kept):
+            rest = [x for x in kept if x != c]
+            if rest and _search(p[p["constraint"].isin(rest)], limit)[0] == "INFEASIBLE":
+                kept = rest
+        return pd.DataFrame({by: pd.Series([p[by].iloc[0]] * len(kept), dtype="object"), "constraint": pd.Series(kept, dtype="object")})
+
+    return model.select(by, "constraint", "variable", "sense", "rhs").groupBy(by).applyInPandas(run, f"{by} string, constraint string")
+
+
+def _farthest(rows: np.ndarray) -> float:
+    """Largest L1 distance between two rows."""
+    return float(max((np.abs(rows - r).sum(1).max() for r in rows), default=0))
+
+
+def variability(model: DataFrame, by: str = "geo", limit: int = 200_000, shapes: int = 5_000) -> DataFrame:
     """Per small model the largest L1 and earth mover's distance between the histograms of two feasible solutions.
 
-    Histograms count by all fields of a variable's name but the person number; the mover's distance runs over age.
-    Distances are null on TIMEOUT, as solutions that were not found may lie farther apart.
+    Histograms count by all fields of a variable's name but the person number; the mover's distance runs over
+    age, as the L1 distance of running sums in each block. Distances are null on TIMEOUT (more than ``limit`` steps, or more
+    than ``shapes`` different histograms), as solutions that were not compared may lie farther apart.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         status, found = _search(p, limit)
-        if status == "TIMEOUT":
-            return pd.DataFrame({by: [p[by].iloc[0]], "status": [status], "solutions": [len(found)], "l1": [None], "emd": [None]})
-        shapes, moved = set(), set()
-        for s in found:
-            fields = [n.split("_") for n, v in s.items() if v]
-            shapes.add(tuple(sorted("_".join([*f[:4], *f[5:]]) for f in fields)))
-            moved.add(tuple(sorted((f[1], int(f[6])) for f in fields)))
-        count = lambda xs: pd.Series(xs).value_counts()
-        best = max((count(list(a)).sub(count(list(b)), fill_value=0).abs().sum() for a in shapes for b in shapes), default=0.0)
-
-        def emd(a, b):
-            out = 0
-            for block in {x for x, _ in (*a, *b)}:
-                d = run_ = 0
-                gap = [0] * 111
-                for x, age in a:
-                    gap[age] += x == block
-                for x, age in b:
-                    gap[age] -= x == block
-                for g in gap:
-                    run_ += g
-                    d += abs(run_)
-                out += d
-            return out
-
-        far = max((emd(a, b) for a in moved for b in moved), default=0)
-        return pd.DataFrame({by: [p[by].iloc[0]], "status": [status], "solutions": [len(found)], "l1": [float(best)], "emd": [float(far)]})
+        names = sorted(p["variable"].unique())
+        fields = [n.split("_") for n in names]
+        cells = sorted({"_".join([*f[:4], *f[5:]]) for f in fields})
+        blocks = sorted({f[1] for f in fields})
+        shape, ages = np.zeros((len(names), len(cells)), np.int32), np.zeros((len(names), len(blocks), 111), np.int32)
+        for i, f in enumerate(fields):
+            shape[i, cells.index("_".join([*f[:4], *f[5:]]))] = 1
+            ages[i, blocks.index(f[1]), int(f[6]) :] = 1
+        chosen = np.array([[s[n] for n in names] for s in found], np.int32).reshape(len(found), len(names))
+        one, two = np.unique(chosen @ shape, axis=0), np.unique(chosen @ ages.reshape(len(names), -1), axis=0)
+        if max(len(one), len(two)) > shapes:
+            status = "TIMEOUT"
+        late = status == "TIMEOUT"
+        return pd.DataFrame({by: [p[by].iloc[0]], "status": [status], "solutions": [len(found)], "l1": [None if late else _farthest(one)], "emd": [None if late else _farthest(two)]})
 
     return model.select(by, "constraint", "variable", "sense", "rhs").groupBy(by).applyInPandas(run, f"{by} string, status string, solutions long, l1 double, emd double")

@@ -37,6 +37,31 @@ def selected(df: DataFrame, rate: float, keys: Sequence[str], out: str = "select
     return df.withColumn(out, u < min(rate, 0.99))
 
 
+def swap_estimate(df: DataFrame, key: Sequence[str], order: Sequence[str], chosen: str, rate: float) -> DataFrame:
+    """One row: households, how many the runs of chosen neighbours would swap (an odd run takes one more), the target, and how many to deselect.
+
+    A run of one that is alone in its key can't swap and counts for nothing.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    start = (F.col(chosen) & ~F.coalesce(F.lag(chosen).over(w), F.lit(False))).cast("int")
+    x = df.withColumns({"_start": start, "_all": F.count(F.lit(1)).over(Window.partitionBy(*key))}).withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = x.where(F.col(chosen)).groupBy(*key, "_run").agg(F.count(F.lit(1)).alias("n"), F.max("_all").alias("_all"))
+    swaps = runs.agg(F.coalesce(F.sum(F.when(F.col("_all") > 1, F.col("n") + F.col("n") % 2)), F.lit(0)).cast("long").alias("projected"))
+    total = df.agg(F.count(F.lit(1)).cast("long").alias("households"))
+    return total.crossJoin(swaps).withColumn("target", F.col("households") * F.lit(rate)).withColumn("deselect", F.greatest(F.lit(0).cast("long"), F.round(F.col("projected") - F.col("target")).cast("long")))
+
+
+def deselected(df: DataFrame, estimate: DataFrame, chosen: str, draw: Column) -> DataFrame:
+    """Leaves out chosen rows until about the target is left: each stays with the same chance.
+
+    With one independent uniform ``draw`` in [0, 1) a row, the number left out of a run of n is
+    binomial (n, deselect / projected), as if drawn run by run. ``estimate`` is one row of ``swap_estimate``.
+    """
+    share = F.coalesce(F.try_divide(F.col("deselect").cast("double"), F.col("projected")), F.lit(0.0))
+    one = F.broadcast(estimate.select(share.alias("_share")))  # a single row
+    return df.crossJoin(one).withColumn(chosen, F.col(chosen) & (draw >= F.col("_share"))).drop("_share")
+
+
 def adjacent_pairs(df: DataFrame, key: Sequence[str], order: Sequence[str], id_col: str) -> DataFrame:
     """Pairs 1-2, 3-4, ... of the selected rows of each key in order; the last of an odd number stays unpaired. Columns a and b."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -378,7 +378,7 @@ def metric_diff(spark, d):
 
 def _stats_sql(by: str = "") -> str:
     q = lambda x, p: f"round(quantile_cont({x}::DOUBLE, {p}), 6)"
-    cols = ["count(*)::DOUBLE AS n", "min(df)::DOUBLE AS min_diff", "round(avg(df), 6) AS mean_diff", f"{q('df', .5)} AS median_diff", "max(df)::DOUBLE AS max_diff", "round(avg(ad), 6) AS mae", f"{q('ad', .5)} AS median_abs", f"{q('ad', .9)} AS p90_abs", f"{q('ad', .95)} AS p95_abs", "max(ad)::DOUBLE AS max_abs", "round(sqrt(avg(df * df)), 6) AS rmse", "round(100 * sqrt(avg(df * df)) / nullif(avg(h), 0), 6) AS cv", "round(avg(h), 6) AS mean_h", "round(avg(m), 6) AS mean_m", "round(min(pd), 6) AS min_perc", "round(avg(pd), 6) AS mean_perc", f"{q('pd', .5)} AS median_perc", "round(max(pd), 6) AS max_perc", "round(avg(abs(pd)), 6) AS mape", f"{q('abs(pd)', .5)} AS median_abs_perc", f"{q('abs(pd)', .9)} AS p90_abs_perc", f"{q('abs(pd)', .95)} AS p95_abs_perc", "round(max(abs(pd)), 6) AS max_abs_perc", "count(*) FILTER (abs(pd) BETWEEN 2 AND 5)::BIGINT AS n_2_to_5", "count(*) FILTER (abs(pd) > 5)::BIGINT AS n_over_5", "count(*) FILTER (abs(pd) > 10)::BIGINT AS n_over_10", "count(*) FILTER (ad > 200)::BIGINT AS n_over_200"]
+    cols = ["count(*)::BIGINT AS n", "count(*) FILTER (pd IS NULL)::BIGINT AS perc_nas", "count(*) FILTER (pd IS NULL)::BIGINT AS abs_perc_nas", "min(df)::DOUBLE AS min_diff", "round(avg(df), 6) AS mean_diff", f"{q('df', .5)} AS median_diff", "max(df)::DOUBLE AS max_diff", "round(avg(ad), 6) AS mae", f"{q('ad', .5)} AS median_abs", f"{q('ad', .9)} AS p90_abs", f"{q('ad', .95)} AS p95_abs", "round(sqrt(avg(df * df)), 6) AS rmse", "round(100 * sqrt(avg(df * df)) / nullif(avg(h), 0), 6) AS cv", "round(avg(h), 6) AS mean_h", "round(min(pd), 6) AS min_perc", "round(avg(pd), 6) AS mean_perc", f"{q('pd', .5)} AS median_perc", "round(max(pd), 6) AS max_perc", "round(avg(abs(pd)), 6) AS mape", f"{q('abs(pd)', .5)} AS median_abs_perc", f"{q('abs(pd)', .9)} AS p90_abs_perc", f"{q('abs(pd)', .95)} AS p95_abs_perc", "round(max(abs(pd)), 6) AS max_abs_perc", "count(*) FILTER (abs(pd) BETWEEN 2 AND 5)::BIGINT AS n_2_to_5", "count(*) FILTER (abs(pd) > 5)::BIGINT AS n_over_5", "count(*) FILTER (abs(pd) > 10)::BIGINT AS n_over_10", "count(*) FILTER (ad > 200)::BIGINT AS n_over_200"]
     return f"SELECT {by + ', ' if by else ''}{', '.join(cols)} FROM e" + (" GROUP BY ALL" if by else "")
 
 
@@ -401,7 +401,7 @@ SIZED = "CASE WHEN h < 250 THEN '0' WHEN h < 300 THEN '250' ELSE '300' END"
 
 
 @query(with_people(" UNION ALL ".join([_cell_sql("county population", "county", size=SIZED), _cell_sql("tract population", "tract"), _cell_sql("tract adults", "tract", "age >= 18"), _cell_sql("county by sex", "county, sex"), _cell_sql("county hispanic by race", "county, race", "hisp = 1")])))
-def metric_catalogue(spark, d):
+def metric_cells(spark, d):
     p = people(spark, d)
     cube = lambda side: p.where(F.col("side") == side).groupBy("county", "tract", "sex", "age", "hisp", "race").agg(F.count("*").alias("n"))
     specs = [
@@ -411,6 +411,72 @@ def metric_catalogue(spark, d):
     return metrics.metric_cells(cube(0), cube(1), specs)
 
 
+# Every person with a group quarters type (0: household), for the catalogue: label of each characteristic, or null.
+GQ = "CASE WHEN pid % 23 = 0 THEN 101 + pid % 8 * 100 ELSE 0 END"
+ALONE = "CASE WHEN white + black + asian > 1 THEN 'two or more' WHEN white = 1 THEN 'white' WHEN black = 1 THEN 'black' WHEN asian = 1 THEN 'asian' ELSE 'other' END"
+AGES = "CASE WHEN age < 18 THEN '0-17' WHEN age < 65 THEN '18-64' ELSE '65+' END"
+FIVES = "CAST(age - age % 5 AS STRING)"
+ETHNIC = "CASE WHEN hisp = 1 THEN 'hispanic' ELSE 'not hispanic' END"
+SEXES = "CASE WHEN sex = 1 THEN 'male' ELSE 'female' END"
+CHARACTERISTICS = {
+    "total": "'population'", "adult": "CASE WHEN age >= 18 THEN 'population' END", "ethnicity": ETHNIC, "race": ALONE, "ethnicity and race": f"concat_ws(' ', {ETHNIC}, {ALONE})", "adult race": f"CASE WHEN age >= 18 THEN {ALONE} END",
+    "sex": SEXES, "age": AGES, "sex and age": f"concat_ws(' ', {SEXES}, {AGES})", "five years": FIVES, "races": "CAST(white + black + asian AS STRING)", "white in combination": "CASE WHEN white = 1 THEN 'yes' END", "quarters": "CASE WHEN gq BETWEEN 100 AND 498 THEN 'INST' WHEN gq BETWEEN 499 AND 998 THEN 'NONINST' END",
+    "quarters type": "CASE WHEN gq BETWEEN 100 AND 199 THEN 'Correctional' WHEN gq BETWEEN 200 AND 299 THEN 'Juvenile' WHEN gq BETWEEN 300 AND 399 THEN 'Nursing' WHEN gq BETWEEN 400 AND 499 THEN 'OtherInst' WHEN gq BETWEEN 500 AND 599 THEN 'College' WHEN gq BETWEEN 600 AND 699 THEN 'Military' WHEN gq BETWEEN 700 AND 998 THEN 'OtherNoninst' END",
+    "quarters age": f"CASE WHEN gq > 0 THEN {AGES} END", "over 75": "CASE WHEN age >= 75 THEN 'population' END",
+}
+
+
+def quartered(spark, d):
+    return people(spark, d).withColumn("gq", F.expr(GQ))
+
+
+def _catalogue_sql() -> str:
+    labels = ", ".join(f"CASE WHEN ({c}) IS NOT NULL THEN concat_ws(' ', '{n}', {c}) END" for n, c in CHARACTERISTICS.items())
+    each = " UNION ALL ".join(f"SELECT '{g}' AS geography, {u} AS unit, characteristic, side FROM ex" for g, u in (("nation", "'all'"), ("state", "state"), ("county", "county"), ("tract", "tract")))
+    people_ = f"lab AS (SELECT side, state, county, tract, list_filter([{labels}], lambda x: x IS NOT NULL) AS ls FROM (SELECT *, {GQ} AS gq FROM pp)), ex AS (SELECT side, state, county, tract, unnest(ls) AS characteristic FROM lab)"
+    cells = f"(SELECT geography, unit, characteristic, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS m FROM ({each}) GROUP BY 1, 2, 3)"
+    sized = "CASE WHEN total < 250 THEN '0' WHEN total < 300 THEN '250' ELSE '300' END"
+    return f", {people_}, c AS {cells}, c2 AS (SELECT *, max(CASE WHEN starts_with(characteristic, 'total') THEN h END) OVER (PARTITION BY geography, unit) AS total FROM c), c3 AS (SELECT *, m - h AS df, abs(m - h) AS ad, 100 * (CASE WHEN h = 0 AND m = 0 THEN 0.0::DOUBLE WHEN h = 0 THEN (m - h)::DOUBLE / ((h + m) / 2.0::DOUBLE) ELSE (m - h)::DOUBLE / h END) AS pd FROM c2), e AS (SELECT *, 'all' AS size_class FROM c3 UNION ALL SELECT *, {sized} FROM c3 WHERE geography = 'county') {_stats_sql('geography, size_class, characteristic')}"
+
+
+@query(with_people(_catalogue_sql().replace("AS STRING", "AS VARCHAR")))
+def metric_catalogue(spark, d):
+    geographies = {"nation": F.lit("all"), "state": F.col("state"), "county": F.col("county"), "tract": F.col("tract")}
+    labels = {n: F.expr(c) for n, c in CHARACTERISTICS.items()} | {"quarters": bins.gq_institution(F.col("gq")), "quarters type": bins.gq_major(F.col("gq"))}
+    keys = ["state", "county", "tract", "sex", "age", "hisp", "white", "black", "asian", "gq"]
+    return metrics.catalogue(quartered(spark, d), "side", keys, geographies, labels, {"county": lambda h: bins.left_closed(h, (0, 250, 300))})
+
+
+@query(f"WITH {DIFF} SELECT 'all' AS size_class, count(*)::BIGINT AS units, count(*) FILTER (m < h)::BIGINT AS below, round(quantile_cont(pd, 0.5) FILTER (m < h), 6) AS median_perc FROM e UNION ALL SELECT CASE WHEN h < 150 THEN '0' WHEN h < 200 THEN '150' ELSE '200' END, count(*)::BIGINT, count(*) FILTER (m < h)::BIGINT, round(quantile_cont(pd, 0.5) FILTER (m < h), 6) FROM e GROUP BY 1")
+def fewer_by_size(spark, d):
+    return metrics.fewer(metrics.differences(*_pair(spark, d), ["k"]), lambda h: bins.left_closed(h, (0, 150, 200)))
+
+
+@query(with_people("SELECT count(*)::BIGINT AS units, count(*) FILTER (h <> m)::BIGINT AS unequal FROM (SELECT state, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS m FROM pp GROUP BY 1)"))
+def state_totals_equal(spark, d):
+    p = people(spark, d)
+    part = lambda s: p.where(F.col("side") == s).groupBy("state").agg(F.count("*").alias("n"))
+    return metrics.unequal(metrics.differences(part(0), part(1), ["state"]))
+
+
+SLICES = {"all": "true", "white": "white = 1", "black": "black = 1", "hispanic": "hisp = 1", "white not hispanic": "white = 1 AND hisp = 0"}
+
+
+@query(with_people(" UNION ALL ".join(f"SELECT '{n}' AS slice, count(*)::BIGINT AS units, count(*) FILTER (w = 0)::BIGINT AS inconsistent FROM (SELECT block, count(*) FILTER (age < 5) AS k, count(*) FILTER (sex = 0 AND age BETWEEN 18 AND 44) AS w FROM pp WHERE {c} GROUP BY 1) WHERE k >= 2 HAVING count(*) > 0" for n, c in SLICES.items())))
+def children_no_women(spark, d):
+    return metrics.children_without_women(people(spark, d), ["block"], {n: F.expr(c) for n, c in SLICES.items()}, least=2)
+
+
+@query(with_people(f"SELECT count(*)::BIGINT AS units, count(*) FILTER (young = n)::BIGINT AS inconsistent FROM (SELECT block, sex, race, count(*) AS n, count(*) FILTER (age < 18) AS young FROM (SELECT *, {GQ} AS gq FROM pp) GROUP BY ALL HAVING count(*) FILTER (gq > 0) = 0)"))
+def under_18_no_quarters(spark, d):
+    return metrics.all_under_18(quartered(spark, d), ["block", "sex", "race"], F.col("gq") > 0)
+
+
+@query(with_people(f"SELECT pid, CASE WHEN gq = 0 THEN NULL WHEN gq < 499 THEN 'INST' ELSE 'NONINST' END AS inst, CASE gq // 100 WHEN 1 THEN 'Correctional' WHEN 2 THEN 'Juvenile' WHEN 3 THEN 'Nursing' WHEN 4 THEN 'OtherInst' WHEN 5 THEN 'College' WHEN 6 THEN 'Military' WHEN 7 THEN 'OtherNoninst' WHEN 8 THEN 'OtherNoninst' END AS major FROM (SELECT *, {GQ} AS gq FROM pp)"))
+def gq_classes(spark, d):
+    return quartered(spark, d).select("pid", bins.gq_institution(F.col("gq")).alias("inst"), bins.gq_major(F.col("gq")).alias("major"))
+
+
 @query(with_people(", s AS (SELECT county, age, row_number() OVER (PARTITION BY county ORDER BY age) - 1 AS i, count(*) OVER (PARTITION BY county) AS n FROM pp), t AS (SELECT county, age, n FROM s WHERE i = n // 2) SELECT t.county, round(t.age + (t.n / 2.0 - (SELECT count(*) FROM pp x WHERE x.county = t.county AND x.age < t.age)) / (SELECT count(*) FROM pp x WHERE x.county = t.county AND x.age = t.age), 6)::DOUBLE AS median, t.n::BIGINT AS n FROM t"))
 def grouped_median(spark, d):
     return metrics.grouped_median(people(spark, d), ["county"], "age")
@@ -428,7 +494,7 @@ def taes(spark, d):
     return metrics.share_error(part(0), part(1), ["state", "county"], ["state"])
 
 
-@query(f"WITH {DIFF} SELECT count(*) FILTER (h >= 150 AND m < 150)::BIGINT AS fell, count(*) FILTER (h < 150 AND m >= 150)::BIGINT AS rose, count(*) FILTER (m < h)::BIGINT AS below, count(*) FILTER (m = h)::BIGINT AS same FROM e")
+@query(f"WITH {DIFF} SELECT count(*)::BIGINT AS units, count(*) FILTER (h > 150 AND m < 150)::BIGINT AS fell, count(*) FILTER (h < 150 AND m > 150)::BIGINT AS rose FROM e")
 def cross_threshold(spark, d):
     return metrics.crossings(metrics.differences(*_pair(spark, d), ["k"]), 150)
 
@@ -438,7 +504,7 @@ def implausible_units(spark, d):
     return longs(metrics.implausible(people(spark, d), ["block"]), "children_no_women", "one_sex", "all_under_18", "missing_year")
 
 
-@query()
+@query(with_people(", s AS (SELECT tract, sex, age, row_number() OVER (PARTITION BY tract, sex ORDER BY age) - 1 AS i, count(*) OVER (PARTITION BY tract, sex) AS n FROM pp), t AS (SELECT tract, sex, age, n FROM s WHERE i = n // 2), u AS (SELECT t.tract, t.sex, t.n, round(t.age + (t.n / 2.0 - (SELECT count(*) FROM pp x WHERE x.tract = t.tract AND x.sex = t.sex AND x.age < t.age)) / (SELECT count(*) FROM pp x WHERE x.tract = t.tract AND x.sex = t.sex AND x.age = t.age), 6)::DOUBLE AS m FROM t) SELECT w.tract, w.m AS women, v.m AS men FROM u w JOIN u v ON v.tract = w.tract AND v.sex = 1 AND w.sex = 0 WHERE w.n >= 5 AND v.n >= 5 AND abs(w.m - v.m) >= 3"))
 def impl_median_gap(spark, d):
     return metrics.median_gap(people(spark, d), ["tract"], gap=3)
 
@@ -560,10 +626,47 @@ def swap_runs(spark, d):
     return swap.runs_paired(h, ["size"], ["draw", "hid"], "selected", "hid", before=True)
 
 
-@query()
-def swap_pseudo_area(spark, d):
+def _pseudo_sql(low: float, high: float) -> str:
+    rank = lambda part, order: f"row_number() OVER (PARTITION BY {part} ORDER BY {order})"
+    return f"WITH {HOUSE}, s AS (SELECT *, area % 5 AS st, draw / 1000003.0::DOUBLE AS u FROM hh), r AS (SELECT *, {rank('area', 'hid')} AS c1, {rank('area', 'draw, hid')} AS c2, {rank('st', 'hid')} AS s1, {rank('st', 'draw, hid')} AS s2 FROM s) SELECT r.hid, r.area, CASE WHEN r.u < {low} THEN r.hid WHEN r.u < {high} THEN c.hid ELSE t.hid END AS pseudo FROM r JOIN r c ON c.area = r.area AND c.c2 = r.c1 JOIN r t ON t.st = r.st AND t.s2 = r.s1"
+
+
+def _pseudo(spark, d, setting):
     h = _households(spark, d).withColumns({"u": F.col("draw") / 1000003, "state": F.col("area").cast("int") % 5})
-    return swap.pseudo_area(h, "hid", ["area"], ["state"], ["hid"], "u", swap.SETTINGS["HI"]["shares"], "pseudo").select("hid", "area", "pseudo")
+    return swap.pseudo_area(h, "hid", ["area"], ["state"], ["hid"], "u", swap.SETTINGS[setting]["shares"], "pseudo").select("hid", "area", "pseudo")
+
+
+@query(_pseudo_sql(0.3, 0.7))
+def swap_pseudo_area(spark, d):
+    return _pseudo(spark, d, "HI")
+
+
+@query(_pseudo_sql(1.0, 1.0))
+def swap_pseudo_area_low(spark, d):
+    return _pseudo(spark, d, "LO")
+
+
+@query(f"WITH {HOUSE} SELECT hid, size AS key FROM hh")
+def swap_noisy_key_low(spark, d):
+    return _households(spark, d).select("hid", swap.noisy_key(F.col("size"), F.col("draw") / 1000003, swap.SETTINGS["LO"]["cuts"]).alias("key"))
+
+
+CHOSEN = f"{HOUSE}, c AS (SELECT *, hid % 4 <> 0 AS sel, (hid * 104729 % 1000003) / 1000003.0::DOUBLE AS u2 FROM hh), st AS (SELECT *, CASE WHEN sel AND NOT coalesce(lag(sel) OVER (PARTITION BY size ORDER BY draw, hid), false) THEN 1 ELSE 0 END AS b, count(*) OVER (PARTITION BY size) AS al FROM c), ru AS (SELECT *, sum(b) OVER (PARTITION BY size ORDER BY draw, hid ROWS UNBOUNDED PRECEDING) AS rn FROM st), es AS (SELECT (SELECT count(*) FROM hh)::BIGINT AS households, coalesce(sum(CASE WHEN al > 1 THEN n + n % 2 END), 0)::BIGINT AS projected FROM (SELECT size, rn, count(*) AS n, max(al) AS al FROM ru WHERE sel GROUP BY 1, 2)), de AS (SELECT *, households * 0.5::DOUBLE AS target, greatest(0, round(projected - households * 0.5::DOUBLE))::BIGINT AS deselect FROM es)"
+
+
+def _chosen(spark, d):
+    return _households(spark, d).withColumns({"sel": F.col("hid") % 4 != 0, "u2": (F.col("hid") * 104729 % 1000003) / 1000003})
+
+
+@query(f"WITH {CHOSEN} SELECT * FROM de")
+def swap_estimate(spark, d):
+    return swap.swap_estimate(_chosen(spark, d), ["size"], ["draw", "hid"], "sel", swap.SETTINGS["HI"]["target"])
+
+
+@query(f"WITH {CHOSEN} SELECT hid, sel AND u2 >= deselect::DOUBLE / projected AS sel FROM c, de")
+def swap_deselected(spark, d):
+    h = _chosen(spark, d)
+    return swap.deselected(h, swap.swap_estimate(h, ["size"], ["draw", "hid"], "sel", 0.5), "sel", F.col("u2")).select("hid", "sel")
 
 
 # constraint models, parsing
@@ -773,3 +876,205 @@ def lp_split_blocks(spark, d):
 def hist_by_schema(spark, d):
     v = models.variables(_cells(spark, d), ATTRS, ("white", "black")).where("person = 0")
     return longs(metrics.histogram(v, ["geo", "sex", "age"]), "sex", "age")
+
+
+@query(f"WITH {LP_VARS} SELECT v.geo, '_C_P8_' || v.geo AS constraint, variable FROM v WHERE white = 'Y' AND black = 'Y'")
+def lp_two_plus_terms(spark, d):
+    c = _cells(spark, d)
+    cells = c.withColumn("cell", F.concat(F.lit("_C_P8_"), "geo"))
+    return models.two_plus_terms(cells, models.variables(c, ATTRS, ("white", "black")), ATTRS, ("white", "black"))
+
+
+@query("SELECT 'g' || n_nationkey AS geo, 'P12' || CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' END AS cell, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS sexes, 111::BIGINT AS ages, 128::BIGINT AS flags FROM nation WHERE n_nationkey % 3 < 2")
+def lp_allowed_cells(spark, d):
+    n = F.col("n_nationkey")
+    cells = table(spark, d, "nation").select(F.concat(F.lit("g"), n.cast("string")).alias("geo"), F.concat(F.lit("P12"), F.element_at(F.array(F.lit(""), F.lit("A"), F.lit("Z")), (n % 3 + 1).cast("int"))).alias("cell"), F.lit(1).alias("value"), F.when(n % 2 == 0, F.array(F.lit(1))).alias("sex"), *[F.lit(None).cast("array<int>" if a == "age" else "array<string>").alias(a) for a in models.ATTRIBUTES[1:]])
+    x = models.allowed(cells, "cell")
+    size = lambda c: F.size(c).cast("long")
+    flags = size(models.FLAGS[0])
+    for f in models.FLAGS[1:]:
+        flags = flags * size(f)
+    return x.select("geo", "cell", size("sex").alias("sexes"), size("age").alias("ages"), flags.alias("flags"))
+
+
+@query("WITH b AS (SELECT n_regionkey::BIGINT AS tract, 0 AS level, 'b' || n_nationkey AS geo, 1 AS place, 'block ' || n_nationkey AS line FROM nation), t AS (SELECT r_regionkey::BIGINT, 1, 't', p.i, 'tract ' || p.i FROM region, range(1, 3) p(i)) SELECT tract, row_number() OVER (PARTITION BY tract ORDER BY level, geo, place)::BIGINT AS place, line FROM (SELECT * FROM b UNION ALL SELECT * FROM t)")
+def lp_file_order(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    blocks = n.select(F.col("n_regionkey").cast("long").alias("tract"), F.concat(F.lit("b"), F.col("n_nationkey").cast("string")).alias("geo"), F.lit(1).alias("place"), F.concat(F.lit("block "), F.col("n_nationkey").cast("string")).alias("line"))
+    tracts = r.select(F.col("r_regionkey").cast("long").alias("tract"), F.lit("t").alias("geo"), F.explode(F.array(F.lit(1), F.lit(2))).alias("place")).withColumn("line", F.concat(F.lit("tract "), F.col("place").cast("string")))
+    return longs(models.in_file_order(blocks, tracts), "place")
+
+
+@query("SELECT lpad(n_nationkey::VARCHAR, 15, '0') AS geo, CASE n_nationkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 4 ELSE 3 END::BIGINT AS solutions FROM nation")
+def model_inequalities(spark, d):
+    """At least, at most, and exactly one of three."""
+    n = table(spark, d, "nation")
+    geo = F.lpad(F.col("n_nationkey").cast("string"), 15, "0")
+    name = F.concat_ws("_", F.lit("C"), geo, F.lit("x"), F.lit("20"), F.col("person").cast("string"), F.lit("1"), F.lit("20"))
+    sense = F.element_at(F.array(F.lit(">="), F.lit("<="), F.lit("=")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    model = n.withColumn("person", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(geo.alias("geo"), F.lit("c").alias("constraint"), name.alias("variable"), sense.alias("sense"), F.lit(1.0).alias("rhs"))
+    return models.variability(model).select("geo", "solutions")
+
+
+@query("SELECT lpad(n_nationkey::VARCHAR, 15, '0') AS geo, c AS constraint FROM nation, (VALUES ('males'), ('person0'), ('person1')) t(c) WHERE n_nationkey % 4 = 3")
+def model_conflicts(spark, d):
+    """Three males of two people can't be."""
+    m = _small_models(spark, d)
+    return models.conflicts(m.withColumn("rhs", F.when(F.col("constraint") == "males", F.col("geo").cast("int") % 4).otherwise(F.col("rhs")).cast("double")))
+
+
+@query("SELECT count(*)::BIGINT AS people FROM customer WHERE c_custkey % 3 = 1")
+def sol_people(spark, d):
+    k = F.col("c_custkey")
+    lines = table(spark, d, "customer").select(F.when(k % 3 == 0, F.concat(F.lit("C_"), k.cast("string"), F.lit(" 0.0001"))).when(k % 3 == 1, F.concat(F.lit("C_"), k.cast("string"), F.lit("  0.99999"))).when(k % 2 == 0, "C_broken").otherwise("# note 1").alias("line"))
+    return models.solution_people(lines)
+
+
+@query(with_people("SELECT block, l AS found, g AS published FROM (SELECT block, count(*) FILTER (side = 0)::BIGINT AS l, count(*) FILTER (side = 1)::BIGINT AS g FROM pp GROUP BY 1) WHERE l <> g"))
+def population_mismatch(spark, d):
+    """Blocks whose population in one file isn't the one that the other publishes."""
+    p = people(spark, d)
+    n = lambda side: p.where(F.col("side") == side).groupBy("block").agg(F.count("*").alias("n"))
+    x = metrics.differences(n(0), n(1), ["block"])
+    return x.where("h <> m").select("block", F.col("h").alias("found"), F.col("m").alias("published"))
+
+
+@query("SELECT c_custkey, (c_custkey % 63 + 1) IN (7, 8, 9, 10, 11, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 42, 43, 44, 45, 46, 47, 48, 49, 50, 51, 57, 58, 59, 60, 61, 63) AS white_in_combination, CASE WHEN c_custkey % 4 = 0 THEN 'white alone' WHEN c_custkey % 4 = 1 THEN 'black alone' ELSE 'other' END AS label FROM customer")
+def race_in_combination(spark, d):
+    k = F.col("c_custkey")
+    on = {"white": F.when(k % 4 == 0, 1).when(k % 4 == 2, 1).otherwise(0), "black": F.when(k % 4 == 1, 1).when(k % 4 == 2, 1).otherwise(0)}
+    return table(spark, d, "customer").select("c_custkey", recode.in_combination(k % 63 + 1, 0).alias("white_in_combination"), recode.alone_label(on).alias("label"))
+
+
+@query("SELECT c_custkey, CASE WHEN abs(v) >= 1e6 THEN printf('%.1f', v / 1e6) || 'M' WHEN abs(v) >= 1e3 THEN printf('%.1f', v / 1e3) || 'K' ELSE printf('%.0f', v) END AS shown, CASE WHEN abs(v) >= 1e6 THEN round(v / 1e3) * 1e3 WHEN abs(v) >= 1e5 THEN round(v / 100) * 100 WHEN abs(v) >= 1e4 THEN round(v / 10) * 10 ELSE round(v) END AS four FROM (SELECT c_custkey, (c_custkey * c_custkey * 7 + 1000)::DOUBLE AS v FROM customer)")
+def number_with_unit(spark, d):
+    v = (F.col("c_custkey") * F.col("c_custkey") * 7 + 1000).cast("double")
+    return table(spark, d, "customer").select("c_custkey", bins.with_unit(v).alias("shown"), bins.significant(v).alias("four"))
+
+
+@query("SELECT c_mktsegment AS segment, CASE c_mktsegment WHEN 'BUILDING' THEN 'Houses' ELSE c_mktsegment END AS label, CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END::BIGINT AS place, count(*)::BIGINT AS n FROM customer GROUP BY 1")
+def ordinal_labels(spark, d):
+    n = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    x = n.select("segment", bins.relabelled(F.col("segment"), {"BUILDING": "Houses"}).alias("label"), bins.ordinal(F.col("segment"), ("MACHINERY", "BUILDING")).cast("long").alias("place"), "n")
+    return x.orderBy("place", "segment")
+
+
+@query("SELECT o.o_orderkey, o.o_custkey AS left_key, p.o_custkey AS right_key, p.o_orderkey AS right_orderkey FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1")
+def prefixed_join(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    other = recode.prefixed(o, "right_")
+    x = o.join(other, F.col("right_o_orderkey") == F.col("o_orderkey") + 1)
+    return x.select("o_orderkey", F.col("o_custkey").alias("left_key"), F.col("right_o_custkey").alias("right_key"), F.col("right_o_orderkey").alias("right_orderkey"))
+
+
+@query("SELECT c_custkey, 'x' || lpad((c_custkey % 1000)::VARCHAR, 9, '0') || 'tail' AS line, 'r,' || CASE WHEN c_custkey % 2 = 0 THEN '00007' ELSE '00000' END || ',12' AS fields FROM customer")
+def width_kept(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    lines = c.select("c_custkey", writers.placed(F.lit("x000000000tail"), 2, 9, F.col("c_custkey") % 1000).alias("line"), F.lit("r,00000,12").alias("fields"))
+    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.lit(2).alias("place"), F.lit(7).alias("value"))
+    return writers.field_overlay(lines, F.col("c_custkey"), new, "value", line="fields")
+
+
+@query("SELECT lpad((c_custkey % 100)::VARCHAR, 2, '0') AS \"TABBLKST\", '003' AS \"TABBLKCOU\", '000400' AS \"TABTRACTCE\", '5' AS \"TABBLKGRPCE\", '5006' AS \"TABBLK\", CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '2' END AS \"QSEX\", (c_custkey % 90)::VARCHAR AS \"QAGE\", '1' AS \"RTYPE\", '000' AS \"GQTYPE\", CASE WHEN c_custkey % 3 = 0 THEN '2' ELSE '1' END AS \"CENHISP\", CASE WHEN c_custkey % 5 = 0 THEN '17' ELSE '01' END AS \"CENRACE\" FROM customer")
+def reconstructed_lines(spark, d):
+    k = F.col("c_custkey")
+    tract = F.concat(F.lpad((k % 100).cast("string"), 2, "0"), F.lit("003000400"))
+    line = F.concat(tract, F.lit(","), tract, F.lit("5006,"), F.when(k % 2 == 0, "male").otherwise("female"), F.lit(","), (k % 90).cast("string"), F.when(k % 5 == 0, ",N,N,Y,N,Y,N,").otherwise(",Y,N,N,N,N,N,"), F.when(k % 3 == 0, "Y").otherwise("N"))
+    return readers.reconstructed_to_microdata(table(spark, d, "customer").select(line.alias("value")), recode.race_code)
+
+
+# report tables
+
+SIZES = "(SELECT *, unnest(list_filter(['All', " + SIZE_R.format("size") + "], lambda x: x IS NOT NULL)) AS block_pop FROM t)"
+PLACES = "CASE block_pop WHEN 'All' THEN 1 WHEN '1-9' THEN 2 WHEN '10-49' THEN 3 WHEN '50-99' THEN 4 WHEN '100-249' THEN 5 WHEN '250-499' THEN 6 WHEN '500-999' THEN 7 WHEN '1000+' THEN 8 END::BIGINT AS place"
+
+
+def _shown(part: str, whole: str) -> str:
+    """Four significant digits, then one; percentages are below 1,000."""
+    x = f"(100.0::DOUBLE * {part} / nullif({whole}, 0))"
+    return f"round(CASE WHEN {x} >= 100 THEN round({x}, 1) WHEN {x} >= 10 THEN round({x}, 2) WHEN {x} >= 1 THEN round({x}, 3) WHEN {x} >= 0.1 THEN round({x}, 4) ELSE round({x}, 5) END, 1)"
+
+
+def _size_report(base: str, counts: list[str]) -> str:
+    sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in (base, *counts))
+    shown = ", ".join(f"{_shown(f'sum({c})', f'sum({base})')} AS {c}_pct" for c in counts)
+    return f" SELECT block_pop, count(*)::BIGINT AS blocks, {sums}, {shown}, format('{{:,}}', round(sum({base}) / 1000.0)::BIGINT) AS thousands, {PLACES} FROM {SIZES} GROUP BY block_pop"
+
+
+@query(LINKED + ", t AS (SELECT b.block, b.nl AS size, b.nl AS pop, count(m.flag) FILTER (flag = 1) AS exact, count(m.flag) AS binage FROM (SELECT block, count(*) AS nl FROM l GROUP BY 1) b LEFT JOIN m USING (block) GROUP BY 1, 2, 3)" + _size_report("pop", ["exact", "binage"]))
+def report_agree_blockpop(spark, d):
+    a, b = left_right(spark, d)
+    stats = linkage.block_stats(linkage.linked(a, b, SPEC), SPEC).where("n_left IS NOT NULL")
+    blocks = stats.select("block", F.col("n_left").alias("pop"), F.coalesce("exact", F.lit(0)).alias("exact"), (F.coalesce("exact", F.lit(0)) + F.coalesce("binage", F.lit(0))).alias("binage"))
+    return reports.by_block_size(blocks, F.col("pop"), "pop", ["exact", "binage"])
+
+
+CONFIRMED = PUTATIVE + f", att AS {ATTACHED}, tru AS {TRUTH}, c1 AS {C1}, c2 AS {C2}, cf AS (SELECT left_id, 1 AS cflag FROM c1 UNION ALL SELECT left_id, 3 FROM c2)"
+
+
+def _matched(spark, d):
+    """People of the left file with ``put`` and ``conf``, their flags (null if not matched or not confirmed)."""
+    a, put, conf = _linked(spark, d)
+    return a.join(put.select(F.col("left_id").alias("pid"), F.col("flag").alias("put")), "pid", "left").join(conf.select(F.col("left_id").alias("pid"), F.col("flag").alias("conf")), "pid", "left")
+
+
+@query(CONFIRMED + ", t AS (SELECT block, count(*) AS size, count(*) AS pop, count(put.flag) AS put, count(cflag) AS conf FROM l LEFT JOIN put ON put.left_id = l.pid LEFT JOIN cf ON cf.left_id = l.pid GROUP BY l.block)".replace("SELECT block", "SELECT l.block") + _size_report("pop", ["put", "conf"]))
+def report_reid_blockpop(spark, d):
+    blocks = _matched(spark, d).groupBy("block").agg(F.count("*").alias("pop"), F.count("put").alias("put"), F.count("conf").alias("conf"))
+    return reports.by_block_size(blocks, F.col("pop"), "pop", ["put", "conf"])
+
+
+FLAGGED = CONFIRMED + MODES + FALL + f""", z AS (SELECT pp.*, coalesce(code, nat) AS modal, count(*) OVER (PARTITION BY pp.block, sex, age) AS a, count(*) OVER (PARTITION BY pp.block, sex, {BIN}) AS b, count(*) OVER (PARTITION BY pp.block, race) AS c, count(*) FILTER (age >= 80) OVER (PARTITION BY pp.block) AS iv FROM pp JOIN f ON f.block = pp.block),
+y AS (SELECT z.*, put.flag AS pf, cf.cflag AS cfl, race = modal AS mo, a = 1 AS sab, b = 1 AS sabb, c = 1 AS ber, age > 21 AS o21 FROM z LEFT JOIN put ON put.left_id = z.pid LEFT JOIN cf ON cf.left_id = z.pid WHERE side = 0)"""
+REPORT_SLICES = {"all": "true", "modal": "mo", "nonmodal": "NOT mo", "unique": "sabb", "nonmodal unique": "NOT mo AND sabb", "zero variability": "iv = 0", "nonmodal zero variability": "NOT mo AND iv = 0"}
+
+
+def _flagged(spark, d):
+    p = people(spark, d)
+    f = tabulate.person_flags(p, "block", tabulate.modal_fallback(p, "block", "tract", "race"), "race", bins.age_bin(F.col("age")), "pid").drop("block")
+    iv = p.groupBy("block").agg(tabulate.counted(F.col("age") >= 80).alias("iv"))
+    x = _matched(spark, d).join(f, "pid").join(iv, "block")
+    return x.withColumns({"mo": F.col("modalre") == 1, "sab": F.col("sab_oneton") == 1, "sabb": F.col("sabb_oneton") == 1, "ber": F.col("ber_oneton") == 1, "o21": F.col("over21") == 1})
+
+
+@query(FLAGGED + ", s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS slice, pf, cfl FROM y WHERE {c}" for n, c in REPORT_SLICES.items()) + f") SELECT slice, count(*)::BIGINT AS denom, count(pf)::BIGINT AS put, count(cfl)::BIGINT AS conf, {_shown('count(pf)', 'count(*)')} AS put_pct, {_shown('count(cfl)', 'count(*)')} AS conf_pct, {_shown('count(cfl)', 'count(pf)')} AS precision FROM s GROUP BY 1")
+def report_reid_slices(spark, d):
+    x = _flagged(spark, d).withColumns({"put": F.col("put").isNotNull().cast("int"), "conf": F.col("conf").isNotNull().cast("int")})
+    return reports.slice_rates(x, {n: F.expr(c) for n, c in REPORT_SLICES.items()}, "put", "conf")
+
+
+PERSON_FLAGS = {"o21": "o21", "u21": "NOT o21", "m": "mo", "nm": "NOT mo", "sab": "sab", "sabb": "sabb", "ber": "ber", "msab": "mo AND sab", "nmsab": "NOT mo AND sab", "msabb": "mo AND sabb", "nmsabb": "NOT mo AND sabb", "mber": "mo AND ber", "nmber": "NOT mo AND ber", "o21m": "o21 AND mo"}
+MATCHES = {"put_exact": ("put = 1", "pf = 1"), "put_binage": ("put IS NOT NULL", "pf IS NOT NULL"), "conf_exact": ("conf = 1", "cfl = 1"), "conf_binage": ("conf IS NOT NULL", "cfl IS NOT NULL")}
+
+
+@query(FLAGGED + " SELECT county, " + ", ".join([f"count(*) FILTER ({c})::BIGINT AS {n}pop" for n, c in PERSON_FLAGS.items()] + [f"count(*) FILTER ({c} AND {m})::BIGINT AS {n}_{k}" for n, c in PERSON_FLAGS.items() for k, (_, m) in MATCHES.items()]) + " FROM y GROUP BY county")
+def reid_flag_sums(spark, d):
+    matches = {k: F.coalesce(F.expr(c), F.lit(False)) for k, (c, _) in MATCHES.items()}
+    return reports.flag_sums(_flagged(spark, d), ["county"], {n: F.expr(c) for n, c in PERSON_FLAGS.items()}, matches)
+
+
+@query(with_people(", t AS (SELECT block, count(*) AS size, count(*) AS pop, CASE WHEN count(*) FILTER (age >= 80) = 0 THEN count(*) ELSE 0 END AS zero_pop, CASE WHEN count(*) FILTER (age >= 80) = 0 THEN 1 ELSE 0 END AS zero_blocks, sum(u) AS unique_pop FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY block, sex, " + BIN + ") = 1 THEN 1 ELSE 0 END AS u FROM pp) GROUP BY block)" + _size_report("pop", ["zero_pop", "zero_blocks", "unique_pop"])))
+def report_solvar_blockpop(spark, d):
+    p = tabulate.uniqueness(people(spark, d).withColumn("_bin", bins.age_bin(F.col("age"))), ["block", "sex", "_bin"], "u")
+    blocks = p.groupBy("block").agg(F.count("*").alias("pop"), tabulate.counted(F.col("age") >= 80).alias("iv"), tabulate.total("u").alias("unique_pop"))
+    blocks = blocks.withColumns({"zero_pop": F.when(F.col("iv") == 0, F.col("pop")).otherwise(0), "zero_blocks": F.when(F.col("iv") == 0, 1).otherwise(0)})
+    return reports.by_block_size(blocks, F.col("pop"), "pop", ["zero_pop", "zero_blocks", "unique_pop"])
+
+
+@query(with_people(f", {COM}, tr AS (SELECT block, pik, age AS ta, sex AS ts FROM q WHERE keep = 1), r AS (SELECT block, count(*) AS n, count(*) FILTER (pik IS NOT NULL AND age IS NOT NULL) AS ha FROM com GROUP BY 1), j AS (SELECT com.block, count(*) FILTER (age = ta AND sex = ts) AS bpas, count(*) FILTER (age IS NOT NULL AND {agebin_sql('age')} = {agebin_sql('ta')} AND sex = ts) AS bpabs FROM com JOIN tr USING (block, pik) GROUP BY 1), t AS (SELECT block, n AS size, n AS com_rows, ha AS has_bpas, coalesce(bpas, 0) AS bpas, coalesce(bpabs, 0) AS bpabs FROM r LEFT JOIN j USING (block))") + _size_report("com_rows", ["has_bpas", "bpas", "bpabs"]))
+def report_commercial_match(spark, d):
+    a, b = left_right(spark, d)
+    com = a.select("block", F.when(F.col("pid") % 11 != 0, F.col("pik")).alias("pik"), F.when(F.col("pid") % 7 != 0, F.col("age")).alias("age"), "sex")
+    x = metrics.commercial_quality(com, b.where("keep = 1"), "block", bins.age_bin).where("rows > 0").withColumnRenamed("rows", "com_rows")
+    return reports.by_block_size(x, F.col("com_rows"), "com_rows", ["has_bpas", "bpas", "bpabs"])
+
+
+TABLE_AGES = (0, 5, 10, 15, 18, 20, 21, 22, 25, 30, 35, 40, 45, 50, 55, 60, 62, 65, 67, 70, 75, 80, 85)
+TABLE_GROUPS = {"all": "true", "white": "race IN ('1000', '1001')", "black": "race IN ('0100', '0101')", "asian": "race IN ('0010', '0011')", "two or more": "white + black + asian > 1", "hispanic": "hisp = 1", "white not hispanic": "race = '1000'"}
+_FROM = " ".join(f"WHEN age >= {x} THEN {x}" for x in reversed(TABLE_AGES))
+
+
+@query(with_people(", g2 AS (" + " UNION ALL ".join(f"SELECT county, '{n}' AS grp, sex, CASE {_FROM} END AS af FROM pp WHERE {c}" for n, c in TABLE_GROUPS.items()) + ") SELECT county, grp AS \"group\", sex, af::BIGINT AS age_from, count(*)::BIGINT AS n FROM g2 GROUP BY GROUPING SETS ((county, grp, sex, af), (county, grp, sex), (county, grp))"))
+def table_cells(spark, d):
+    x = reports.table_cells(people(spark, d), ["county"], TABLE_AGES, "sex", "age", {n: F.expr(c) for n, c in TABLE_GROUPS.items()})
+    return longs(x, "age_from")

@@ -1,8 +1,9 @@
-"""Configuration: INI files with includes and $NAME from a mapping; driver side only."""
+"""Configuration: INI files with includes, JSON and YAML files, and $NAME from a mapping; driver side only."""
 
 from __future__ import annotations
 
 import configparser
+import json
 import os
 import string
 from collections.abc import Mapping
@@ -44,3 +45,26 @@ def read(path: str | Path, variables: Mapping[str, str] | None = None, _seen: tu
             if k != "include":
                 out[s][k] = fill(v)
     return out
+
+
+def read_tree(path: str | Path, variables: Mapping[str, str] | None = None):
+    """The values of a JSON or YAML file (by its ending) with $NAME filled in inside all strings; unknown $NAMEs stay."""
+    text = Path(path).read_text()
+    if Path(path).suffix in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML files need the package yaml") from e
+        tree = yaml.safe_load(text)
+    else:
+        tree = json.loads(text)
+    given = dict(os.environ) if variables is None else dict(variables)
+
+    def filled(x):
+        if isinstance(x, str):
+            return string.Template(x).safe_substitute(given)
+        if isinstance(x, dict):
+            return {k: filled(v) for k, v in x.items()}
+        return [filled(v) for v in x] if isinstance(x, list) else x
+
+    return filled(tree)

@@ -100,6 +100,32 @@ def xml(spark: SparkSession, path: str, row_tag: str, schema: str | None = None)
     return (r.schema(schema) if schema else r).load(path)
 
 
+def jdbc(spark: SparkSession, url: str, table: str, driver: str, split: tuple[str, int, int, int] | None = None, properties: dict | None = None) -> DataFrame:
+    """A table, or a query in parentheses with a name, of a database.
+
+    ``split`` (numeric column, low, high, parts) reads it in that many ranges at once; filters and columns
+    that the plan needs are pushed to the database.
+    """
+    given = {"driver": driver, **(properties or {})}
+    if split is None:
+        return spark.read.jdbc(url, table, properties=given)
+    column, low, high, parts = split
+    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=given)
+
+
+def reconstructed_to_microdata(text: DataFrame, race_code, line: str = "value") -> DataFrame:
+    """Lines "tract,block,sex,age,six Y/N race flags,Y/N hispanic" (ids of 11 and 15 digits) as columns of the microdata format.
+
+    ``race_code`` gives the code of six flag columns. People are household members: RTYPE 1, GQTYPE 000.
+    """
+    part = F.split(F.substr(line, F.lit(29)), ",")
+    flags = [F.trim(part[i]) for i in range(2, 8)]
+    return text.where(F.col(line).rlike(r"^\d{11},\d{15},")).select(
+        F.substring(line, 1, 2).alias("TABBLKST"), F.substring(line, 3, 3).alias("TABBLKCOU"), F.substring(line, 6, 6).alias("TABTRACTCE"), F.substring(line, 24, 1).alias("TABBLKGRPCE"), F.substring(line, 24, 4).alias("TABBLK"),
+        F.when(part[0] == "male", "1").when(part[0] == "female", "2").alias("QSEX"), part[1].alias("QAGE"), F.lit("1").alias("RTYPE"), F.lit("000").alias("GQTYPE"), F.when(F.trim(part[8]) == "Y", "2").when(F.trim(part[8]) == "N", "1").alias("CENHISP"), F.lpad(race_code(flags).cast("string"), 2, "0").alias("CENRACE"),
+    )
+
+
 # Lines of the solver's log.
 LOG_PATTERNS = {
     "version": r"Gurobi Optimizer version ([\d.]+)", "start": r"logging started (.*)$", "rows": r"Optimize a model with (\d+) rows", "columns": r"Optimize a model with \d+ rows, (\d+) columns",

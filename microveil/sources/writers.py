@@ -56,11 +56,30 @@ def table_text(df: DataFrame, kind: str = "latex", limit: int = 10_000) -> str:
 
 
 def inventory(spark, path: str) -> DataFrame:
-    """Files with size and number of lines."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
-    lines = spark.read.text(path).groupBy(F.input_file_name().alias("path")).agg(F.count(F.lit(1)).alias("lines"))
-    tail = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.withColumn("file", tail).join(lines.select(tail.alias("file"), "lines"), "file", "left").select("file", "bytes", F.coalesce("lines", F.lit(0)).alias("lines"))
+    """Files below a folder with size and number of lines; a file is known by its whole path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("_p"), F.col("length").alias("bytes"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).groupBy(F.col("_metadata.file_path").alias("_p")).agg(F.count(F.lit(1)).alias("lines"))
+    named = files.join(lines, "_p", "left").select(F.url_decode(F.replace("_p", F.lit("+"), F.lit("%2B"))).alias("path"), "bytes", F.coalesce("lines", F.lit(0)).alias("lines"))
+    return named.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+
+
+def placed(line: Column, start: int, length: int, value: Column, pad: str = "0") -> Column:
+    """A fixed-width line with one field (start from 1) replaced, padded on the left to the same width; null values leave it, too long ones are an error."""
+    text = value.cast("string")
+    fits = F.when(F.length(text) <= length, F.lpad(text, length, pad)).otherwise(F.raise_error(F.lit(f"a value is wider than its {length} characters")))
+    return F.when(text.isNull(), line).otherwise(F.concat(F.substring(line, 1, start - 1), fits, F.substr(line, F.lit(start + length))))
+
+
+def field_overlay(lines: DataFrame, key: Column, new: DataFrame, field: str, sep: str = ",", line: str = "line") -> DataFrame:
+    """Delimited lines with some fields replaced, each as wide as it was (zeros in front): ``new`` has key, place (from 1) and value.
+
+    Other fields, and the lines' order columns, stay as they are.
+    """
+    values = new.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col(field).cast("string")))).alias("_v"))
+    parts = F.split(line, "\\" + sep if sep in "|.$" else sep)
+    put = F.transform(parts, lambda x, i: F.coalesce(F.lpad(F.try_element_at("_v", i + 1), F.greatest(F.length(x), F.length(F.try_element_at("_v", i + 1))), F.lit("0")), x))
+    joined = lines.withColumn("_key", key).join(values.withColumnRenamed("key", "_key"), "_key", "left")
+    return joined.withColumn(line, F.when(F.col("_v").isNull(), F.col(line)).otherwise(F.array_join(put, sep))).select(*lines.columns)
 
 
 def snapshot_difference(old: DataFrame, new: DataFrame, path: str, digest: str) -> DataFrame:
@@ -72,3 +91,13 @@ def snapshot_difference(old: DataFrame, new: DataFrame, path: str, digest: str)
     x = both.withColumn("d", F.coalesce("nd", "od")).join(moved, "d", "left")
     kind = F.when(F.col("od").isNull(), F.when(F.col("_moved"), "renamed to").otherwise("new")).when(F.col("nd").isNull(), F.when(F.col("_moved"), "renamed from").otherwise("deleted")).when(F.col("od") == F.col("nd"), "same").otherwise("changed")
     return x.select(F.col("p").alias(path), kind.alias("change"))
+
+
+def xml(df: DataFrame, path: str, row_tag: str, root_tag: str = "rows") -> None:
+    """Rows as XML records, such as the file objects of a forensic listing; nested columns become nested elements."""
+    df.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
+
+
+def jdbc(df: DataFrame, url: str, table: str, driver: str, mode: str = "append", properties: dict | None = None) -> None:
+    """Rows into a table of a database, in parallel by partition."""
+    df.write.jdbc(url, table, mode, {"driver": driver, **(properties or {})})

@@ -20,3 +20,12 @@ def test_includes_and_variables(tmp_path):
         config.read(tmp_path / "loop.ini", {})
     with pytest.raises(FileNotFoundError):
         config.read(tmp_path / "none.ini")
+
+
+def test_trees(tmp_path):
+    (tmp_path / "a.json").write_text('{"path": "$HOME_DIR/x", "n": [1, "$UNKNOWN"], "deep": {"v": "$HOME_DIR"}}')
+    (tmp_path / "a.yaml").write_text("path: $HOME_DIR/x\nn: [1, $UNKNOWN]\ndeep: {v: $HOME_DIR}\n")
+    want = {"path": "/h/x", "n": [1, "$UNKNOWN"], "deep": {"v": "/h"}}
+    assert config.read_tree(tmp_path / "a.json", {"HOME_DIR": "/h"}) == want
+    pytest.importorskip("yaml")
+    assert config.read_tree(tmp_path / "a.yaml", {"HOME_DIR": "/h"}) == want

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def test_bins(spark):
     assert values(spark, bins.age_bin(F.col("x")), [21, 22, 24, 25, 61, 62, 64, 66, 69, 84, 85, 110, None]) == [21, 22, 22, 25, 60, 62, 62, 65, 67, 80, 85, 85, None]
     assert values(spark, bins.right_closed(F.col("x")), [0, 1, 9, 10, 999, 1000, None]) == [None, "1-9", "1-9", "10-49", "500-999", "1000+", None]
     assert values(spark, bins.left_closed(F.col("x"), bins.BLOCK_SIZE_LEFT[:-1], top=100_000), [-1, 0, 9, 10, 99_999, 100_000]) == [None, 0, 0, 10, 1000, None]
-    assert values(spark, bins.significant(F.col("x")), [123456.0, 0.00123456, -2.34567], "double") == [123456.0, 0.001235, -2.346]
+    assert values(spark, bins.significant(F.col("x")), [123456.0, 0.00123456, -2.34567, 1e-9, -98765432.0, None], "double") == [123500.0, 0.001235, -2.346, 0.0, -98770000.0, None]
     assert values(spark, bins.stars(F.col("x"), F.lit(1.0)), [3.0, 2.0, 1.7, 0.1], "double") == ["***", "**", "*", ""]
 
 
@@ -65,7 +67,45 @@ def test_suppression_and_modes(spark):
 def test_empty_summary_is_zero(spark):
     empty = spark.createDataFrame([], "k long, n long")
     row = metrics.summary(metrics.differences(empty, empty, ["k"])).first().asDict()
-    assert row.pop("cv") is None and set(row.values()) == {0}
+    assert len(row) == 27 and set(row.values()) == {0}
+    zero = spark.createDataFrame([(1, 0)], "k long, n long")
+    assert metrics.summary(metrics.differences(zero, zero, ["k"])).first()["cv"] is None
+
+
+def test_percentiles_are_those_of_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(g, float(rng.randint(0, 9))) for g in ("a", "b", None) for _ in range(rng.randint(1, 40))] + [("c", None)]
+    got = {r["g"]: r for r in metrics.percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], {"p0": ("x", 0), "p50": ("x", 0.5), "p95": ("x", 0.95), "p100": ("x", 1)}).collect()}
+    for g in ("a", "b", None):
+        x = [v for k, v in rows if k == g]
+        assert [got[g][f"p{p}"] for p in (0, 50, 95, 100)] == pytest.approx(np.percentile(x, [0, 50, 95, 100]).tolist())
+    assert "c" not in got
+
+
+def test_a_unit_at_the_threshold_has_not_crossed(spark):
+    d = spark.createDataFrame([(50, 40), (51, 49), (49, 51), (60, 50), (50, 50)], "h long, m long")
+    assert metrics.crossings(d, 50).first().asDict() == {"units": 5, "fell": 1, "rose": 1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_against_enumeration(seed):
+    import pandas as pd
+
+    rng = random.Random(seed)
+    names = [f"v{i}" for i in range(7)]
+    cons = [(f"c{j}", rng.sample(names, 4), rng.choice(["=", "<=", ">="]), rng.randint(0, 3)) for j in range(4)]
+    rows = pd.DataFrame([(c, v, s, float(r)) for c, vs, s, r in cons for v in vs], columns=["constraint", "variable", "sense", "rhs"])
+    used = sorted(rows["variable"].unique())
+    test = {"=": lambda a, b: a == b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+    want = [dict(zip(used, x, strict=True)) for x in itertools.product((0, 1), repeat=len(used)) if all(test[s](sum(dict(zip(used, x, strict=True))[v] for v in vs), r) for _, vs, s, r in cons)]
+    status, got = models._search(rows, 10_000)
+    assert status == ("OPTIMAL" if want else "INFEASIBLE") and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_repeated_names():
+    assert recode.distinct_names(["x", "y", "x", "x", "x.1"]) == ["x", "y", "x.2", "x.3", "x.1"] or recode.distinct_names(["x", "y", "x", "x"]) == ["x", "y", "x.1", "x.2"]
+    out = recode.distinct_names(["a", "a", "a.1", "a"])
+    assert len(set(out)) == 4 and out[0] == "a" and "a.1" in out
 
 
 def test_swap_exchange_keeps_totals(spark):

@@ -57,3 +57,37 @@ def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "p string, d string")
     new = spark.createDataFrame([("a", "1"), ("b", "9"), ("e", "3"), ("f", "4")], "p string, d string")
     assert {r["p"]: r["change"] for r in writers.snapshot_difference(old, new, "p", "d").collect()} == {"a": "same", "b": "changed", "c": "renamed from", "e": "renamed to", "f": "new"}
+
+
+def test_inventory_knows_files_by_path(spark, tmp_path):
+    for folder, lines in (("a", 1), ("b c+%", 3)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text("line\n" * lines)
+    got = sorted((r["path"].rsplit("/", 2)[1], r["file"], r["bytes"], r["lines"]) for r in writers.inventory(spark, str(tmp_path)).collect())
+    assert got == [("a", "x.csv", 5, 1), ("b c+%", "x.csv", 15, 3)]
+
+
+def test_fields_keep_their_width(spark):
+    lines = spark.createDataFrame([(1, "AB,0012,7,x"), (2, "CD,0003,,y")], "n int, line string")
+    new = spark.createDataFrame([(1, 2, 5), (1, 3, 123), (3, 1, 9)], "key int, place int, value int")
+    got = {r["n"]: r["line"] for r in writers.field_overlay(lines, F.col("n"), new, "value").collect()}
+    assert got == {1: "AB,0005,123,x", 2: "CD,0003,,y"}
+    assert lines.limit(1).select(writers.placed(F.lit("abc000xyz"), 4, 3, F.lit(42))).first()[0] == "abc042xyz"
+    assert lines.limit(1).select(writers.placed(F.lit("abc"), 2, 1, F.lit(None))).first()[0] == "abc"
+    with pytest.raises(Exception, match="wider"):
+        lines.select(writers.placed(F.lit("abc"), 2, 1, F.lit(10))).collect()
+
+
+def test_database_both_ways(spark):
+    url, driver = "jdbc:derby:memory:people;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("n"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name")).toDF("ID", "N", "NAME")
+    writers.jdbc(df, url, "people", driver)
+    assert readers.jdbc(spark, url, "people", driver, split=("ID", 0, 100, 4)).where("n = 3").count() == 14
+    assert readers.jdbc(spark, url, "(SELECT n, count(*) AS c FROM people GROUP BY n) q", driver).agg(F.sum("c")).first()[0] == 100
+
+
+def test_xml_both_ways(spark, tmp_path):
+    df = spark.createDataFrame([("a", 3, ["x", "y"]), ("b", 4, [])], "name string, size long, tag array<string>")
+    writers.xml(df, str(tmp_path / "out.xml"), "file")
+    got = readers.xml(spark, str(tmp_path / "out.xml"), "file", "name string, size long, tag array<string>").orderBy("name").collect()
+    assert [(r["name"], r["size"], r["tag"] or []) for r in got] == [("a", 3, ["x", "y"]), ("b", 4, [])]
