@@ -10,10 +10,13 @@ the greedy rule itself on the leftovers of blocks that have both sides.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,38 +40,77 @@ class Spec:
     soft: Sequence[str] = field(default_factory=tuple)  # attributes that oneoff lets differ; by default all keys but age
 
 
+def _near_ages(left: list[int], right: list[int], age: list) -> list[tuple[int, int]]:
+    """Rows as positions; all other keys are equal, and ``right`` goes by age, so the first of a year or less apart is found by bisection."""
+    ages = [age[j] for j in right]
+    after = list(range(len(right) + 1))  # the first row from here on that is still free
+
+    def free(j: int) -> int:
+        while after[j] != j:
+            after[j] = after[after[j]]
+            j = after[j]
+        return j
+
+    out = []
+    for i in reversed(left):
+        j = free(bisect_left(ages, age[i] - 1))
+        if j < len(right) and ages[j] <= age[i] + 1:
+            out.append((i, right[j]))
+            after[j] = j + 1
+    return out
+
+
+def _one_off(left: list[int], right: list[int], age: list, soft: list[tuple]) -> list[tuple[int, int]]:
+    """Rows as positions. Each free right row waits in one queue for every attribute left out; the first fit is the least head of a few queues."""
+    names = range(len(soft[0])) if soft and soft[0] else ()
+    rest = lambda x, k: (k, *x[:k], *x[k + 1 :])
+    queues: dict[tuple, deque] = {}
+    for j in right:
+        for k in names:
+            queues.setdefault((age[j], *rest(soft[j], k)), deque()).append(j)
+    used: set[int] = set()
+    out = []
+    for i in reversed(left):
+        best = None
+        for a in (age[i] - 1, age[i], age[i] + 1):
+            for k in names:
+                q = queues.get((a, *rest(soft[i], k)))
+                while q and q[0] in used:
+                    q.popleft()
+                if q and (best is None or q[0] < best):
+                    best = q[0]
+        if best is not None:
+            used.add(best)
+            out.append((i, best))
+    return out
+
+
 def _greedy(parts, spec: Spec, stage: str, soft: list[str]):
-    """The greedy rule on whole groups; parts are sorted by group (``_group``), then side and sort order."""
-    keys = list(spec.keys)
-    hard = [k for k in keys if k != spec.age]
-
-    def pairs(group: list[dict]) -> list[tuple]:
-        left, right = [x for x in group if x["_side"] == 0], [x for x in group if x["_side"] == 1]
-        out = []
-        for a in reversed(left):
-            for j, b in enumerate(right):
-                if abs(a[spec.age] - b[spec.age]) <= 1 and (all(a[k] == b[k] for k in hard) if stage == "fzyage" else sum(a[k] != b[k] for k in soft) <= 1):
-                    out.append((a["_id"], b["_id"]))
-                    del right[j]
-                    break
-        return out
-
-    def made(found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame({"_side": [0] * len(found) + [1] * len(found), "_id": [a for a, _ in found] + [b for _, b in found], "_pair": [f"{a}/{b}" for a, b in found] * 2})
-        return out.astype({"_side": "int32", "_pair": "object"})
-
-    held: list[dict] = []
+    """The greedy rule on whole groups; parts are sorted by group (``_group``), then side and sort order. Ages are whole years."""
+
+    def pairs(p: pd.DataFrame) -> pd.DataFrame | None:
+        side, ids, age = p["_side"].to_numpy(), p["_id"].tolist(), p[spec.age].tolist()
+        left, right = (np.flatnonzero(side == s).tolist() for s in (0, 1))
+        found = _near_ages(left, right, age) if stage == "fzyage" else _one_off(left, right, age, list(zip(*[p[k].tolist() for k in soft], strict=True)))
+        if not found:
+            return None
+        a, b = [ids[i] for i, _ in found], [ids[j] for _, j in found]
+        return pd.DataFrame({"_side": np.repeat([0, 1], len(a)).astype("int32"), "_id": a + b, "_pair": [f"{x}/{y}" for x, y in zip(a, b, strict=True)] * 2})
+
+    held: list[pd.DataFrame] = []
     for p in parts:
-        found = []
-        for row in p.to_dict("records"):
-            if held and row["_group"] != held[-1]["_group"]:
-                found += pairs(held)
+        group = p["_group"].to_numpy()
+        if not len(group):
+            continue
+        head = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for lo, hi in zip(head, head[1:], strict=False):
+            if held and held[0]["_group"].iloc[0] != group[lo]:
+                if (out := pairs(pd.concat(held, ignore_index=True))) is not None:
+                    yield out
                 held = []
-            held.append(row)
-        if found:
-            yield made(found)
-    if held and (found := pairs(held)):
-        yield made(found)
+            held.append(p.iloc[lo:hi])
+    if held and (out := pairs(pd.concat(held, ignore_index=True))) is not None:
+        yield out
 
 
 def linked(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:

@@ -119,17 +119,28 @@ def spine_rollup(people: DataFrame, levels: Sequence[str], measures: dict[str, C
 
 
 def reindexed(counts: DataFrame, domains: Sequence[DataFrame], measures: Sequence[str]) -> DataFrame:
-    """Counts over the full product of small domains, 0 where there are none. Domains are code lists, not data."""
+    """Counts over the full product of domains, 0 where there are none.
+
+    The first domain may be large; the others are code lists that are sent to every task, so
+    more than 10,000 codes in one are an error.
+    """
     full = domains[0]
     for d in domains[1:]:
+        if d.limit(10_001).count() > 10_000:
+            raise ValueError(f"a domain of more than 10,000 codes: {d.columns}")
         full = full.crossJoin(F.broadcast(d))
     on = full.columns
     return full.join(counts, on, "left").select(*on, *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
 
 
 def percentile_classes(df: DataFrame, value: str, shares: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """Class 0 for 0, else 1 + the number of percentiles of the positive values that the value is above; null for null."""
-    cuts = df.where(F.col(value) > 0).agg(*[F.percentile(value, s).alias(f"_p{i}") for i, s in enumerate(shares)])
+    """Class 0 for 0, else 1 + the number of percentiles of the positive values that the value is above; null for null.
+
+    The cuts are one row, from counts by value.
+    """
+    from microveil.operators.metrics import percentiles
+
+    cuts = percentiles(df.where(F.col(value) > 0), (), {f"_p{i}": (value, s) for i, s in enumerate(shares)})
     above = sum(((F.col(value) > F.col(f"_p{i}")).cast("int") for i in range(len(shares))), F.lit(1))
     return df.crossJoin(F.broadcast(cuts)).withColumn("class", F.when(F.col(value) == 0, 0).when(F.col(value) > 0, above)).drop(*[f"_p{i}" for i in range(len(shares))])
 
