@@ -243,6 +243,17 @@ def jensen_shannon(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence
     return x.groupBy(*by).agg(F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(term("p") + term("q")) / 2)), 6).alias("js"))
 
 
+def scaled_variability(df: DataFrame, value: str, pop: str, late: str = "TIMEOUT") -> DataFrame:
+    """Adds ``scaled``, variability over twice the population as text, and ``label``: 0, >0, the mark of runs that took too long, or NA.
+
+    ``value`` is text: a number, or ``late``, which stays as it is. A population of 0 gives NaN.
+    """
+    v, n = F.col(value), F.col(value).try_cast("double")
+    share = F.when(F.col(pop) == 0, F.lit("NaN")).otherwise(F.round(F.try_divide(n, F.lit(2.0) * F.col(pop)), 6).cast("string"))
+    label = F.when(v == late, late).when(n == 0, "0").when(n > 0, ">0").otherwise("NA")
+    return df.withColumns({"scaled": F.when(v == late, v).otherwise(share), "label": label})
+
+
 def commercial_quality(com: DataFrame, truth: DataFrame, block: str, age_group) -> DataFrame:
     """Per block: rows, complete rows, and matches on id, on id, age and sex, and on id, age group and sex. Joins are many to many."""
     rows = com.groupBy(block).agg(F.count(F.lit(1)).cast("long").alias("rows"), counted(F.col("pik").isNotNull()).alias("has_bp"), counted(F.col("pik").isNotNull() & F.col("age").isNotNull() & F.col("sex").isNotNull()).alias("has_bpas"))

@@ -37,6 +37,12 @@ def selected(df: DataFrame, rate: float, keys: Sequence[str], out: str = "select
     return df.withColumn(out, u < min(rate, 0.99))
 
 
+def eligible(households: DataFrame, key: Sequence[str], block: str, draw: Column) -> DataFrame:
+    """All households as swap candidates (``prep`` 3), with ``unique`` (1 where alone with its key in its block) and ``ranno``, a random order kept as a column."""
+    alone = (F.count(F.lit(1)).over(Window.partitionBy(*key, block)) == 1).cast("int")
+    return households.withColumns({"unique": alone, "ranno": draw, "prep": F.lit(3)})
+
+
 def swap_estimate(df: DataFrame, key: Sequence[str], order: Sequence[str], chosen: str, rate: float) -> DataFrame:
     """One row: households, how many the runs of chosen neighbours would swap (an odd run takes one more), the target, and how many to deselect.
 

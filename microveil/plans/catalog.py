@@ -561,10 +561,12 @@ def solvar_qtile(spark, d):
     return longs(tabulate.quantile_table(x, "v", "pop", ["p_partkey"]), "value_sum")
 
 
-@query(with_people("SELECT tract, round(count(*) FILTER (age > 60)::DOUBLE / nullif(2 * count(*) FILTER (sex = 1), 0), 6) AS siv, CASE WHEN count(*) FILTER (age > 60) = 0 THEN '0' ELSE '>0' END AS label FROM pp GROUP BY 1"))
+@query(with_people("SELECT tract, CASE WHEN pop % 5 = 0 THEN 'TIMEOUT' WHEN pop = 0 THEN 'NaN' END AS special, CASE WHEN pop % 5 <> 0 THEN round(iv::DOUBLE / (2 * pop), 6) END AS siv, CASE WHEN pop % 5 = 0 THEN 'TIMEOUT' WHEN iv = 0 THEN '0' ELSE '>0' END AS label FROM (SELECT tract, count(*) FILTER (age > 60) AS iv, count(*) FILTER (sex = 1) AS pop FROM pp GROUP BY 1)"))
 def scaled_variability(spark, d):
     x = people(spark, d).groupBy("tract").agg(tabulate.counted(F.col("age") > 60).alias("iv"), tabulate.counted(F.col("sex") == 1).alias("pop"))
-    return x.select("tract", F.round(F.try_divide(F.col("iv").cast("double"), F.col("pop") * 2), 6).alias("siv"), F.when(F.col("iv") == 0, "0").when(F.col("iv") > 0, ">0").otherwise("NA").alias("label"))
+    x = metrics.scaled_variability(x.withColumn("iv", F.when(F.col("pop") % 5 == 0, "TIMEOUT").otherwise(F.col("iv").cast("string"))), "iv", "pop")
+    n = F.col("scaled").try_cast("double")
+    return x.select("tract", F.when(n.isNull() | F.isnan(n), F.col("scaled")).alias("special"), F.when(~F.isnan(n), n).alias("siv"), "label")
 
 
 # commercial quality, swap
@@ -651,6 +653,11 @@ def swap_noisy_key_low(spark, d):
     return _households(spark, d).select("hid", swap.noisy_key(F.col("size"), F.col("draw") / 1000003, swap.SETTINGS["LO"]["cuts"]).alias("key"))
 
 
+@query(f"WITH {HOUSE} SELECT hid, (count(*) OVER (PARTITION BY size, area) = 1)::BIGINT AS unique, draw AS ranno, 3::BIGINT AS prep FROM hh")
+def swap_eligible(spark, d):
+    return longs(swap.eligible(_households(spark, d), ["size"], "area", F.col("draw")).select("hid", "unique", "ranno", "prep"), "unique", "prep")
+
+
 CHOSEN = f"{HOUSE}, c AS (SELECT *, hid % 4 <> 0 AS sel, (hid * 104729 % 1000003) / 1000003.0::DOUBLE AS u2 FROM hh), st AS (SELECT *, CASE WHEN sel AND NOT coalesce(lag(sel) OVER (PARTITION BY size ORDER BY draw, hid), false) THEN 1 ELSE 0 END AS b, count(*) OVER (PARTITION BY size) AS al FROM c), ru AS (SELECT *, sum(b) OVER (PARTITION BY size ORDER BY draw, hid ROWS UNBOUNDED PRECEDING) AS rn FROM st), es AS (SELECT (SELECT count(*) FROM hh)::BIGINT AS households, coalesce(sum(CASE WHEN al > 1 THEN n + n % 2 END), 0)::BIGINT AS projected FROM (SELECT size, rn, count(*) AS n, max(al) AS al FROM ru WHERE sel GROUP BY 1, 2)), de AS (SELECT *, households * 0.5::DOUBLE AS target, greatest(0, round(projected - households * 0.5::DOUBLE))::BIGINT AS deselect FROM es)"
 
 
@@ -983,6 +990,21 @@ def reconstructed_lines(spark, d):
     return readers.reconstructed_to_microdata(table(spark, d, "customer").select(line.alias("value")), recode.race_code)
 
 
+@query("SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN '040' WHEN 1 THEN '050' WHEN 2 THEN '140' WHEN 3 THEN '101' ELSE '155' END AS \"SUMLEV\" FROM supplier WHERE s_suppkey % 6 < 4 AND s_suppkey % 4 <> 1")
+def summary_level_rows(spark, d):
+    k = F.col("s_suppkey")
+    level = F.element_at(F.array(*map(F.lit, ("040", "050", "140", "101", "155", "155"))), (k % 6 + 1).cast("int"))
+    geo = table(spark, d, "supplier").select("s_suppkey", level.alias("SUMLEV"), F.when(k % 4 == 1, "01").otherwise("00").alias("GEOCOMP"))
+    return readers.routed(geo).select("s_suppkey", "SUMLEV")
+
+
+@query("SELECT p_partkey, printf('%.1f', p_size::DOUBLE) AS \"PCT012A001\", CASE p_size % 3 WHEN 0 THEN p_size || '.5' WHEN 1 THEN p_size || '.25' ELSE p_size::VARCHAR END AS \"P012001\" FROM part")
+def published_fields(spark, d):
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_size") % 3 == 0, F.concat(size, F.lit(".50"))).when(F.col("p_size") % 3 == 1, F.concat(size, F.lit(".25"))).otherwise(size)
+    return table(spark, d, "part").select("p_partkey", writers.published_field("PCT012A001", F.col("p_size")).alias("PCT012A001"), writers.published_field("P012001", raw).alias("P012001"))
+
+
 # report tables
 
 SIZES = "(SELECT *, unnest(list_filter(['All', " + SIZE_R.format("size") + "], lambda x: x IS NOT NULL)) AS block_pop FROM t)"

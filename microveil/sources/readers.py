@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +41,44 @@ def segments_joined(first: DataFrame, rest: Sequence[DataFrame], keys: Sequence[
     return out.na.fill(missing) if missing is not None else out
 
 
+def routed(geo: DataFrame, levels: Sequence[str] = ("040", "050", "140", "750", "101"), component: str = "00") -> DataFrame:
+    """Rows of a geographic header at the wanted summary levels, whole areas only (component "00")."""
+    return geo.where(F.col("SUMLEV").isin(*levels) & (F.col("GEOCOMP") == component))
+
+
 def zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
-    """(path, member, n, line) of the text members of zip files whose names match; one file is one task's unit."""
+    """(path, member, n, line) of the text members of zip files whose names match; one file is one task's unit.
+
+    Tasks open the files themselves and read members as streams, so a file may have any size. Only
+    where the file system is known to Spark's readers alone, files come as bytes, of 2 GB at most.
+    """
     import re
 
+    import pyarrow.fs
+
     want = re.compile(pattern)
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").first()
+    try:
+        pyarrow.fs.FileSystem.from_uri(first["path"]) if first else None
+        by_path = True
+    except (pa.ArrowInvalid, OSError, ValueError):
+        by_path = False
+
+    def opened(name: str, content):
+        if not by_path:
+            return io.BytesIO(content)
+        system, place = pyarrow.fs.FileSystem.from_uri(name)
+        return system.open_input_file(place)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for name, content in zip(p["path"], p["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name, content in zip(p["path"], p["content"] if not by_path else [None] * len(p), strict=True):
+                with opened(name, content) as raw_file, zipfile.ZipFile(raw_file) as z:
                     for m in z.namelist():
                         if want.fullmatch(m) and not m.endswith("/"):
                             with z.open(m) as f:
-                                held, n = [], 0
+                                held = []
                                 for n, raw in enumerate(f):
                                     held.append((name, m, n, raw.decode("utf-8", "replace").rstrip("\r\n")))
                                     if len(held) == 20_000:
@@ -62,7 +87,8 @@ def zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFram
                                 if held:
                                     yield pd.DataFrame(held, columns=["path", "member", "n", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, n long, line string")
+    columns = ["path"] if by_path else ["path", "content"]
+    return files.select(*columns).mapInPandas(run, "path string, member string, n long, line string")
 
 
 def _stat_file(spark: SparkSession, path: str, schema: str, reader: str) -> DataFrame:

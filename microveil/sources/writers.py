@@ -30,6 +30,14 @@ def padded_number(x: Column, width: int, decimals: int = 0) -> Column:
     return F.lpad(body, width, "0")
 
 
+def published_field(name: str, value: Column) -> Column:
+    """A field of a published wide table as its files write it: always one decimal in CHARITER, CIFSN and in tables PCT and HCT; elsewhere two decimals lose a last zero."""
+    if name in ("CHARITER", "CIFSN") or name.startswith(("PCT", "HCT")):
+        return F.format_string("%.1f", value.cast("double"))
+    text = value.cast("string")
+    return F.when(text.rlike(r"^.+\.\d0$") & (F.length(text) > 3), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
 def overlay(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Columns of ``base`` replaced where ``new`` has a value; rows and other columns stay."""
     values = [c for c in new.columns if c not in keys and c in base.columns]

@@ -91,3 +91,17 @@ def test_xml_both_ways(spark, tmp_path):
     writers.xml(df, str(tmp_path / "out.xml"), "file")
     got = readers.xml(spark, str(tmp_path / "out.xml"), "file", "name string, size long, tag array<string>").orderBy("name").collect()
     assert [(r["name"], r["size"], r["tag"] or []) for r in got] == [("a", 3, ["x", "y"]), ("b", 4, [])]
+
+
+def test_folder_of_parts_has_one_header(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part{i}.csv").write_text(f"a,b\n{i},x\n")
+    assert sorted(r["a"] for r in readers.typed_csv(spark, str(tmp_path), {"a": "int"}).collect()) == [0, 1, 2]
+
+
+def test_zip_files_are_streamed(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "big one.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("m.txt", "line\n" * 50_000)
+    got = readers.zip_members(spark, str(tmp_path), r"m\.txt")
+    assert got.count() == 50_000 and got.agg(F.max("n")).first()[0] == 49_999
+    assert readers.zip_members(spark, str(tmp_path), "nothing").count() == 0
