@@ -59,6 +59,8 @@ CLOSE = 85
 #: For close and for other joins: l is at least this, or the size of the set over the second if that is more; never more than partners share.
 CLOSE_L, OTHER_L = (12, 32), (6, 1 << 30)
 SLOTS = 1 << 19
+#: Parts in which the copies of one set are looked up.
+SALTS = 16
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -316,7 +318,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         slot[r["block"]] = np.frombuffer(r["counts"], np.int64)
     slot = slot.reshape(-1)
     ranks = spark.sparkContext.broadcast((2 * np.log2(np.maximum(slot, 1))).astype(np.uint8))
-    copies = profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    copies = profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     prefix = source.mapInArrow(_prefixes(k, percent, ranks, float(np.median(slot))), "id long, n long, l int, size int, last long, prefix array<long>")
     reps = copies.select(F.col("rep").alias("id"), "n", "s1")
     prefix = cut(prefix.join(reps, ["id", "n"]).dropDuplicates(["id"]))
@@ -363,8 +365,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     checked = texts(pairs.join(reps.select("id", "s1"), "id")).repartition("p", "a", "b").sortWithinPartitions("p", "a", "b")
     links = stars.unionByName(checked.mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _verified(k, percent), 2048), "a long, b long"))
     comp = components(links).select(F.col("node").alias("rep"), "component")
+    # a set that no other document has needs no look-up, and the documents of one that very many have are dealt out
+    known = copies.where("copies > 1").join(comp, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = profile.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    alone = comp.select(F.col("rep").alias("id"), "component")
     return (
-        profile.join(copies, ["n", "s1", "s2"], "left")
-        .join(comp, "rep", "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+        salted.join(known, ["n", "s1", "s2", "salt"], "left")
+        .join(alone, "id", "left")
+        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("group", "component", "id").alias("component_id"))
     )
