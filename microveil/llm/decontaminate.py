@@ -30,6 +30,10 @@ SPAN = 4
 #: Seeds of a benchmark that are broadcast at most; beyond it the join is shuffled.
 SMALL = 200_000
 SLOTS = 1 << 19
+#: Bits (as a power of two) that say which word pairs occur in the benchmark; only places with one of them make seeds.
+PAIR_BITS = 19
+#: Places of one text that are compared in one row.
+PLACES = 2048
 
 
 def word_hashes(text: str) -> str:
@@ -53,10 +57,25 @@ def escapes(n: int) -> int:
     return min(best.values())
 
 
-def seeds(words: str, short: Sequence[int], whole: bool) -> str:
+def pairs(w: str) -> str:
+    return f"zip_with(slice({w}, 1, size({w}) - 1), slice({w}, 2, size({w}) - 1), (a, b) -> xxhash64(a, b))"
+
+
+def pair_bits(items: DataFrame, w: str = "w") -> str:
+    """An SQL array of longs: the bits of all word pairs of the items. Its size is fixed, whatever the benchmark."""
+    h = items.select(F.explode(F.expr(pairs(w))).alias("h")).select(F.shiftrightunsigned("h", 64 - PAIR_BITS + 6).cast("int").alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    bits = [0] * (1 << PAIR_BITS - 6)
+    for r in h.groupBy("i").agg(F.bit_or("bit").alias("bits")).collect():  # at most one row a long
+        bits[r["i"]] = r["bits"]
+    # the smallest long has no literal of its own
+    return f"array({', '.join(f'{b}L' if b > -(1 << 63) else 'shiftleft(1L, 63)' for b in bits)})"
+
+
+def seeds(words: str, short: Sequence[int], whole: bool, known: str | None = None) -> str:
     """All seeds with their places, mask by mask; a mask has a place wherever its own words fit.
 
     Words in a row count as a seed too for each number in ``short``, with ``whole`` only if they are all there are.
+    ``known`` is an expression for the bits of ``pair_bits``; then a mask is laid only where its first pair is among them.
 
     Inner functions of one-element arrays bind a value once; the optimizer would copy a
     projected expression into every use.
@@ -64,17 +83,20 @@ def seeds(words: str, short: Sequence[int], whole: bool) -> str:
     parts = []
     for m, mask in enumerate(MASKS):
         kept = ", ".join(f"p[i + {x}]" if x else "p[i]" for x in mask)
-        parts.append(f"transform(if(size(p) > {mask[-1]}, sequence(0, size(p) - {mask[-1] + 1}), array()), i -> struct(i as at, xxhash64({kept}, {m}) as seed))")
+        parts.append(f"transform(filter(g, i -> i < size(p) - {mask[-1]}), i -> struct(i as at, xxhash64({kept}, {m}) as seed))")
     for n in short:
         row = ", ".join(f"w[i + {x}]" for x in range(n))
         parts.append(f"transform(if(size(w) {'=' if whole else '>='} {n}, sequence(0, size(w) - {n}), array()), i -> struct(i as at, xxhash64({row}, -{n}) as seed))")
-    pairs = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))"
-    return f"flatten(transform(filter(array({words}), w -> size(w) >= {min([SPAN, *short])}), w -> flatten(transform(array({pairs}), p -> concat({', '.join(parts)})))))"
+    places = "if(size(p) > 0, sequence(0, size(p) - 1), array())"
+    if known:
+        places = f"filter({places}, i -> bit_get(known[cast(shiftrightunsigned(p[i], {64 - PAIR_BITS + 6}) as int)], cast(p[i] & 63 as int)) = 1)"
+    every = f"flatten(transform(filter(array({words}), w -> size(w) >= {min([SPAN, *short])}), w -> flatten(transform(array({pairs('w')}), p -> flatten(transform(array({places}), g -> concat({', '.join(parts)})))))))"
+    return f"flatten(transform(array({known}), known -> {every}))" if known else every
 
 
-def _seeded(df: DataFrame, keys: list[Column | str], words: str, short: Sequence[int], whole: bool = False) -> DataFrame:
+def _seeded(df: DataFrame, keys: list[Column | str], words: str, short: Sequence[int], whole: bool = False, known: str | None = None) -> DataFrame:
     """Rows of (keys..., at, seed)."""
-    return df.select(*keys, F.expr(f"inline({seeds(words, short, whole)})"))
+    return df.select(*keys, F.expr(f"inline({seeds(words, short, whole, known)})"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 16, least: int = 13) -> DataFrame:
@@ -100,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     short = sorted(r["n"] for r in items.where(f"size(w) < {SPAN}").select(F.size("w").alias("n")).distinct().collect())
     targets = cut(_seeded(items, ["ik", (F.size("w") < SPAN).alias("whole")], "w", short, whole=True).withColumnRenamed("at", "item_at"))
     small = targets.count() <= SMALL
-    probe = _seeded(keyed, ["_k1", "_k2"], word_hashes(f"coalesce(cast(`{text_col}` as string), '')"), short)
+    probe = _seeded(keyed, ["_k1", "_k2"], word_hashes(f"coalesce(cast(`{text_col}` as string), '')"), short, known=pair_bits(items))
     hits = probe.join(F.broadcast(targets) if small else targets, "seed")
     # one place of a whole item is enough, and a short one may have as many as a text has words
     shift = F.col("at") - F.col("item_at")
@@ -112,7 +134,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wanted = keyed.select("_k1", "_k2", text.alias("t")).join(F.broadcast(found.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
     texts = wanted.groupBy("_k1", "_k2").agg(F.min("t").alias("t")).select("_k1", "_k2", F.expr(word_hashes("t")).alias("dw"))
     sizes = items.select("ik", F.size("w").alias("n"))
-    aligned = found.join(F.broadcast(sizes) if small else sizes, "ik").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("ik", "shift", "n")).alias("c"))
+    # what is compared for a text comes in rows of a bounded number of places
+    many = found.groupBy("_k1", "_k2").agg(F.ceil(F.count("*") / PLACES).cast("int").alias("g")).where("g > 1")
+    part = F.pmod(F.xxhash64("ik", "shift"), F.coalesce("g", F.lit(1)))
+    aligned = found.join(F.broadcast(sizes) if small else sizes, "ik").join(many, ["_k1", "_k2"], "left").groupBy("_k1", "_k2", part.alias("part")).agg(F.collect_list(F.struct("ik", "shift", "n")).alias("c"))
     cuts = aligned.join(texts, ["_k1", "_k2"]).select("_k1", "_k2", F.expr("transform(c, x -> struct(x.ik as ik, greatest(0, -x.shift) as skip, slice(dw, greatest(x.shift, 0) + 1, x.n) as dw))").alias("c"))
     cuts = cuts.select("_k1", "_k2", F.explode("c").alias("c")).select("_k1", "_k2", "c.*")
     known = items.select("ik", "item", "w")
