@@ -29,4 +29,31 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM u GROUP BY conv_id
 """
 
-ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op5_chat_formatting": CHAT}
+#: Exact neighbours; the query gives them wherever a table holds no more vectors than are always scored.
+NEIGHBOURS = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+#: Every alignment of an item and a document that share a word; a window counts from an equal word on.
+CONTAMINATED = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d), bw AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS j FROM b),
+m AS (SELECT doc_id, item_id, n, i - j AS shift, j FROM dw JOIN bw USING (x)),
+c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS same FROM m),
+f AS (SELECT DISTINCT doc_id, item_id FROM c WHERE same >= CASE WHEN n < 4 THEN n ELSE ceil(least(n, 16) * 13 / 16.0) END)
+SELECT doc_id, count(f.item_id) > 0 AS contaminated, coalesce(string_agg(f.item_id::VARCHAR, ',' ORDER BY f.item_id), '') AS items FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id
+"""
+
+STATED = rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages), r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM p),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+k(verdict, rule, rh, rp) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('block', 'net/de/', 'net', '/de/'), ('allow', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
+f AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS stated FROM h JOIN k ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT page_id, host, path, rule, stated FROM h LEFT JOIN f USING (page_id)
+"""
+
+ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op5_chat_formatting": CHAT, "op7_permutation_index": NEIGHBOURS, "op8_spaced_seed_decontamination": CONTAMINATED, "url_stated_rules": STATED}

@@ -43,7 +43,8 @@ def op7_permutation_index(spark, sf_dir):
 
 def op8_spaced_seed_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontaminate.contaminated(docs, items).select("doc_id", "contaminated", "items")
+    out = decontaminate.contaminated(docs, items)
+    return out.select("doc_id", "contaminated", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
 def op9_toxicity_crf(spark, sf_dir):
@@ -51,11 +52,20 @@ def op9_toxicity_crf(spark, sf_dir):
     return toxicity.tag(docs, labels).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
 def op10_url_association_rules(spark, sf_dir):
-    rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
-    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "mined")
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def url_stated_rules(spark, sf_dir):
+    """The part of the URL filter that SQL can express: host, path and the stated rule of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    urls = url_rules.parsed(pages)
+    return urls.join(url_rules.stated(urls, RULES), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("stated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op4_secret_scan, op5_chat_formatting, op6_quality_gam, op7_permutation_index, op8_spaced_seed_decontamination, op9_toxicity_crf, op10_url_association_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op4_secret_scan, op5_chat_formatting, op6_quality_gam, op7_permutation_index, op8_spaced_seed_decontamination, op9_toxicity_crf, op10_url_association_rules, url_stated_rules)}
 
 ORACLES = oracles.ORACLES

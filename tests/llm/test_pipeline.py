@@ -51,3 +51,35 @@ def test_stages(spark, corpus):
     assert set(packed.doc_id) == set(left) and packed.groupby("sequence_id").length.sum().max() <= 1024
     whole = corpus_pipeline.run(spark, corpus).toPandas()
     assert sorted(zip(whole.doc_id, whole.ids_crc32, strict=True)) == sorted(zip(packed.doc_id, packed.ids_crc32, strict=True))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, corpus, name):
+    """Empty tables; null, repeated and huge rows: no stage fails, and each keeps what has nothing wrong."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = spark.read.parquet(f"{corpus}/documents.parquet").schema
+    assert stage(spark, spark.createDataFrame([], schema), corpus).count() == 0
+    huge = " ".join(f"t{i * 7919 % 100_003}" for i in range(60_000))
+    rows = [(1, "one text of its own with several words in it", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "a text without an id has words as well", "en", "s", 9), (4, huge, "en", "s", len(huge)), (5, "said twice, row for row, and more of it", "en", "s", 7), (5, "said twice, row for row, and more of it", "en", "s", 7)]
+    out = stage(spark, spark.createDataFrame(rows, schema), corpus)
+    got = [(r["doc_id"], None) for r in out.collect()] if name == "best_fit_packing" else [(r["doc_id"], r["text"]) for r in out.collect()]
+    ids = [i for i, _ in got]
+    assert {1, 2, 3, 4, 5} <= set(ids)
+    if name != "best_fit_packing":
+        assert out.columns == corpus_pipeline.COLUMNS and (4, huge) in got and (2, None) in got and (3, "") in got
+    if name in ("toxicity", "decontamination", "line_dedup"):
+        assert None in ids and ids.count(5) == 2
+    if name == "ngram_jaccard_join":
+        assert None in ids  # what has no id links with nothing and stays
+
+
+def test_run_leaves_no_earlier_stage_behind(spark, corpus):
+    import os
+
+    from microveil.llm.shared import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, corpus).count()
+    new = [x for x in os.listdir(folder) if x not in before and x.startswith("pipeline-")]
+    assert len(new) == 1 and os.listdir(f"{folder}/{new[0]}") == [corpus_pipeline.STAGES[-2][0]]
