@@ -34,6 +34,8 @@ SLOTS = 1 << 19
 PAIR_BITS = 19
 #: Places of one text that are compared in one row.
 PLACES = 2048
+#: Parts in which the copies of a text meet its finding.
+SALTS = 16
 
 
 def word_hashes(text: str) -> str:
@@ -147,4 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bad = both.where(F.expr(full)).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     kind = bad.schema["items"].dataType.simpleString()
     old = [F.col(c).alias(n) for c, n in zip(base.columns, kept.columns, strict=True)]
-    return keyed.join(bad, ["_k1", "_k2"], "left").select(*old, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.expr(f"cast(array() as {kind})")).alias("items"))
+    # one text may have very many copies: they are dealt out, its finding goes to every part
+    dealt = keyed.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    bad = bad.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(bad, ["_k1", "_k2", "_s"], "left").select(*old, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.expr(f"cast(array() as {kind})")).alias("items"))
