@@ -136,3 +136,8 @@ def distinct_names(names: list[str]) -> list[str]:
         taken.add(new)
         out.append(new)
     return out
+
+
+def outside(df: DataFrame, geo: str, prefix: str = "72") -> DataFrame:
+    """Rows whose geographic id does not begin with a state's code; null ids stay out."""
+    return df.where(~F.col(geo).startswith(prefix))

@@ -200,6 +200,11 @@ def significance_stars(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", bins.stars(F.col("s_acctbal"), F.lit(1000.0)).alias("stars"))
 
 
+@query(with_people("SELECT pid, block FROM pp WHERE state <> '02'"))
+def outside_state(spark, d):
+    return recode.outside(people(spark, d), "block", "02").select("pid", "block")
+
+
 # tabulation and windows
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import uuid
+import zipfile
+from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +114,73 @@ def xml(df: DataFrame, path: str, row_tag: str, root_tag: str = "rows") -> None:
 def jdbc(df: DataFrame, url: str, table: str, driver: str, mode: str = "append", properties: dict | None = None) -> None:
     """Rows into a table of a database, in parallel by partition."""
     df.write.jdbc(url, table, mode, {"driver": driver, **(properties or {})})
+
+
+def zipped(lines: DataFrame, folder: str, by: str, order: Sequence[str], member: str = "lines.txt", line: str = "line") -> dict[str, int]:
+    """One zip file for each value of ``by`` below a shared folder, with its lines in order in one member; lines by file name.
+
+    Lines of a file are streamed by one task, which renames the file when it is whole, so a task that is tried again leaves no half file.
+    """
+    import pyarrow.fs
+
+    system, place = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else Path(folder).resolve().as_uri())
+    system.create_dir(place, recursive=True)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = archive = out = raw = None
+        n = 0
+
+        def closed() -> pd.DataFrame:
+            out.close()
+            archive.close()
+            raw.close()
+            system.move(f"{place}/{name}.zip.{token}", f"{place}/{name}.zip")
+            return pd.DataFrame({"file": [f"{name}.zip"], "lines": [n]})
+
+        token = uuid.uuid4().hex
+        for p in parts:
+            for key, group in p.groupby("_by", sort=False):
+                if key != name:
+                    if name is not None:
+                        yield closed()
+                    name, n = key, 0
+                    raw = system.open_output_stream(f"{place}/{name}.zip.{token}")
+                    archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
+                    out = archive.open(member, "w", force_zip64=True)
+                for text in group["_line"]:
+                    out.write(f"{text}\n".encode())
+                n += len(group)
+        if name is not None:
+            yield closed()
+
+    dealt = lines.repartition(by).sortWithinPartitions(by, *order).select(F.col(by).cast("string").alias("_by"), F.col(line).alias("_line"))
+    return {r["file"]: r["lines"] for r in dealt.mapInPandas(run, "file string, lines long").collect()}
+
+
+def workbook(sheets: dict[str, DataFrame], path: str, limit: int = 10_000) -> None:
+    """Small results as the sheets of an Excel file on the driver; more than ``limit`` rows in one are an error. Numbers are numbers, all else is text."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    names = list(sheets)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        for i, df in enumerate(sheets.values(), 1):
+            rows = df.limit(limit + 1).collect()
+            if len(rows) > limit:
+                raise ValueError(f"a sheet of more than {limit} rows")
+            body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [df.columns, *rows])
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')

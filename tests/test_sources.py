@@ -105,3 +105,26 @@ def test_zip_files_are_streamed(spark, tmp_path):
     got = readers.zip_members(spark, str(tmp_path), r"m\.txt")
     assert got.count() == 50_000 and got.agg(F.max("n")).first()[0] == 49_999
     assert readers.zip_members(spark, str(tmp_path), "nothing").count() == 0
+
+
+def test_zip_files_both_ways(spark, tmp_path):
+    df = spark.createDataFrame([(s, i, f"{s}{i}é") for s in ("al", "de") for i in range(2500)], "state string, n int, line string")
+    assert writers.zipped(df, str(tmp_path / "out"), "state", ["n"]) == {"al.zip": 2500, "de.zip": 2500}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["al.zip", "de.zip"]
+    got = readers.zip_members(spark, str(tmp_path / "out")).where("path LIKE '%de.zip'").orderBy("n").collect()
+    assert [r["line"] for r in got] == [f"de{i}é" for i in range(2500)]
+
+
+def test_workbook(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    df = spark.createDataFrame([("a & <b>", 1, 2.5), (None, None, None)], "name string, n long, x double")
+    writers.workbook({"One": df, "T & wo": df.select("n")}, str(tmp_path / "b.xlsx"))
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
+        assert z.testzip() is None
+        sheet = ET.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if s.tag.endswith("sheet")]
+    cells = [[("".join(c.itertext())) for c in row] for row in sheet[0]]
+    assert cells == [["name", "n", "x"], ["a & <b>", "1", "2.5"], ["", "", ""]] and names == ["One", "T & wo"]
+    with pytest.raises(ValueError):
+        writers.workbook({"x": df}, str(tmp_path / "c.xlsx"), limit=1)
