@@ -958,7 +958,7 @@ def race_in_combination(spark, d):
     return table(spark, d, "customer").select("c_custkey", recode.in_combination(k % 63 + 1, 0).alias("white_in_combination"), recode.alone_label(on).alias("label"))
 
 
-@query("SELECT c_custkey, CASE WHEN abs(v) >= 1e6 THEN printf('%.1f', v / 1e6) || 'M' WHEN abs(v) >= 1e3 THEN printf('%.1f', v / 1e3) || 'K' ELSE printf('%.0f', v) END AS shown, CASE WHEN abs(v) >= 1e6 THEN round(v / 1e3) * 1e3 WHEN abs(v) >= 1e5 THEN round(v / 100) * 100 WHEN abs(v) >= 1e4 THEN round(v / 10) * 10 ELSE round(v) END AS four FROM (SELECT c_custkey, (c_custkey * c_custkey * 7 + 1000)::DOUBLE AS v FROM customer)")
+@query("SELECT c_custkey, CASE WHEN abs(v) >= 1e6 THEN printf('%.1f', v / 1e6) || 'M' WHEN abs(v) >= 1e3 THEN printf('%.1f', v / 1e3) || 'K' ELSE printf('%.0f', v) END AS shown, CASE WHEN abs(v) >= 1e7 THEN round(v / 1e4) * 1e4 WHEN abs(v) >= 1e6 THEN round(v / 1e3) * 1e3 WHEN abs(v) >= 1e5 THEN round(v / 100) * 100 WHEN abs(v) >= 1e4 THEN round(v / 10) * 10 ELSE round(v) END AS four FROM (SELECT c_custkey, (c_custkey * c_custkey * 7 + 1000)::DOUBLE AS v FROM customer)")
 def number_with_unit(spark, d):
     v = (F.col("c_custkey") * F.col("c_custkey") * 7 + 1000).cast("double")
     return table(spark, d, "customer").select("c_custkey", bins.with_unit(v).alias("shown"), bins.significant(v).alias("four"))
