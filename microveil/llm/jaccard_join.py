@@ -18,7 +18,7 @@ How it stays linear-ish and whole:
    that differ much in size can't link.
 3. Shingles in one prefix only are gone after a partial aggregation; each other
    shingle gets a pivot, the smallest document that has it.
-4. A document that shares much of its prefix with one pivot is compared with that
+4. Where many documents share much of their prefixes with one pivot, each is compared with that
    document first. If they link, it takes the pivot's label: documents of one label
    are connected already and need not meet. So a large group of near copies costs one
    comparison each, not all its pairs.
@@ -50,14 +50,16 @@ BLOCKS = 256
 SEEN_BITS = 25
 #: Shingles of the documents that meet in one block of a pivot, about.
 BLOCK_SHINGLES = 500_000
-#: Documents that are compared with their pivot at once.
-STAR = 256
+#: Documents that are compared with their pivot at once, and how many there must be for it to pay; fewer just meet each other.
+STAR, FAMILY = 256, 32
 #: Chunks of documents with the pivot's label are numbered from here.
 MAIN = 1 << 20
 #: From this similarity (in hundredths) on prefixes are short: posting by size class then costs little and saves meetings.
 CLOSE = 85
-#: For close and for other joins: l is at least this, or the size of the set over the second if that is more; never more than partners share.
-CLOSE_L, OTHER_L = (12, 32), (6, 1 << 30)
+#: For close and for other joins: l is at least this, or the size of the set over the second if that is more, and never more
+#: than partners share; the third is what a posting costs (shuffled, sorted and stored) against a token of a set that is read.
+#: Prefixes of other joins are long already, and a posting more costs them the most disk.
+CLOSE_L, OTHER_L = (12, 32, 2), (6, 1 << 30, 16)
 SLOTS = 1 << 19
 #: Parts in which the copies of one set are looked up.
 SALTS = 16
@@ -129,7 +131,7 @@ def _sql_needed(n: str, percent: int) -> str:
 def _prefixes(k: int, percent: int, ranks, base: float):
     names = ["id", "n", "l", "size", "last", "prefix"]
 
-    least_l, part = CLOSE_L if percent >= CLOSE else OTHER_L
+    least_l, part, weight = CLOSE_L if percent >= CLOSE else OTHER_L
 
     def run(batches):
         rank = ranks.value
@@ -147,7 +149,7 @@ def _prefixes(k: int, percent: int, ranks, base: float):
                 least = min(max(least_l, n // part), need)
                 load = np.maximum(1.0, 2.0 ** ((key >> np.uint64(56)).astype(float) / 2) - base).cumsum()[short:]
                 # every posting is shuffled and looked at; of those that match l times the whole sets are read
-                cost = 2 * load + load / np.arange(1, need + 1) * (0.05 * n)
+                cost = weight * load + load / np.arange(1, need + 1) * (0.05 * n)
                 l = int(cost[least - 1 :].argmin()) + least
                 size = short + l
                 # partners are about as large, so a shingle is posted by size class: the set's own, and those of smaller partners
@@ -330,7 +332,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     mine = mine.withColumn("pivots", F.array_sort(F.array_distinct("x.p"))).withColumns({"tokens": F.expr("transform(x.token, y -> hash(y))"), "at": F.expr("transform(x.p, y -> cast(array_position(pivots, y) as int))")})
     # the matches of a pair that meets at its smallest common pivot p have pivots of p or more, and no partner asks for fewer than this
     smallest = _sql_needed("n", percent)
-    least_l, part = CLOSE_L if percent >= CLOSE else OTHER_L
+    least_l, part, _ = CLOSE_L if percent >= CLOSE else OTHER_L
     fewest = F.expr(f"least(l, greatest({least_l}, {smallest} div {part}), {_sql_needed(smallest, percent)})")
     mine = mine.withColumn("few", fewest)
 
@@ -343,7 +345,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     most = F.array_max(F.expr("transform(pivots, p -> struct(size(filter(x.p, y -> y = p)) as c, -p as m))"))
     near = mine.select("id", "s1", "few", most.alias("m")).where("m.c >= few AND -m.m <> id").select(F.expr("-m.m").alias("p"), "id", "s1")
     near = cut(near)
-    spread = near.groupBy("p").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("g"))
+    spread = near.groupBy("p").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY).select("p", F.ceil(F.col("m") / F.lit(STAR)).cast("int").alias("g"))
     around = near.join(spread, "p").select("p", F.pmod(F.xxhash64("id"), "g").cast("int").alias("c"), "id", "s1", F.lit(False).alias("own"))
     middle = spread.select("p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("c"), F.col("p").alias("id")).join(reps.select("id", "s1"), "id").select("p", "c", "id", "s1", F.lit(True).alias("own"))
     stars = texts(around.unionByName(middle)).repartition("p", "c").sortWithinPartitions("p", "c")

@@ -213,6 +213,7 @@ def test_links_against_brute_force(spark, monkeypatch, k, percent, block):
 def test_families_of_near_copies(spark, monkeypatch, star):
     """Groups whose documents all link, groups with strangers amid them, and chains; in blocks and whole."""
     monkeypatch.setattr(jaccard_join, "STAR", star)
+    monkeypatch.setattr(jaccard_join, "FAMILY", 32 if star == 256 else 1)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 600)
     rng = random.Random(star)
     rows = []
