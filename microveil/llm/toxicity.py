@@ -29,6 +29,8 @@ from microveil.llm.shared import held_out, small_batches, training_rows, trainin
 
 #: Tokens that are stepped through at once; results do not depend on it.
 CHAIN = 64
+#: Tokens of pieces of about a length that are worked on together.
+TOGETHER = 1 << 17
 BITS = 18
 FEATURES = 6
 #: Of the likelihood-ratio test by which words are labelled; far beyond chance among a million words.
@@ -128,12 +130,13 @@ def marginals(score: np.ndarray, head: np.ndarray, length: np.ndarray, trans: np
     e = np.exp(np.clip(score, -30, 30))
     begin, size, number, last = pieces(head, length)
     came, after = carried(e, begin, size, number, last, t)
-    edge = 1
+    edge, groups = 1, []
     while edge <= 2 * CHAIN:
-        mine = np.flatnonzero((size <= edge) & (size > edge // 2))
+        some = np.flatnonzero((size <= edge) & (size > edge // 2))
+        rows = max(1, TOGETHER // edge)
+        groups += [some[i : i + rows] for i in range(0, len(some), rows)]
         edge *= 2
-        if not len(mine):
-            continue
+    for mine in groups:
         n, most, first, r = size[mine], int(size[mine].max()), number[mine] == 0, came[mine]
         at = begin[mine] + np.arange(most)[:, None]
         real = np.arange(most)[:, None] < n
@@ -213,7 +216,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_tokens: int = 300_000) -> dict | None:
+def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_tokens: int = 200_000) -> dict | None:
     """The model, or None where no text of label 1 or none of label 0 is left.
 
     Of sentences without a toxic word, a sample of ``clean_tokens`` words from clean texts and
@@ -320,7 +323,7 @@ def _score(batches, shared, threshold: float, with_spans: bool):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(scores)), pa.array(spans, kind), *(b.column(j) for j in range(1, b.num_columns))], names=[*names, *b.schema.names[1:]])
 
 
-def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 1200, most_bytes: int = 12_000_000, clean_tokens: int = 300_000, threshold: float = 0.3, spans: bool = True) -> DataFrame:
+def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = 1200, most_bytes: int = 12_000_000, clean_tokens: int = 200_000, threshold: float = 0.3, spans: bool = True) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1), ``predicted`` and ``spans`` (character offsets of toxic words that adjoin).
 
     Learns from at most ``per_class`` labelled documents of either class and ``most_bytes`` of
