@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
 Candidates are found over whole texts, with their character offsets, at any length; the
-value of an assignment ends at white space or a quote. The forest sees a
+value of an assignment ends at white space or a quote, a private key at its end line. The forest sees a
 candidate's length, its changes between character classes, its entropy, how much of it
 dictionary words cover, whether it looks like a path, and the words around it. It learns
 from labelled findings; without a table of them, from findings made by rule (known key
@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Alternatives, tried in this order at each place: known key formats, assignments, long runs.
-KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43,}"
+KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s,:-]*?-----END [A-Z ]*PRIVATE KEY-----)?|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43,}"
 ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]*[:=][ \t]*[\"']?[^\s\"']{6,}+"
 LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 CANDIDATE = f"{KEY}|{ASSIGNED}|{LONG}"
+#: Every candidate holds one of these, in lower case, or a run of 20 characters of keys; looked for first, as it is much cheaper.
+HINTS = ("passw", "pwd", "secret", "token", "api", "access", "auth", "xox", "private key", "eyj")
+RUN = r"[A-Za-z0-9+/_=-]{20}"
 #: Ordinary words in identifiers, placeholders and paths.
 DICTIONARY = "example test sample demo dummy password passwd secret token changeme change your here none null true false user name admin root file path image data index page home lib usr bin var local src main version license public private key http https www com org net html json value default string config setting service server client request response message".split()
 SECRET_WORDS = r"(?i)(password|passwd|pwd|secret|token|key|credential|auth|login)"
@@ -31,7 +34,11 @@ FEATURES = ["size", "digits", "uppers", "lowers", "others", "changes", "entropy"
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, start, candidate, value, before, after: every match, its secret part and 40 characters of either side."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).where(F.col("t").rlike(CANDIDATE))
+    low = F.lower("t")
+    hinted = F.col("t").rlike(RUN)
+    for h in HINTS:
+        hinted = hinted | F.contains(low, F.lit(h))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).where(hinted).where(F.col("t").rlike(CANDIDATE))
     both = rows.select("doc_id", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("m"), F.split("t", CANDIDATE, -1).alias("g"))
     # gap i comes before match i; offsets are the lengths of all gaps and matches before
     spans = F.expr("transform(m, (x, i) -> struct(i as i, x as candidate, right(g[i], 40) as before, left(g[i + 1], 40) as after, length(g[i]) as gap, length(x) as size))")

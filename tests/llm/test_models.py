@@ -260,6 +260,20 @@ def test_training_sample_is_bounded(spark):
     assert training_texts(rows, 0) == ([], [])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "cc", "a", "\n"]), max_size=12), max_size=5))
+def test_word_statistics_text_by_text(texts):
+    texts = [" ".join(w) for w in texts] or [""]
+    got = quality_gam.features(*toxicity.buffer_of(texts))
+    at = [quality_gam.NAMES.index(x) for x in ("distinct", "distinct_pairs", "top_share", "repeats", "longest_run")]
+    for row, t in zip(got, texts, strict=True):
+        w = t.split()
+        pairs = list(itertools.pairwise(w))
+        runs = [len(list(g)) for _, g in itertools.groupby(w)]
+        want = [0.0] * 5 if not w else [len(set(w)) / len(w), len(set(pairs)) / len(pairs) if pairs else 1.0, max(w.count(x) for x in w) / len(w), np.mean([x == y for x, y in pairs]) if pairs else 0.0, np.log1p(max(runs))]
+        assert row[at].tolist() == pytest.approx(want)
+
+
 def test_quality_scores_against_sums_of_tables(spark):
     docs, labels = labelled(spark, "quality", 120)
     out = {r["doc_id"]: r["score"] for r in quality_gam.score(docs.where("doc_id < 120"), labels).collect()}
@@ -328,6 +342,33 @@ def test_secrets_of_any_length(spark):
     }
 
 
+def test_private_keys_are_found_whole(spark):
+    body = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(30))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}==\n-----END RSA PRIVATE KEY-----"
+    texts = [f"see {key} and {key}", "-----BEGIN PRIVATE KEY----- is how it starts", f"-----BEGIN EC PRIVATE KEY-----\n{body}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["candidate"], r["is_secret"]) for r in secret_scan.scan(docs).orderBy("doc_id", "start").collect()]
+    assert got[:2] == [(0, 4, key, True), (0, 4 + len(key) + 5, key, True)] and got[2][:3] == (1, 0, "-----BEGIN PRIVATE KEY-----")
+
+
+def plain_findings(text):
+    """Candidates by Python's own patterns, place by place."""
+    pattern = re.compile(secret_scan.CANDIDATE)
+    return [(m.start(), m[0]) for m in pattern.finditer(text)]
+
+
+def test_candidates_against_a_plain_scan(spark):
+    """Whatever the cheap first look lets through, candidates are those of the patterns alone."""
+    rng = random.Random(8)
+    parts = ["Password = ", "PWD:", "api-key=", "Access_Key: '", "AUTH=", "xoxb-", "eyJ", ".", "AKIA", "ghp_", "token", "secret", " ", "\n", '"', "é", "SG."]
+    texts = ["".join(rng.choice([*parts, "".join(rng.choice("abcdefXYZ0123456789+/_=-") for _ in range(rng.choice([3, 8, 16, 22, 43]))), "plain words here"]) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got: dict = {}
+    for r in secret_scan.candidates(docs, "doc_id", "text").collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["candidate"]))
+    assert {i: sorted(v) for i, v in got.items()} == {i: plain_findings(t) for i, t in enumerate(texts) if plain_findings(t)}
+
+
 # URLs
 
 
