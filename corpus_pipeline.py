@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from microveil.llm import decontaminate, jaccard_join, line_dedup, packing
 from microveil.llm import toxicity as crf
-from microveil.llm.shared import shared_folder, table
+from microveil.llm.shared import cut, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,8 +33,13 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
     groups = jaccard_join.link(docs, k=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = cut(groups.where("component_id <> doc_id").select("doc_id"))
+    # texts without a document that goes in their slot need no shuffle (SLOTS rows at most are broadcast)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(jaccard_join.SLOTS))
+    slots = F.broadcast(gone.select(slot.alias("slot")).distinct())
+    sure = docs.join(slots, slot == F.col("slot"), "left_anti")
+    rest = docs.join(slots, slot == F.col("slot"), "left_semi").join(gone, "doc_id", "left_anti")
+    return sure.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
