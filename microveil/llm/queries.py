@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from microveil.llm import chat_format, decontaminate, jaccard_join, line_dedup, oracles, packing, permutation_index, quality_gam, secret_scan, toxicity, url_rules
+from microveil.llm import (
+    chat_format,
+    decontaminate,
+    importance,
+    jaccard_join,
+    line_dedup,
+    online_packing,
+    oracles,
+    packing,
+    permutation_index,
+    prefix_trie,
+    quality_gam,
+    secret_scan,
+    toxicity,
+    url_rules,
+)
 from microveil.llm.shared import table
 
 
@@ -59,6 +74,19 @@ def op10_url_association_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
+def op11_conversation_prefix_trie(spark, sf_dir):
+    nodes = prefix_trie.trie(prefix_trie.shared_beginnings(table(spark, sf_dir, "conversations")))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_online_packing(spark, sf_dir):
+    return online_packing.pack_online(table(spark, sf_dir, "documents"))
+
+
 def url_stated_rules(spark, sf_dir):
     """The part of the URL filter that SQL can express: host, path and the stated rule of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
@@ -66,6 +94,24 @@ def url_stated_rules(spark, sf_dir):
     return urls.join(url_rules.stated(urls, RULES), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("stated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_ngram_jaccard_join, op4_secret_scan, op5_chat_formatting, op6_quality_gam, op7_permutation_index, op8_spaced_seed_decontamination, op9_toxicity_crf, op10_url_association_rules, url_stated_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_best_fit_packing,
+        op3_ngram_jaccard_join,
+        op4_secret_scan,
+        op5_chat_formatting,
+        op6_quality_gam,
+        op7_permutation_index,
+        op8_spaced_seed_decontamination,
+        op9_toxicity_crf,
+        op10_url_association_rules,
+        op11_conversation_prefix_trie,
+        op12_importance_resampling,
+        op13_online_packing,
+        url_stated_rules,
+    )
+}
 
 ORACLES = oracles.ORACLES
