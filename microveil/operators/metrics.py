@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,36 @@ def differences(h: DataFrame, m: DataFrame, keys: Sequence[str], name: str = "n"
     return both.withColumns({"diff": F.col("m") - F.col("h"), "perc_diff": p}).withColumns({"abs_diff": F.abs("diff"), "abs_perc_diff": F.abs("perc_diff")})
 
 
-def percentiles(d: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Per group the exact percentiles ``wanted`` (name: column, share), linear between neighbours.
+def _ranks(n: Column, share: float, rule: str) -> tuple[Column, Column, Column]:
+    """The two ranks from 0 between which a percentile lies, and how far towards the second.
+
+    "linear" goes to (n - 1) * share, between neighbours in proportion. "averaged" takes the mean of the values in places
+    n * share and the next one (from 1) where that is a whole number, else the one in the next place after it.
+    """
+    if rule == "linear":
+        place = (n - 1) * F.lit(float(share))
+        return F.floor(place), F.ceil(place), place - F.floor(place)
+    if rule != "averaged":
+        raise ValueError(f"no such rule: {rule}")
+    place = F.round(n * F.lit(float(share)), 9)
+    low = F.greatest(F.ceil(place).cast("long") - 1, F.lit(0))
+    whole = (place == F.floor(place)) & (place > 0) & (place < n)
+    return low, F.when(whole, low + 1).otherwise(low), F.lit(0.5)
+
+
+def _at(column: str, place: Column) -> Column:
+    """The value of the rank ``place`` among counts by value: _c, _v, _f and _upto."""
+    return F.max(F.when((F.col("_c") == column) & (F.col("_upto") - F.col("_f") <= place) & (F.col("_upto") > place), F.col("_v")))
+
+
+def _percentile(column: str, share: float, rule: str) -> Column:
+    low, high, part = _ranks(F.col("_n"), share, rule)
+    part = F.max(F.when(F.col("_c") == column, part))
+    return _at(column, low) + (_at(column, high) - _at(column, low)) * part
+
+
+def percentiles(d: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]], rule: str = "linear") -> DataFrame:
+    """Per group the exact percentiles ``wanted`` (name: column, share) by ``rule`` ("linear" or "averaged").
 
     Works on counts by value: values are counted with partial aggregation, and a prefix sum
     over a group's distinct values says where a rank lies, so rows are never gathered.
@@ -29,37 +58,73 @@ def percentiles(d: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, fl
     counts = d.select(*by, each).select(*by, "_x.*").where("_v IS NOT NULL").groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_f"))
     w = Window.partitionBy(*by, "_c")
     x = counts.withColumns({"_n": F.sum("_f").over(w), "_upto": F.sum("_f").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))})
+    return x.groupBy(*by).agg(*[_percentile(c, share, rule).alias(n) for n, (c, share) in wanted.items()])
 
-    def at(column: str, place: Column) -> Column:
-        return F.max(F.when((F.col("_c") == column) & (F.col("_upto") - F.col("_f") <= place) & (F.col("_upto") > place), F.col("_v")))
 
-    out = {}
-    for name, (column, share) in wanted.items():
-        place = (F.col("_n") - 1) * F.lit(float(share))
-        low, high, part = at(column, F.floor(place)), at(column, F.ceil(place)), F.max(F.when(F.col("_c") == column, place - F.floor(place)))
-        out[name] = low + (high - low) * part
-    return x.groupBy(*by).agg(*[c.alias(n) for n, c in out.items()])
+#: Percentiles of the summary: column and share.
+SUMMARY_RANKS = {
+    "median_diff": ("diff", 0.5),
+    "median_abs": ("abs_diff", 0.5),
+    "p90_abs": ("abs_diff", 0.9),
+    "p95_abs": ("abs_diff", 0.95),
+    "median_perc": ("perc_diff", 0.5),
+    "median_abs_perc": ("abs_perc_diff", 0.5),
+    "p90_abs_perc": ("abs_perc_diff", 0.9),
+    "p95_abs_perc": ("abs_perc_diff", 0.95),
+}
 
 
-def summary(d: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def summary(d: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """The 27 statistics of differences: those of the difference, of its size, of the percent difference and of its size, RMSE, CV and counts.
 
     Without groups, an empty input gives 0 throughout. CV is null where the mean of h is 0.
     Exact percentiles, linear between neighbours. ``*_nas`` count differences without a percentage.
+    A row counts ``weight`` times (once by default). All statistics come from one count of the four
+    columns by value: sums, extremes and shares are those of values times counts.
     """
-    square = F.avg(F.col("diff") * F.col("diff"))
-    plain: dict[str, Column] = {"min_diff": F.min("diff"), "mean_diff": F.avg("diff"), "max_diff": F.max("diff"), "mae": F.avg("abs_diff"), "min_perc": F.min("perc_diff"), "mean_perc": F.avg("perc_diff"), "max_perc": F.max("perc_diff"), "mape": F.avg("abs_perc_diff"), "max_abs_perc": F.max("abs_perc_diff"), "rmse": F.sqrt(square), "mean_h": F.avg("h")}
-    cv = F.when(F.count(F.lit(1)) == 0, 0.0).otherwise(F.try_divide(F.lit(100.0) * F.sqrt(square), F.avg("h")))
-    counts = {"n": F.count(F.lit(1)).cast("long"), "perc_nas": counted(F.col("perc_diff").isNull()), "abs_perc_nas": counted(F.col("abs_perc_diff").isNull()), "n_2_to_5": counted(F.col("abs_perc_diff").between(2, 5)), "n_over_5": counted(F.col("abs_perc_diff") > 5), "n_over_10": counted(F.col("abs_perc_diff") > 10), "n_over_200": counted(F.col("abs_diff") > 200)}
-    ranks = {"median_diff": ("diff", 0.5), "median_abs": ("abs_diff", 0.5), "p90_abs": ("abs_diff", 0.9), "p95_abs": ("abs_diff", 0.95), "median_perc": ("perc_diff", 0.5), "median_abs_perc": ("abs_perc_diff", 0.5), "p90_abs_perc": ("abs_perc_diff", 0.9), "p95_abs_perc": ("abs_perc_diff", 0.95)}
-    one = d.groupBy(*by).agg(*[c.alias(k) for k, c in plain.items()], F.round(cv, 6).alias("cv"), *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()])
-    two = percentiles(d, by, ranks).toDF(*[f"_{c}" for c in by], *ranks)
-    same = F.lit(True)
-    for c in by:
-        same = same & one[c].eqNullSafe(two[f"_{c}"])
-    both = one.join(two, same, "left") if by else one.crossJoin(two)  # a row each without groups
-    number = lambda c: F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6).alias(c)
-    return both.select(*by, *map(number, plain), *map(number, ranks), "cv", *counts)
+    columns = ("diff", "abs_diff", "perc_diff", "abs_perc_diff")
+    h = F.col("h").cast("double")
+    each = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v"), (h if c == "diff" else F.lit(None).cast("double")).alias("_h")) for c in columns]
+    times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    rows = d.select(*by, times.alias("_w"), F.explode(F.array(*each)).alias("_x")).select(*by, "_w", "_x.*")
+    counts = rows.groupBy(*by, "_c", "_v").agg(F.sum("_w").alias("_f"), F.sum(F.col("_h") * F.col("_w")).alias("_h"))
+    w = Window.partitionBy(*by, "_c")
+    known = F.when(F.col("_v").isNotNull(), F.col("_f")).otherwise(0)
+    x = counts.withColumns({"_n": F.sum(known).over(w), "_upto": F.sum(known).over(w.orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))})
+    f, v = F.col("_f"), F.col("_v")
+    of = lambda c: F.col("_c") == c
+    mean = lambda c, y: F.try_divide(F.sum(F.when(of(c), y * f)), F.sum(F.when(of(c) & y.isNotNull(), f)))
+    how_many = lambda c, cond: F.coalesce(F.sum(F.when(of(c) & cond, f)), F.lit(0)).cast("long")
+    least, most = (lambda c: F.min(F.when(of(c), v))), (lambda c: F.max(F.when(of(c), v)))
+    n = how_many("diff", F.lit(True))
+    square = mean("diff", v * v)
+    mean_h = F.try_divide(F.sum("_h"), F.sum(F.when(of("diff") & F.col("_h").isNotNull(), f)))
+    plain = {
+        "min_diff": least("diff"),
+        "mean_diff": mean("diff", v),
+        "max_diff": most("diff"),
+        "mae": mean("abs_diff", v),
+        "min_perc": least("perc_diff"),
+        "mean_perc": mean("perc_diff", v),
+        "max_perc": most("perc_diff"),
+        "mape": mean("abs_perc_diff", v),
+        "max_abs_perc": most("abs_perc_diff"),
+        "rmse": F.sqrt(square),
+        "mean_h": mean_h,
+    }
+    ranks = {name: _percentile(c, share, "linear") for name, (c, share) in SUMMARY_RANKS.items()}
+    cv = F.when(n == 0, 0.0).otherwise(F.try_divide(F.lit(100.0) * F.sqrt(square), mean_h))
+    whole = {
+        "n": n,
+        "perc_nas": how_many("perc_diff", v.isNull()),
+        "abs_perc_nas": how_many("abs_perc_diff", v.isNull()),
+        "n_2_to_5": how_many("abs_perc_diff", v.between(2, 5)),
+        "n_over_5": how_many("abs_perc_diff", v > 5),
+        "n_over_10": how_many("abs_perc_diff", v > 10),
+        "n_over_200": how_many("abs_diff", v > 200),
+    }
+    number = lambda c: F.round(F.coalesce(c.cast("double"), F.lit(0.0)), 6)
+    return x.groupBy(*by).agg(*[number(c).alias(k) for k, c in (plain | ranks).items()], F.round(cv, 6).alias("cv"), *[c.alias(k) for k, c in whole.items()])
 
 
 def metric_cells(h: DataFrame, m: DataFrame, specs: Sequence[dict], name: str = "n") -> DataFrame:
@@ -86,21 +151,133 @@ def catalogue(people: DataFrame, side: str, keys: Sequence[str], geographies: di
     ``side`` is 0 for the true file and 1 for the other; ``keys`` are the columns that all
     expressions use. A characteristic is a label where it applies to a person, else null; the one
     named "total" labels everyone. A geography in ``sizes`` gives classes too: a function from the true
-    total of the unit to a label. All cells come from one explode of the cube and one aggregate.
+    total of the unit to a label. Cells that are zero in both files are left out; ``complete_catalogue`` counts them.
     """
     cube = people.groupBy(*keys).agg(counted(F.col(side) == 0).alias("h"), counted(F.col(side) == 1).alias("m"))
-    units = F.explode(F.array(*[F.struct(F.lit(n).alias("geography"), c.cast("string").alias("unit")) for n, c in geographies.items()])).alias("_u")
-    labels = F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat_ws(" ", F.lit(n), c)) for n, c in characteristics.items()]))
-    x = cube.select(units, labels.alias("_l"), "h", "m").select("_u.*", F.explode("_l").alias("characteristic"), "h", "m")
+    # labels first: what is left of the cube has far fewer rows than units times labels of its own
+    spine = [c.cast("string").alias(f"_u{i}") for i, c in enumerate(geographies.values())]
+    labelled = cube.select(*spine, F.explode(_labels(characteristics)).alias("characteristic"), "h", "m")
+    small = labelled.groupBy(*[f"_u{i}" for i in range(len(spine))], "characteristic").agg(F.sum("h").alias("h"), F.sum("m").alias("m"))
+    units = F.explode(F.array(*[F.struct(F.lit(n).alias("geography"), F.col(f"_u{i}").alias("unit")) for i, n in enumerate(geographies)])).alias("_u")
+    x = small.select(units, "characteristic", "h", "m").select("_u.*", "characteristic", "h", "m")
     cells = x.groupBy("geography", "unit", "characteristic").agg(F.sum("h").cast("long").alias("h"), F.sum("m").cast("long").alias("m"))
     everyone = F.max(F.when(F.col("characteristic").startswith("total"), F.col("h"))).over(Window.partitionBy("geography", "unit"))
     cells = cells.withColumn("_all", everyone)
+    d = cells.withColumn("size_class", F.explode(_classes(F.col("geography"), F.col("_all"), sizes)))
+    by = ["geography", "size_class", "characteristic"]
+    return summary(_with_differences(d.groupBy(*by, "h", "m").agg(F.count(F.lit(1)).alias("_n"))), by, "_n")
+
+
+def _labels(characteristics: dict[str, Column]) -> Column:
+    """The labels that apply to a person, each led by its characteristic's name."""
+    return F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat_ws(" ", F.lit(n), c)) for n, c in characteristics.items()]))
+
+
+def _classes(geography: Column, everyone: Column, sizes: dict) -> Column:
+    """"all" and, where the geography has size classes, that of the unit's true total."""
     of_class = F.lit(None).cast("string")
     for n, f in sizes.items():
-        of_class = F.when(F.col("geography") == n, f(F.col("_all")).cast("string")).otherwise(of_class)
+        of_class = F.when(geography == n, f(everyone).cast("string")).otherwise(of_class)
+    return F.array_compact(F.array(F.lit("all"), of_class))
+
+
+def _with_differences(d: DataFrame) -> DataFrame:
     p = signed_percent_difference(F.col("h"), F.col("m")) * 100
-    d = cells.withColumns({"diff": F.col("m") - F.col("h"), "perc_diff": p, "size_class": F.explode(F.array_compact(F.array(F.lit("all"), of_class)))})
-    return summary(d.withColumns({"abs_diff": F.abs("diff"), "abs_perc_diff": F.abs("perc_diff")}), ["geography", "size_class", "characteristic"])
+    d = d.withColumns({"diff": F.col("m") - F.col("h"), "perc_diff": p})
+    return d.withColumns({"abs_diff": F.abs("diff"), "abs_perc_diff": F.abs("perc_diff")})
+
+
+# complete domains
+
+UNIT_BITS = 52  # of a packed membership; the geography's place in the list is above them
+
+
+@dataclass(frozen=True)
+class Geography:
+    """A kind of unit: codes of ``width`` upper-case digits to ``base``.
+
+    ``sizes`` maps a unit's true total to its size class. In a complete geography every unit of the domain
+    and every category count, also where both files have nobody; else only cells that either file has.
+    """
+
+    name: str
+    width: int
+    base: int = 10
+    sizes: Callable[[Column], Column] | None = None
+    complete: bool = True
+
+    def __post_init__(self):
+        if not 2 <= self.base <= 36 or self.base**self.width > 1 << UNIT_BITS:
+            raise ValueError(f"{self.name}: {self.width} digits to base {self.base} are over {UNIT_BITS} bits")
+
+
+def packed_unit(geographies: Sequence[Geography], geography: Column, unit: Column) -> Column:
+    """(geography, unit) as one integer; null for a geography that isn't listed, an error for a unit that isn't a code of it."""
+    out = F.lit(None).cast("long")
+    for i, g in enumerate(geographies):
+        code = F.conv(unit, g.base, 10).cast("long")
+        same = F.lpad(F.conv(code.cast("string"), 10, g.base), g.width, "0") == unit
+        wrong = F.raise_error(F.concat(F.lit(f"not a code of {g.name}: "), unit)).cast("long")
+        packed = F.when(unit.isNull(), F.lit(None).cast("long")).when(same, code + F.lit(i << UNIT_BITS)).otherwise(wrong)
+        out = F.when(geography == g.name, packed).otherwise(out)
+    return out
+
+
+def memberships(crosswalk: DataFrame, geographies: Sequence[Geography], block: str) -> DataFrame:
+    """One row a block: ``units``, the packed units that it belongs to, any number of each geography. ``crosswalk`` has block, geography, unit."""
+    code = packed_unit(geographies, F.col("geography"), F.col("unit"))
+    packed = crosswalk.select(block, code.alias("_u")).where(F.col(block).isNotNull() & F.col("_u").isNotNull())
+    return packed.groupBy(block).agg(F.collect_set("_u").alias("units"))
+
+
+def complete_catalogue(
+    people: DataFrame,
+    side: str,
+    block: str,
+    crosswalk: DataFrame,
+    domain: DataFrame,
+    geographies: Sequence[Geography],
+    characteristics: dict[str, Column],
+    categories: dict[str, Sequence[str]],
+) -> DataFrame:
+    """Statistics of every (geography, size class, characteristic) over whole domains of units and categories.
+
+    ``crosswalk`` (block, geography, unit) says which units a block belongs to: many to many, on the
+    spine or off it. ``domain`` (geography, unit) lists the units there are; others take no part.
+    ``categories`` lists every value a characteristic may have, of which "total" is one value that everyone has.
+
+    People are counted by block and label once, those counts meet the packed memberships of their
+    block in one join, and one aggregate makes the cells of all geographies. A unit is then one row with
+    its cells; cells are counted by their pair of numbers. Cells that are zero in both files are never
+    made: how many there are is the number of units of the class less those observed, which enters
+    the counts as one row a (geography, size class, characteristic). Nulls: people without a block take no part.
+    """
+    labels = [" ".join((n, v)) for n, values in categories.items() for v in values]
+    everyone = " ".join(("total", categories["total"][0]))
+    of_block = people.where(F.col(block).isNotNull()).select(block, F.col(side).alias("_side"), F.explode(_labels(characteristics)).alias("_l"))
+    counts = of_block.groupBy(block, "_l").agg(counted(F.col("_side") == 0).alias("h"), counted(F.col("_side") == 1).alias("m"))
+    met = counts.join(memberships(crosswalk, geographies, block), block).select(F.explode("units").alias("_u"), "_l", "h", "m")
+    cells = met.groupBy("_u", "_l").agg(F.sum("h").alias("h"), F.sum("m").alias("m"))
+    of_unit = cells.groupBy("_u").agg(F.collect_list(F.struct("_l", "h", "m")).alias("cells"), F.max(F.when(F.col("_l") == everyone, F.col("h"))).alias("_all"))
+    listed = domain.select(packed_unit(geographies, F.col("geography"), F.col("unit")).alias("_u")).where("_u IS NOT NULL").distinct()
+    place = F.shiftright("_u", UNIT_BITS)
+    name = F.element_at(F.array(*[F.lit(g.name) for g in geographies]), (place + 1).cast("int"))
+    units = listed.join(of_unit, "_u", "left").withColumn("geography", name)
+    sizes = {g.name: g.sizes for g in geographies if g.sizes}
+    size_class = F.explode(_classes(F.col("geography"), F.coalesce("_all", F.lit(0)), sizes)).alias("size_class")
+    # the cell without a label stands for the unit itself
+    self_ = F.array(F.struct(F.lit(None).cast("string").alias("_l"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("m")))
+    every = units.select("geography", size_class, F.concat(self_, F.coalesce("cells", F.slice(self_, 1, 0))).alias("cells"))
+    pairs = every.select("geography", "size_class", F.explode("cells").alias("_c")).select("geography", "size_class", "_c.*").groupBy("geography", "size_class", "_l", "h", "m").agg(F.count(F.lit(1)).alias("_n"))
+    by = ["geography", "size_class", "characteristic"]
+    seen = pairs.where("_l IS NOT NULL").withColumnRenamed("_l", "characteristic")
+    seen = seen.where(F.col("characteristic").isin(labels))
+    complete = [g.name for g in geographies if g.complete]
+    of_class = pairs.where(F.col("_l").isNull() & F.col("geography").isin(complete)).groupBy("geography", "size_class").agg(F.sum("_n").alias("_units"))
+    full = of_class.withColumn("characteristic", F.explode(F.array(*[F.lit(x) for x in labels])))
+    observed = seen.groupBy(*by).agg(F.sum("_n").alias("_seen"))
+    zeros = full.join(observed, by, "left").select(*by, F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("m"), (F.col("_units") - F.coalesce("_seen", F.lit(0))).alias("_n")).where("_n > 0")
+    return summary(_with_differences(seen.unionByName(zeros)), by, "_n")
 
 
 def grouped_median(df: DataFrame, by: Sequence[str], age: str) -> DataFrame:

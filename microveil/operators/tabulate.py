@@ -133,14 +133,16 @@ def reindexed(counts: DataFrame, domains: Sequence[DataFrame], measures: Sequenc
     return full.join(counts, on, "left").select(*on, *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
 
 
-def percentile_classes(df: DataFrame, value: str, shares: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+def percentile_classes(df: DataFrame, value: str, shares: Sequence[float] = (0.25, 0.5, 0.75, 0.9), rule: str = "averaged") -> DataFrame:
     """Class 0 for 0, else 1 + the number of percentiles of the positive values that the value is above; null for null.
 
-    The cuts are one row, from counts by value.
+    The cuts are one row, from counts by value, by the ``rule`` of ``metrics.percentiles``: "averaged" is
+    that of statistical packages whose percentile is a value of the data or the mean of two. Without
+    positive values there are no cuts, so no class above 0.
     """
     from microveil.operators.metrics import percentiles
 
-    cuts = percentiles(df.where(F.col(value) > 0), (), {f"_p{i}": (value, s) for i, s in enumerate(shares)})
+    cuts = percentiles(df.where(F.col(value) > 0), (), {f"_p{i}": (value, s) for i, s in enumerate(shares)}, rule)
     above = sum(((F.col(value) > F.col(f"_p{i}")).cast("int") for i in range(len(shares))), F.lit(1))
     return df.crossJoin(F.broadcast(cuts)).withColumn("class", F.when(F.col(value) == 0, 0).when(F.col(value) > 0, above)).drop(*[f"_p{i}" for i in range(len(shares))])
 

@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microveil.functions import bins, recode
 from microveil.operators import linkage, metrics, models, reports, swap, tabulate
-from microveil.plans.views import PEOPLE_SQL, agebin_sql, left_right, people, table
+from microveil.plans.registry import ORACLES, QUERIES, query, with_people  # noqa: F401
+from microveil.plans.views import agebin_sql, left_right, people, table
 from microveil.sources import readers, writers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def with_people(sql: str) -> str:
-    return f"WITH {PEOPLE_SQL} {sql}"
-
-
 def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -554,7 +533,16 @@ def hist_js(spark, d):
     return metrics.jensen_shannon(*_hists(spark, d), ["k", "age"], ["k"])
 
 
-@query("WITH q AS (SELECT quantile_cont(c_acctbal, [0.25, 0.5, 0.75, 0.9]) AS p FROM customer WHERE c_acctbal > 0) SELECT c_custkey, CASE WHEN c_acctbal = 0 THEN 0 WHEN c_acctbal > 0 THEN 1 + (c_acctbal > p[1])::INT + (c_acctbal > p[2])::INT + (c_acctbal > p[3])::INT + (c_acctbal > p[4])::INT END::BIGINT AS class FROM customer, q")
+def _averaged_sql(share: float) -> str:
+    """The mean of the values in places n * share and the next one where that is whole, else the value in the place after it."""
+    whole = f"CASE WHEN n * {share} = floor(n * {share}) AND n * {share} < n THEN floor(n * {share}) + 1 ELSE ceil(n * {share}) END"
+    return f"avg(v) FILTER (i BETWEEN greatest(1, ceil(n * {share})) AND greatest(1, {whole}))"
+
+
+@query(f"""WITH s AS (SELECT c_acctbal::DOUBLE AS v, row_number() OVER (ORDER BY c_acctbal) AS i, count(*) OVER () AS n FROM customer WHERE c_acctbal > 0),
+q AS (SELECT [{", ".join(_averaged_sql(x) for x in (0.25, 0.5, 0.75, 0.9))}] AS p FROM s)
+SELECT c_custkey, CASE WHEN c_acctbal = 0 THEN 0 WHEN c_acctbal > 0 THEN 1 + (c_acctbal > p[1])::INT + (c_acctbal > p[2])::INT + (c_acctbal > p[3])::INT + (c_acctbal > p[4])::INT END::BIGINT AS class
+FROM customer, q""")
 def solvar_bins(spark, d):
     x = tabulate.percentile_classes(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
     return longs(x.select("c_custkey", "class"), "class")
@@ -1105,3 +1093,6 @@ _FROM = " ".join(f"WHEN age >= {x} THEN {x}" for x in reversed(TABLE_AGES))
 def table_cells(spark, d):
     x = reports.table_cells(people(spark, d), ["county"], TABLE_AGES, "sex", "age", {n: F.expr(c) for n, c in TABLE_GROUPS.items()})
     return longs(x, "age_from")
+
+
+from microveil.plans import accuracy  # noqa: E402, F401  its queries use the labels above

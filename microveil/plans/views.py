@@ -32,6 +32,16 @@ def left_right(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return p.where("side = 0"), p.where("side = 1").withColumn("keep", keep)
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block there is, also where nobody lives: block, its county's number nk and its own number k."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nk", "c_custkey % 40 AS k").distinct()
+    return c.selectExpr("lpad(cast(nk div 5 as string), 2, '0') || lpad(cast(nk as string), 3, '0') || lpad(cast(k div 10 as string), 6, '0') || lpad(cast(k as string), 4, '0') AS block", "nk", "k")
+
+
+#: The same for the oracle.
+BLOCKS_SQL = """b AS (SELECT DISTINCT lpad(CAST(c_nationkey // 5 AS VARCHAR), 2, '0') || lpad(CAST(c_nationkey AS VARCHAR), 3, '0')
+    || lpad(CAST((c_custkey % 40) // 10 AS VARCHAR), 6, '0') || lpad(CAST(c_custkey % 40 AS VARCHAR), 4, '0') AS block, c_nationkey AS nk, c_custkey % 40 AS k FROM customer)"""
+
 #: The same views for the oracle: p (people), l and g (left, right), q (right with keep).
 PEOPLE_SQL = """p AS (
   SELECT o_orderkey AS pid, o_orderkey % 2 AS side,
