@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 RACES = ("white", "black", "aian", "asian", "nhopi", "sor")
 #: The 63 codes number all non-empty sets of six races, smaller sets first, each size in the order of RACES.
 RACE_SETS = [s for size in range(1, 7) for s in combinations(range(6), size)]
-# First code of each number of races.
-RACE_COUNT_EDGES = (1, 7, 22, 42, 57, 63)
-RACE_EDGE_TOP = 64
+# First code of each number of races, and the code after the last.
+RACE_COUNT_EDGES = (1, 7, 22, 42, 57, 63, 64)
 
 
 def race_flags(code: Column) -> dict[str, Column]:
@@ -35,7 +34,7 @@ def race_seven(code: Column) -> Column:
 
 def race_count(code: Column) -> Column:
     out = F.when(code < 1, F.lit(None))
-    for n, high in enumerate((*RACE_COUNT_EDGES[1:], RACE_EDGE_TOP), 1):
+    for n, high in enumerate(RACE_COUNT_EDGES[1:], 1):
         out = out.when(code < high, F.lit(n))
     return out
 

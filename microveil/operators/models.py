@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microveil.functions.bins import age_bin
+from microveil.operators.lp import contained_terms
 
 FLAGS = ("white", "black", "aian", "asian", "nhopi", "sor", "hisp")
 ATTRIBUTES = ("sex", "age", *FLAGS)
@@ -27,9 +28,12 @@ def expanded(cells: DataFrame, full: dict = FULL) -> DataFrame:
     return cells.withColumns({k: F.coalesce(k, F.array(*[F.lit(v) for v in r])) for k, r in full.items()})
 
 
-# The published tables that constraints may come from; those of two or more races are built from combinations.
+# The published tables that constraints may come from, and those of them that are about people of two or more races.
+TABLES = (
+    "P1", "P6", "P7", "P8", "P9", "P10", "P11", "P12", "P12A", "P12B", "P12C", "P12D", "P12E", "P12F", "P12G", "P12H", "P12I", "P14",
+    "PCT12", "PCT12A", "PCT12B", "PCT12C", "PCT12D", "PCT12E", "PCT12F", "PCT12G", "PCT12H", "PCT12I", "PCT12J", "PCT12K", "PCT12L", "PCT12M", "PCT12N", "PCT12O",
+)
 TWO_PLUS_TABLES = ("P12G", "PCT12G", "PCT12O")
-TABLES = ("P1", "P6", "P7", "P8", "P9", "P10", "P11", "P12", *[f"P12{x}" for x in "ABCDEFHI"], "P14", "PCT12", *[f"PCT12{x}" for x in "ABCDEFHIJKLMN"], *TWO_PLUS_TABLES)
 
 
 def allowed(cells: DataFrame, table: str = "table", tables: Sequence[str] = TABLES, full: dict = FULL) -> DataFrame:
@@ -58,28 +62,14 @@ def variables(cells: DataFrame, attributes: Sequence[str] = ATTRIBUTES, races: S
     return x.select("geo", "cell", "person", *attributes, name.alias("variable"))
 
 
-def tuples(cells: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """The attribute tuples that each constraint cell allows."""
-    x = cells
-    for a in attributes:
-        x = x.withColumn(a, F.explode(a))
-    return x.select("geo", "cell", *attributes)
-
-
-def terms(cells: DataFrame, vs: DataFrame, attributes: Sequence[str], by_geo: bool = True) -> DataFrame:
-    """Constraint x variable: cells with a value join the variables that match one of their tuples."""
-    on = (["geo"] if by_geo else []) + list(attributes)
-    allowed = tuples(cells, attributes).withColumnRenamed("cell", "constraint")
-    return allowed.join(vs.select(*({"geo"} if by_geo else set()), *attributes, "variable"), on).select("geo", "constraint", "variable")
+def terms(cells: DataFrame, vs: DataFrame, attributes: Sequence[str], by_geo: bool = True, full: dict = FULL) -> DataFrame:
+    """Constraint x variable: cells with a value meet the variables whose value of every attribute they allow, in their geography or (not ``by_geo``) in all."""
+    return contained_terms(cells, vs, attributes, full, ("geo",) if by_geo else ())
 
 
-def two_plus_terms(cells: DataFrame, vs: DataFrame, attributes: Sequence[str], races: Sequence[str] = FLAGS[:6], by_geo: bool = True) -> DataFrame:
+def two_plus_terms(cells: DataFrame, vs: DataFrame, attributes: Sequence[str], races: Sequence[str] = FLAGS[:6], by_geo: bool = True, full: dict = FULL) -> DataFrame:
     """Constraint x variable for cells of people of two or more races: any combination with two or more of the flags, whatever the cell says of them."""
-    combos = F.array(*[F.struct(*[F.lit(v).alias(r) for v, r in zip(c, races, strict=True)]) for c in product("NY", repeat=len(races)) if c.count("Y") >= 2])
-    others = [a for a in attributes if a not in races]
-    x = tuples(cells, others).withColumn("_c", F.explode(combos)).select("geo", F.col("cell").alias("constraint"), *others, "_c.*")
-    on = (["geo"] if by_geo else []) + list(attributes)
-    return x.join(vs.select(*({"geo"} if by_geo else set()), *attributes, "variable"), on).select("geo", "constraint", "variable")
+    return contained_terms(cells, vs, attributes, full, ("geo",) if by_geo else (), races)
 
 
 def in_file_order(block_lines: DataFrame, tract_lines: DataFrame, tract: str = "tract") -> DataFrame:

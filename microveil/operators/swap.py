@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from microveil.operators.tabulate import ranked
+from microveil.sources.writers import kept
+
 # Target rate, noise cuts, group shares of the two published settings.
 SETTINGS = {"HI": {"target": 0.5, "cuts": (0.5, 0.75), "shares": (0.3, 0.4)}, "LO": {"target": 0.05, "cuts": (1.0, 1.0), "shares": (1.0, 0.0)}}
 
@@ -17,11 +20,10 @@ def noisy_key(size: Column, u: Column, cuts: tuple[float, float]) -> Column:
 
 
 def shuffled(df: DataFrame, column: str, within: Sequence[str], order: Sequence[str], draw: str, name: str) -> DataFrame:
-    """A column permuted inside groups: rank in the original order meets rank in the random order."""
-    w = Window.partitionBy(*within)
-    a = df.withColumn("_r", F.row_number().over(w.orderBy(*order)))
-    b = df.select(*within, F.row_number().over(w.orderBy(draw, *order)).alias("_r"), F.col(column).alias(name))
-    return a.join(b, [*within, "_r"], "left").drop("_r")
+    """A column permuted inside groups: rank in the original order meets rank in the random order. A group may be most of the table."""
+    a = ranked(df, within, order, "_r")
+    b = ranked(df.select(*dict.fromkeys([*within, draw, *order, column])), within, [draw, *order], "_r")
+    return a.join(b.select(*within, "_r", F.col(column).alias(name)), [*within, "_r"], "left").drop("_r")
 
 
 def pseudo_area(df: DataFrame, area: str, county: Sequence[str], state: Sequence[str], order: Sequence[str], u: str, shares: tuple[float, float], name: str) -> DataFrame:
@@ -68,6 +70,62 @@ def deselected(df: DataFrame, estimate: DataFrame, chosen: str, draw: Column) ->
     return df.crossJoin(one).withColumn(chosen, F.col(chosen) & (draw >= F.col("_share"))).drop("_share")
 
 
+def binomial(n: Column, p: Column, u: Column) -> Column:
+    """The smallest k whose cumulative probability among ``n`` trials of chance ``p`` is at least ``u``: a draw by inversion of a uniform in [0, 1)."""
+    odds = F.ln(p / (F.lit(1.0) - p))
+    begin = F.struct(F.lit(0).cast("long").alias("k"), (n * F.ln(F.lit(1.0) - p)).alias("lp"), F.exp(n * F.ln(F.lit(1.0) - p)).alias("cdf"))
+
+    def step(s: Column, k: Column) -> Column:
+        lp = s["lp"] + F.ln((n - k + 1).cast("double") / k) + odds  # in logs, so long runs don't underflow
+        more = F.struct(k.cast("long").alias("k"), lp.alias("lp"), (s["cdf"] + F.exp(lp)).alias("cdf"))
+        return F.when(s["cdf"] >= u, s).otherwise(more)
+
+    drawn = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), begin, step, lambda s: s["k"])
+    return F.when((n <= 0) | (p <= 0), F.lit(0).cast("long")).when(p >= 1, n.cast("long")).otherwise(drawn)
+
+
+def _numbered_runs(df: DataFrame, key: Sequence[str], order: Sequence[str], chosen: str) -> DataFrame:
+    w = Window.partitionBy(*key).orderBy(*order)
+    start = (F.col(chosen) & ~F.coalesce(F.lag(chosen).over(w), F.lit(False))).cast("int")
+    return df.withColumn("_start", start).withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def key_targets(df: DataFrame, key: Sequence[str], order: Sequence[str], chosen: str, rate: float) -> DataFrame:
+    """Per key: households, how many its runs of chosen neighbours would swap (an odd run takes one more), the target, and how many to deselect.
+
+    A chosen household that is alone in its key can't swap.
+    """
+    x = _numbered_runs(df, key, order, chosen)
+    runs = x.groupBy(*key, "_run").agg(F.sum(F.col(chosen).cast("int")).alias("n"), F.count(F.lit(1)).alias("rows"))
+    sums = runs.groupBy(*key).agg(F.sum("rows").cast("long").alias("households"), F.sum(F.col("n") + F.col("n") % 2).cast("long").alias("projected"))
+    sums = sums.withColumn("projected", F.when(F.col("households") > 1, F.col("projected")).otherwise(F.lit(0)))
+    target = F.col("households") * F.lit(rate)
+    return sums.withColumns({"target": target, "deselect": F.greatest(F.lit(0).cast("long"), F.round(F.col("projected") - target).cast("long"))})
+
+
+def deselected_by_run(df: DataFrame, targets: DataFrame, key: Sequence[str], order: Sequence[str], chosen: str, u: str, draw: str) -> DataFrame:
+    """Leaves out chosen rows run by run until about each key's target is left.
+
+    A run of odd length n leaves out as many as a binomial draw from n says, one less where that is even and not none, so that
+    what is left has even length; a run of even length twice a draw from n / 2. The chance is deselect / projected of the key (``key_targets``),
+    the uniform of a run that of its first row in column ``u``; of a run go the rows with the smallest ``draw`` (ties by ``order``). So
+    the choice can be repeated from the stored columns. Keys without a target leave out nothing.
+    """
+    x = _numbered_runs(df, key, order, chosen)
+    first = F.min_by(u, F.struct(*order))
+    runs = x.where(F.col(chosen)).groupBy(*key, "_run").agg(F.count(F.lit(1)).alias("_n"), first.alias("_u"))
+    p = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("deselect").cast("double"), F.col("projected")), F.lit(0.0)))
+    with_p = runs.join(targets.select(*key, p.alias("_share")), list(key), "left").na.fill(0.0, ["_share"])
+    odd = binomial(F.col("_n"), F.col("_share"), F.col("_u"))
+    even = binomial((F.col("_n") / 2).cast("long"), F.col("_share"), F.col("_u")) * 2
+    take = F.when(F.col("_n") % 2 == 0, even).otherwise(odd - F.when((odd > 0) & (odd % 2 == 0), 1).otherwise(0))
+    taken = with_p.select(*key, "_run", take.alias("_take"))
+    place = F.row_number().over(Window.partitionBy(*key, "_run").orderBy(F.desc(chosen), draw, *order))
+    both = x.withColumn("_place", place).join(taken, [*key, "_run"], "left")
+    left = F.col(chosen) & ~F.coalesce(F.col("_place") <= F.col("_take"), F.lit(False))
+    return both.withColumn(chosen, left).select(*df.columns)
+
+
 def adjacent_pairs(df: DataFrame, key: Sequence[str], order: Sequence[str], id_col: str) -> DataFrame:
     """Pairs 1-2, 3-4, ... of the selected rows of each key in order; the last of an odd number stays unpaired. Columns a and b."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -115,6 +173,43 @@ def exchange(households: DataFrame, pairs: DataFrame, key: str, columns: Sequenc
     return x.withColumns(moved).withColumn("swapped", F.col("_o").isNotNull().cast("int")).select(*households.columns, "swapped")
 
 
+def moves(pairs: DataFrame, order: str, rounds: int = 64) -> DataFrame:
+    """(key, to): where what was at ``key`` is after all pairs (a, b) have changed places one after the other, in ``order``.
+
+    Keys may be in any number of pairs; ``order`` numbers the pairs. What enters a pair at one key leaves it at the other
+    and meets the next pair of that key, so every (pair, key) points to one other; pointers are doubled
+    until all have reached a key without further pairs: as many rounds as the logarithm of the longest chain. Pairs of a key with
+    itself, and with null, change nothing.
+    """
+    p = pairs.where("a <> b").select(F.col(order).alias("e"), "a", "b")
+    sides = p.select("e", F.col("a").alias("k"), F.col("b").alias("o")).unionByName(p.select("e", F.col("b").alias("k"), F.col("a").alias("o")))
+    w = Window.partitionBy("k").orderBy("e")
+    sides = kept(sides.withColumns({"next": F.lead("e").over(w), "first": F.row_number().over(w) == 1}))
+    other = sides.select("e", F.col("k").alias("o"), F.col("next").alias("to_e"))
+    at = kept(sides.join(other, ["e", "o"]).select("e", "k", "first", "to_e", F.col("o").alias("to_k")))
+    for _ in range(rounds):
+        if at.where("to_e IS NOT NULL").isEmpty():
+            return at.where("first").select(F.col("k").alias("key"), F.col("to_k").alias("to"))
+        ends = at.select(F.col("e").alias("to_e"), F.col("k").alias("to_k"), F.col("to_e").alias("_e"), F.col("to_k").alias("_k"))
+        moving = at.where("to_e IS NOT NULL").join(ends, ["to_e", "to_k"]).select("e", "k", "first", F.col("_e").alias("to_e"), F.col("_k").alias("to_k"))
+        at = kept(at.where("to_e IS NULL").unionByName(moving))
+    raise RuntimeError(f"chains of pairs did not end in {rounds} rounds")
+
+
+def exchange_in_order(households: DataFrame, pairs: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:
+    """``exchange`` for keys that may be in several pairs: pairs (a, b) are taken one after the other in ``order``. Adds ``swapped``, 1 for a key in a pair.
+
+    A pair with a key that no household has is left out.
+    """
+    known = households.select(key)
+    real = pairs.join(known.withColumnRenamed(key, "a"), "a", "left_semi").join(known.withColumnRenamed(key, "b"), "b", "left_semi")
+    from_ = moves(real, order).select(F.col("key").alias("_o"), F.col("to").alias(key))
+    other = households.select(F.col(key).alias("_o"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    x = households.join(from_, key, "left").join(other, "_o", "left")
+    moved = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
+    return x.withColumns(moved).withColumn("swapped", F.col("_o").isNotNull().cast("int")).select(*households.columns, "swapped")
+
+
 def follow(people: DataFrame, households: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """People take their household's columns where it has them."""
     h = households.select(key, *[F.col(c).alias(f"_h_{c}") for c in columns])

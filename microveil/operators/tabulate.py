@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from microveil.sources.writers import kept
+
 
 def counted(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
@@ -166,6 +168,24 @@ def quantile_table(df: DataFrame, value: str, pop: str, order: Sequence[str]) ->
     return bins.withColumn("cum_percent", F.round(F.lit(100.0) * F.sum("value_sum").over(running) / (F.lit(2) * F.sum("pop_sum").over(whole)), 6))
 
 
+def ranked(df: DataFrame, within: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``, the row's place (from 1) in ``order`` among the rows that agree on ``within``, also where one group is most of the table.
+
+    Rows are dealt by ranges of (within, order) and numbered inside their range; how many of the group lie in the ranges before
+    comes from one count a range and group. Rows that agree on all of it are in any order. Null is a group of its own.
+    """
+    keys = [*within, *order]
+    here = kept(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    sizes = here.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_before", before).drop("_n").toDF(*[f"_g{i}" for i in range(len(within))], "_r", "_before")
+    inside = here.withColumn("_i", F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(within):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return inside.join(starts, same).withColumn(name, F.col("_before") + F.col("_i")).select(*df.columns, name)
+
+
 def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], selected: str) -> DataFrame:
     """Adds ``run`` (number of the run of selected rows within the group) and ``place`` in it; null on other rows."""
     w = Window.partitionBy(*by).orderBy(*order)

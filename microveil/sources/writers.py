@@ -3,16 +3,35 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="shared")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder, for what is read more than once and costs more to make than to store."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "kept"))
+    return df.checkpoint(eager=True)
+
+
 def by_county(df: DataFrame, path: str, columns: Sequence[str] = ("county",), fmt: str = "parquet", mode: str = "overwrite") -> None:
     """One folder per county (and summary level); rows are dealt by the folder and a salt, so a large county is several files."""
     salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(8))
