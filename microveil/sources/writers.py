@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 import zipfile
@@ -42,6 +43,66 @@ def appended(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def _gone(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def append_once(df: DataFrame, path: str, run: str, units: Sequence[str], fmt: str = "parquet") -> None:
+    """Appends the rows of a run such that running it again, after a failure or not, leaves them there once.
+
+    Rows go to ``path``/data in a folder of their own, named by ``run``, which a repeated run replaces. When they are whole, the
+    run's distinct ``units`` with their numbers of rows go to ``path``/manifest; until then ``committed`` does not see the run. Tasks that are tried
+    again are dealt with by Spark's commit. Two runs of one name at the same time are the caller's to prevent.
+    """
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"a run's name is a folder's: {run}")
+    spark = df.sparkSession
+    for part in ("manifest", "data"):  # what is left of an earlier try stops counting first
+        _gone(spark, f"{path}/{part}/run={run}")
+    df.write.mode("overwrite").format(fmt).save(f"{path}/data/run={run}")
+    back = spark.read.format(fmt).schema(df.schema).load(f"{path}/data/run={run}")
+    done = back.groupBy(*units).agg(F.count(F.lit(1)).alias("rows"))
+    done.write.mode("overwrite").format("parquet").save(f"{path}/manifest/run={run}")
+
+
+def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(units, rows, run) of all finished runs; ``schema`` is that of the units. Empty where nothing has been appended."""
+    full = f"{schema}, rows long, run string"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(f"{path}/manifest")
+
+
+def committed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """The rows of finished runs, with ``run``; ``schema`` is that of the rows."""
+    runs = [r["run"] for r in _runs(spark, f"{path}/manifest")]
+    if not runs:
+        return spark.createDataFrame([], f"{schema}, run string")
+    # names of runs, a few bytes each; folders of other runs are not read
+    return spark.read.format(fmt).schema(f"{schema}, run string").load(f"{path}/data").where(F.col("run").isin(runs))
+
+
+def _runs(spark: SparkSession, folder: str) -> list[dict]:
+    """Names of the runs whose folder is whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    whole = lambda p: system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return [{"run": s.getPath().getName()[len("run=") :]} for s in system.listStatus(path) if s.getPath().getName().startswith("run=") and whole(s.getPath())]
+
+
+def unfinished(units: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``units`` whose keys no finished run has done."""
+    spark = units.sparkSession
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.select(*keys).schema)
+    runs = [r["run"] for r in _runs(spark, f"{path}/manifest")]
+    done = manifest(spark, path, schema).where(F.col("run").isin(runs)) if runs else spark.createDataFrame([], schema)
+    return units.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def text_lines(lines: DataFrame, path: str, by: Sequence[str], order: Sequence[str], line: str = "line") -> None:
     """Ordered lines of texts, one folder for each; a text is sorted inside its own partition."""
     out = lines.repartition(*by).sortWithinPartitions(*by, *order).select(*by, line)
