@@ -2,8 +2,8 @@
 
 Stated rules (host, path prefix) come first: a rule fits its host and all subdomains
 where the path starts with the rule's; the longest one wins. Other URLs are judged by
-association rules "these URL tokens, so block", mined by FP-growth from labelled URLs,
-pruned by support and confidence and of every rule that a shorter one covers, and
+association rules "these URL tokens, so block", mined by FP-growth from the URLs labelled
+block, pruned by support and confidence and of every rule that a shorter one covers, and
 matched by an inverted index on each rule's rarest token.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import string
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microveil.llm.shared import cut, numbered
@@ -60,23 +60,84 @@ def stated(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return fits.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.*")
 
 
-def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
-    """Rules (tokens, n) that at least two labelled URLs support and whose tokens say "block"; labelled has tokens and label (block or allow).
+SALTS = 16
+
+
+def salted(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which a key that many of ``rows`` have is dealt to ``SALTS`` tasks; ``small`` is repeated for each."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(SALTS)))
+    every = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(every, [*keys, "_salt"], how).drop("_salt")
+
+
+def mined_rules(labelled: DataFrame, support: float, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """(tokens, n) of the rules and (token, class, n) of the tokens they are about; labelled has tokens and label (block or allow).
 
-    ``support`` is a share of the URLs labelled block, so that a rare kind of them isn't lost among many allowed ones.
+    A rule is a smallest set of tokens that ``support`` of the URLs labelled block (two at least) have and of which ``confidence`` of all labelled URLs
+    that have it are labelled block. Tokens that occur in the same labelled URLs, as the query keys of a template do, are one class and stand
+    for one another: rules name classes, each by its smallest token, and a class is met by any of its tokens. Single classes are judged
+    by counting. FP-growth then runs over the blocked URLs alone and what is left of their classes; its sets, which are frequent among
+    the blocked, are counted among all URLs by an inverted index.
     """
-    baskets = labelled.where("size(tokens) > 0").select("label", F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    total, bad = baskets.agg(F.count("*"), F.count(F.when(F.col("label") == "block", 1))).first()
+    spark = labelled.sparkSession
+    rows = cut(labelled.where("size(tokens) > 0 AND label IN ('block', 'allow')").groupBy(F.array_sort(F.array_distinct("tokens")).alias("tokens"), "label").agg(F.count("*").alias("w")))
+    bad = rows.agg(F.sum(F.when(F.col("label") == "block", F.col("w")))).first()[0] or 0
+    none = spark.createDataFrame([], "tokens array<string>, n int"), spark.createDataFrame([], "token string, class string, n long")
     if bad < 2:  # no rule can have two
-        return labelled.select("tokens", F.size("tokens").alias("n")).limit(0)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support * bad, 2) / total), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == "label:block").select(F.array_sort("antecedent").alias("tokens"))
-    rules = cut(rules.withColumn("n", F.size("tokens")))
-    less = rules.select(F.col("tokens").alias("t2"), F.col("n").alias("n2"))
-    # a rule of which a part is a rule too adds nothing: parts are looked up by each token of the longer rule
-    parts = rules.select("tokens", "n", F.explode("tokens").alias("k")).join(less.select("t2", "n2", F.col("t2")[0].alias("k")), "k")
-    covered = parts.where("n2 < n AND size(array_except(t2, tokens)) = 0").select("tokens").distinct()
-    return rules.join(covered, "tokens", "left_anti")
+        return none
+    least = max(support * bad, 2)
+    each = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "label", "w", F.explode("tokens").alias("token"))
+    # where a token occurs, as two sums of hashes over the different rows
+    place = lambda seed: F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(38,0)"))
+    block = F.coalesce(F.sum(F.when(F.col("label") == "block", F.col("w"))), F.lit(0))
+    stats = each.groupBy("token").agg(F.sum("w").alias("n"), block.alias("n_block"), place(1).alias("s1"), place(2).alias("s2")).where(F.col("n_block") >= least)
+    classes = cut(stats.withColumn("class", F.min("token").over(Window.partitionBy("n", "n_block", "s1", "s2"))).drop("s1", "s2"))
+    sure = F.col("n_block") >= confidence * F.col("n")
+    single = classes.where(sure & (F.col("token") == F.col("class"))).select(F.array("class").alias("tokens"), F.lit(1).alias("n"))
+    rest = classes.where(~sure)
+    in_class = each.join(rest.select("token", "class", F.col("n").alias("n_all")), "token")
+    baskets = cut(in_class.groupBy("id", "label", "w").agg(F.collect_set("class").alias("items")))
+    blocked = baskets.where("label = 'block' AND size(items) > 1")
+    n_rows = blocked.agg(F.sum("w")).first()[0] or 0
+    found = single
+    if n_rows >= least:
+        expanded = blocked.select("items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w")))).select("items")
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 1e-6) / n_rows), minConfidence=1.0).fit(expanded).freqItemsets.where("size(items) > 1")
+        sets = cut(sets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_block")))
+        rarity = rest.where("token = class").select(F.col("class").alias("k"), F.col("n").alias("n_all"))
+        posted = sets.select("tokens", "n_block", F.explode("tokens").alias("k")).join(rarity, "k").groupBy("tokens", "n_block").agg(F.min_by("k", F.struct("n_all", "k")).alias("k"))
+        allowed = baskets.where("label = 'allow'").select("id", "w", "items", F.explode("items").alias("k"))
+        against = salted(allowed, posted, ["k"]).where("size(array_except(tokens, items)) = 0").groupBy("tokens").agg(F.sum("w").alias("n_allow"))
+        both = sets.join(against, "tokens", "left").withColumn("n_allow", F.coalesce("n_allow", F.lit(0)))
+        rules = cut(both.where(F.col("n_block") >= confidence * (F.col("n_block") + F.col("n_allow"))).select("tokens", F.size("tokens").alias("n")))
+        # a rule of which a part is a rule too adds nothing: parts are looked up by each token of the longer rule
+        less = rules.select(F.col("tokens").alias("t2"), F.col("n").alias("n2"), F.col("tokens")[0].alias("k"))
+        parts = rules.select("tokens", "n", F.explode("tokens").alias("k")).join(less, "k")
+        covered = parts.where("n2 < n AND size(array_except(t2, tokens)) = 0").select("tokens").distinct()
+        found = single.unionByName(rules.join(covered, "tokens", "left_anti"))
+    found = cut(found)
+    used = found.select(F.explode("tokens").alias("class")).distinct()
+    return found, classes.join(used, "class").select("token", "class", "n")
+
+
+def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
+    """(tokens, n) of ``mined_rules``."""
+    return mined_rules(labelled, support, confidence)[0]
+
+
+def matched(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """(url, mined): of the rules that a URL's tokens meet, the smallest as the URL's own tokens spell it. ``urls`` has distinct url and its tokens."""
+    own = salted(urls.select("url", F.explode("tokens").alias("token")), classes, ["token"])
+    met = own.groupBy("url").agg(F.collect_list(F.struct("class", "token", "n")).alias("t"))
+    # of a class, the smallest token that the URL has; a URL's own tokens only
+    ids = F.array_distinct(F.transform("t", lambda x: x["class"]))
+    met = met.withColumn("items", F.array_sort(ids)).withColumn("k", F.explode("items"))
+    # inverted index: a rule is looked up by its rarest class only
+    rarity = classes.groupBy("class").agg(F.min("n").alias("n_all"))
+    posted = rules.select("tokens", F.explode("tokens").alias("class")).join(rarity, "class").groupBy("tokens").agg(F.min_by("class", F.struct("n_all", "class")).alias("k"))
+    hits = salted(met, posted, ["k"]).where("size(array_except(tokens, items)) = 0")
+    spelled = F.expr("array_sort(transform(tokens, c -> array_min(transform(filter(t, x -> x.class = c), x -> x.token))))")
+    return hits.groupBy("url").agg(F.min(spelled).alias("mined"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", labelled: DataFrame | None = None, seed_terms: tuple = SEED_TERMS, support: float = 0.01, confidence: float = 0.9) -> DataFrame:
@@ -86,26 +147,29 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
     that a stated rule fits carry its verdict, others are block where a word of the host is a seed
     term, else allow. Mined rules leave out token sets that fewer than ``support`` of the URLs labelled
     block have, and those found in fewer than two. URLs without a host are allowed. Repeated rows are judged
-    alike; extra columns stay, of clashing names the new ones. Empty pages give an empty result.
+    alike; extra columns stay, of clashing names the new ones. Empty pages give an empty result. A URL may have any
+    number of tokens; those that always occur together cost as much as one, but sets of many frequent tokens that come and go
+    independently, and none of which says block alone, are all counted.
     """
     kept = pages.drop("host", "path", "rule", "verdict", "mined")
     base, col = numbered(kept, url_col)
     base = base.withColumn("url", F.coalesce(F.col(col).cast("string"), F.lit("")))
-    urls = cut(tokens(parsed(base.select("url").distinct())))
-    ruled = cut(urls.join(stated(urls, rules), ["host", "path"], "left"))
+    counted = cut(base.groupBy("url").agg(F.count("*").alias("rows")))
+    urls = cut(tokens(parsed(counted.select("url"))))
+    ruled = cut(salted(urls, stated(urls, rules), ["host", "path"], "left"))
     if labelled is None:
         seeded = F.arrays_overlap("tokens", F.array(*[F.lit(f"{kind}:{x}") for x in seed_terms for kind in ("word", "host")]))
         learn = ruled.where("host <> ''").select("tokens", F.coalesce("rule_verdict", F.when(seeded, "block").otherwise("allow")).alias("label"))
     else:
         given = labelled.select(F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.col("label").cast("string").alias("label"))
         learn = tokens(parsed(given)).where("label IS NOT NULL").select("tokens", "label")
-    found = mine(learn, support, confidence)
-    # inverted index: a rule is looked up by its rarest token only
-    bags = urls.select("url", "tokens", F.explode("tokens").alias("k"))
-    common = bags.groupBy("k").count()
-    keyed = found.select(F.col("tokens").alias("mined"), F.explode("tokens").alias("k")).join(common, "k").groupBy("mined").agg(F.min_by("k", F.struct("count", "k")).alias("k"))
-    hits = bags.join(keyed, "k").where("size(array_except(mined, tokens)) = 0").groupBy("url").agg(F.min("mined").alias("mined"))
+    found, classes = mined_rules(learn, support, confidence)
     verdict = F.coalesce("rule_verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
-    judged = ruled.join(hits, "url", "left").select("url", "host", "path", "rule", verdict.alias("verdict"), "mined")
+    judged = ruled.join(matched(urls, found, classes), "url", "left").select("url", "host", "path", "rule", verdict.alias("verdict"), "mined")
     old = [F.col(c).alias(n) for c, n in zip(base.columns, kept.columns, strict=False)]
-    return base.join(judged, "url", "left").select(*old, "host", "path", "rule", "verdict", "mined")
+    # URLs that a thousandth of the rows or more have: a thousand hashes at most are broadcast, and their rows are dealt out
+    total = counted.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(cut(counted.where(F.col("rows") >= max(1000, total / 1000)).select(F.xxhash64("url").alias("_h"))))
+    common = lambda x, how: x.withColumn("_h", F.xxhash64("url")).join(hot, "_h", how).drop("_h")
+    out = common(base, "left_anti").join(judged, "url", "left").unionByName(salted(common(base, "left_semi"), common(judged, "left_semi"), ["url"], "left"))
+    return out.select(*old, "host", "path", "rule", "verdict", "mined")

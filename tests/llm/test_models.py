@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -423,3 +424,59 @@ def test_mined_rules_are_confident_and_minimal(spark):
     rows = [(["a", "b"], "block")] * 9 + [(["a"], "allow")] * 3 + [(["b", "c"], "block")] * 4 + [(["d"], "block")] * 1
     found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.1, 0.9)
     assert sorted(tuple(r["tokens"]) for r in found.collect()) == [("b",), ("c",)]
+
+
+def plain_rules(rows, support, confidence):
+    """All smallest token sets that are frequent among the blocked and confident, by enumeration."""
+    bad = sum(label == "block" for _, label in rows)
+    names = sorted({t for ts, _ in rows for t in ts})
+    found = []
+    for size in range(1, len(names) + 1):
+        for c in itertools.combinations(names, size):
+            if any(set(f) <= set(c) for f in found):
+                continue
+            block = sum(set(c) <= set(ts) and label == "block" for ts, label in rows)
+            all_ = sum(set(c) <= set(ts) for ts, _ in rows)
+            if block >= max(support * bad, 2) and block >= confidence * all_:
+                found.append(c)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mined_verdicts_against_enumeration(spark, seed):
+    rng = random.Random(seed)
+    keys = ["a", "b", "c", "d", "e", "f", "g"]
+    rows = []
+    for _ in range(rng.choice([12, 60, 120])):
+        ks = [k for k in keys if rng.random() < 0.5]
+        ks += ["t1", "t2", "t3"] if "a" in ks else []  # always together
+        bad = ("a" in ks and "b" in ks) or ("c" in ks and "d" in ks and "e" in ks) or rng.random() < 0.05
+        rows.append((ks, "block" if bad else "allow"))
+    urls = [f"http://h/x?{'&'.join(f'{k}={i}' for k in ks)}#{i}" for i, (ks, _) in enumerate(rows)]
+    fresh = [f"http://h/x?{'&'.join(k for k in [*keys, 't1', 't2', 't3'] if rng.random() < 0.4)}#n{i}" for i in range(80)]
+    labelled = spark.createDataFrame([(u, y) for u, (_, y) in zip(urls, rows, strict=True)] + [("http://h/x?zz", None)], "url string, label string")
+    pages = spark.createDataFrame(list(enumerate(urls + fresh)), "page_id long, url string")
+    named = [(["host:h", "top:h", *(f"key:{k}" for k in ks)], y) for ks, y in rows]
+    want = plain_rules(named, 0.05, 0.9)
+    for r in url_rules.judge(pages, [], labelled=labelled, support=0.05, confidence=0.9).collect():
+        have = {"host:h", "top:h", *(f"key:{p.split('=')[0]}" for p in r["url"].split("?")[1].split("#")[0].split("&") if p)}
+        fits = [c for c in want if set(c) <= have]
+        assert (r["verdict"] == "block") == bool(fits), r
+        assert r["mined"] == (list(min(fits)) if fits else None)
+
+
+def test_urls_of_one_template_with_many_keys(spark):
+    """Ten URLs with 25 query keys in common have two to the 25 token sets, and one class of tokens."""
+    query = "&".join(f"key{k}=1" for k in range(25))
+    urls = [f"http://{'casino' if i < 4 else 'plain'}{i}.com/p{i}?{query}" for i in range(10)] + ["http://casino.org/?" + "&".join(f"k{k}" for k in range(3000))]
+    labelled = spark.createDataFrame([(u, "block" if "casino" in u else "allow") for u in urls], "url string, label string")
+    began = time.perf_counter()
+    got = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [], labelled=labelled).collect()
+    assert len(got) == 11 and time.perf_counter() - began < 60
+
+
+def test_hot_urls(spark):
+    pages = spark.createDataFrame([(i, None if i % 3 == 0 else f"http://casino.com/{i % 2}" if i % 3 == 1 else f"http://x{i}.com/?q={i}") for i in range(6000)], "page_id long, url string")
+    got = url_rules.judge(pages, [("block", "x5.com/")]).collect()
+    assert len(got) == 6000 and {r["verdict"] for r in got if r["page_id"] % 3 == 1} == {"block"}
+    assert [r["rule"] for r in got if r["page_id"] == 5] == ["x5.com/"] and {r["verdict"] for r in got if r["url"] is None} == {"allow"}
