@@ -169,7 +169,7 @@ def pack_online(
     end_id: int = 1,
     open_windows: int = 64,
     may_cut: bool = True,
-    group_tokens: int = 1 << 22,
+    group_tokens: int = 1 << 20,
     files: tuple = (None, None),
 ) -> DataFrame:
     """One row a piece: doc_id, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset.
