@@ -33,8 +33,8 @@ CHAIN = 64
 TOGETHER = 1 << 17
 BITS = 18
 FEATURES = 6
-#: Of the likelihood-ratio test by which words are labelled; far beyond chance among a million words.
-SIGNIFICANT = 35.0
+#: How many words may be labelled by chance, and the share of the statistic's largest value that is enough whatever the chance.
+BY_CHANCE, ENOUGH = 1e-3, 0.35
 
 _letters = np.ones(256, bool)  # separators
 _letters[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -216,10 +216,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     return w
 
 
+def least_statistic(words: int, toxic: float, clean: float) -> float:
+    """What a word's likelihood ratio must exceed to be labelled.
+
+    Either so much that less than ``BY_CHANCE`` of so many ``words`` exceed it by chance (a chi-square quantile), or, where the
+    documents are too few for that, a share of what a word in all toxic and no clean ones has.
+    """
+    bound = 2 * np.log(max(words, 2) / BY_CHANCE)
+    return float(min(bound - np.log(bound) - np.log(np.pi), ENOUGH * 2 * toxic * np.log((toxic + clean) / toxic)))
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_tokens: int = 200_000) -> dict | None:
-    """The model, or None where no text of label 1 or none of label 0 is left.
+    """The model, or None where no text of label 1 or none of label 0 is left, or none of label 1 has a word.
 
-    Of sentences without a toxic word, a sample of ``clean_tokens`` words from clean texts and
+    Words are labelled by ``least_statistic``; if none gets so far, those that come nearest are. Of sentences without a toxic word, a sample of ``clean_tokens`` words from clean texts and
     half as many from toxic ones is learned from.
     """
     if len(set(labels)) < 2:
@@ -241,7 +251,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_tokens: int
     total = np.array([(keep & (y == c)).sum() for c in (0, 1)], float)
     if not total.all():
         return None
-    toxic = np.zeros(n_tokens, bool)
+    toxic, best = np.zeros(n_tokens, bool), (-1.0, None)
     for j in range(FEATURES - 1):  # suffixes describe but do not label
         name, at = np.unique(feats[j], return_inverse=True)
         docs = np.unique((at * len(texts) + owner)[keep[owner]])  # one entry for each word and text
@@ -251,8 +261,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = 50, clean_tokens: int
         share = (a + b) / total.sum()
         with np.errstate(divide="ignore", invalid="ignore"):
             g = 2 * (np.where(a > 0, a * np.log(a / (total[1] * share)), 0) + np.where(b > 0, b * np.log(b / (total[0] * share)), 0))
-        strong = (g > SIGNIFICANT) & (a / total[1] > 8 * (b + 0.5) / total[0])
+        more = a / total[1] > b / total[0]
+        limit = least_statistic(int((a + b > 1).sum()), total[1], total[0])
+        strong = (g > limit) & (a / total[1] > 8 * (b + 0.5) / total[0])
         toxic |= strong[at]
+        top = np.where(more, g, -1.0)
+        if len(top) and top.max() > best[0]:
+            best = (float(top.max()), (top == top.max())[at])
+    if not toxic.any() and best[1] is not None:
+        toxic = best[1]
     toxic &= y[owner] == 1
     hot = np.add.reduceat(toxic.astype(np.int64), head) > 0 if len(head) else np.zeros(0, bool)
     rest = np.flatnonzero(~hot & keep[owner[head]] & (y[owner[head]] == 0))
@@ -329,7 +346,8 @@ def tag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Learns from at most ``per_class`` labelled documents of either class and ``most_bytes`` of
     text, of which sentences without toxic words give up to ``clean_tokens`` (see ``fit``), never from those
     held out. Null and empty texts have no words and get the score of a text without a toxic
-    word; with no text of one class to learn from, all scores are 0. Every row is scored on
+    word; with no text of one class to learn from, or no word in those of label 1, all scores are 0. With few
+    labels, fewer toxic documents are found: words count as toxic as far as the sample bears it out. Every row is scored on
     its own, so repeated rows and ids and null ids are allowed. Columns of the new names
     are replaced.
     """

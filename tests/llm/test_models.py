@@ -480,3 +480,20 @@ def test_hot_urls(spark):
     got = url_rules.judge(pages, [("block", "x5.com/")]).collect()
     assert len(got) == 6000 and {r["verdict"] for r in got if r["page_id"] % 3 == 1} == {"block"}
     assert [r["rule"] for r in got if r["page_id"] == 5] == ["x5.com/"] and {r["verdict"] for r in got if r["url"] is None} == {"allow"}
+
+
+@pytest.mark.parametrize("each", [2, 10, 60])
+def test_toxicity_with_few_labels(spark, each):
+    """The chain never says that all is clean as long as labelled documents of both kinds have words."""
+    rng = random.Random(each)
+    plain = [f"w{i}" for i in range(60)]
+    say = lambda bad: " ".join(rng.choice(plain) for _ in range(12)) + (f". You {rng.choice(['idiot', 'moron'])} w{rng.randrange(60)}." if bad else ".")
+    rows = [(i, say(i % 2), i % 2) for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2][: 2 * each]
+    fresh = [(100_000 + i, say(i % 2), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows + fresh], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.tag(docs, labels).collect()}
+    bad, good = [[score[i] for i, _, y in fresh if y == k] for k in (1, 0)]
+    assert max(score.values()) > 0
+    if each >= 10:
+        assert np.mean([b > g for b in bad for g in good]) > 0.9
