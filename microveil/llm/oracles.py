@@ -29,7 +29,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM u GROUP BY conv_id
 """
 
-#: Exact neighbours; the query gives them wherever a table holds no more vectors than are always scored.
+#: Exact neighbours.
 NEIGHBOURS = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -106,7 +106,7 @@ SELECT doc_id::BIGINT AS doc_id, n_features, weight, weight + noise AS score, CA
 ORACLES = {
     "op3_ngram_jaccard_join": JACCARD,
     "op5_chat_formatting": CHAT,
-    "op7_permutation_index": NEIGHBOURS,
+    "exact_neighbours": NEIGHBOURS,
     "op8_spaced_seed_decontamination": CONTAMINATED,
     "op11_conversation_prefix_trie": TRIE,
     "op12_importance_resampling": _importance(),

@@ -5,11 +5,15 @@ inverted files of its nearest pivots; a query probes the files of more of its ow
 file the posted permutations are ranked by footrule distance to the query's (the sum over
 pivots of how far their places differ), and only vectors within the query's footrule limit
 are scored, exactly, by inner product in double precision. The limit is the distance
-within which about ``keep * sqrt(n)`` of all n vectors lie, read off a sample of
-permutations, so it is the same in all files of a query.
+within which a share of all vectors lie, read off a sample of permutations, so it is the
+same in all files of a query.
 
-What a query costs grows more slowly than the table: pivots are about sqrt(n), files about
-as long, probed files about n ** 0.25, scored vectors about sqrt(n).
+How many files are probed and how large that share is, is measured: for a bounded sample of
+queries the true neighbours are found by scoring all vectors, and both are set such that
+``recall`` of those neighbours lie in probed files and within the limits. So recall does not
+fall as the table grows; what a query costs depends on how much the order of pivots
+says about nearness, little where vectors cluster, much where they have no structure. ``exact``
+scores every vector instead, in blocks.
 
 Equal vectors are indexed once, with their smallest ids: no more than k of them, and the
 query itself, can be among the k nearest. A file with many vectors or many queries is
@@ -52,6 +56,54 @@ def rows_of(column) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
+def _best_of(batches, asked, k: int):
+    """Of each batch's vectors the k + 1 best of every asked one, with what the index says of them."""
+    q = asked.value
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = rows_of(b.column(0)).astype(np.float64)
+        for i, s in enumerate(q @ x.T):
+            top = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
+            some = [b.column(c).take(pa.array(top)) for c in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), i, np.int32)), pa.array(s[top]), *some], names=["q", "s", "ids", "near", "places"])
+
+
+def tuned(posted: DataFrame, asked: DataFrame, given, files: int, ranked: int, k: int, recall: float, trial: int) -> tuple[int, float]:
+    """How many files to probe, and the share of all vectors within a query's limit, such that ``recall`` of true neighbours are found.
+
+    The true neighbours of up to ``trial`` queries (the first by a hash) come from scoring all vectors; k + 1 a query reach the driver. Either bound
+    alone lets through the root of ``recall``.
+    """
+    spark = posted.sparkSession
+    sample = asked.select("v", F.col("ids")[0].alias("id")).orderBy(F.xxhash64("id"), "id").limit(trial).collect()
+    if not sample:
+        return 1, 1.0
+    own = np.array([r["v"] for r in sample], np.float64)
+    sent = spark.sparkContext.broadcast(own)
+    best = posted.mapInArrow(partial(_best_of, asked=sent, k=k), "q int, s double, ids array<long>, near array<int>, places binary")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), F.col("ids")[0]))
+    found = best.withColumn("r", rank).where(F.col("r") <= k + 1).collect()
+    p, seen = given.value
+    order = np.argsort(-(own @ p[:files].T), axis=1, kind="stable")
+    at = np.empty_like(order)
+    np.put_along_axis(at, order, np.broadcast_to(np.arange(files), order.shape), 1)
+    mine, columns = places(own, p[:ranked]), np.ascontiguousarray(seen.T)
+    apart = [np.sort(footrule(columns, m)) for m in mine]
+    probes, shares = [], []
+    for r in found:
+        i = r["q"]
+        if sample[i]["id"] in r["ids"] and len(r["ids"]) == 1:
+            continue  # the query itself
+        probes.append(int(at[i][r["near"]].min()) + 1)
+        far = footrule(np.frombuffer(r["places"], np.uint8)[:, None], mine[i])[0]
+        shares.append(np.searchsorted(apart[i], far, side="right") / len(seen))
+    if not probes:
+        return files, 1.0
+    level = math.sqrt(recall)
+    return int(np.quantile(probes, level, method="higher")), float(min(1.0, np.quantile(shares, level, method="higher") + 1 / len(seen)))
+
+
 def _ordered(batches, given, files: int, ranked: int, width: int, sample: float | None):
     """Adds the nearest file pivots, the permutation of the ranking pivots, and for queries the footrule limit."""
     p, seen = given.value
@@ -128,7 +180,22 @@ def _merged(t: pa.Table, k: int):
     yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(rank[top].astype(np.int32)), pa.array(found[top]), pa.array(s[top])], names=["query_id", "rank", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, post: int = 6, keep: float = 12.0, floor: int = 512, ranked: int = 128, most_pivots: int = 16384, sample: int = 32768) -> DataFrame:
+def search(
+    vectors: DataFrame,
+    queries,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    k: int = 20,
+    post: int = 6,
+    recall: float = 0.93,
+    floor: int = 64,
+    ranked: int = 128,
+    most_pivots: int = 16384,
+    sample: int = 32768,
+    trial: int = 128,
+    sample_bytes: int = 64 << 20,
+    exact: bool = False,
+) -> DataFrame:
     """The k nearest found for each row that the condition ``queries`` on the id picks: query_id, rank, vec_id, score.
 
     Nearest is the largest inner product; ties go to the smaller id. Vectors that are null,
@@ -137,7 +204,9 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     vector counts. Every vector is posted in ``post`` files. What is fitted is a sample by hash of
     distinct vectors: sqrt(n) pivots (``most_pivots`` at most), of which the first ``ranked`` (256 at
     most) make the permutations, and 2 * sqrt(n) permutations (2,048 to ``sample``) for the
-    footrule limits. ``floor`` is the least number of vectors within a limit.
+    footrule limits, all within ``sample_bytes``; and ``trial`` queries, by which the index is set to find ``recall`` of
+    the neighbours (see ``tuned``). ``floor`` is the least number of vectors within a limit; k + 1 files are probed
+    at least. With ``exact`` nothing is fitted and all vectors are scored.
     """
     spark = vectors.sparkSession
     element = next((f.dataType.elementType.simpleString() for f in vectors.schema if f.name == vector_col and f.dataType.typeName() == "array"), "double")
@@ -152,23 +221,34 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     # the k + 1 smallest ids of equal vectors; tasks drop the others before the shuffle
     some = v.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("r") <= k + 1)
     index = cut(some.groupBy("h1", "h2", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", "ids", "h1"))
+    asking = v.where(queries(F.col("id"))).select("v", F.array("id").alias("ids"))
     n = index.count()
-    files = min(most_pivots, max(1, math.isqrt(n)))
-    ranked = min(ranked, 256, n)
-    seen = min(n, sample, max(2048, 2 * math.isqrt(n)))
-    p = np.array([r["v"] for r in index.select("h1", "ids", "v").orderBy("h1", "ids").limit(max(files, ranked, seen)).collect()])
-    unit = p[: max(files, ranked)]
-    unit = unit / np.linalg.norm(unit, axis=1)[:, None]
-    given = spark.sparkContext.broadcast((unit, places(p[:seen], unit[:ranked])))
-    post, probe = min(post, files), min(files, max(k + 1, math.ceil(1.6 * n**0.25)))
-    share = min(1.0, max(floor, keep * math.sqrt(n)) / n)
     fields = f"v array<{kind}>, ids array<long>, near array<int>, places binary, bound int"
-    posted = index.select("v", "ids").mapInArrow(partial(_ordered, given=given, files=files, ranked=ranked, width=post, sample=None), fields)
-    posted = posted.select("v", "ids", "places", "bound", F.explode("near").alias("p"))
-    asked = v.where(queries(F.col("id"))).select("v", F.array("id").alias("ids")).mapInArrow(partial(_ordered, given=given, files=files, ranked=ranked, width=probe, sample=share), fields)
-    asked = asked.select("v", "ids", "places", "bound", F.explode("near").alias("p"))
+    if exact:
+        parts = max(1, -(-n // CHUNK))
+        none = [F.lit(b"\0").alias("places"), F.lit(1 << 30).alias("bound")]
+        posted = index.select("v", "ids", *none, F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("p"))
+        asked = asking.select("v", "ids", *none, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
+    else:
+        held = max(256, sample_bytes // (8 * size["n"]))  # vectors that come to the driver
+        files = min(most_pivots, held, max(1, math.isqrt(n)))
+        ranked = min(ranked, 256, n)
+        seen = min(n, sample, held, max(2048, 2 * math.isqrt(n)))
+        first = index.select("h1", "ids", "v").orderBy("h1", "ids").limit(max(files, ranked, seen)).select("v").toArrow()
+        p = rows_of(first["v"]).astype(np.float64)
+        unit = p[: max(files, ranked)]
+        unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+        given = spark.sparkContext.broadcast((unit, places(p[:seen], unit[:ranked])))
+        post = min(post, files)
+        ordered = lambda rows, width, share: rows.mapInArrow(partial(_ordered, given=given, files=files, ranked=ranked, width=width, sample=share), fields)
+        posted = cut(ordered(index.select("v", "ids"), post, None))
+        probe, share = tuned(posted.select("v", "ids", "near", "places"), asking, given, files, ranked, k, recall, trial)
+        probe, share = min(files, max(k + 1, probe)), min(1.0, max(floor / n, share))
+        posted = posted.select("v", "ids", "places", "bound", F.explode("near").alias("p"))
+        asked = ordered(asking, probe, share).select("v", "ids", "places", "bound", F.explode("near").alias("p"))
     blocks = lambda rows, most, name: rows.groupBy("p").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    sizes = F.broadcast(cut(blocks(posted, CHUNK, "g").join(blocks(asked, ASKS, "a"), "p")))  # a row for each pivot, most_pivots at most
+    sizes = cut(blocks(posted, CHUNK, "g").join(blocks(asked, ASKS, "a"), "p"))
+    sizes = sizes if exact else F.broadcast(sizes)  # a row for each pivot, most_pivots at most
     own, every = lambda g: F.pmod(F.xxhash64("ids"), g).cast("int"), lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
     dealt = posted.join(sizes, "p").withColumn("c", own("g")).withColumn("o", every("a")).withColumn("asks", F.lit(False))
     dealt = dealt.unionByName(asked.join(sizes, "p").withColumn("c", every("g")).withColumn("o", own("a")).withColumn("asks", F.lit(True))).drop("g", "a")

@@ -56,6 +56,11 @@ def op7_permutation_index(spark, sf_dir):
     return permutation_index.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def exact_neighbours(spark, sf_dir):
+    """The same by scoring all vectors."""
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, exact=True)
+
+
 def op8_spaced_seed_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     out = decontaminate.contaminated(docs, items)
@@ -110,6 +115,7 @@ QUERIES = {
         op11_conversation_prefix_trie,
         op12_importance_resampling,
         op13_online_packing,
+        exact_neighbours,
         url_stated_rules,
     )
 }

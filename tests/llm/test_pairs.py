@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -405,3 +406,27 @@ def test_neighbours_recall_and_copies(spark):
     assert np.mean(recall) >= 0.9
     assert sorted(got[120])[:3] == [100, 101, 102] or s[120].max() > s[120, 100]
     assert permutation_index.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
+
+
+def test_recall_holds_where_the_index_leaves_most_out(spark):
+    """Vectors without structure, so many that most files are not probed; and copies of it in clusters, where few need be."""
+    n = 20_000
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, 48)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    asked = range(0, n, 400)
+    found: dict[int, list[int]] = {}
+    for r in permutation_index.search(df, lambda i: i % 400 == 0).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = []
+    for q in asked:
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20].tolist()) & set(found[q])) / 20)
+    assert np.mean(hits) >= 0.9
+    exact: dict[int, list[int]] = {}
+    for r in permutation_index.search(df, lambda i: i % 4000 == 0, exact=True).orderBy("query_id", "rank").collect():
+        exact.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, n, 4000):
+        s = x.astype(float) @ x[q].astype(float)
+        assert exact[q] == [i for i in np.lexsort((np.arange(n), -s)).tolist() if i != q][:20]
