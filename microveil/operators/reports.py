@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from microveil.functions.bins import BLOCK_SIZE_RIGHT, ordinal, right_closed, significant, thousands
-from microveil.operators.tabulate import counted, total
+from microveil.operators.tabulate import counted, ranked, total
 
 #: Order of report rows by block population.
 SIZE_ORDER = ("All", *[label for _, _, label in BLOCK_SIZE_RIGHT])
@@ -43,15 +43,12 @@ def with_totals(df: DataFrame, label: str, sums: Sequence[str]) -> DataFrame:
 
 
 def pseudonyms(paths: DataFrame, column: str) -> DataFrame:
-    """A code P0000001, ... for every distinct part of slash-separated paths, in order of first bytes.
+    """A code P0000001, ... for every distinct part of slash-separated paths, in order of their bytes.
 
-    Numbers come from counts per leading character and ranks inside each, so no task ranks all parts.
+    Numbers come from ranks inside sampled ranges of the parts and the counts of the ranges before, so no task ranks all parts.
     """
-    parts = paths.select(F.explode(F.split(column, "/")).alias("part")).where("part <> ''").distinct().withColumn("_h", F.hex(F.substring("part", 1, 1)))
-    sizes = parts.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_h").orderBy("part"))
-    return parts.join(F.broadcast(offsets), "_h").select("part", F.format_string("P%07d", (F.col("_before") + rank).cast("long")).alias("code"))
+    parts = paths.select(F.explode(F.split(column, "/")).alias("part")).where("part <> ''").distinct()
+    return ranked(parts, [], ["part"], "_n").select("part", F.format_string("P%07d", F.col("_n").cast("long")).alias("code"))
 
 
 def silent_changes(old: DataFrame, new: DataFrame, key: str, digest: str, stamps: Sequence[str]) -> DataFrame:
@@ -81,13 +78,14 @@ def shown_percent(part: Column, whole: Column) -> Column:
     return F.round(significant(F.try_divide(part.cast("double") * 100, whole)), 1)
 
 
-def by_block_size(blocks: DataFrame, size: Column, base: str, counts: Sequence[str]) -> DataFrame:
+def by_block_size(blocks: DataFrame, size: Column, base: str, counts: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows by population class of the block, in their order, and one for all: sums, percentages of ``base``, and the base in thousands as text.
 
-    ``blocks`` has one row a block, with ``size`` its population; blocks outside all classes count in the row for all only.
+    ``blocks`` has one row a block (and each of ``by``, such as the release or the kind of people), with ``size`` its
+    population; blocks outside all classes count in the row for all only.
     """
-    x = blocks.withColumn("block_pop", right_closed(size)).select(F.explode(F.array_compact(F.array(F.lit("All"), F.col("block_pop")))).alias("block_pop"), base, *counts)
-    out = x.groupBy("block_pop").agg(F.count(F.lit(1)).cast("long").alias("blocks"), *[total(c).alias(c) for c in (base, *counts)])
+    x = blocks.withColumn("block_pop", right_closed(size)).select(*by, F.explode(F.array_compact(F.array(F.lit("All"), F.col("block_pop")))).alias("block_pop"), base, *counts)
+    out = x.groupBy(*by, "block_pop").agg(F.count(F.lit(1)).cast("long").alias("blocks"), *[total(c).alias(c) for c in (base, *counts)])
     out = out.withColumns({f"{c}_pct": shown_percent(F.col(c), F.col(base)) for c in counts})
     return out.withColumns({"thousands": thousands(F.round(F.col(base) / 1000)), "place": ordinal(F.col("block_pop"), SIZE_ORDER).cast("long")})
 

@@ -1095,4 +1095,4 @@ def table_cells(spark, d):
     return longs(x, "age_from")
 
 
-from microveil.plans import accuracy, lp_queries, source_queries, swap_queries  # noqa: E402, F401  their queries use what is above
+from microveil.plans import accuracy, lp_queries, report_queries, source_queries, swap_queries  # noqa: E402, F401  their queries use what is above
