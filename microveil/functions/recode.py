@@ -99,9 +99,10 @@ def geo_parts(df: DataFrame, block: str) -> DataFrame:
     return df.withColumns({"geoid": b, "state": part(1, 2), "county": part(1, 5), "tract": part(1, 11), "tract6": part(6, 6), "blockgroup": part(1, 12), "block4": part(12, 4), "blockid": F.concat(part(6, 6), part(12, 4))})
 
 
-def cleaned_int(raw: Column) -> Column:
+def cleaned_int(raw: Column | str) -> Column:
     """An integer of text with blanks, quotes or the word null around it; else null."""
-    return F.expr("try_cast(nullif(nullif(trim(regexp_replace({}, '[\"“”]', '')), ''), 'null') as bigint)".format(f"`{raw}`" if isinstance(raw, str) else "x"))
+    bare = F.trim(F.regexp_replace(F.col(raw) if isinstance(raw, str) else raw, '[\"“”]', ""))
+    return F.nullif(F.nullif(bare, F.lit("")), F.lit("null")).try_cast("bigint")
 
 
 def validated(df: DataFrame, rules: dict[str, list[str]]) -> DataFrame:

@@ -592,33 +592,44 @@ def shuffle_merge(spark, d):
     return swap.shuffled(_households(spark, d), "size", ["area"], ["hid"], "draw", "moved").select("hid", "area", "moved")
 
 
-PAIRS = f"{HOUSE}, s AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY draw, hid) AS rn, lead(hid) OVER (PARTITION BY size ORDER BY draw, hid) AS nx FROM hh), pr AS (SELECT size, hid AS a, nx AS b FROM s WHERE rn % 2 = 1 AND nx IS NOT NULL)"
+PAIRS = f"{HOUSE}, s AS (SELECT *, area % 5 AS state, row_number() OVER w AS rn, lead(hid) OVER w AS nx FROM hh WINDOW w AS (PARTITION BY area % 5, size ORDER BY draw, hid)), pr AS (SELECT state, size, hid AS a, nx AS b FROM s WHERE rn % 2 = 1 AND nx IS NOT NULL)"
+
+
+def _pairs(h):
+    """Neighbours of one size in a state change places; a size alone would be a few keys for the nation."""
+    return swap.adjacent_pairs(h.withColumn("state", F.col("area") % 5), ["state", "size"], ["draw", "hid"], "hid")
 
 
 @query(f"WITH {PAIRS} SELECT * FROM pr")
 def pair_adjacent(spark, d):
-    return swap.adjacent_pairs(_households(spark, d), ["size"], ["draw", "hid"], "hid")
+    return _pairs(_households(spark, d))
 
 
 @query(f"WITH {PAIRS}, e AS (SELECT a AS hid, b AS other FROM pr UNION ALL SELECT b, a FROM pr) SELECT hh.hid, coalesce(o.area, hh.area) AS area, hh.size, hh.draw, (e.other IS NOT NULL)::BIGINT AS swapped FROM hh LEFT JOIN e USING (hid) LEFT JOIN hh o ON o.hid = e.other")
 def swap_exchange(spark, d):
     h = _households(spark, d)
-    return longs(swap.exchange(h, swap.adjacent_pairs(h, ["size"], ["draw", "hid"], "hid"), "hid", ["area"]), "swapped")
+    return longs(swap.exchange(h, _pairs(h), "hid", ["area"]), "swapped")
 
 
 @query(f"WITH {PAIRS}, e AS (SELECT a AS hid, b AS other FROM pr UNION ALL SELECT b, a FROM pr), sw AS (SELECT hh.hid, coalesce(o.area, hh.area) AS area FROM hh LEFT JOIN e USING (hid) LEFT JOIN hh o ON o.hid = e.other) SELECT o_orderkey, sw.hid, sw.area FROM orders JOIN sw ON o_custkey = hid")
 def swap_follow(spark, d):
     h = _households(spark, d)
-    moved = swap.exchange(h, swap.adjacent_pairs(h, ["size"], ["draw", "hid"], "hid"), "hid", ["area"])
+    moved = swap.exchange(h, _pairs(h), "hid", ["area"])
     p = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("hid"), F.lit(None).cast("long").alias("area"))
     return swap.follow(p, moved, "hid", ["area"])
 
 
-@query()
+@query(f"""WITH {HOUSE}, r0 AS (SELECT *, area % 5 AS state, (hid * 104729 % 1000003) < 500000 AS sel, row_number() OVER w AS i, lag(hid) OVER w AS before, lead(hid) OVER w AS after FROM hh WINDOW w AS (PARTITION BY area % 5, size ORDER BY draw, hid)),
+r1 AS (SELECT *, i - row_number() OVER (PARTITION BY state, size, sel ORDER BY i) AS run FROM r0), r2 AS (SELECT *, row_number() OVER (PARTITION BY state, size, run ORDER BY i) AS p, count(*) OVER (PARTITION BY state, size, run) AS n, min(i) OVER (PARTITION BY state, size, run) AS lo, max(i) OVER (PARTITION BY state, size, run) AS hi, lead(hid) OVER (PARTITION BY state, size, run ORDER BY i) AS b FROM r1 WHERE sel),
+e AS (SELECT *, max(CASE WHEN p = n THEN after END) OVER (PARTITION BY state, size, run) AS free_after, max(CASE WHEN p = 1 THEN before END) OVER (PARTITION BY state, size, run) AS free_before FROM r2),
+f AS (SELECT e.*, EXISTS (SELECT 1 FROM e o WHERE o.state = e.state AND o.size = e.size AND o.hi = e.lo - 2 AND o.n % 2 = 1) AS taken FROM e),
+g AS (SELECT *, n % 2 = 1 AND free_after IS NULL AND free_before IS NOT NULL AND NOT taken AS lefts FROM f)
+SELECT state, size, CASE WHEN lefts AND p = 1 THEN free_before ELSE hid END AS a, CASE WHEN lefts AND p = 1 THEN hid WHEN p < n THEN b ELSE free_after END AS b
+FROM g WHERE (CASE WHEN lefts THEN p = 1 OR p % 2 = 0 ELSE p % 2 = 1 END) AND (CASE WHEN lefts AND p = 1 THEN hid WHEN p < n THEN b ELSE free_after END) IS NOT NULL""")
 def swap_runs(spark, d):
-    """Pairs inside runs of selected neighbours, by the hash-selected half of the households."""
-    h = swap.selected(_households(spark, d), 0.5, ["hid"])
-    return swap.runs_paired(h, ["size"], ["draw", "hid"], "selected", "hid", before=True)
+    """Pairs inside runs of chosen neighbours of one size in a state, by a chosen half of the households."""
+    h = _households(spark, d).withColumns({"selected": (F.col("hid") * 104729 % 1000003) < 500000, "state": F.col("area") % 5})
+    return swap.runs_paired(h, ["state", "size"], ["draw", "hid"], "selected", "hid", before=True)
 
 
 def _pseudo_sql(low: float, high: float) -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from microveil.operators import models
-from microveil.plans.registry import query
-from microveil.plans.views import table
+from microveil.functions import recode
+from microveil.operators import models, tabulate
+from microveil.plans.registry import query, with_people
+from microveil.plans.views import people, table
 from microveil.sources import readers, writers, zip_source
 
 # sinks that survive a run that is repeated
@@ -90,7 +91,7 @@ def folders_by_county(spark, d):
 @query("SELECT r_name AS region, n_name AS line, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
 def text_in_order(spark, d):
     """Ordered lines in a folder of text for each region, numbered as they are read."""
-    from microveil.operators import lp, tabulate
+    from microveil.operators import lp
 
     folder = writers.shared_folder(spark, "text")
     x = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -115,3 +116,68 @@ def start_age_names(spark, d):
     k = F.col("o_orderkey")
     names = table(spark, d, "orders").where(k % 100 < 30).select(F.concat(F.lit("C_"), F.lpad(k.cast("string"), 15, "0"), F.lit("_x_"), (k % 100).cast("string"), F.lit("_0")).alias("line"))
     return names.select(models.start_age_binned().alias("line"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE -o_orderkey END::BIGINT AS value FROM orders")
+def cleaned_integers(spark, d):
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    raw = F.when(k % 5 == 0, F.concat(F.lit(' "'), text, F.lit('" '))).when(k % 5 == 1, F.concat(F.lit("“"), text, F.lit("”"))).when(k % 5 == 2, F.lit(" null")).when(k % 5 == 3, F.concat(text, F.lit("x"))).otherwise(F.concat(F.lit("-"), text))
+    return table(spark, d, "orders").select("o_orderkey", recode.cleaned_int(raw).alias("value"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END::BIGINT AS sex FROM customer")
+def sex_codes(spark, d):
+    raw = F.element_at(F.array(F.lit(" m"), F.lit("F "), F.lit("X"), F.lit(None)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", recode.sex_code(raw).cast("long").alias("sex"))
+
+
+@query("SELECT c_custkey, lpad((c_custkey % 7)::VARCHAR, 2, '0') AS state, lpad((c_custkey * 31)::VARCHAR, 15, '0') AS geoid FROM customer")
+def padded_codes(spark, d):
+    """Codes that were read as numbers get their zeros back."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", writers.padded_number(k % 7, 2).alias("state"), writers.padded_number(k * 31, 15).alias("geoid"))
+
+
+@query("SELECT r_name AS file, count(*)::BIGINT AS lines, sum(length(n_name) + 1)::BIGINT AS bytes FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def file_inventory(spark, d):
+    """Sizes and numbers of lines of the text files of a folder."""
+    folder = writers.shared_folder(spark, "inventory")
+    x = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    writers.text_lines(x.select(F.col("r_name").alias("region"), F.col("n_name").alias("line")), folder, ["region"], ["line"])
+    files = writers.inventory(spark, folder).where("file LIKE 'part-%.txt'")
+    region = F.replace(F.regexp_extract("path", "region=([^/]*)/", 1), F.lit("%20"), F.lit(" "))
+    return files.groupBy(region.alias("file")).agg(F.sum("lines").cast("long").alias("lines"), F.sum("bytes").cast("long").alias("bytes"))
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_brand FROM part")
+def sniffed_separator(spark, d):
+    folder = writers.shared_folder(spark, "sniffed")
+    table(spark, d, "part").select("p_partkey", "p_brand").write.option("header", True).option("sep", "|").csv(folder)
+    return readers.sniffed(spark, folder)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_nationkey % 3 <> 1 AND n_nationkey > 1 AS complete FROM nation")
+def lp_text_complete(spark, d):
+    """Texts of as many lines as their number says, every third of which has lost its end."""
+    k = F.col("n_nationkey").cast("long")
+    lines = table(spark, d, "nation").select(k.alias("n_nationkey"), F.explode(F.sequence(F.lit(0).cast("long"), k)).alias("at"))
+    text = F.when((F.col("at") == F.col("n_nationkey")) & (F.col("n_nationkey") % 3 != 1), "End ").otherwise("C_1")
+    return readers.lp_complete(lines.withColumn("line", text), ["n_nationkey"], "at", least=3)
+
+
+FLAGS7 = ["white", "black", "asian", "hisp", "aian", "nhopi", "sor"]
+FLAG_SQL = {"white": "white", "black": "black", "asian": "asian", "hisp": "hisp", "aian": "CAST(pid % 7 = 0 AS BIGINT)", "nhopi": "CAST(pid % 11 = 0 AS BIGINT)", "sor": "CAST(pid % 13 = 0 AS BIGINT)"}
+
+
+def _pivot_sql() -> str:
+    code = " || ".join(f"({FLAG_SQL[f]})::VARCHAR" for f in FLAGS7)
+    cells = ", ".join(f"nullif(count(*) FILTER (code = '{i:07b}'), 0)::BIGINT AS freq{i:07b}" for i in range(128))
+    return f", c AS (SELECT block, {code} AS code FROM pp) SELECT block, {cells} FROM c GROUP BY block"
+
+
+@query(with_people(_pivot_sql()))
+def freq_pivot_full(spark, d):
+    """All 128 combinations of seven flags by block."""
+    p = people(spark, d).withColumns({f: F.expr(FLAG_SQL[f]) for f in FLAGS7})
+    return tabulate.frequency_pivot(p, "block", FLAGS7)
