@@ -23,7 +23,9 @@ How it stays linear-ish and whole:
    are connected already and need not meet. So a large group of near copies costs one
    comparison each, not all its pairs.
 5. Documents of different labels meet at their pivots carrying their prefixes, so a
-   pair's matches are counted in one place and no row per pair and shingle is made. A
+   pair's matches are counted in one place and no row per pair and shingle is made. Candidates
+   come from a document's rarest shingles there, all but as many as a partner may miss; the
+   common ones, as those of a template, are only looked up for candidates. A
    pivot with much weight is dealt out in blocks: those with its own label meet only the
    others, the others each other as well.
 6. Pairs that pass the match count, the length filter and the bound that
@@ -193,7 +195,7 @@ def _surviving(percent: int):
 
     def work(t: pa.Table):
         p, a, b, c = (t[x].to_numpy() for x in ("p", "a", "b", "c"))
-        n, l, size, last, ids, label = (t[x].to_numpy() for x in ("n", "l", "size", "last", "id", "label"))
+        n, l, few, size, last, ids, label = (t[x].to_numpy() for x in ("n", "l", "few", "size", "last", "id", "label"))
         group = np.concatenate(([0], np.cumsum((p[1:] != p[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         order = np.lexsort((ids, n, label, group))
         tokens, at_pivot, names = (t[x].combine_chunks() for x in ("tokens", "at", "pivots"))
@@ -217,20 +219,31 @@ def _surviving(percent: int):
         place = np.empty(len(run), np.int64)
         place[run] = np.arange(len(run))
         starts = off - off[0]
-        n_o, l_o, size_o, last_o, c_o, ids_o = n[order], l[order], size[order], last[order], c[order], ids[order]
+        n_o, l_o, few_o, size_o, last_o, c_o, ids_o = n[order], l[order], few[order], size[order], last[order], c[order], ids[order]
         cross = (a != b)[order]
         partners: dict[int, np.ndarray] = {}
         named = np.zeros(len(ids), bool)
         for i, orig in enumerate(order):
             at = place[starts[orig] : starts[orig + 1]]
             long = mine[at] - begin[at]
-            total = int(long.sum())
+            # a partner shares few_o[i] of these shingles, so one at least of all but the few_o[i] - 1 that most others have
+            turn = np.argsort(long, kind="stable")
+            at, long = at[turn], long[turn]
+            rare = max(1, len(at) - int(few_o[i]) + 1)
+            total = int(long[:rare].sum())
             if not total:
                 continue
-            spot = np.repeat(begin[at] - np.cumsum(long) + long, long) + np.arange(total)
+            spot = np.repeat(begin[at[:rare]] - np.cumsum(long[:rare]) + long[:rare], long[:rare]) + np.arange(total)
             js, which, hits = np.unique(rows[spot], return_inverse=True, return_counts=True)
             low = np.full(len(js), np.iinfo(np.int64).max)
-            np.minimum.at(low, which, np.repeat(to_run[at], long))
+            np.minimum.at(low, which, np.repeat(to_run[at[:rare]], long[:rare]))
+            for x, size_x in zip(at[rare:], long[rare:], strict=True):  # of the common ones, only who is a candidate
+                if size_x:
+                    others = rows[begin[x] : begin[x] + size_x]
+                    where_x = np.searchsorted(others, js)
+                    have = others[np.minimum(where_x, size_x - 1)] == js
+                    hits += have
+                    low = np.where(have, np.minimum(low, to_run[x]), low)
             small, large = np.minimum(n_o[js], n_o[i]), np.maximum(n_o[js], n_o[i])
             left = np.where(last_o[js] <= last_o[i], n_o[js] - size_o[js], n_o[i] - size_o[i])
             ok = (100 * small >= percent * large) & (hits >= np.minimum(l_o[js], l_o[i])) & ((100 + percent) * (hits + left) >= percent * (small + large))
@@ -361,7 +374,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     theirs = F.when(F.col("g") == 1, F.array(F.lit(0))).when(own, F.expr("sequence(0, go - 1)")).otherwise(F.expr(f"concat(sequence(0, go - 1), transform(if(gm > 0, sequence(0, gm - 1), array()), i -> {MAIN} + i))"))
     met = met.withColumn("c", chunk).withColumn("o", F.explode(theirs))
     # a block holds the documents of chunks a <= b; where they differ, only pairs across them count
-    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "label", "n", "l", "size", "last", "tokens", "at", "pivots")
+    met = met.select("p", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "id", "label", "n", "l", "few", "size", "last", "tokens", "at", "pivots")
     pairs = met.repartition("p", "a", "b").sortWithinPartitions("p", "a", "b").mapInArrow(lambda bs: scan_groups(bs, ["p", "a", "b"], _surviving(percent)), "p long, a int, b int, id long, label long, partners array<long>")
     pairs = cut(pairs)
     checked = texts(pairs.join(reps.select("id", "s1"), "id")).repartition("p", "a", "b").sortWithinPartitions("p", "a", "b")
