@@ -25,12 +25,27 @@ def fixed_width(text: DataFrame, layout: Sequence[tuple[str, int, int, str]], li
     return text.select(*[cell(s, n).try_cast(t).alias(name) for name, s, n, t in layout])
 
 
+#: Encodings in which a line ends with the byte of a line feed and nothing else has it.
+BY_LINE = ("ISO-8859-1", "ISO-8859-15", "LATIN1", "LATIN-1", "US-ASCII", "ASCII", "WINDOWS-1252", "CP1252", "WINDOWS-1250", "IBM437", "CP437")
+
+
+def encoded_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines (``value``) of text in an encoding, without empty ones.
+
+    Files of single-byte encodings are split like any text. Others, such as UTF-16, come
+    whole, as one row of bytes of 2 GB at most.
+    """
+    if encoding.upper() in BY_LINE:
+        options = {"encoding": encoding, "sep": "\u0001", "quote": "", "escape": "\u0002", "maxCharsPerColumn": -1, "nullValue": "", "mode": "PERMISSIVE"}
+        return spark.read.options(**options).schema("value string").csv(path).where("value IS NOT NULL AND value <> ''")
+    return spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", encoding), r"\r?\n")).alias("value")).where("value <> ''")
+
+
 def read_fixed_width(spark: SparkSession, path: str, layout: Sequence[tuple[str, int, int, str]], encoding: str = "UTF-8") -> DataFrame:
     """As above, from files; lines of other encodings than UTF-8 are decoded from bytes."""
     if encoding.upper() == "UTF-8":
         return fixed_width(spark.read.text(path), layout)
-    lines = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", encoding), r"\r?\n")).alias("value")).where("value <> ''")
-    return fixed_width(lines, layout)
+    return fixed_width(encoded_lines(spark, path, encoding), layout)
 
 
 def segments_joined(first: DataFrame, rest: Sequence[DataFrame], keys: Sequence[str], missing: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from microveil.operators import metrics, swap, tabulate
-from microveil.sources import writers, zip_source
+from microveil.sources import readers, writers, zip_source
 
 SPOTS = [metrics.Geography("Place", 4), metrics.Geography("Area", 3, base=36, sizes=lambda h: F.when(h >= 2, "big").otherwise("small")), metrics.Geography("Block", 2, complete=False)]
 
@@ -135,3 +135,22 @@ def test_zip_members_are_tasks(spark, tmp_path):
     assert zip_source.lines(spark, path).where("member = 'none'").count() == 0
     with pytest.raises(Exception, match="nowhere"):
         zip_source.lines(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_lines_of_other_encodings(spark, tmp_path):
+    text = "\n".join([f"  {i:04d}é\"ñ,{'x' * (i % 50)}" for i in range(3000)] + ["", "last"])
+    for name, encoding in (("l1", "ISO-8859-1"), ("u16", "UTF-16LE")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.txt").write_bytes(text.encode(encoding))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        latin = readers.encoded_lines(spark, str(tmp_path / "l1"), "ISO-8859-1")
+        assert latin.rdd.getNumPartitions() > 3  # splits of one file
+        want = sorted(x for x in text.split("\n") if x)
+        assert sorted(r[0] for r in latin.collect()) == want
+        assert sorted(r[0] for r in readers.encoded_lines(spark, str(tmp_path / "u16"), "UTF-16LE").collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = readers.read_fixed_width(spark, str(tmp_path / "l1"), [("n", 3, 4, "int"), ("c", 7, 1, "string")], "ISO-8859-1").where("n = 17").collect()
+    assert [tuple(r) for r in got] == [(17, "é")]
