@@ -89,14 +89,51 @@ def link_confirm(spark, d):
     return longs(linkage.confirm(attached, b.where("keep = 1"), ["block"], ("white", "black", "asian", "hisp"), "pid", "pid"), "flag")
 
 
-@query()
+SOFT = ("sex", "white", "black", "asian", "hisp")
+FUZZY_ORDER = ["sex", "age", "white", "black", "asian", "hisp", "pid"]
+F1 = _paired("l", "g", "sex|age|white|black|asian|hisp", "pid", "pid DESC")
+
+
+def _greedy_sql(stage: str, lefts: str, rights: str, fits: str) -> str:
+    """The greedy rule by recursion over the left rows of each block, last first: each takes the first right row that fits and is free."""
+    row = "{'pid': pid, 'age': age, " + ", ".join(f"'{c}': {c}" for c in SOFT) + "}"
+    down = ", ".join(f"{c} DESC" for c in FUZZY_ORDER)
+    return f"""{stage}_l AS (SELECT block, row_number() OVER (PARTITION BY block ORDER BY {down}) AS i, {row} AS x FROM {lefts}),
+{stage}_r AS (SELECT block, list({row} ORDER BY {", ".join(FUZZY_ORDER)}) AS ys FROM {rights} GROUP BY block),
+{stage}_s AS (SELECT block, 0 AS i, []::BIGINT[] AS a, []::BIGINT[] AS b FROM {stage}_r
+  UNION ALL SELECT block, i, CASE WHEN hit IS NULL THEN a ELSE list_append(a, x.pid) END, CASE WHEN hit IS NULL THEN b ELSE list_append(b, hit) END FROM (
+    SELECT s.block, s.i + 1 AS i, s.a, s.b, x, list_filter(ys, lambda y: NOT list_contains(s.b, y.pid) AND abs(y.age - x.age) <= 1 AND {fits})[1].pid AS hit
+    FROM {stage}_s s JOIN {stage}_l l1 ON l1.block = s.block AND l1.i = s.i + 1 JOIN {stage}_r r1 ON r1.block = s.block)),
+{stage} AS (SELECT block, unnest(a) AS left_id, unnest(b) AS right_id FROM (SELECT block, arg_max(a, i) AS a, arg_max(b, i) AS b FROM {stage}_s GROUP BY block))"""
+
+
+EQUAL = " AND ".join(f"y.{c} = x.{c}" for c in SOFT)
+DIFFER = " + ".join(f"(y.{c} <> x.{c})::INT" for c in SOFT)
+F2 = _greedy_sql("f2", "(SELECT * FROM l WHERE pid NOT IN (SELECT left_id FROM f1))", "(SELECT * FROM g WHERE pid NOT IN (SELECT right_id FROM f1))", EQUAL)
+F3 = _greedy_sql("f3", "(SELECT * FROM l WHERE pid NOT IN (SELECT left_id FROM f1 UNION ALL SELECT left_id FROM f2))", "(SELECT * FROM g WHERE pid NOT IN (SELECT right_id FROM f1 UNION ALL SELECT right_id FROM f2))", f"{DIFFER} <= 1")
+
+
+@query(with_people(f""", f1 AS {F1}, {F2}, {F3}, m AS (SELECT block, 1 AS flag FROM f1 UNION ALL SELECT block, 2 FROM f2 UNION ALL SELECT block, 4 FROM f3)
+SELECT block, nullif(nl, 0)::BIGINT AS n_left, nullif(ng, 0)::BIGINT AS n_right, CASE WHEN nl > 0 AND ng > 0 THEN coalesce(exact, 0) END::BIGINT AS exact,
+  CASE WHEN nl > 0 AND ng > 0 THEN coalesce(fzyage, 0) END::BIGINT AS fzyage, CASE WHEN nl > 0 AND ng > 0 THEN coalesce(oneoff, 0) END::BIGINT AS oneoff
+FROM (SELECT block, count(*) FILTER (side = 0) AS nl, count(*) FILTER (side = 1) AS ng FROM pp GROUP BY block)
+LEFT JOIN (SELECT block, count(*) FILTER (flag = 1) AS exact, count(*) FILTER (flag = 2) AS fzyage, count(*) FILTER (flag = 4) AS oneoff FROM m GROUP BY block) USING (block)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def link_fuzzy(spark, d):
-    """Exact, one-year and one-off stages (order-dependent, so tested against brute force)."""
+    """Exact, one-year and one-off stages; the last two depend on the order of rows."""
     a, b = left_right(spark, d)
     spec = linkage.Spec(["block"], ("sex", "age", "white", "black", "asian", "hisp"), left_id="pid", right_id="pid", stages=("exact", "fzyage", "oneoff"))
     return linkage.block_stats(linkage.linked(a, b, spec), spec)
 
 
+@query(with_people(f", f1 AS {F1}, {F2}, {F3} SELECT block, left_id, right_id, 1::BIGINT AS flag FROM f1 UNION ALL SELECT block, left_id, right_id, 2::BIGINT FROM f2 UNION ALL SELECT block, left_id, right_id, 4::BIGINT FROM f3").replace("WITH ", "WITH RECURSIVE ", 1))
+def link_fuzzy_matches(spark, d):
+    """The pairs themselves."""
+    a, b = left_right(spark, d)
+    spec = linkage.Spec(["block"], ("sex", "age", "white", "black", "asian", "hisp"), left_id="pid", right_id="pid", stages=("exact", "fzyage", "oneoff"))
+    return longs(linkage.matches(linkage.linked(a, b, spec), spec), "flag")
+
+
+
 @query(with_people("SELECT block, count(*) FILTER (side = 0)::BIGINT AS n_left, count(*) FILTER (side = 1)::BIGINT AS n_right FROM pp GROUP BY block HAVING n_left = 0 OR n_right = 0"))
 def one_sided_blocks(spark, d):
     return people(spark, d).groupBy("block").agg(tabulate.counted(F.col("side") == 0).alias("n_left"), tabulate.counted(F.col("side") == 1).alias("n_right")).where("n_left = 0 OR n_right = 0")
