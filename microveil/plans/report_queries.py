@@ -8,7 +8,8 @@ from microveil.functions import bins
 from microveil.operators import linkage, reports
 from microveil.plans.catalog import BIN, FLAGGED, PLACES, REPORT_SLICES, SIZE_R, SPEC, _flagged, _paired, _shown
 from microveil.plans.registry import query, with_people
-from microveil.plans.views import agebin_sql, left_right
+from microveil.plans.source_queries import FLAG_SQL
+from microveil.plans.views import agebin_sql, left_right, people
 
 
 def _sized_sql(by: str, base: str, counts: list[str]) -> str:
@@ -85,3 +86,31 @@ def report_reid_commercial(spark, d):
     agrees = x.join(truth, ["block", "pik", "sex", "_bin"], "left_semi").select("pid", F.lit(True).alias("agrees"))
     x = x.join(agrees, "pid", "left").withColumns({"put": F.col("put").isNotNull().cast("int"), "conf": F.col("conf").isNotNull().cast("int")})
     return reports.slice_rates(x, {"a": F.expr("pid % 11 <> 0"), "b": F.expr("pid % 11 <> 0 AND agrees")}, "put", "conf")
+
+
+# Lower bounds of the age classes of tables by age groups and by single years.
+P12_AGES = [0, 5, 10, 15, 18, 20, 21, 22, 25, 30, 35, 40, 45, 50, 55, 60, 62, 65, 67, 70, 75, 80, 85]
+PCT12_AGES = [*range(100), 100, 105, 110]
+ALONE_OF = "white + black + asian + aian + nhopi + sor"
+# Everyone, the iterations A to I of a table, and people of a race alone or in combination, by seven flags.
+ITERATIONS = {"": "true"}
+ITERATIONS |= {letter: f"{ALONE_OF} = 1 AND {race} = 1" for letter, race in zip("ABCDEF", ("white", "black", "aian", "asian", "nhopi", "sor"), strict=True)}
+ITERATIONS |= {"G": f"{ALONE_OF} > 1", "H": "hisp = 1", "I": f"{ALONE_OF} = 1 AND white = 1 AND hisp = 0"}
+ITERATIONS |= {f" {race} in combination": f"{race} = 1" for race in ("white", "black", "aian", "asian", "nhopi", "sor")}
+
+
+def _iterations_sql() -> str:
+    flags = ", ".join(f"{x} AS {f}" for f, x in FLAG_SQL.items() if f in ("aian", "nhopi", "sor"))
+    cases = {"P12": P12_AGES, "PCT12": PCT12_AGES}
+    low = {t: "CASE " + " ".join(f"WHEN age >= {a} THEN {a}" for a in reversed(ages)) + " END" for t, ages in cases.items()}
+    each = " UNION ALL ".join(f"SELECT county, '{t}{n}' AS \"table\", sex, {low[t]} AS age_from FROM y7 WHERE {c}" for t in cases for n, c in ITERATIONS.items())
+    sets = "GROUPING SETS ((county, \"table\", sex, age_from), (county, \"table\", sex), (county, \"table\"))"
+    return f", y7 AS (SELECT *, {flags} FROM pp), i7 AS ({each}) SELECT county, \"table\", sex, age_from::BIGINT AS age_from, count(*)::BIGINT AS n FROM i7 GROUP BY {sets}"
+
+
+@query(with_people(_iterations_sql()))
+def table_cells_iterations(spark, d):
+    """Cells of the tables by sex and age, and by sex and single years, with all their iterations, in long form."""
+    p = people(spark, d).withColumns({f: F.expr(FLAG_SQL[f]) for f in ("aian", "nhopi", "sor")})
+    tables = [reports.table_cells(p, ["county"], ages, "sex", "age", {f"{t}{n}": F.expr(c) for n, c in ITERATIONS.items()}) for t, ages in (("P12", P12_AGES), ("PCT12", PCT12_AGES))]
+    return tables[0].unionByName(tables[1]).select("county", F.col("group").alias("table"), "sex", F.col("age_from").cast("long").alias("age_from"), "n")
