@@ -745,9 +745,19 @@ def lp_constraints(spark, d):
     return longs(models.constraints(c, models.terms(c, v, ATTRS)), "place")
 
 
-@query("WITH f AS (SELECT unnest(['N', 'Y']) AS x) SELECT a.x || b.x || c.x || d.x || e.x || g.x AS combo FROM f a, f b, f c, f d, f e, f g WHERE length(replace(a.x || b.x || c.x || d.x || e.x || g.x, 'N', '')) >= 2")
+RACE6 = {"white": "white", "black": "black", "aian": "CAST(pid % 7 = 0 AS BIGINT)", "asian": "asian", "nhopi": "CAST(pid % 11 = 0 AS BIGINT)", "sor": "CAST(pid % 13 = 0 AS BIGINT)"}
+_YN = " || ".join(f"CASE WHEN ({x}) = 1 THEN 'Y' ELSE 'N' END" for x in RACE6.values())
+
+
+@query(with_people(f""", f AS (SELECT unnest(['N', 'Y']) AS x), k AS (SELECT a.x || b.x || c.x || d.x || e.x || g.x AS combo FROM f a, f b, f c, f d, f e, f g),
+n AS (SELECT {_YN} AS combo, count(*) AS people FROM pp GROUP BY 1)
+SELECT combo, coalesce(people, 0)::BIGINT AS people FROM k LEFT JOIN n USING (combo) WHERE length(replace(combo, 'N', '')) >= 2"""))
 def lp_two_plus_race(spark, d):
-    return spark.createDataFrame([("".join(c),) for c in models.two_or_more()], "combo string")
+    """People of every combination of two or more races, also of those that nobody has."""
+    combos = spark.createDataFrame([("".join(c),) for c in models.two_or_more()], "combo string")
+    own = F.concat(*[F.when(F.expr(x) == 1, "Y").otherwise("N") for x in RACE6.values()])
+    counts = people(spark, d).groupBy(own.alias("combo")).agg(F.count("*").alias("people"))
+    return tabulate.reindexed(counts, [combos], ["people"])
 
 
 @query(f"WITH {LP_VARS} SELECT '_C_P12_' || nk || '_' || v.geo || '_1' AS constraint, variable FROM v JOIN cells USING (geo)")
