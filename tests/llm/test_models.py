@@ -497,3 +497,13 @@ def test_toxicity_with_few_labels(spark, each):
     assert max(score.values()) > 0
     if each >= 10:
         assert np.mean([b > g for b in bad for g in good]) > 0.9
+
+
+def test_quality_with_few_labels_and_long_texts(spark):
+    """Scores stay between 0 and 1 with three labels of a class, with one class only, and for a text of a megabyte."""
+    texts = ["Plain words in a row, and some more of them." * (i % 3 + 1) if i % 2 else "$$$ buy NOW !!! $$$ " * (i % 3 + 1) for i in range(14)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(100, "word " * 200_000), (101, None), (102, "")], "doc_id long, text string")
+    for ys in ([i % 2 for i in range(8)], [1] * 8, []):
+        labels = spark.createDataFrame(list(enumerate(ys)), "doc_id long, quality int")
+        got = {r["doc_id"]: r for r in quality_gam.score(docs, labels).collect()}
+        assert len(got) == 17 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())

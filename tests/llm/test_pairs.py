@@ -430,3 +430,12 @@ def test_recall_holds_where_the_index_leaves_most_out(spark):
     for q in range(0, n, 4000):
         s = x.astype(float) @ x[q].astype(float)
         assert exact[q] == [i for i in np.lexsort((np.arange(n), -s)).tolist() if i != q][:20]
+
+
+def test_contamination_deep_in_a_very_long_text(spark):
+    item = "when the river froze the miller walked across it with a lantern and two sacks of barley flour"
+    rng = random.Random(8)
+    filler = " ".join(f"w{rng.randrange(5000)}" for _ in range(150_000))
+    docs = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler)], "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got == {1: [9], 2: []}
