@@ -865,7 +865,8 @@ def indicator_columns(spark, d):
 
 def _linked(spark, d):
     a, b = left_right(spark, d)
-    put = linkage.putative(a, b, ["block"], "r", left_id="pid", right_id="pid")
+    # putative matches are both reported and attached to be confirmed, so they are made once
+    put = writers.kept(linkage.putative(a, b, ["block"], "r", left_id="pid", right_id="pid"))
     attached = a.drop("pik").join(put.select(F.col("left_id").alias("pid"), "pik"), "pid")
     return a, put, linkage.confirm(attached, b.where("keep = 1"), ["block"], ("white", "black", "asian", "hisp"), "pid", "pid")
 
