@@ -54,6 +54,8 @@ SEEN_BITS = 25
 BLOCK_SHINGLES = 500_000
 #: Documents that are compared with their pivot at once, and how many there must be for it to pay; fewer just meet each other.
 STAR, FAMILY = 256, 32
+#: Up to so many postings of a document's shingles are counted at once; with more, common shingles are only looked up for candidates.
+FEW_POSTINGS = 20_000
 #: Chunks of documents with the pivot's label are numbered from here.
 MAIN = 1 << 20
 #: From this similarity (in hundredths) on prefixes are short: posting by size class then costs little and saves meetings.
@@ -229,7 +231,7 @@ def _surviving(percent: int):
             # a partner shares few_o[i] of these shingles, so one at least of all but the few_o[i] - 1 that most others have
             turn = np.argsort(long, kind="stable")
             at, long = at[turn], long[turn]
-            rare = max(1, len(at) - int(few_o[i]) + 1)
+            rare = max(1, len(at) - int(few_o[i]) + 1) if long.sum() > FEW_POSTINGS else len(at)
             total = int(long[:rare].sum())
             if not total:
                 continue
