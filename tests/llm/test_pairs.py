@@ -439,3 +439,31 @@ def test_contamination_deep_in_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler)], "doc_id long, text string")
     got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
     assert got == {1: [9], 2: []}
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_templates_against_brute_force(spark, monkeypatch, few):
+    """Texts of one template with few words of their own: some link, most don't, and all share most shingles."""
+    monkeypatch.setattr(jaccard_join, "FEW_POSTINGS", few)
+    rng = random.Random(5)
+    template = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(260):
+        w = template[:]
+        for at in sorted(rng.sample(range(60), rng.choice([0, 1, 1, 2, 4])), reverse=True):
+            w.insert(at, f"v{rng.randrange(12)}")
+        texts.append(" ".join(w[: rng.choice([60, 62, 70])]))
+    sets = [{" ".join(x) for x in zip(w, w[1:], w[2:], strict=False)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            a, b = top(i), top(j)
+            root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=3, percent=90).collect()}
+    assert got == {i: top(i) for i in range(len(texts))} and 1 < len(set(got.values())) < 250
