@@ -43,11 +43,11 @@ def left_closed(x: Column, edges: Sequence[float], labels: Sequence | None = Non
     return out.when(x < top, last) if top is not None else out.when(x.isNotNull(), last)
 
 
-def significant(x: Column, digits: int = 4) -> Column:
-    """x rounded to so many significant digits, 0 below 1e-8; a ladder of literal scales, as round() takes no column for its scale."""
+def significant(x: Column, digits: int = 4, coarsest: int = 9) -> Column:
+    """x rounded to so many significant digits, but never coarser than to 10 to the power ``coarsest``; 0 below 1e-8; a ladder of literal scales, as round() takes no column for its scale."""
     a = F.abs(x)
-    out = F.when(a >= 10.0 ** (digits + 8), F.round(x, -9))
-    for scale in range(-8, 12):
+    out = F.when(a >= 10.0 ** (digits - 1 + coarsest), F.round(x, -coarsest))
+    for scale in range(1 - coarsest, 12):
         out = out.when(a >= 10.0 ** (digits - 1 - scale), F.round(x, scale))
     return out.when(a.isNotNull(), F.lit(0.0))
 
@@ -61,11 +61,11 @@ def thousands(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
-def with_unit(x: Column, digits: int = 1) -> Column:
-    """A number with a letter for thousands, millions, billions or trillions, such as 1.5K; smaller ones as they are."""
+def with_unit(x: Column, digits: int = 1, units: Sequence[tuple[int, str]] = ((12, "T"), (9, "G"), (6, "M"), (3, "K"))) -> Column:
+    """A number with a letter for thousands, millions, billions or trillions, such as 1.5K; smaller ones as they are. ``units`` are powers of ten and their letters, largest first."""
     a = F.abs(x.cast("double"))
     out = None
-    for power, letter in ((12, "T"), (9, "G"), (6, "M"), (3, "K")):
+    for power, letter in units:
         cell = F.concat(F.format_string(f"%.{digits}f", x.cast("double") / 10.0**power), F.lit(letter))
         out = F.when(a >= 10.0**power, cell) if out is None else out.when(a >= 10.0**power, cell)
     return out.otherwise(F.format_string("%.0f", x.cast("double")))
