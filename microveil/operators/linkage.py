@@ -132,16 +132,22 @@ def linked(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
         flag = FLAGS[stage]
         free = F.col("_flag").isNull() & whole
         if stage in ("exact", "binage"):
-            on = [F.col(k) if stage == "exact" or k != spec.age else age_bin(F.col(k)) for k in keys]
+            on = [F.col(k) if stage == "exact" or k != spec.age else F.col("_bin") for k in keys]
+            rows = rows.withColumns({"_free": free, "_bin": age_bin(F.col(spec.age))} if stage == "binage" else {"_free": free})
+            free = F.col("_free")
+            # one sort serves both windows: left rows go last first, right rows first first, and the other keys are equal
+            is_left = F.col("_side") == 0
+            by_age = [F.desc(F.when(is_left, F.col(spec.age))), F.when(~is_left, F.col(spec.age))] if stage == "binage" else []
+            mine = Window.partitionBy(*block, *on, free, "_side").orderBy(*by_age, F.desc(F.when(is_left, F.col("_id"))), *order[len(keys) :])
+            rows = rows.withColumn("_rank", F.row_number().over(mine))
+            rank = F.col("_rank")
+            # a side's last rank is its count
             both = Window.partitionBy(*block, *on, free)
-            mine = Window.partitionBy("_side", *block, *on, free)
-            rank = F.when(F.col("_side") == 0, F.row_number().over(mine.orderBy(*[F.desc(c) for c in [*keys, "_id"]]))).otherwise(F.row_number().over(mine.orderBy(*order)))
-            lefts = F.sum(F.when(F.col("_side") == 0, 1).otherwise(0)).over(both)
-            rights = F.sum(F.when(F.col("_side") == 1, 1).otherwise(0)).over(both)
+            lefts, rights = (F.coalesce(F.max(F.when(c, rank)).over(both), F.lit(0)) for c in (is_left, ~is_left))
             hit = free & (rank <= F.least(lefts, rights))
             name = F.concat_ws("/", F.lit(str(flag)), *[c.cast("string") for c in on], rank.cast("string"))
             rows = rows.withColumns({"_hit": hit, "_name": name})
-            rows = rows.withColumns({"_flag": F.when(F.col("_hit"), F.lit(flag)).otherwise(F.col("_flag")), "_pair": F.when(F.col("_hit"), F.col("_name")).otherwise(F.col("_pair"))}).drop("_hit", "_name")
+            rows = rows.withColumns({"_flag": F.when(F.col("_hit"), F.lit(flag)).otherwise(F.col("_flag")), "_pair": F.when(F.col("_hit"), F.col("_name")).otherwise(F.col("_pair"))}).drop("_hit", "_name", "_free", "_bin", "_rank")
         else:
             soft = list(spec.soft) or [k for k in keys if k != spec.age]
             # in the fuzzy stage all keys but age are equal, so a block splits by them
@@ -174,6 +180,37 @@ def block_stats(rows: DataFrame, spec: Spec) -> DataFrame:
     return out.select(*spec.block, F.expr("nullif(n_left, 0)").alias("n_left"), F.expr("nullif(n_right, 0)").alias("n_right"), *[F.when(two, F.col(s)).alias(s) for s in stages])
 
 
+def equal_stats(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
+    """``block_stats`` of ``linked`` where all stages are equality stages, from counts by block and keys: no row is ranked or sorted.
+
+    A group of equal keys has as many matches as the smaller of its two counts; what the exact stage leaves over of each age
+    adds up to the counts of the age groups. After a stage by age group none of equal age are left on both sides.
+    """
+    block, keys = list(spec.block), list(spec.keys)
+    if not spec.stages or set(spec.stages) - {"exact", "binage"}:
+        raise ValueError("only the stages exact and binage can be counted")
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    rows = left.select(F.lit(0).alias("_side"), *block, *keys).unionByName(right.select(F.lit(1).alias("_side"), *block, *keys))
+    total = lambda c: F.sum(c).cast("long")
+    cells = rows.groupBy(*block, *keys).agg(total(1 - F.col("_side")).alias("n_left"), total(F.col("_side")).alias("n_right"))
+    zero = F.lit(0).cast("long")
+    first = F.when(whole, F.least("n_left", "n_right")).otherwise(zero) if spec.stages[0] == "exact" else zero
+    cells = cells.withColumns({"_whole": whole, "_first": first})
+    same = [age_bin(F.col(k)).alias("_bin") if k == spec.age else F.col(k) for k in keys]
+    groups = cells.groupBy(*block, *same, "_whole").agg(total("n_left").alias("n_left"), total("n_right").alias("n_right"), total("_first").alias("_first"))
+    later = F.when(F.col("_whole"), F.least("n_left", "n_right") - F.col("_first")).otherwise(zero)
+    out = groups.groupBy(*block).agg(total("n_left").alias("n_left"), total("n_right").alias("n_right"), total("_first").alias("_first"), total(later).alias("_later"))
+    two = (F.col("n_left") > 0) & (F.col("n_right") > 0)
+    found = {s: zero for s in spec.stages}
+    if spec.stages[0] == "exact":
+        found["exact"] = F.col("_first")
+    if "binage" in spec.stages:
+        found["binage"] = F.col("_later")
+    return out.select(*block, F.expr("nullif(n_left, 0)").alias("n_left"), F.expr("nullif(n_right, 0)").alias("n_right"), *[F.when(two, c).alias(s) for s, c in found.items()])
+
+
 def common_only(left: DataFrame, right: DataFrame, area: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides restricted to areas that both have (left semi joins)."""
     a, b = left.select(*area).distinct(), right.select(*area).distinct()

@@ -45,7 +45,7 @@ def _releases(spark, d):
 @query(with_people(f", {L3}, {G3}, m1 AS {M1}, m2 AS {M2}, m AS (SELECT *, 1 AS flag FROM m1 UNION ALL SELECT *, 3 AS flag FROM m2), t AS (SELECT regexp_extract(b.block, '^[A-Za-z]+') AS release, b.block, n AS size, n AS pop, count(flag) FILTER (flag = 1) AS exact, count(flag) AS binage FROM (SELECT block, count(*) AS n FROM l3 GROUP BY 1) b LEFT JOIN m USING (block) GROUP BY ALL)" + _sized_sql("release", "pop", ["exact", "binage"])))
 def report_agree_releases(spark, d):
     """Agreement by block population for each release, all linked at once."""
-    stats = linkage.block_stats(linkage.linked(*_releases(spark, d), SPEC), SPEC).where("n_left IS NOT NULL")
+    stats = linkage.equal_stats(*_releases(spark, d), SPEC).where("n_left IS NOT NULL")
     exact, binned = F.coalesce("exact", F.lit(0)), F.coalesce("binage", F.lit(0))
     blocks = stats.select(F.regexp_extract("block", "^[A-Za-z]+", 0).alias("release"), F.col("n_left").alias("pop"), exact.alias("exact"), (exact + binned).alias("binage"))
     return reports.by_block_size(blocks, F.col("pop"), "pop", ["exact", "binage"], ["release"])

@@ -8,6 +8,7 @@ import pytest
 
 from microveil.functions.bins import AGE_BOUNDS
 from microveil.operators import linkage
+from microveil.plans import catalog
 
 SCHEMA = "id long, block string, sex long, age long, race long, r long"
 
@@ -81,3 +82,30 @@ def test_audit_drops_areas_of_one_side(spark):
     found, stats = linkage.audit(left, right, spec, ["area"], "ok = 1")
     assert [(r["left_id"], r["right_id"], r["flag"]) for r in found.collect()] == [(1, 1, 1)]
     assert {r["block"]: (r["n_left"], r["n_right"], r["exact"]) for r in stats.collect()} == {"a1": (1, 1, 1), "a2": (1, None, None)}
+
+
+@pytest.mark.parametrize("stages", [("exact", "binage"), ("exact",), ("binage",), ("binage", "exact")])
+def test_counted_stages_equal_linked_ones(spark, stages):
+    rng = random.Random(5)
+    some = lambda x: None if rng.random() < 0.05 else x
+    make = lambda n, first: spark.createDataFrame([(i, some(f"b{rng.randint(first, first + 9)}"), some(rng.randint(0, 1)), some(rng.randint(0, 95)), 0, rng.randint(0, 9)) for i in range(n)], SCHEMA)
+    left, right = make(900, 0), make(800, 2)
+    spec = linkage.Spec(["block"], ("sex", "age"), right_order=("r",), stages=stages)
+    want, got = linkage.block_stats(linkage.linked(left, right, spec), spec), linkage.equal_stats(left, right, spec)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equality_stages_sort_once_each(spark):
+    rows = spark.createDataFrame([(1, "x", 1, 30, 0, 0)], SCHEMA)
+    assert _plan(linkage.linked(rows, rows, linkage.Spec(["block"], ("sex", "age"), right_order=("r",)))).count("Sort [") == 2
+
+
+@pytest.mark.parametrize("name", ["report_agree_releases", "report_agree_blockpop", "agree_rates"])
+def test_reports_of_counts_rank_no_rows(spark, sf_dir, name):
+    plan = _plan(catalog.QUERIES[name](spark, sf_dir))
+    assert "HashAggregate" in plan and "Window" not in plan
